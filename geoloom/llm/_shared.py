@@ -98,3 +98,47 @@ def slices(batch, text_index: int, max_bytes: int = 8 << 20) -> Iterator:
         end = max(start + 1, int(np.searchsorted(total, before + max_bytes, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+class MemberFilter:
+    """A Bloom filter of 64-bit ids with at most ``2**MOST_BITS`` bits, so of bounded size.
+
+    It may let others through; past its capacity it lets more through, and nothing is lost.
+    """
+
+    MOST_BITS = 26
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def _places(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mix64(ids.astype(np.int64).view(np.uint64))
+        low = np.uint64(size - 1)
+        return h & low, (h >> np.uint64(32)) & low
+
+    @classmethod
+    def of(cls, ids: DataFrame) -> MemberFilter:
+        """Of the one column of ``ids``; every task gives its own words, which are summed up."""
+        import pyarrow as pa
+
+        size = 1 << int(min(cls.MOST_BITS, max(10, np.ceil(np.log2(16 * ids.count() + 1)))))
+
+        def words(batches):
+            own = np.zeros(size // 64, np.uint64)
+            for batch in batches:
+                for place in cls._places(batch.column(0).to_numpy(zero_copy_only=False), size):
+                    np.bitwise_or.at(own, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+            at = own.nonzero()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], names=["at", "word"])
+
+        rows = ids.mapInArrow(words, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+        bits = np.zeros(size // 64, np.uint64)
+        bits[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64).view(np.uint64)
+        return cls(bits)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ids), bool)
+        for place in self._places(ids, len(self.bits) * 64):
+            out &= (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
