@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+BATCH_ROWS = 1500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # whole texts go to Python: batches of a few MB, not of 10,000 rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,7 +63,7 @@ def words_of(text: str | None) -> list[bytes]:
 class HashCache(dict):
     """word -> 64-bit hash; emptied when it has grown beyond ``bound`` words."""
 
-    def __init__(self, bound: int = 400_000) -> None:
+    def __init__(self, bound: int = 150_000) -> None:
         import xxhash
 
         super().__init__()
@@ -88,6 +91,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def slices(batch, text_index: int, max_bytes: int = 8 << 20) -> Iterator:
     """Cut an Arrow batch into pieces of about ``max_bytes`` of text (one row at least)."""
     lengths = batch.column(text_index)
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = np.asarray(pc.fill_null(pc.binary_length(lengths), 0), dtype=np.int64)
@@ -98,6 +102,7 @@ def slices(batch, text_index: int, max_bytes: int = 8 << 20) -> Iterator:
         end = max(start + 1, int(np.searchsorted(total, before + max_bytes, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 class MemberFilter:

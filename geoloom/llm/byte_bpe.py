@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 _STATE: dict = {}
 
 
@@ -70,19 +70,23 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(description)
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[list[int], list[int], list[int]]] = {}
         self.ids: dict[str, list[int]] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.ids]
+        """Encode the pieces that are not known, all in one call."""
+        new = list(pieces.difference(self.ids))
         if len(self.ids) + len(new) > CACHE_PIECES:
-            self.ids, self.cache, new = {}, {}, list(pieces)
-        for piece, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.ids[piece] = coded.ids
+            self.ids, new = {}, list(pieces)
+        if new:
+            coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            rows: list[list[int]] = [[] for _ in new]
+            for piece, token in zip(coded.word_ids, coded.ids):
+                rows[piece].append(token)
+            self.ids.update(zip(new, rows))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.split(t) if t else [] for t in texts]
-        self.learn({p for pieces in split for p in pieces})
+        self.learn(set().union(*split))
         get, out = self.ids.__getitem__, []
         for pieces in split:
             row: list[int] = []

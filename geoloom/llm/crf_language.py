@@ -1,13 +1,13 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word's features are its affixes (1 to 3 characters), its character 2- and 3-grams, the
-word itself (the lexicon) and its script-like shape, hashed into ``1 << HASH_BITS`` weights
+A word's features are its affixes (1 to 3 characters), its character 2- and 3-grams and the
+word itself (the lexicon), hashed into ``1 << HASH_BITS`` weights
 for each label. Labels are the languages; transition weights are learned with them. Training
 maximises the conditional likelihood by forward-backward on sequences of ``LENGTH`` words, of
 which a part is spliced from two documents, so that transitions between languages occur.
 
 Training reads at most ``SAMPLE`` documents of each language (the smallest by a checksum of
-their id) and at most ``SEQUENCES`` stretches of ``LENGTH`` words, evenly spaced, from each.
+their id) and at most ``SEQUENCES`` stretches of ``LENGTH`` words, evenly spaced, from each (words of ``LONGEST`` characters at most).
 Prediction labels every word of every document: chains are runs of ``LENGTH`` words, the
 posteriors of forward-backward are summed over the document, and the label with most of it is
 the document's language; its share is the score.
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import mix64
+
 HASH_BITS = 17
 LENGTH = 32
 SAMPLE = 600
@@ -33,27 +35,54 @@ SEQUENCES = 4
 EPOCHS = 4
 RATE = 0.3
 UNKNOWN = "und"
-CACHE_WORDS = 200_000
-MAX_GRAMS = 40
-
-
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word; none if it has no letter."""
-    if not any(map(str.isalpha, word)):
-        return []
-    names = ["w" + word]
-    names += [f"p{k}" + word[:k] for k in (1, 2, 3) if len(word) >= k] + [f"s{k}" + word[-k:] for k in (1, 2, 3) if len(word) >= k]
-    edged = f"^{word}$"
-    grams = [edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)]
-    if len(grams) > MAX_GRAMS:  # every k-th gram of an overlong word, over all of it
-        grams = grams[:: -(-len(grams) // MAX_GRAMS)]
-    names += ["g" + g for g in grams] + ["a" + str(word.isascii())]
+CACHE_WORDS = 120_000
+MOST = 48
+LONGEST = 40
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``words``, hashed feature) of all features, and whether a word has a letter.
+
+    Words are lower-cased; those without a letter have no features.
+    """
+    letter = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
+    own = np.flatnonzero(letter)
     mask = (1 << HASH_BITS) - 1
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & mask for n in names]
+    lexicon = np.fromiter((zlib.crc32(words[i].encode("utf-8", "surrogatepass")) & mask for i in own), np.int64, len(own))
+    if not len(own):
+        return own, lexicon, letter
+    # all words in a row, each between edge marks; a gram starts at each character
+    codes = np.frombuffer("".join([f"^{words[i]}$" for i in own]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter((len(words[i]) + 2 for i in own), np.int64, len(own))
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(codes))  # characters from here to the word's end
+    is_first = np.zeros(len(codes), bool)
+    is_first[ends - lengths] = True
+    word = np.repeat(own, lengths)
+    places, hashes = [own], [lexicon]
+    rolled = codes
+    for k in (2, 3, 4):
+        rolled = rolled[:-1] * np.uint64(0x100000001B3) + codes[k - 1 :]
+        mixed = (mix64(rolled) & np.uint64(mask)).astype(np.int64)
+        here, first = left[: len(mixed)], is_first[: len(mixed)]
+        if k < 4:
+            places.append(word[: len(mixed)][here >= k])
+            hashes.append(mixed[here >= k])
+        for salt, edge in ((0x55, first & (here >= k)), (0xAA, here == k)):  # affixes
+            places.append(word[: len(mixed)][edge])
+            hashes.append(mixed[edge] ^ (salt << 8 | k))
+    return np.concatenate(places), np.concatenate(hashes), letter
+
+
+def scores(weights: np.ndarray, place: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the weights of each word's features; those of overlong words are scaled down."""
+    counts = np.bincount(place, minlength=n)
+    sums = np.stack([np.bincount(place, weights[hashed, k], n) for k in range(weights.shape[1])], axis=1)
+    return sums / np.maximum(1.0, counts / MOST)[:, None]
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, first: np.ndarray, real: np.ndarray):
-    """Posteriors (b, t, l), expected transitions (l, l) and log-likelihood norm (b,).
+def forward_backward(emission: np.ndarray, transition: np.ndarray, first: np.ndarray, real: np.ndarray, pairs: bool = True):
+    """Posteriors (b, t, l) and, if asked for, expected transitions (l, l).
 
     ``emission`` is (b, t, l) in logarithms; places where ``real`` is false pass messages on.
     """
@@ -78,12 +107,11 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, first: np.nda
         beta[:, i] = back / scale[:, i + 1 : i + 2]
     posterior = alpha * beta
     posterior /= posterior.sum(axis=2, keepdims=True)
-    norm = np.log(scale).sum(axis=1) + np.where(real, peak[:, :, 0], 0.0).sum(axis=1)
     pair = np.zeros((n, n))
-    for i in range(1, t):
+    for i in range(1, t if pairs else 1):
         use = real[:, i]
         pair += np.einsum("bi,bj->ij", alpha[use, i - 1], beta[use, i] * local[use, i] / scale[use, i : i + 1]) * step
-    return posterior, pair, norm
+    return posterior, pair
 
 
 class Model:
@@ -92,7 +120,7 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, transition: np.ndarray, first: np.ndarray) -> None:
         self.labels, self.weights, self.transition, self.first = labels, weights, transition, first
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((CACHE_WORDS + 1, len(labels)), np.float32)
+        self.rows = np.zeros((CACHE_WORDS + 1, max(1, len(labels))), np.float32)
         self.letter = np.zeros(CACHE_WORDS + 1, bool)
 
     def __reduce__(self):
@@ -100,16 +128,18 @@ class Model:
 
     def index(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) + len(new := {w for w in words if w not in known}) > CACHE_WORDS:
+        new = set(words).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = set(words)
         if len(new) > CACHE_WORDS:
             raise ValueError("a call must have fewer words than the cache")
-        for w in new:
-            at = known[w] = len(known) + 1
-            found = features(w)
-            self.letter[at] = bool(found)
-            self.rows[at] = self.weights[found].sum(axis=0) if found else 0.0
+        if new:
+            fresh, start = list(new), len(known) + 1
+            place, hashed, letter = features(fresh)
+            self.rows[start : start + len(fresh)] = scores(self.weights, place, hashed, len(fresh))
+            self.letter[start : start + len(fresh)] = letter
+            known.update(zip(fresh, range(start, start + len(fresh))))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +153,7 @@ class Model:
             padded[: len(part)] = part
             real = (np.arange(chains * LENGTH) < len(part)).reshape(chains, LENGTH)
             emission = self.rows[padded].astype(float).reshape(chains, LENGTH, -1)
-            posterior = forward_backward(emission, self.transition, self.first, real)[0]
+            posterior = forward_backward(emission, self.transition, self.first, real, pairs=False)[0]
             out[at : at + len(part)] = posterior.reshape(chains * LENGTH, -1)[: len(part)]
             letter[at : at + len(part)] = self.letter[part]
         return out, letter
@@ -163,11 +193,12 @@ def train(sequences: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     sequences = sorted(sequences)
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words[:LENGTH]]) for _, words in sequences]
     label = np.array([labels.index(lang) for lang, _ in sequences])
-    feats = [features(w) for w in vocabulary]
-    widest = max(map(len, feats), default=1) or 1
-    grid = np.full((len(feats), widest), -1, np.int64)
-    for i, f in enumerate(feats):
-        grid[i, : len(f)] = f
+    place, hashed, _ = features(list(vocabulary))
+    order = np.argsort(place, kind="stable")
+    place, hashed = place[order], hashed[order]
+    counts = np.bincount(place, minlength=len(vocabulary))
+    grid = np.full((len(vocabulary), max(1, counts.max(initial=1))), -1, np.int64)
+    grid[place, np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)] = hashed
     for _ in range(EPOCHS):
         order = rng.permutation(len(coded))
         for at in range(0, len(order), 256):
@@ -188,7 +219,7 @@ def train(sequences: list[tuple[str, list[str]]], seed: int = 7) -> Model:
             has = cells >= 0
             emission = np.zeros((len(picked), LENGTH, n))
             emission[real] = (weights[np.maximum(cells, 0)] * has[:, :, None]).sum(axis=1)
-            posterior, pair, _ = forward_backward(emission, transition, first, real)
+            posterior, pair = forward_backward(emission, transition, first, real)
             truth = np.eye(n)[gold]
             slope = (truth - posterior)[real] / len(picked)
             follow = real[:, 1:] & real[:, :-1]
@@ -214,7 +245,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, words = [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = [w for w in text.lower().split() if any(map(str.isalpha, w))]
+            own = [w for w in text.lower().split() if len(w) <= LONGEST and any(map(str.isalpha, w))]
             last = max(0, len(own) - LENGTH)
             for start in sorted({last * i // max(1, SEQUENCES - 1) for i in range(SEQUENCES)}):
                 if own:
