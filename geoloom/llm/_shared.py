@@ -105,6 +105,24 @@ def slices(batch, text_index: int, max_bytes: int = 8 << 20) -> Iterator:
     pa.default_memory_pool().release_unused()
 
 
+def among(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is among ``ids`` (a column) or null, and a few others.
+
+    Rows are left out where they are read, by a filter of bounded size, before any shuffle.
+    """
+    import pyarrow as pa
+
+    at = df.columns.index(id_col)
+    shared = df.sparkSession.sparkContext.broadcast(MemberFilter.of(ids.where(F.col(ids.columns[0]).isNotNull())))
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            yield batch.filter(pa.array(np.asarray(column.is_null()) | shared.value.has(np.asarray(column.fill_null(0)))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class MemberFilter:
     """A Bloom filter of 64-bit ids with at most ``2**MOST_BITS`` bits, so of bounded size.
 

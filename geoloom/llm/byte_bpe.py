@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 200_000
 _STATE: dict = {}
 
 
@@ -84,16 +87,11 @@ class PieceEncoder:
                 rows[piece].append(token)
             self.ids.update(zip(new, rows))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.split(t) if t else [] for t in texts]
         self.learn(set().union(*split))
-        get, out = self.ids.__getitem__, []
-        for pieces in split:
-            row: list[int] = []
-            for ids in map(get, pieces):
-                row += ids
-            out.append(row)
-        return out
+        get = self.ids.__getitem__
+        return [np.fromiter(chain.from_iterable(map(get, pieces)), np.int32) for pieces in split]
 
     def offsets(self, text: str | None, length_of: list[int]) -> tuple[list[int], list[int]]:
         """First and past-the-end code point of each token; a token that holds a part of a
@@ -112,6 +110,11 @@ class PieceEncoder:
         return starts, ends
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
 def _encoder(description: str, pattern: str) -> PieceEncoder:
     key = (hash(description), pattern)
     if _STATE.get("encoder_key") != key:
@@ -126,7 +129,6 @@ def encode(
 
     Columns of ``df`` with these names are replaced.
     """
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -151,8 +153,8 @@ def encode(
                 columns = [coder.encode(texts)]
                 if with_offsets:
                     spans = [coder.offsets(t, length_of) for t in texts]
-                    columns += [[s for s, _ in spans], [e for _, e in spans]]
-                made = [pa.array(c, type=pa.list_(pa.int32())) for c in columns]
+                    columns += [[np.array(s, np.int32) for s, _ in spans], [np.array(e, np.int32) for _, e in spans]]
+                made = [_lists(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*batch.columns, *made], arrow.types)], schema=arrow)
 
     return kept.mapInArrow(run, schema)
@@ -164,7 +166,6 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
     Bytes, not text: a cut sequence of ids may end inside a character. ``decoded_text`` turns
     them into text, with a replacement character for what is not whole.
     """
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -182,8 +183,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                rows = (batch.column(at).slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
-                made = pa.array([b"".join(map(get, ids)) if ids else b"" for ids in rows], type=pa.binary())
+                rows = (batch.column(at)[i].values for i in range(batch.num_rows))
+                made = pa.array([b"".join(map(get, ids.to_numpy().tolist())) if ids is not None else b"" for ids in rows], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*batch.columns, made], arrow.types)], schema=arrow)
 
     return kept.mapInArrow(run, schema)

@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-BLOCK = 1024
+from ._shared import among
+
+BLOCK_BITS = 10
 
 
 def canonical(text: str | None) -> str:
@@ -90,29 +92,30 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def followed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, next): each row's text and that of the row after it in descending order of id.
 
-    After the last row comes the first. Ids are dealt in blocks of ``BLOCK`` values, a window
-    looks ahead inside a block, and a block's last row gets the first text of the next block
-    that has rows. The blocks are ordered in two levels, so that no task gets more than their
-    1/``BLOCK`` part. Null ids come last.
+    After the last row comes the first. Ids are dealt in blocks of ``1 << BLOCK_BITS`` values,
+    and a block also gets a copy of the first row of the next block that has rows, so a window
+    inside it sees all that its rows need and texts are shuffled once. The blocks' first ids are
+    ordered in two levels, one task for each ``1 << 2 * BLOCK_BITS`` ids. Null ids come last;
+    rows that share an id are in order of text.
     """
-    block = F.floor(F.col("id") / F.lit(BLOCK))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("block", block)
-    order = Window.partitionBy("block").orderBy(F.col("id").desc_nulls_last(), "text")
-    rows = rows.select("id", "text", "block", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("at"))
-    first = rows.where("at = 1").select("block", F.col("text").alias("first_text"))
-    blocks = df.select(F.col(id_col).alias("id")).select(block.alias("block")).distinct()
-    outer = F.floor(F.col("block") / F.lit(BLOCK))
-    inside = Window.partitionBy("outer").orderBy(F.col("block").desc_nulls_last())
-    blocks = blocks.withColumn("outer", outer)
-    # one row for each BLOCK**2 ids
-    tops = blocks.groupBy("outer").agg(F.max("block").alias("top"))
-    across = Window.orderBy(F.col("outer").desc_nulls_last())
-    everywhere = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marker = F.struct(F.lit(1).alias("one"), F.col("top"))
-    tops = tops.select(F.col("outer").alias("outer2"), F.coalesce(F.lead(marker).over(across), F.first(marker).over(everywhere)).alias("top_after"))
-    blocks = blocks.join(tops, F.col("outer").eqNullSafe(F.col("outer2")))
-    after = F.coalesce(F.lead(F.struct(F.lit(1).alias("one"), F.col("block").alias("top"))).over(inside), F.col("top_after"))
-    blocks = blocks.select(F.col("block").alias("of_block"), after["top"].alias("next_block"))
-    heads = blocks.join(first, F.col("next_block").eqNullSafe(F.col("block"))).select("of_block", "first_text")
-    joined = rows.join(heads, rows["next"].isNull() & F.col("block").eqNullSafe(F.col("of_block")), "left")
-    return joined.select("id", "text", F.coalesce("next", "first_text").alias("next"))
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key"))
+    heads = df.select(key.alias("key")).groupBy(F.shiftright("key", BLOCK_BITS).alias("block")).agg(F.max("key").alias("head"))
+    heads = heads.withColumn("outer", F.shiftright("block", BLOCK_BITS))
+    across = Window.orderBy(F.col("outer").desc())
+    tops = heads.groupBy("outer").agg(F.max("head").alias("top"))
+    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tops = tops.select("outer", F.coalesce(F.lead("top").over(across), F.first("top").over(whole)).alias("top_after"))
+    inside = Window.partitionBy("outer").orderBy(F.col("block").desc())
+    after = heads.join(tops, "outer").select(F.col("block").alias("of_block"), F.coalesce(F.lead("head").over(inside), "top_after").alias("head"))
+    guests = among(rows.select("text", "key"), after.select("head"), "key").join(after, F.col("key") == F.col("head")).groupBy("of_block").agg(F.min("text").alias("text"))
+    hosts = rows.select(F.shiftright("key", BLOCK_BITS).alias("block"), F.lit(False).alias("guest"), "key", "id", "text")
+    guests = guests.select(F.col("of_block").alias("block"), F.lit(True).alias("guest"), F.lit(None).cast("bigint").alias("key"), F.lit(None).alias("id"), "text")
+    order = Window.partitionBy("block").orderBy("guest", F.col("key").desc(), "text")
+    return hosts.unionAll(guests).withColumn("next", F.lead("text").over(order)).where("not guest").select("id", "text", "next")
+
+
+def digests_of(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, digest) of the rows whose id is among ``ids`` (a column), and of a few others."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return with_digest(among(rows, ids, "id").select("text"), {"text": "digest"})

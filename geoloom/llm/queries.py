@@ -79,12 +79,11 @@ def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = rows.select("doc_id", F.col("fingerprint").alias("digest")).unionAll(rows.select("doc_id", F.col("edited_fingerprint").alias("digest")))
     again = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     again_of = lambda c: rows.join(again, rows[c] == again["digest"], "left_semi").select(F.col("doc_id").alias("id"))
-    plain = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(again_of("fingerprint"), "id", "left_semi")
+    texts = canonical_digest.digests_of(docs, again_of("fingerprint"))
     changed = again_of("edited_fingerprint")
-    texts = plain.select("text")
     if not changed.isEmpty():
-        texts = texts.unionAll(pairs.join(changed, "id", "left_semi").select(F.col("edited").alias("text")))
-    clash = canonical_digest.collisions(canonical_digest.with_digest(texts, {"text": "digest"}))
+        texts = texts.unionAll(canonical_digest.digests_of(pairs, changed, "id", "edited"))
+    clash = canonical_digest.collisions(texts)
     if not clash.isEmpty():  # digests that are not whole: the texts are looked at again
         full = pairs.select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited", "next")
         for column, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next", "next_fingerprint")):
