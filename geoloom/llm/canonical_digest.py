@@ -90,7 +90,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def followed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next): each row's text and that of the row after it in descending order of id.
+    """(id, text, next_id, next): each row's text, and the row after it in descending order of id.
 
     After the last row comes the first. Ids are dealt in blocks of ``1 << BLOCK_BITS`` values,
     and a block also gets a copy of the first row of the next block that has rows, so a window
@@ -108,11 +108,12 @@ def followed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tops = tops.select("outer", F.coalesce(F.lead("top").over(across), F.first("top").over(whole)).alias("top_after"))
     inside = Window.partitionBy("outer").orderBy(F.col("block").desc())
     after = heads.join(tops, "outer").select(F.col("block").alias("of_block"), F.coalesce(F.lead("head").over(inside), "top_after").alias("head"))
-    guests = among(rows.select("text", "key"), after.select("head"), "key").join(after, F.col("key") == F.col("head")).groupBy("of_block").agg(F.min("text").alias("text"))
+    guests = among(rows.select("text", "key"), after.select("head"), "key").join(after, F.col("key") == F.col("head")).groupBy("of_block").agg(F.min(F.struct("text", "key")).alias("head"))
     hosts = rows.select(F.shiftright("key", BLOCK_BITS).alias("block"), F.lit(False).alias("guest"), "key", "id", "text")
-    guests = guests.select(F.col("of_block").alias("block"), F.lit(True).alias("guest"), F.lit(None).cast("bigint").alias("key"), F.lit(None).alias("id"), "text")
+    guests = guests.select(F.col("of_block").alias("block"), F.lit(True).alias("guest"), "head.key", F.col("head.key").alias("id"), "head.text")
     order = Window.partitionBy("block").orderBy("guest", F.col("key").desc(), "text")
-    return hosts.unionAll(guests).withColumn("next", F.lead("text").over(order)).where("not guest").select("id", "text", "next")
+    both = hosts.unionAll(guests).withColumns({"next": F.lead("text").over(order), "next_id": F.lead("id").over(order)})
+    return both.where("not guest").select("id", "text", "next_id", "next")
 
 
 def digests_of(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

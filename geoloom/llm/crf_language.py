@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import mix64
+from ._shared import among, materialize, mix64
 
 HASH_BITS = 17
 LENGTH = 32
 SAMPLE = 600
 SEQUENCES = 4
 EPOCHS = 4
+PARTS = 64
 RATE = 0.3
 UNKNOWN = "und"
 CACHE_WORDS = 120_000
@@ -258,8 +259,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Train on a bounded sample of the rows whose text and language are not null."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), "id")
-    sample = rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= SAMPLE)
+    # ids are ranked without their texts, in parts of a language first
+    rank = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")).alias("rank")
+    ids = rows.select("id", "lang", rank)
+    for keys in ([F.col("lang"), F.col("rank") % PARTS], [F.col("lang")]):
+        order = Window.partitionBy(*keys).orderBy("rank", "id")
+        ids = ids.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= SAMPLE).drop("__at")
+    ids = materialize(ids.select("id", F.col("lang").alias("of_lang")), "language-sample")
+    sample = among(rows, ids.select("id"), "id").join(ids, "id").where(F.col("lang") == F.col("of_lang"))
     got = sample.select("lang", "text").mapInArrow(_stretches, "lang string, words array<string>").collect()
     return train([(r["lang"], list(r["words"])) for r in got])
 

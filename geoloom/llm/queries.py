@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown_lm, byte_bpe, canonical_digest, chat_windows, crf_language, edit_match, hilbert, lsh_forest, page_templates, url_rules
-from ._shared import crc_mod, materialize, table
+from ._shared import among, crc_mod, materialize, table
 
 SHARDS = 16
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -67,6 +67,7 @@ def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(
         marked.select(
             F.col("id").alias("doc_id"),
+            "next_id",
             n.cast("long").alias("n_chars"),
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
             "fingerprint",
@@ -82,8 +83,13 @@ def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = canonical_digest.digests_of(docs, again_of("fingerprint"))
     changed = again_of("edited_fingerprint")
     if not changed.isEmpty():
-        texts = texts.unionAll(canonical_digest.digests_of(pairs, changed, "id", "edited"))
-    clash = canonical_digest.collisions(texts)
+        ends = rows.join(changed, rows["doc_id"].eqNullSafe(changed["id"]), "left_semi").select("doc_id", "next_id")
+        few = among(docs.select("doc_id", "text"), ends.select("doc_id").unionAll(ends.select("next_id")), "doc_id")
+        few = materialize(few, "edited-texts").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        after = few.select(F.col("id").alias("next_id"), F.col("text").alias("next"))
+        made = ends.join(few, ends["doc_id"].eqNullSafe(few["id"])).join(after, "next_id").select(edited.alias("text"))
+        texts = texts.unionAll(canonical_digest.with_digest(made, {"text": "digest"}))
+    clash = canonical_digest.collisions(materialize(texts, "shared-digests"))
     if not clash.isEmpty():  # digests that are not whole: the texts are looked at again
         full = pairs.select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited", "next")
         for column, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next", "next_fingerprint")):
