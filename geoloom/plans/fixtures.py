@@ -13,7 +13,7 @@ def _quarter(expression: str) -> str:
 
 
 TRIP = f"""
-SELECT l_orderkey * 8 + l_linenumber AS tripkey, o_custkey AS custkey, l_shipdate AS pickuptime,
+SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS tripkey, o_custkey AS custkey, l_shipdate AS pickuptime,
   l_quantity AS distance, l_extendedprice AS fare, (l_orderkey * 31 + l_linenumber * 7) % 997 AS tip,
   (l_orderkey * 37 + l_linenumber) % 90 + 1 AS minutes,
   {_quarter("l_orderkey * 7919 + l_linenumber * 631")} AS px, {_quarter("l_partkey * 104729 + l_linenumber * 17")} AS py,
@@ -53,7 +53,8 @@ FROM (SELECT c_custkey AS parcelid, c_mktsegment AS segment, c_acctbal AS balanc
 TWIN = f"""
 SELECT buildingkey, xmin, ymin, xmax, ymax,
   xmin + CAST(buildingkey % 5 - 2 AS DOUBLE) AS bxmin, ymin + CAST(buildingkey % 3 - 1 AS DOUBLE) AS bymin,
-  xmax + CAST(buildingkey % 7 AS DOUBLE) AS bxmax, ymax + CAST(buildingkey % 4 AS DOUBLE) AS bymax
+  greatest(xmin + CAST(buildingkey % 5 - 2 AS DOUBLE) + CAST(1 AS DOUBLE) / CAST(4 AS DOUBLE), xmax + CAST(buildingkey % 7 - 2 AS DOUBLE)) AS bxmax,
+  greatest(ymin + CAST(buildingkey % 3 - 1 AS DOUBLE) + CAST(1 AS DOUBLE) / CAST(4 AS DOUBLE), ymax + CAST(buildingkey % 4 - 1 AS DOUBLE)) AS bymax
 FROM ({BUILDING}) t
 """
 VIEWS = {"trip": TRIP, "zone": ZONE, "building": BUILDING, "site": SITE, "depot": DEPOT, "parcel": PARCEL, "twin": TWIN}
@@ -77,6 +78,8 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b|,\s*{n}\s+[a-z]\b", sql)]
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
     body = sql.strip()
+    if not used:
+        return body
     if body.upper().startswith("WITH "):
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"

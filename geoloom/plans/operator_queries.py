@@ -2,5 +2,334 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions.planar import Box, wkb_box, wkb_point
+from ..operators import joins as J
+from ..operators import layers as L
+from ..operators import tabular as T
+from .fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def against(sql: str | None) -> Callable:
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = with_views(sql)
+        return function
+
+    return add
+
+
+def _boxes(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return view(spark, d, name).withColumn("geometry", wkb_box(Box.of()))
+
+
+def _points(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return view(spark, d, name).withColumn("geometry", wkb_point("x", "y"))
+
+
+def _r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+# ------------------------------------------------------------------ measures and properties
+
+
+@against("""SELECT buildingkey, (xmax - xmin) * (ymax - ymin) AS area, 2 * ((xmax - xmin) + (ymax - ymin)) AS length, xmin AS minx, ymin AS miny, xmax AS maxx, ymax AS maxy,
+  5 AS n_coordinates, 1 AS n_geometries, 0 AS n_holes, 'Polygon' AS geom_type, true AS is_valid, false AS is_empty, true AS is_simple, 'Valid Geometry' AS reason,
+  true AS ring_ccw, true AS ring_closed, true AS ring_is_ring, false AS has_z, least(xmax - xmin, ymax - ymin) AS clearance FROM building""")
+def measures(spark: SparkSession, d: str) -> DataFrame:
+    g, ring = F.col("geometry"), G.exterior("geometry")
+    b = G.bounds(g)
+    return _boxes(spark, d, "building").select(
+        "buildingkey", G.area(g).alias("area"), G.length(g).alias("length"), b["minx"].alias("minx"), b["miny"].alias("miny"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"),
+        G.count_coordinates(g).alias("n_coordinates"), G.count_geometries(g).alias("n_geometries"), G.count_interior_rings(g).alias("n_holes"), G.geom_type(g).alias("geom_type"),
+        G.is_valid(g).alias("is_valid"), G.is_empty(g).alias("is_empty"), G.is_simple(g).alias("is_simple"), G.is_valid_reason(g).alias("reason"), G.is_ccw(ring).alias("ring_ccw"),
+        G.is_closed(ring).alias("ring_closed"), G.is_ring(ring).alias("ring_is_ring"), G.has_z(g).alias("has_z"), G.minimum_clearance(g).alias("clearance"),
+    )
+
+
+@against("""SELECT siteid, x, y, false AS has_m, 'Point' AS geom_type, 0.0 AS area, 0.0 AS length, x + 1.5 AS moved_x, y - 2.0 AS moved_y, -y AS turned_x, x AS turned_y, 2 * x AS scaled_x, 3 * y AS scaled_y FROM site""")
+def points(spark: SparkSession, d: str) -> DataFrame:
+    g = F.col("geometry")
+    moved, turned, scaled = G.translate(g, 1.5, -2.0), G.affine_transform(g, [0, -1, 1, 0, 0, 0]), G.scale(g, 2, 3, origin=(0.0, 0.0))
+    return _points(spark, d, "site").select(
+        "siteid", G.x(g).alias("x"), G.y(g).alias("y"), G.has_m(g).alias("has_m"), G.geom_type(g).alias("geom_type"), G.area(g).alias("area"), G.length(g).alias("length"),
+        G.x(moved).alias("moved_x"), G.y(moved).alias("moved_y"), G.x(turned).alias("turned_x"), G.y(turned).alias("turned_y"), G.x(scaled).alias("scaled_x"), G.y(scaled).alias("scaled_y"),
+    )
+
+
+_TWINS = """twin_flags AS (SELECT *, xmin <= bxmax AND bxmin <= xmax AND ymin <= bymax AND bymin <= ymax AS hit,
+  xmin < bxmax AND bxmin < xmax AND ymin < bymax AND bymin < ymax AS inner_hit,
+  xmin <= bxmin AND ymin <= bymin AND xmax >= bxmax AND ymax >= bymax AS a_has_b, bxmin <= xmin AND bymin <= ymin AND bxmax >= xmax AND bymax >= ymax AS b_has_a,
+  xmin < bxmin AND ymin < bymin AND xmax > bxmax AND ymax > bymax AS a_deep_b,
+  greatest(least(xmax, bxmax) - greatest(xmin, bxmin), 0) * greatest(least(ymax, bymax) - greatest(ymin, bymin), 0) AS common,
+  (xmax - xmin) * (ymax - ymin) AS area_a, (bxmax - bxmin) * (bymax - bymin) AS area_b,
+  sqrt(power(greatest(bxmin - xmax, 0, xmin - bxmax), 2) + power(greatest(bymin - ymax, 0, ymin - bymax), 2)) AS gap FROM twin)"""
+
+
+def _twins(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "twin").select("buildingkey", wkb_box(Box.of()).alias("a"), wkb_box(Box.of("b")).alias("b"))
+
+
+@against(f"""WITH {_TWINS} SELECT buildingkey, hit AS intersects, NOT hit AS disjoint, a_has_b AS contains, a_deep_b AS contains_properly, b_has_a AS within, a_has_b AS covers, b_has_a AS covered_by,
+  inner_hit AND NOT a_has_b AND NOT b_has_a AS overlaps, false AS crosses, hit AND NOT inner_hit AS touches, gap <= 1.0 AS dwithin, a_has_b AND b_has_a AS equals, a_has_b AND b_has_a AS equals_exact,
+  a_has_b AND b_has_a AS identical, inner_hit AS interiors_meet FROM twin_flags""")
+def predicates(spark: SparkSession, d: str) -> DataFrame:
+    return _twins(spark, d).select(
+        "buildingkey", *(getattr(G, p)("a", "b").alias(p) for p in ("intersects", "disjoint", "contains", "contains_properly", "within", "covers", "covered_by", "overlaps", "crosses", "touches")),
+        G.dwithin("a", "b", 1.0).alias("dwithin"), G.geom_equals("a", "b").alias("equals"), G.geom_equals_exact("a", "b", 1e-9).alias("equals_exact"),
+        G.geom_equals_identical("a", "b").alias("identical"), G.relate_pattern("a", "b", "T********").alias("interiors_meet"),
+    )
+
+
+@against(f"""WITH {_TWINS} SELECT buildingkey, round(gap, 6) AS distance, round(gap, 6) AS shortest_line, common AS intersection, area_a + area_b - common AS union_area,
+  area_a - common AS difference, area_a + area_b - 2 * common AS symmetric_difference FROM twin_flags""")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    area = lambda op: G.area(getattr(G, op)("a", "b"))
+    return _twins(spark, d).select(
+        "buildingkey", _r(G.distance("a", "b")).alias("distance"), _r(G.length(G.shortest_line("a", "b"))).alias("shortest_line"), area("intersection").alias("intersection"),
+        area("union").alias("union_area"), area("difference").alias("difference"), area("symmetric_difference").alias("symmetric_difference"),
+    )
+
+
+@against("""WITH b AS (SELECT buildingkey, xmin, ymin, xmax, ymax, xmax - xmin AS w, ymax - ymin AS h FROM building)
+SELECT buildingkey, (w + 4) * (h + 4) AS mitred, 2 * (w + h) AS boundary, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, true AS inside, w * h AS hull, w * h AS envelope, round(w * h, 6) AS rotated,
+  round(sqrt(w * w + h * h) / 2, 6) AS radius, 4 AS unique_points, w * h AS simplified, w * h AS normalized, false AS reversed_ccw, true AS oriented_ccw, w * h AS valid_area,
+  CAST(2 * ceil(w / 2.0) + 2 * ceil(h / 2.0) + 1 AS BIGINT) AS dense_points, w * h AS triangles, h * w AS turned, 4 * w * h AS scaled, w * h AS skewed, w + h AS half_way, 0 AS n_interiors, 5 AS n_vertices,
+  xmin * 2 + xmax * 2 + xmin AS sum_x FROM b""")
+def constructions(spark: SparkSession, d: str) -> DataFrame:
+    g, ring = F.col("geometry"), G.exterior("geometry")
+    area = G.area
+    triangles = F.aggregate(F.transform(G.constrained_delaunay_triangles(g), lambda t: area(t)), F.lit(0.0), lambda s, v: s + v)
+    mid = G.project(ring, G.interpolate(ring, 0.5, normalized=True))
+    return _boxes(spark, d, "building").select(
+        "buildingkey", _r(area(G.buffer(g, 2.0, join_style="mitre"))).alias("mitred"), G.length(G.boundary(g)).alias("boundary"), G.x(G.centroid(g)).alias("cx"), G.y(G.centroid(g)).alias("cy"),
+        G.within(G.representative_point(g), g).alias("inside"), area(G.convex_hull(g)).alias("hull"), area(G.envelope(g)).alias("envelope"), _r(area(G.minimum_rotated_rectangle(g))).alias("rotated"),
+        _r(G.minimum_bounding_radius(g)).alias("radius"), G.count_geometries(G.extract_unique_points(g)).alias("unique_points"), area(G.simplify(g, 0.1)).alias("simplified"), area(G.normalize(g)).alias("normalized"),
+        G.is_ccw(G.exterior(G.reverse(g))).alias("reversed_ccw"), G.is_ccw(G.exterior(G.orient_polygons(g))).alias("oriented_ccw"), area(G.make_valid(g)).alias("valid_area"),
+        G.count_coordinates(G.segmentize(g, 2.0)).alias("dense_points"), triangles.alias("triangles"), _r(area(G.rotate(g, 90))).alias("turned"), area(G.scale(g, 2, 2)).alias("scaled"), _r(area(G.skew(g, 30))).alias("skewed"),
+        mid.alias("half_way"), F.size(G.interiors(g)).alias("n_interiors"), F.size(G.coordinates(g)).alias("n_vertices"),
+        F.aggregate(G.coordinates(g), F.lit(0.0), lambda s, c: s + c["x"]).alias("sum_x"),
+    )
+
+
+@against("SELECT siteid, round(32 * power(1 + siteid % 9, 2) * sin(pi() / 32), 6) AS round_area, round(2 * 32 * (1 + siteid % 9) * sin(pi() / 64) * 2 / 2, 6) AS half_perimeter FROM site")
+def point_buffers(spark: SparkSession, d: str) -> DataFrame:
+    made = G.buffer("geometry", (1 + F.col("siteid") % 9).cast("double"))
+    rows = _points(spark, d, "site").withColumn("made", made)
+    return rows.select("siteid", _r(G.area("made")).alias("round_area"), _r(G.length("made") / 2).alias("half_perimeter"))
+
+
+@against("""SELECT siteid, round(6378137.0 * radians(x / 10), 4) AS mx, round(6378137.0 * ln(tan(pi() / 4 + radians(y / 20) / 2)), 4) AS my, round(x / 10, 6) AS lon, round(y / 20, 6) AS lat FROM site""")
+def mercator(spark: SparkSession, d: str) -> DataFrame:
+    g = wkb_point(F.col("x") / 10, F.col("y") / 20)
+    rows = view(spark, d, "site").select("siteid", g.alias("g")).withColumn("m", G.to_crs("g", 4326, 3857)).withColumn("back", G.to_crs("m", 3857, 4326))
+    return rows.select("siteid", _r(G.x("m"), 4).alias("mx"), _r(G.y("m"), 4).alias("my"), _r(G.x("back")).alias("lon"), _r(G.y("back")).alias("lat"))
+
+
+@against("SELECT siteid, round(x / 200, 7) AS lon, round(y / 20, 7) AS lat FROM site")
+def utm_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    g = wkb_point(F.col("x") / 200, F.col("y") / 20)
+    rows = view(spark, d, "site").select("siteid", G.to_crs(G.to_crs(g, 4326, 32631), 32631, 4326).alias("back"))
+    return rows.select("siteid", _r(G.x("back"), 7).alias("lon"), _r(G.y("back"), 7).alias("lat"))
+
+
+@against("""SELECT siteid, 'POINT (' || CAST(CAST(x * 4 AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y * 4 AS BIGINT) AS VARCHAR) || ')' AS wkt, x * 4 AS x_back, true AS same FROM site""")
+def text_forms(spark: SparkSession, d: str) -> DataFrame:
+    g = wkb_point(F.col("x") * 4, F.col("y") * 4)
+    rows = view(spark, d, "site").select("siteid", g.alias("g"))
+    return rows.select("siteid", G.to_wkt("g").alias("wkt"), G.x(G.from_hex(G.to_wkb("g", hex=True))).alias("x_back"), (G.from_wkt(G.to_wkt("g")) == F.col("g")).alias("same"))
+
+
+# ------------------------------------------------------------------ joins
+
+
+_IN_ZONE = "x > xmin AND x < xmax AND y > ymin AND y < ymax"
+
+
+def _sites(spark: SparkSession, d: str) -> J.Side:
+    return J.point_side(view(spark, d, "site"), "siteid", "x", "y")
+
+
+def _zones(spark: SparkSession, d: str) -> J.Side:
+    return J.box_side(view(spark, d, "zone"), "zonekey")
+
+
+@against(f"SELECT siteid, segment, zonekey, name FROM site LEFT JOIN zone ON {_IN_ZONE}")
+def sjoin_left(spark: SparkSession, d: str) -> DataFrame:
+    return J.sjoin(_sites(spark, d), _zones(spark, d), "left", "within").select("siteid", "segment", "zonekey", "name")
+
+
+@against(f"SELECT siteid, zonekey, name FROM site FULL JOIN zone ON {_IN_ZONE}")
+def sjoin_outer(spark: SparkSession, d: str) -> DataFrame:
+    return J.sjoin(_sites(spark, d), _zones(spark, d), "outer", "within").select("siteid", "zonekey", "name")
+
+
+@against("SELECT siteid, zonekey FROM site JOIN zone ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax")
+def sjoin_geometries(spark: SparkSession, d: str) -> DataFrame:
+    left, right = J.geometry_side(_points(spark, d, "site"), "siteid"), J.geometry_side(_boxes(spark, d, "zone"), "zonekey")
+    return J.sjoin(left, right, "inner", "intersects").select("siteid", "zonekey")
+
+
+@against(f"SELECT siteid FROM site WHERE EXISTS (SELECT 1 FROM zone WHERE {_IN_ZONE})")
+def semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return J.left_semi(_sites(spark, d), _zones(spark, d), "within").select("siteid")
+
+
+@against(f"SELECT siteid FROM site WHERE NOT EXISTS (SELECT 1 FROM zone WHERE {_IN_ZONE})")
+def anti_join(spark: SparkSession, d: str) -> DataFrame:
+    return J.left_anti(_sites(spark, d), _zones(spark, d), "within").select("siteid")
+
+
+@against(f"SELECT zonekey, EXISTS (SELECT 1 FROM site WHERE {_IN_ZONE}) AS has_site FROM zone")
+def right_semi_anti(spark: SparkSession, d: str) -> DataFrame:
+    some = J.right_semi(_sites(spark, d), _zones(spark, d), "within").select("zonekey", F.lit(True).alias("has_site"))
+    return some.unionAll(J.right_anti(_sites(spark, d), _zones(spark, d), "within").select("zonekey", F.lit(False).alias("has_site")))
+
+
+@against(f"SELECT zonekey, count(siteid) AS n_sites, coalesce(round(sum(balance), 2), 0) AS balance, round(max(balance), 2) AS highest FROM zone LEFT JOIN site ON {_IN_ZONE} GROUP BY zonekey")
+def query_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    zones, sites = J.geometry_side(_boxes(spark, d, "zone"), "zonekey"), J.geometry_side(_points(spark, d, "site"), "siteid")
+    found = J.query_aggregate(zones, sites, {"n_sites": ("*", "size"), "balance": ("balance", "sum"), "highest": ("balance", "max")}, "contains")
+    return found.select(F.col("left_id").alias("zonekey"), "n_sites", F.round("balance", 2).alias("balance"), F.round("highest", 2).alias("highest"))
+
+
+@against("""WITH near AS (SELECT siteid, depotid, sqrt((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y)) AS distance FROM site s, depot t),
+best AS (SELECT siteid, min(distance) AS least FROM near GROUP BY siteid) SELECT siteid, depotid, round(distance, 6) AS distance FROM near JOIN best USING (siteid) WHERE distance = least""")
+def sjoin_nearest(spark: SparkSession, d: str) -> DataFrame:
+    found = J.sjoin_nearest(_sites(spark, d), J.point_side(view(spark, d, "depot"), "depotid", "x", "y"), distance_col="distance")
+    return found.select(F.col("left_id").alias("siteid"), F.col("right_id").alias("depotid"), _r(F.col("distance")).alias("distance"))
+
+
+@against("""SELECT siteid, count(*) AS n, round(min(distance), 6) AS least FROM (SELECT siteid, sqrt((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y)) AS distance FROM site s, depot t) WHERE distance <= 40 GROUP BY siteid""")
+def relation_reduced(spark: SparkSession, d: str) -> DataFrame:
+    found = J.pairs(_sites(spark, d), J.point_side(view(spark, d, "depot"), "depotid", "x", "y"), "dwithin", 40.0)
+    return found.groupBy(F.col("left_id").alias("siteid")).agg(F.count(F.lit(1)).alias("n"), _r(F.min("distance")).alias("least"))
+
+
+@against("SELECT a.buildingkey AS left_id, b.buildingkey AS right_id FROM building a JOIN building b ON a.buildingkey < b.buildingkey AND a.name = b.name AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax")
+def on_attribute(spark: SparkSession, d: str) -> DataFrame:
+    side = J.box_side(view(spark, d, "building"), "buildingkey", keys=("name",))
+    return J.pairs(side, side).where("left_id < right_id")
+
+
+# ------------------------------------------------------------------ layers
+
+
+@against("SELECT segment, 100.0 * count(*) AS area, count(*) AS n, round(sum(balance), 2) AS balance_sum, min(parcelid) AS first_parcel FROM parcel GROUP BY segment")
+def dissolve(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d, "parcel").select("segment", "parcelid", "balance", "geometry")
+    out = L.dissolve(rows, "segment", {"balance": ["sum", "size"], "parcelid": "first"}, order="parcelid")
+    return out.select("segment", G.area("geometry").alias("area"), F.col("balance_size").alias("n"), F.round("balance_sum", 2).alias("balance_sum"), F.col("parcelid").alias("first_parcel"))
+
+
+@against("SELECT 100.0 * count(*) AS area, min(xmin) AS minx, min(ymin) AS miny, max(xmax) AS maxx, max(ymax) AS maxy FROM parcel")
+def union_and_bounds(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d, "parcel")
+    return L.union_all(rows).select(G.area("geometry").alias("area")).join(L.total_bounds(rows), how="cross")
+
+
+_OVERLAP = "greatest(least(z.xmax, p.xmax) - greatest(z.xmin, p.xmin), 0) * greatest(least(z.ymax, p.ymax) - greatest(z.ymin, p.ymin), 0)"
+_OVER = f"overlapping AS (SELECT zonekey, parcelid, {_OVERLAP} AS area FROM zone z JOIN parcel p ON z.xmin < p.xmax AND p.xmin < z.xmax AND z.ymin < p.ymax AND p.ymin < z.ymax)"
+
+
+def _layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _boxes(spark, d, "zone").select("zonekey", "geometry"), _boxes(spark, d, "parcel").select("parcelid", "geometry")
+
+
+@against(f"WITH {_OVER} SELECT zonekey, parcelid, area FROM overlapping")
+def overlay_intersection(spark: SparkSession, d: str) -> DataFrame:
+    return L.overlay(*_layers(spark, d), "intersection", "zonekey", "parcelid").select("zonekey", "parcelid", G.area("geometry").alias("area"))
+
+
+@against(f"""WITH {_OVER} SELECT zonekey, (xmax - xmin) * (ymax - ymin) - coalesce(taken, 0) AS area FROM zone LEFT JOIN (SELECT zonekey, sum(area) AS taken FROM overlapping GROUP BY zonekey) USING (zonekey)
+WHERE (xmax - xmin) * (ymax - ymin) > coalesce(taken, 0)""")
+def overlay_difference(spark: SparkSession, d: str) -> DataFrame:
+    return L.overlay(*_layers(spark, d), "difference", "zonekey", "parcelid").select("zonekey", _r(G.area("geometry")).alias("area"))
+
+
+@against(f"""WITH {_OVER} SELECT zonekey, parcelid, area FROM overlapping UNION ALL
+SELECT zonekey, NULL, (xmax - xmin) * (ymax - ymin) - coalesce(taken, 0) FROM zone LEFT JOIN (SELECT zonekey, sum(area) AS taken FROM overlapping GROUP BY zonekey) USING (zonekey) WHERE (xmax - xmin) * (ymax - ymin) > coalesce(taken, 0)""")
+def overlay_identity(spark: SparkSession, d: str) -> DataFrame:
+    return L.overlay(*_layers(spark, d), "identity", "zonekey", "parcelid").select("zonekey", "parcelid", _r(G.area("geometry")).alias("area"))
+
+
+@against("""SELECT buildingkey, (least(xmax, 500) - greatest(xmin, 100)) * (least(ymax, 600) - greatest(ymin, 200)) AS area FROM building
+WHERE xmin <= 500 AND xmax >= 100 AND ymin <= 600 AND ymax >= 200 AND least(xmax, 500) > greatest(xmin, 100) AND least(ymax, 600) > greatest(ymin, 200)""")
+def clip(spark: SparkSession, d: str) -> DataFrame:
+    return L.clip(_boxes(spark, d, "building"), (100.0, 200.0, 500.0, 600.0), keep_geom_type=True).select("buildingkey", G.area("geometry").alias("area"))
+
+
+@against("SELECT segment, count(*) AS parts, 100.0 * count(*) AS area FROM parcel GROUP BY segment")
+def explode(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d, "parcel").groupBy("segment").agg(G.gathered("collect", F.collect_list("geometry")).alias("geometry"))
+    return L.explode(rows, index_parts=True).groupBy("segment").agg(F.count(F.lit(1)).alias("parts"), F.sum(G.area("geometry")).alias("area"))
+
+
+@against("SELECT count(DISTINCT (x, y)) AS cells FROM depot")
+def voronoi(spark: SparkSession, d: str) -> DataFrame:
+    return L.voronoi_polygons(_points(spark, d, "depot")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+@against("SELECT true AS valid")
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return L.is_valid_coverage(_boxes(spark, d, "parcel").withColumnRenamed("parcelid", "id"))
+
+
+@against(None)
+def hilbert_order(spark: SparkSession, d: str) -> DataFrame:
+    return L.hilbert_distance(_points(spark, d, "site")).select("siteid", "hilbert")
+
+
+# ------------------------------------------------------------------ tabular
+
+
+@against("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def drop_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return T.drop_duplicates(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@against("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def nlargest(spark: SparkSession, d: str) -> DataFrame:
+    return T.nlargest(spark.read.parquet(f"{d}/orders.parquet"), 50, ["o_totalprice"], order=["o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+@against("SELECT CAST(code AS BIGINT) AS code, count(p_partkey) AS count FROM range(60) r(code) LEFT JOIN part ON p_size = code GROUP BY 1")
+def dense_count(spark: SparkSession, d: str) -> DataFrame:
+    return T.dense_count(spark.read.parquet(f"{d}/part.parquet"), "p_size", 60)
+
+
+@against("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer")
+def positions(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.positions(spark.read.parquet(f"{d}/customer.parquet"), ["c_acctbal", "c_custkey"])
+    return rows.select("c_custkey", F.col("_row").alias("position"))
+
+
+@against("SELECT o_custkey, o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o_totalprice FROM orders")
+def shift(spark: SparkSession, d: str) -> DataFrame:
+    return T.shift(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", 1, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@against("""SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS kept, CASE WHEN o_totalprice > 100000 THEN NULL ELSE o_totalprice END AS masked,
+  year(o_orderdate) AS year, month(o_orderdate) AS month FROM orders""")
+def where_and_mask(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("kept"), F.col("o_totalprice").alias("masked"))
+    large = F.col("kept") > 100000
+    rows = rows.withColumn("masked", F.when(large, F.lit(None)).otherwise(F.col("masked")))
+    rows = T.where(rows, large, ["kept"])
+    return rows.select("o_orderkey", "kept", "masked", T.datetime_component(rows, "o_orderdate", "year").alias("year"), T.datetime_component(rows, "o_orderdate", "month").alias("month"))
+
+
+@against("SELECT p_brand, count(*) AS count FROM part GROUP BY p_brand")
+def value_counts(spark: SparkSession, d: str) -> DataFrame:
+    return T.value_counts(spark.read.parquet(f"{d}/part.parquet"), "p_brand")
