@@ -13,7 +13,7 @@ def _quarter(expression: str) -> str:
 
 
 TRIP = f"""
-SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS tripkey, o_custkey AS custkey, l_shipdate AS pickuptime,
+SELECT (((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS tripkey, o_custkey AS custkey, l_shipdate AS pickuptime,
   l_quantity AS distance, l_extendedprice AS fare, (l_orderkey * 31 + l_linenumber * 7) % 997 AS tip,
   (l_orderkey * 37 + l_linenumber) % 90 + 1 AS minutes,
   {_quarter("l_orderkey * 7919 + l_linenumber * 631")} AS px, {_quarter("l_partkey * 104729 + l_linenumber * 17")} AS py,

@@ -26,8 +26,6 @@ FORMATS = {
     "geojsonl": "geojsonseq", "geojsons": "geojsonseq", "csv": "csv", "wkt": "wkt", "kml": "kml", "gpx": "gpx", "shp": "shapefile",
 }
 
-_JSON_GEOMETRY = "struct<type: string, coordinates: string, geometries: string>"
-
 
 def read_file(
     spark: SparkSession,
@@ -148,8 +146,8 @@ def to_arrow(df: DataFrame):
     return df.toArrow()
 
 
-def _geojson_schema(properties: str | None) -> str:
-    return f"type string, id string, properties {properties or 'map<string, string>'}, geometry {_JSON_GEOMETRY}"
+def _properties(ddl: str | None) -> str:
+    return f"struct<{ddl}>" if ddl else "map<string, string>"
 
 
 def geojson_geometry(column: Column) -> Column:
@@ -186,7 +184,7 @@ def wkb_of(g: dict | None) -> bytes | None:
 def read_geojson(spark: SparkSession, path: str, properties: str | None = None) -> DataFrame:
     """A FeatureCollection (a document for each file) to a row for each feature; ``properties`` is
     their DDL, by default a map of text."""
-    feature = f"struct<type: string, id: string, properties: {properties or 'map<string, string>'}, geometry: string>"
+    feature = f"struct<type: string, id: string, properties: {_properties(properties)}, geometry: string>"
     files = spark.read.text(path, wholetext=True)
     parsed = files.select(F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
     rows = parsed.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), from_geojson(F.col("f.geometry")).alias("geometry"))
@@ -195,7 +193,7 @@ def read_geojson(spark: SparkSession, path: str, properties: str | None = None)
 
 def read_geojsonseq(spark: SparkSession, path: str, properties: str | None = None) -> DataFrame:
     """A feature on each line."""
-    feature = f"struct<type: string, id: string, properties: {properties or 'map<string, string>'}, geometry: string>"
+    feature = f"struct<type: string, id: string, properties: {_properties(properties)}, geometry: string>"
     rows = spark.read.text(path).select(F.from_json(F.ltrim(F.lit("\x1e"), F.col("value")), feature).alias("f")).where("f is not null")
     rows = rows.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), from_geojson(F.col("f.geometry")).alias("geometry"))
     return rows.select("id", "properties.*", "geometry") if properties else rows
