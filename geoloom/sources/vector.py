@@ -194,7 +194,7 @@ def read_geojson(spark: SparkSession, path: str, properties: str | None = None)
 def read_geojsonseq(spark: SparkSession, path: str, properties: str | None = None) -> DataFrame:
     """A feature on each line."""
     feature = f"struct<type: string, id: string, properties: {_properties(properties)}, geometry: string>"
-    rows = spark.read.text(path).select(F.from_json(F.ltrim(F.lit("\x1e"), F.col("value")), feature).alias("f")).where("f is not null")
+    rows = spark.read.text(path).select(F.from_json(F.ltrim("value", F.lit("\x1e")), feature).alias("f")).where("f is not null")
     rows = rows.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), from_geojson(F.col("f.geometry")).alias("geometry"))
     return rows.select("id", "properties.*", "geometry") if properties else rows
 
