@@ -79,6 +79,16 @@ def geom_type(g: ColumnOrName) -> Column:
     return call("Text", F.lit("type"), _c(g))
 
 
+def settled(c: ColumnOrName) -> Column:
+    """``c`` as it is, computed once: filters above are not pushed below it with a copy of ``c``.
+
+    Filters that are pushed through projections repeat the projected expression, so a chain of
+    operators on a geometry would grow without bound. Catalyst does not move filters past an
+    expression that it holds to be non-deterministic, as the number of a partition is.
+    """
+    return F.when(F.spark_partition_id() >= 0, F.col(c) if isinstance(c, str) else c)
+
+
 def bounds(g: ColumnOrName) -> Column:
     """struct<minx, miny, maxx, maxy>; NaN for an empty geometry."""
     return F.struct(*(_number(side, g).alias(side) for side in ("minx", "miny", "maxx", "maxy")))

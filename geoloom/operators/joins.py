@@ -60,7 +60,7 @@ def box_side(df: DataFrame, id: str, prefix: str = "", keys: tuple[str, ...] = (
 
 def geometry_side(df: DataFrame, id: str, geometry: str = "geometry", keys: tuple[str, ...] = ()) -> Side:
     """Boxes are taken from the geometry, once."""
-    return Side(df.withColumn("__box", G.bounds(geometry)), id, Box.of_struct("__box"), geometry, keys)
+    return Side(df.withColumn("__box", G.settled(G.bounds(geometry))), id, Box.of_struct("__box"), geometry, keys)
 
 
 def cell_size(*sides: Side, grown: float = 0.0) -> float:

@@ -152,12 +152,26 @@ def hilbert_distance(df: DataFrame, geometry: str = "geometry", level: int = 16,
 # ------------------------------------------------------------------ clip and overlay
 
 
-def clip(df: DataFrame, mask: Column | tuple[float, float, float, float] | DataFrame, geometry: str = "geometry", keep_geom_type: bool = False) -> DataFrame:
+def clip(
+    df: DataFrame,
+    mask: Column | tuple[float, float, float, float] | DataFrame,
+    geometry: str = "geometry",
+    keep_geom_type: bool = False,
+    id: str | None = None,
+) -> DataFrame:
     """The rows' parts inside a mask; rows without any are dropped.
 
-    A tuple is a rectangle, a DataFrame is united to one geometry first, a column is a geometry.
+    A tuple is a rectangle, a column is a geometry. A DataFrame masks by the union of its
+    geometries: with ``id``, the id column of ``df``, only the pieces that touch a row are united
+    for it, by a cell join, and no union of the whole mask is made; without, all are united first.
     Rows are tested by predicate first, and those that the mask covers stay as they are.
     """
+    if isinstance(mask, DataFrame) and id:
+        pieces = mask.where(F.col(geometry).isNotNull()).select(F.md5(geometry).alias("__piece"), F.col(geometry).alias("__mask")).dropDuplicates(["__piece"])
+        found = pairs(geometry_side(df, id, geometry), geometry_side(pieces, "__piece", "__mask"), "intersects")
+        touched = found.join(pieces, F.col("right_id") == F.col("__piece")).select(F.col("left_id").alias("__id"), "__mask")
+        masked = df.join(union_by(touched, ["__id"], "__mask"), F.col(id) == F.col("__id")).drop("__id")
+        return clip(masked, F.col("__mask"), geometry, keep_geom_type).drop("__mask")
     if isinstance(mask, tuple):
         from ..functions.planar import literal_box
 
@@ -172,12 +186,12 @@ def clip(df: DataFrame, mask: Column | tuple[float, float, float, float] | DataF
     if keep_geom_type:
         kind = G.geom_type(geometry)
         cut = F.when(kind.endswith("Polygon"), G.collection_extract(cut, 2)).when(kind.endswith("LineString"), G.collection_extract(cut, 1)).otherwise(cut)
-    return rows.withColumn(geometry, cut).where(~G.is_empty(geometry))
+    return rows.withColumn(geometry, G.settled(cut)).where(~G.is_empty(geometry))
 
 
 def _prepared(df: DataFrame, geometry: str, make_valid: bool) -> DataFrame:
     if make_valid:
-        return df.withColumn(geometry, F.when(G.is_valid(geometry), F.col(geometry)).otherwise(G.make_valid(geometry)))
+        return df.withColumn(geometry, G.settled(F.when(G.is_valid(geometry), F.col(geometry)).otherwise(G.make_valid(geometry))))
     if not df.where(F.col(geometry).isNotNull() & ~G.is_valid(geometry)).isEmpty():
         raise ValueError("invalid input geometries")
     return df
@@ -220,6 +234,7 @@ def overlay(
     def kept(rows: DataFrame) -> DataFrame:
         if keep_geom_type and dimension is not None:
             rows = rows.withColumn(geometry, G.collection_extract(geometry, dimension))
+        rows = rows.withColumn(geometry, G.settled(geometry))
         return rows.where(F.col(geometry).isNotNull() & ~G.is_empty(geometry))
 
     def common() -> DataFrame:

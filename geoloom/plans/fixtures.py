@@ -42,12 +42,22 @@ SELECT s_suppkey AS depotid, s_nationkey AS nationkey,
   {_quarter("s_suppkey * s_suppkey * 37 + s_suppkey * 4513")} AS x, {_quarter("s_suppkey * s_suppkey * 53 + s_suppkey * 1009")} AS y
 FROM supplier
 """
-#: Parcels tile a strip without overlap.
+#: Parcels tile a strip without overlap, a hundred to a row.
 PARCEL = """
 SELECT parcelid, segment, balance, xmin, ymin, xmin + CAST(10 AS DOUBLE) AS xmax, ymin + CAST(10 AS DOUBLE) AS ymax
 FROM (SELECT c_custkey AS parcelid, c_mktsegment AS segment, c_acctbal AS balance,
-  CAST((c_custkey % 100) * 10 AS DOUBLE) AS xmin, CAST(((c_custkey - c_custkey % 100) % 10000) / 10 AS DOUBLE) AS ymin
-  FROM customer WHERE c_custkey < 10000) p
+  CAST((c_custkey % 100) * 10 AS DOUBLE) AS xmin, CAST((c_custkey - c_custkey % 100) / 10 AS DOUBLE) AS ymin
+  FROM customer) p
+"""
+#: Rectangles without overlap, thirty-two to a row: flood zones and protected places.
+PATCH = """
+SELECT patchid, xmin, ymin, xmin + CAST(8 + patchid % 17 AS DOUBLE) AS xmax, ymin + CAST(7 + patchid % 19 AS DOUBLE) AS ymax
+FROM (SELECT s_suppkey AS patchid, CAST((s_suppkey % 32) * 31 + s_suppkey % 5 AS DOUBLE) AS xmin,
+  CAST((s_suppkey - s_suppkey % 32) / 32 * 31 + s_suppkey % 4 AS DOUBLE) AS ymin FROM supplier) q
+"""
+#: Level roads, forty apart.
+ROAD = """
+SELECT n_nationkey AS roadid, CAST((n_nationkey % 3) * 50 AS DOUBLE) AS x0, CAST(1000 - (n_nationkey % 4) * 50 AS DOUBLE) AS x1, CAST(n_nationkey * 40 + 20 AS DOUBLE) AS y FROM nation
 """
 #: A building and itself moved, stretched or shrunk by its key: rectangles in all relations.
 TWIN = f"""
@@ -57,10 +67,11 @@ SELECT buildingkey, xmin, ymin, xmax, ymax,
   greatest(ymin + CAST(buildingkey % 3 - 1 AS DOUBLE) + CAST(1 AS DOUBLE) / CAST(4 AS DOUBLE), ymax + CAST(buildingkey % 4 - 1 AS DOUBLE)) AS bymax
 FROM ({BUILDING}) t
 """
-VIEWS = {"trip": TRIP, "zone": ZONE, "building": BUILDING, "site": SITE, "depot": DEPOT, "parcel": PARCEL, "twin": TWIN}
+VIEWS = {"trip": TRIP, "zone": ZONE, "building": BUILDING, "site": SITE, "depot": DEPOT, "parcel": PARCEL, "twin": TWIN, "patch": PATCH, "road": ROAD}
 _TABLES = {
     "trip": ("lineitem", "orders"), "zone": ("nation",), "building": ("part",), "site": ("customer",),
     "depot": ("supplier",), "parcel": ("customer",), "twin": ("part",),
+    "patch": ("supplier",), "road": ("nation",),
 }
 
 
