@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.planar import Box, literal_box, wkb_point
+from .geopackage import read_geopackage
+from .osm import read_osm_pbf
 
 #: Column names that hold coordinates or geometry in CSV files.
 LATITUDE = ("lat", "latitude", "y")
@@ -24,6 +26,7 @@ GEOMETRY = ("geometry", "geom", "wkt", "the_geom", "shape", "wkb")
 FORMATS = {
     "parquet": "geoparquet", "geoparquet": "geoparquet", "feather": "feather", "arrow": "feather", "geojson": "geojson", "json": "geojson",
     "geojsonl": "geojsonseq", "geojsons": "geojsonseq", "csv": "csv", "wkt": "wkt", "kml": "kml", "gpx": "gpx", "shp": "shapefile",
+    "gpkg": "geopackage", "pbf": "osm",
 }
 
 
@@ -48,7 +51,7 @@ def read_file(
     else:
         df = {
             "feather": read_feather, "geojson": read_geojson, "geojsonseq": read_geojsonseq, "csv": read_csv, "wkt": read_wkt,
-            "kml": read_kml, "gpx": read_gpx, "shapefile": read_shapefile,
+            "kml": read_kml, "gpx": read_gpx, "shapefile": read_shapefile, "geopackage": read_geopackage, "osm": read_osm_pbf,
         }[kind](spark, path, **options)
     if bbox is not None:
         df = df.where(G.intersects("geometry", literal_box(*bbox)))
