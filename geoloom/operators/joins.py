@@ -9,7 +9,11 @@ sides are shuffled by cell and skewed cells are split.
 
 The cell size follows the wider side's median box, and no box is dealt to more than
 ``MAX_CELLS`` cells: larger ones are dealt on a coarser grid of their own, level by level
-(each level's cells are ``LEVEL`` times as wide), and each side is joined level by level.
+(each level's cells are ``LEVEL`` times as wide). A row climbs only to levels on which the other
+side has boxes of its own, and there it meets only those.
+
+Before a join one job takes both sides' counts, median and greatest widths and bounds; all that
+follows is planned from these few numbers.
 
 Frames have an id column and a ``bbox`` struct<minx, miny, maxx, maxy>; null and empty
 geometries have a null or NaN box and are in no pair. Pairs are (left_id, right_id).
@@ -19,6 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,12 +48,31 @@ class Side:
     geometry: str | None = None
     keys: tuple[str, ...] = field(default=())
 
-    def slim(self, prefix: str) -> DataFrame:
+    def slim(self, prefix: str, more: str | None = None) -> DataFrame:
+        """Id, box, geometry and keys of the rows that have a box, and one more column as ``grown``."""
         box = [c.alias(prefix + n) for c, n in zip((self.box.xmin, self.box.ymin, self.box.xmax, self.box.ymax), ("x0", "y0", "x1", "y1"))]
-        more = [F.col(self.geometry).alias(prefix + "geom")] if self.geometry else []
-        rows = self.df.select(F.col(self.id).alias(prefix + "id"), *box, *more, *(F.col(k).alias(prefix + k) for k in self.keys))
+        geometry = [F.col(self.geometry).alias(prefix + "geom")] if self.geometry else []
+        grown = [F.col(more).cast("double").alias(prefix + "grown")] if more else []
+        rows = self.df.select(F.col(self.id).alias(prefix + "id"), *box, *geometry, *grown, *(F.col(k).alias(prefix + k) for k in self.keys))
         known = F.col(prefix + "x0").isNotNull() & ~F.isnan(prefix + "x0")
-        return rows.where(known)
+        return rows.where(known & F.col(prefix + "grown").isNotNull() if more else known)
+
+
+@dataclass(frozen=True)
+class Extent:
+    """What a join plans by: a side's count of boxes, their median and greatest width, and bounds."""
+
+    count: int
+    median: float = 0.0
+    widest: float = 0.0
+    xmin: float = 0.0
+    ymin: float = 0.0
+    xmax: float = 0.0
+    ymax: float = 0.0
+
+    @property
+    def across(self) -> float:
+        return max(self.xmax - self.xmin, self.ymax - self.ymin)
 
 
 def point_side(df: DataFrame, id: str, x: str, y: str, keys: tuple[str, ...] = ()) -> Side:
@@ -63,23 +88,30 @@ def geometry_side(df: DataFrame, id: str, geometry: str = "geometry", keys: tupl
     return Side(df.withColumn("__box", G.settled(G.bounds(geometry))), id, Box.of_struct("__box"), geometry, keys)
 
 
-def cell_size(*sides: Side, grown: float = 0.0) -> float:
-    """A cell's width: the median side of the boxes of the wider side, or what spreads points.
+def measure(*sides: Side, grown_by: str | None = None) -> list[Extent]:
+    """The extents of sides, in one job; ``grown_by`` names a column of the first that its boxes grow by.
 
-    One aggregation over each side gives its box count, extent and median; nothing is collected
-    but these numbers.
+    Only these numbers reach the driver.
     """
-    found = []
-    for side in sides:
-        rows = side.slim("s_")
+    measured = []
+    for i, side in enumerate(sides):
+        by = grown_by if i == 0 else None
+        rows = side.slim("s_", by)
         width = F.greatest(F.col("s_x1") - F.col("s_x0"), F.col("s_y1") - F.col("s_y0"))
-        extent = F.greatest(F.max("s_x1") - F.min("s_x0"), F.max("s_y1") - F.min("s_y0"))
-        found.append(rows.agg(F.count(F.lit(1)), F.percentile_approx(width, 0.5, 1000), extent).first())
-    known = [r for r in found if r[0]]
+        widest = F.max(width + 2 * F.col("s_grown")) if by else F.max(width)
+        bounds = F.min("s_x0"), F.min("s_y0"), F.max("s_x1"), F.max("s_y1")
+        measured.append(rows.agg(F.lit(i).alias("side"), F.count(F.lit(1)), F.percentile_approx(width, 0.5, 1000), widest, *bounds))
+    found = {r[0]: r[1:] for r in reduce(DataFrame.unionAll, measured).collect()}
+    return [Extent(*found[i]) if found[i][0] else Extent(0) for i in range(len(sides))]
+
+
+def cell_size(*extents: Extent, grown: float = 0.0) -> float:
+    """A cell's width: the median side of the boxes of the wider side, or what spreads points."""
+    known = [e for e in extents if e.count]
     if not known:
         return 1.0
-    spread = max(r[2] for r in known) / max(1.0, max(r[0] for r in known) ** 0.5)
-    return max(max(r[1] for r in known) + 2 * grown, spread, 2 * grown) or 1.0
+    spread = max(e.across for e in known) / max(e.count for e in known) ** 0.5
+    return max(max(e.median for e in known) + 2 * grown, spread, 2 * grown) or 1.0
 
 
 def _levels(rows: DataFrame, p: str, size: float, n_levels: int) -> DataFrame:
@@ -92,47 +124,66 @@ def _levels(rows: DataFrame, p: str, size: float, n_levels: int) -> DataFrame:
     return rows.withColumn(p + "level", level)
 
 
+def _top(widest: float, size: float) -> int:
+    """The level of the widest box; one as wide as three cells touches four of them at most."""
+    level = 0
+    while widest / (size * LEVEL**level) + 1 > MAX_CELLS**0.5:
+        level += 1
+    return level
+
+
 def _cells(rows: DataFrame, p: str, size: Column) -> DataFrame:
     span = lambda lo, hi: F.sequence(F.floor(F.col(p + lo) / size), F.floor(F.col(p + hi) / size))
     return rows.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
 
-def candidates(left: Side, right: Side, size: float | None = None, grown: float = 0.0, grown_by: str | None = None) -> DataFrame:
+def candidates(
+    left: Side,
+    right: Side,
+    size: float | None = None,
+    grown: float = 0.0,
+    grown_by: str | None = None,
+    extents: tuple[Extent, Extent] | None = None,
+) -> DataFrame:
     """Pairs of rows whose boxes touch, the left boxes grown by ``grown`` (or by a left column).
 
     Columns l_id, l_x0.. (as grown), r_id, r_x0.., and l_geom, r_geom where there are geometries.
+    ``extents`` are those of the sides, or of frames that hold them, if they are known already.
     """
-    size = size or cell_size(left, right, grown=grown)
-    l_rows, r_rows = left.slim("l_"), right.slim("r_")
-    if grown_by:
-        amounts = left.df.select(F.col(left.id).alias("l_id"), F.col(grown_by).alias("l_grown"))
-        l_rows = l_rows.join(amounts, "l_id").where(F.col("l_grown").isNotNull())
+    l_extent, r_extent = extents or measure(left, right, grown_by=grown_by)
+    size = size or cell_size(l_extent, r_extent, grown=grown)
+    reach = max(abs(v) for e in (l_extent, r_extent) for v in (e.xmin, e.ymin, e.xmax, e.ymax)) + 2 * grown
+    size = max(size, reach * 2.0**-40)  # cells are numbered by longs
+    l_rows, r_rows = left.slim("l_", grown_by), right.slim("r_")
     by = F.col("l_grown") if grown_by else F.lit(float(grown))
     l_rows = l_rows.withColumns({c: F.col(c) - by for c in ("l_x0", "l_y0")} | {c: F.col(c) + by for c in ("l_x1", "l_y1")})
-    # the coarsest level has cells as wide as the whole, so that every box fits somewhere
-    n_levels = 5
-    l_rows, r_rows = _levels(l_rows, "l_", size, n_levels), _levels(r_rows, "r_", size, n_levels)
-    # both are dealt on the coarser of their levels: a row is dealt on its own level and, for
-    # partners that are larger, on each coarser one
-    levels = lambda p: F.sequence(F.col(p + "level"), F.lit(n_levels - 1))
-    used = F.pow(F.lit(float(LEVEL)), F.col("level")) * size
-    wide = r_rows.agg(F.max("r_level")).first()[0], l_rows.agg(F.max("l_level")).first()[0]
-    if wide[0] is None or wide[1] is None or max(wide) == 0:
-        l_dealt, r_dealt = l_rows.withColumn("level", F.lit(0)), r_rows.withColumn("level", F.lit(0))
+    l_top, r_top = _top(l_extent.widest + 2 * grown, size), _top(r_extent.widest, size)
+    # A pair meets on the coarser of its levels only. Either the right row is there dealt on a
+    # level that is not below its own and the left one on its own, or the left row climbs to the
+    # right one's level; ``up`` tells the two apart, so that no other rows meet.
+    level = F.lit(0).alias("level")
+    if l_top == r_top == 0:
+        l_dealt, r_dealt = l_rows.select("*", level, F.lit(False).alias("up")), r_rows.select("*", level, F.lit(False).alias("up"))
     else:
-        l_dealt = l_rows.withColumn("level", F.explode(levels("l_"))).where(F.col("level") <= max(wide))
-        r_dealt = r_rows.withColumn("level", F.explode(levels("r_"))).where(F.col("level") <= max(wide))
+        l_rows, r_rows = _levels(l_rows, "l_", size, l_top + 1), _levels(r_rows, "r_", size, r_top + 1)
+        upward = lambda own, top: F.sequence(F.col(own), F.greatest(F.col(own), F.lit(top)))
+        l_dealt = l_rows.select("*", F.explode(upward("l_level", r_top)).alias("level"))
+        l_dealt = l_dealt.withColumn("up", F.col("level") > F.col("l_level"))
+        places = F.transform(upward("r_level", l_top), lambda v: F.struct(v.alias("level"), F.lit(False).alias("up")))
+        places = F.concat(places, F.array(F.struct(F.col("r_level").alias("level"), F.lit(True).alias("up"))))
+        r_dealt = r_rows.select("*", F.inline(places))
+        r_dealt = r_dealt.where(F.when(F.col("up"), F.col("level") > 0).otherwise(F.col("level") <= l_top))
+    used = F.pow(F.lit(float(LEVEL)), F.col("level")) * size
     l_dealt, r_dealt = _cells(l_dealt, "l_", used), _cells(r_dealt, "r_", used)
-    on = (F.col("l.level") == F.col("r.level")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))
+    on = reduce(and_, (F.col("l." + c) == F.col("r." + c) for c in ("level", "up", "cx", "cy")))
     for k in left.keys:
         on = on & (F.col("l.l_" + k) == F.col("r.r_" + k))
     pairs = l_dealt.alias("l").join(r_dealt.alias("r"), on)
-    # once: on the coarser of the two levels, in the cell of the common part's corner
-    once = F.greatest("l_level", "r_level") == F.col("l.level")
+    # once: in the cell of the common part's corner
     cell = F.pow(F.lit(float(LEVEL)), F.col("l.level")) * size
     corner = (F.floor(F.greatest("l_x0", "r_x0") / cell) == F.col("l.cx")) & (F.floor(F.greatest("l_y0", "r_y0") / cell) == F.col("l.cy"))
     touch = (F.col("l_x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1")) & (F.col("l_y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1"))
-    out = pairs.where(once & touch & corner)
+    out = pairs.where(touch & corner)
     names = ["l_id", "l_x0", "l_y0", "l_x1", "l_y1", "r_id", "r_x0", "r_y0", "r_x1", "r_y1"]
     names += ["l_geom"] * bool(left.geometry) + ["r_geom"] * bool(right.geometry) + ["l_grown"] * bool(grown_by)
     return out.select(*names)
@@ -317,16 +368,17 @@ def nearest(
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
     need = k or 1
-    reach = max_distance or cell_size(left, right) * max(1.0, need**0.5)
-    whole = left.slim("l_").agg(F.min("l_x0"), F.min("l_y0"), F.max("l_x1"), F.max("l_y1")).first()
-    other = right.slim("r_").agg(F.min("r_x0"), F.min("r_y0"), F.max("r_x1"), F.max("r_y1"), F.count(F.lit(1))).first()
-    empty = whole[0] is None or other[0] is None
-    extent = 1.0 if empty else max(max(whole[2], other[2]) - min(whole[0], other[0]), max(whole[3], other[3]) - min(whole[1], other[1])) * 2 + 1
+    extents = tuple(measure(left, right))
+    reach = max_distance or cell_size(*extents) * max(1.0, need**0.5)
+    known = [e for e in extents if e.count]
+    empty = len(known) < 2
+    sides = ((min(e.xmin for e in known), max(e.xmax for e in known)), (min(e.ymin for e in known), max(e.ymax for e in known))) if known else ()
+    extent = max((hi - lo for lo, hi in sides), default=0.0) * 2 + 1
     order = Window.partitionBy("l_id").orderBy("distance", "r_id")
     tied = Window.partitionBy("l_id").orderBy("distance")
     rest, out = left, None
     while True:
-        found = candidates(rest, right, max(reach, 1e-300), reach)
+        found = candidates(rest, right, max(reach, 1e-300), reach, extents=extents)
         back = {c: F.col(c) + reach for c in ("l_x0", "l_y0")} | {c: F.col(c) - reach for c in ("l_x1", "l_y1")}
         found = found.withColumns(back).withColumn("distance", _gap(left)).where(F.col("distance") <= reach)
         if exclusive:
