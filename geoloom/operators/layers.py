@@ -8,12 +8,14 @@ group is no single task's, and the partial unions are united after.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .joins import geometry_side, pairs
+from .steps import written
 
 SALTS = 16
 METHODS = ("unary", "coverage", "disjoint_subset")
@@ -167,7 +169,8 @@ def clip(
     Rows are tested by predicate first, and those that the mask covers stay as they are.
     """
     if isinstance(mask, DataFrame) and id:
-        pieces = mask.where(F.col(geometry).isNotNull()).select(F.md5(geometry).alias("__piece"), F.col(geometry).alias("__mask")).dropDuplicates(["__piece"])
+        pieces = mask.where(F.col(geometry).isNotNull()).select(F.md5(geometry).alias("__piece"), F.col(geometry).alias("__mask"))
+        pieces = written(pieces.dropDuplicates(["__piece"]))
         found = pairs(geometry_side(df, id, geometry), geometry_side(pieces, "__piece", "__mask"), "intersects")
         touched = found.join(pieces, F.col("right_id") == F.col("__piece")).select(F.col("left_id").alias("__id"), "__mask")
         masked = df.join(union_by(touched, ["__id"], "__mask"), F.col(id) == F.col("__id")).drop("__id")
@@ -197,12 +200,13 @@ def _prepared(df: DataFrame, geometry: str, make_valid: bool) -> DataFrame:
     return df
 
 
-def _dimension(df: DataFrame, geometry: str) -> int | None:
-    kinds = [r[0] for r in df.where(F.col(geometry).isNotNull()).select(G.geom_type(geometry)).distinct().collect()]
-    found = {DIMENSIONS.get(k, -1) for k in kinds}
-    if len(found) > 1:
+def _dimensions(geometry: str, *frames: DataFrame) -> list[int | None]:
+    """The dimension of each frame's geometries, in one job; None for a frame without any."""
+    kinds = [f.where(F.col(geometry).isNotNull()).agg(F.lit(i).alias("side"), F.collect_set(G.geom_type(geometry)).alias("kinds")) for i, f in enumerate(frames)]
+    found = {r["side"]: {DIMENSIONS.get(k, -1) for k in r["kinds"]} for r in reduce(DataFrame.unionAll, kinds).collect()}
+    if any(len(d) > 1 for d in found.values()):
         raise NotImplementedError("a side of an overlay has geometries of one family")
-    return found.pop() if found else None
+    return [next(iter(found[i]), None) for i in range(len(frames))]
 
 
 def overlay(
@@ -223,9 +227,7 @@ def overlay(
     if how not in ("intersection", "union", "identity", "symmetric_difference", "difference"):
         raise ValueError(f"no such how: {how}")
     a, b = _prepared(left, geometry, make_valid), _prepared(right, geometry, make_valid)
-    dimension = _dimension(a, geometry)
-    if keep_geom_type:
-        _dimension(b, geometry)
+    dimension = _dimensions(geometry, *((a, b) if keep_geom_type else (a,)))[0]
     shared = (set(a.columns) & set(b.columns)) - {geometry}
     name_1 = {c: f"{c}_1" if c in shared else c for c in a.columns if c != geometry}
     name_2 = {c: f"{c}_2" if c in shared else c for c in b.columns if c != geometry}
