@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.planar import Box, literal_box, wkb_point
+from .flatgeobuf import read_flatgeobuf
 from .geopackage import read_geopackage
 from .osm import read_osm_pbf
 
@@ -26,7 +27,7 @@ GEOMETRY = ("geometry", "geom", "wkt", "the_geom", "shape", "wkb")
 FORMATS = {
     "parquet": "geoparquet", "geoparquet": "geoparquet", "feather": "feather", "arrow": "feather", "geojson": "geojson", "json": "geojson",
     "geojsonl": "geojsonseq", "geojsons": "geojsonseq", "csv": "csv", "wkt": "wkt", "kml": "kml", "gpx": "gpx", "shp": "shapefile",
-    "gpkg": "geopackage", "pbf": "osm",
+    "gpkg": "geopackage", "pbf": "osm", "fgb": "flatgeobuf",
 }
 
 
@@ -52,6 +53,7 @@ def read_file(
         df = {
             "feather": read_feather, "geojson": read_geojson, "geojsonseq": read_geojsonseq, "csv": read_csv, "wkt": read_wkt,
             "kml": read_kml, "gpx": read_gpx, "shapefile": read_shapefile, "geopackage": read_geopackage, "osm": read_osm_pbf,
+            "flatgeobuf": read_flatgeobuf,
         }[kind](spark, path, **options)
     if bbox is not None:
         df = df.where(G.intersects("geometry", literal_box(*bbox)))

@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from geoloom.functions import geometry as G
-from geoloom.sources import geopackage, osm, vector
+from geoloom.sources import flatgeobuf, geopackage, osm, vector
 
 
 def varint(n):
@@ -105,3 +105,85 @@ def test_geopackage(spark, tmp_path):
     assert vector.read_file(spark, path, bbox=(0, 0, 2, 2)).count() == 1
     with pytest.raises(ValueError):
         geopackage.plain_wkb(b"no")
+
+
+def flatgeobuf_bytes(kind, columns, rows, node=0):
+    """A file by the flatbuffers library; a row is (geometry as slots, property bytes)."""
+    flatbuffers = pytest.importorskip("flatbuffers")
+
+    def vector_of(b, values, size, add):
+        b.StartVector(size, len(values), size)
+        for v in reversed(values):
+            add(v)
+        return b.EndVector()
+
+    def table(b, n, numbers=(), places=()):
+        b.StartObject(n)
+        for slot, place in places:
+            b.PrependUOffsetTRelativeSlot(slot, place, 0)
+        for slot, method, value in numbers:
+            getattr(b, f"Prepend{method}Slot")(slot, value, None)
+        return b.EndObject()
+
+    def geometry(b, g):
+        parts = [geometry(b, p) for p in g.get("parts", ())]
+        places = [(7, vector_of(b, parts, 4, b.PrependUOffsetTRelative))] if parts else []
+        places += [(slot, vector_of(b, g[name], 8, b.PrependFloat64)) for slot, name in ((1, "xy"), (2, "z")) if name in g]
+        if "ends" in g:
+            places.append((0, vector_of(b, g["ends"], 4, b.PrependUint32)))
+        return table(b, 8, [(6, "Uint8", g["type"])] if "type" in g else [], places)
+
+    def sized(b, end):
+        b.FinishSizePrefixed(end)
+        return bytes(b.Output())
+
+    b = flatbuffers.Builder(0)
+    made = []
+    for name, code in columns:
+        label = b.CreateString(name)
+        made.append(table(b, 11, [(1, "Uint8", code)], [(0, label)]))
+    places = [(0, b.CreateString("wells")), (7, vector_of(b, made, 4, b.PrependUOffsetTRelative))]
+    out = b"fgb\x03fgb\x00" + sized(b, table(b, 14, [(2, "Uint8", kind), (8, "Uint64", len(rows)), (9, "Uint16", node)], places))
+    out += bytes(flatgeobuf.index_size(len(rows), node))
+    for shape, values in rows:
+        b = flatbuffers.Builder(0)
+        places = [(0, geometry(b, shape))] if shape else []
+        out += sized(b, table(b, 3, (), places + ([(1, b.CreateByteVector(values))] if values else [])))
+    return out
+
+
+def test_flatgeobuf(spark, tmp_path):
+    text = lambda n, s: struct.pack("<HI", n, len(s.encode())) + s.encode()
+    columns = [("name", 11), ("depth", 10), ("open", 2)]
+    square = {"xy": [0, 0, 10, 0, 10, 10, 0, 10, 0, 0, 2, 2, 4, 2, 4, 4, 2, 4, 2, 2], "ends": [5, 10], "type": 3}
+    solid = {"xy": [0, 0, 1, 0, 1, 1, 0, 0], "z": [1, 2, 3, 1], "type": 3}
+    rows = [
+        ({"xy": [1, 2], "type": 1}, text(0, "Brunnen\u00e4") + struct.pack("<Hd", 1, 2.5) + struct.pack("<H?", 2, True)),
+        ({"xy": [0, 0, 3, 4], "type": 2}, text(0, "")),
+        (square, b""),
+        ({"parts": [square, solid], "type": 6}, b""),
+        ({"xy": [1, 1, 2, 2], "type": 4}, b""),
+        ({"xy": [0, 0, 1, 1, 5, 5, 6, 6], "ends": [2, 4], "type": 5}, b""),
+        (None, b""),
+    ]
+    (tmp_path / "a.fgb").write_bytes(flatgeobuf_bytes(0, columns, rows, node=2))
+    found = vector.read_file(spark, str(tmp_path / "a.fgb")).withColumn("wkt", G.to_wkt("geometry")).withColumn("area", G.area("geometry"))
+    got = {r.wkt: r for r in found.collect()}
+    assert len(got) == 7 and {r.layer for r in got.values()} == {"wells"}
+    assert got["POINT (1 2)"].attributes == {"name": "Brunnen\u00e4", "depth": "2.5", "open": "true"}
+    assert got["LINESTRING (0 0, 3 4)"].attributes == {"name": "", "depth": None, "open": None}
+    assert sorted(r.area for r in got.values() if r.area) == [96.0, 96.5]
+    assert {"MULTIPOINT ((1 1), (2 2))", "MULTILINESTRING ((0 0, 1 1), (5 5, 6 6))", None} < set(got)
+
+
+def test_flatgeobuf_blocks():
+    rows = [({"xy": [i, i]}, b"") for i in range(50)]
+    data = flatgeobuf_bytes(1, [], rows, node=16)
+    about, start = flatgeobuf.header(data)
+    cut = list(flatgeobuf.blocks(data, 300))
+    assert len(cut) > 5 and b"".join(cut) == data[start:]
+    found = [wkb for block in cut for _, wkb in flatgeobuf.decoded(block, about)]
+    assert found == [struct.pack("<BIdd", 1, 1, i, i) for i in range(50)]
+    assert list(flatgeobuf.blocks(flatgeobuf_bytes(1, [], []))) == []
+    with pytest.raises(ValueError):
+        flatgeobuf.header(b"no")
