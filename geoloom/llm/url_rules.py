@@ -6,7 +6,8 @@ token of its own that the fewest URLs hold; the tokens of a URL fetch the rules
 them, and only those run their expression. A rule without tokens is fetched by every URL.
 
 Two kinds of rules: *site* rules (host and path prefix; the longest that fits wins) and
-*pattern* rules (``*`` stands for any characters; a pattern begins and ends at a token border).
+*pattern* rules (``*`` stands for any characters; a pattern that begins or ends with a letter or
+digit does so at a token border).
 The verdict is that of the site rule, else ``block`` if a blocking pattern fits, else ``allow``.
 
 The rules are a small table that Spark may broadcast by its own size check; otherwise the join
@@ -46,11 +47,14 @@ def site(name: str, verdict: str) -> Rule:
 
 
 def pattern(text: str, verdict: str) -> Rule:
-    """A rule for URLs (lower-cased) that hold ``text`` between token borders."""
+    """A rule for URLs (lower-cased) that hold ``text``, at a token border where its own end is of a token."""
     text = text.lower()
     body = ".*".join(map(re.escape, text.split("*")))
     tokens = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", text)
-    return Rule(text, "pattern", rf"(?:^|(?<![a-z0-9])){body}(?:$|(?![a-z0-9]))", verdict, tuple(dict.fromkeys(tokens)))
+    # an end like "/" is a border itself: what is beyond it may be a letter or digit
+    start = "(?<![a-z0-9])" if re.match("[a-z0-9]", text) else ""
+    stop = "(?![a-z0-9])" if re.search("[a-z0-9]$", text) else ""
+    return Rule(text, "pattern", start + body + stop, verdict, tuple(dict.fromkeys(tokens)))
 
 
 def host_of(url: Column) -> Column:

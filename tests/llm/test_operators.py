@@ -210,6 +210,13 @@ def test_urls(spark):
     ]
 
 
+def test_pattern_ends(spark):
+    urls = ["http://example.com/ads/1", "http://a.example.com/x/ADS/banner.gif", "http://b.fr/ads/", "http://b.fr/ads", "http://b.fr/loads/1", "http://b.fr/xcasino/", "http://b.fr/casino7", "http://b.fr/my-casino"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(rows, list(url_rules.PATTERNS)).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block"] * 3 + ["allow"] * 4 + ["block"]
+
+
 def test_language(spark, sf_dir):
     got = queries.op10_crf_language(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
