@@ -1,17 +1,24 @@
 """Scoring texts with a Brown class-based bigram model.
 
 log P(text) is the sum over its tokens of log P(class | class before) + log P(word | class).
-Words with at least one of ``1 << EXCHANGE_BITS`` training tokens are clustering items of
-their own; every other word belongs to one of ``GROUPS`` items by a hash of its last two
-characters. Exchange clustering gives each item the class that gains most, from the item
-bigrams, under the class-bigram likelihood (Brown et al. 1992, Martin et al. 1998); odd and
-even items move in turn, against the counts of the round before, so a round is one
-aggregation (Uszkoreit and Brants 2008). Both distributions are smoothed by added counts.
-
-Corpus counts cover all training texts. What a worker or the driver holds does not grow with
-them: a word with a share of 2**-LOCAL_BITS of the tokens is kept in memory, and there can be
-no more than 2**LOCAL_BITS of these; the counts of all other words are joined in a shuffle by
-the word's hash. The classes' tables have ``CLASSES`` squared entries.
+Every word that occurs ``ITEM_COUNT`` times or more has a class by its own neighbours; only the
+rarer ones take the class of one of ``GROUPS`` groups, by a hash of their last two characters.
+
+Exchange clustering gives an item the class that gains most, from the item bigrams, under the
+class-bigram likelihood (Brown et al. 1992, Martin et al. 1998). It runs ``ROUNDS`` rounds over
+the words with at least one of ``1 << EXCHANGE_BITS`` training tokens and the groups; odd and even
+items move in turn, against the counts of the round before, so a round is one aggregation
+(Uszkoreit and Brants 2008). All other words of ``ITEM_COUNT`` then move once, each in the
+partition of its hash, from the classes of the tokens on both sides of it in the whole corpus (a
+neighbour that is itself not among the first counts as its group). Class sizes and class
+bigrams are counted again with the final class of each word. Both distributions are smoothed by
+added counts.
+
+Corpus counts cover all training texts, and the table of words with their classes grows with
+them. What a worker or the driver holds does not: a word with a share of 2**-LOCAL_BITS of the
+tokens is kept in memory, and there can be no more than 2**LOCAL_BITS of these; counts and
+classes of all other words are joined in a shuffle by the word's hash, in blocks of texts. The
+classes' tables have ``CLASSES`` squared entries.
 
 Null and empty texts are the end token alone. Repeated rows are scored, and learnt, each.
 Without training texts every count is 0 and the base score of a token is that of one unseen.
@@ -28,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HashCache, materialize, mix64, slices, words_of
+from ._shared import HashCache, MemberFilter, materialize, mix64, slices, words_of
 
 CLASSES = 48
 GROUPS = 256
+ITEM_COUNT = 20
 EXCHANGE_BITS = 14
 LOCAL_BITS = 17
 ROUNDS = 8
@@ -140,6 +148,21 @@ def _before(items: np.ndarray, ends: np.ndarray, end_item: int) -> np.ndarray:
     return before
 
 
+def _gain(counts: np.ndarray) -> np.ndarray:
+    """What a bigram of two classes adds to the likelihood."""
+    smooth = counts + 0.1
+    return np.log(smooth * smooth.sum() / np.outer(smooth.sum(axis=1), smooth.sum(axis=0)))
+
+
+def _packed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct keys, and the values of each, in order, as binary."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], np.ascontiguousarray(values[order])
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    offsets = (np.append(starts, len(keys)) * values.itemsize).astype(np.int32)
+    return keys[starts], pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
 def exchange(n_items: int, pairs: DataFrame, freq: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Class of each item but the end, and the class-bigram counts (the end's class is the last).
 
@@ -198,8 +221,7 @@ def exchange(n_items: int, pairs: DataFrame, freq: np.ndarray, rounds: int = ROU
             best, best_classes, best_counts = now, classes.copy(), counts
         if r == rounds:
             break
-        smooth = counts + 0.1
-        gain = np.log(smooth * smooth.sum() / np.outer(smooth.sum(axis=1), smooth.sum(axis=0)))
+        gain = _gain(counts)
         value = after @ gain.T + before @ gain
         value[:, CLASSES] = -np.inf
         wanted = value[:n_items].argmax(axis=1)
@@ -210,7 +232,7 @@ def exchange(n_items: int, pairs: DataFrame, freq: np.ndarray, rounds: int = ROU
 
 
 def learn(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict]:
-    """Counts (hash, n) of the training words, materialised, and the bounded part of the model."""
+    """(hash, n, cls) of the training words, materialised, and the bounded part of the model."""
     spark = train.sparkSession
     texts = train.select(F.col(text_col).alias("text"))
     counted = texts.mapInArrow(_count_words, "hash bigint, grp int, n bigint")
@@ -260,34 +282,90 @@ def learn(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict]:
     pairs = texts.mapInArrow(count_pairs, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = materialize(pairs, "item-pairs")
     classes, bigrams = exchange(local.n_items + GROUPS, pairs, size)
-    class_size, class_variety = np.bincount(classes, size, CLASSES + 1), np.bincount(classes, variety, CLASSES + 1)
-    step = np.log10((bigrams + ADDED) / (bigrams.sum(axis=1, keepdims=True) + ADDED * (CLASSES + 1)))
-    below = np.log10(class_size + class_variety + 1)
-    model = {"local": local, "classes": classes, "step": step, "below": below, "n": int(n_tokens), "v": int(n_words), "ends": int(size[-1])}
-    return counts, model
+    table = materialize(_with_classes(texts, counts, local, classes, _gain(bigrams)), "word-classes")
+    model = {"classes": classes, "n": int(n_tokens), "v": int(n_words), "ends": int(size[-1])}
+    # the words kept in memory, now with their own classes as items
+    kept = table.where((F.col("n") >= max(2.0, n_tokens / (1 << LOCAL_BITS))) & (F.col("cls") < CLASSES)).toPandas()
+    hashes = kept["hash"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    local = Local(hashes[order], kept["n"].to_numpy(np.int64)[order], kept["cls"].to_numpy(np.int64)[order], CLASSES)
+    sizes, varieties = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    for c, count, v in table.groupBy("cls").agg(F.sum("n"), F.count(F.lit(1))).toPandas().itertuples(index=False):
+        sizes[c], varieties[c] = count, v
+    return table, model | {"local": local, "groups": classes[-GROUPS - 1 : -1], "below": np.log10(sizes + varieties + 1)}
+
+
+def _with_classes(texts: DataFrame, counts: DataFrame, local: Local, classes: np.ndarray, gain: np.ndarray) -> DataFrame:
+    """(hash, n, cls) of ``counts``: words of ``ITEM_COUNT`` that are no items yet move to the class that gains most."""
+    spark = texts.sparkSession
+    own = local.items >= 0
+    done = spark.createDataFrame(
+        [(int(h), int(c)) for h, c in zip(local.hashes[own].view(np.int64), classes[local.items[own]])], "hash bigint, moved int"
+    )
+    items = counts.where((F.col("n") >= ITEM_COUNT) & (F.col("grp") >= 0)).select("hash")
+    shared = spark.sparkContext.broadcast((local, classes, MemberFilter.of(items)))
+    k = CLASSES + 1
+
+    def sides(batches):
+        """(hash, cells): the classes before and after each occurrence, two bytes for both."""
+        local, classes, among = shared.value
+        words, held = Words(), (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+
+        def out(held):
+            keys, cells = _packed(*held)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), cells], names=["hash", "cells"])
+
+        for whole in batches:
+            for batch in slices(whole, 0):
+                h, g, ends = tokens(batch.column(0).to_pylist(), words)
+                item = local.item_of(h, g)
+                cls = classes[item]
+                # a text ends in an end, so each of its words has a token after it
+                cell = (_before(cls, ends, CLASSES) * k + np.append(cls[1:], CLASSES)).astype(np.uint16)
+                open_ = (item >= local.n_items) & (g >= 0)
+                open_[open_] = among.has(h[open_].view(np.int64))
+                held = (np.concatenate([held[0], h[open_]]), np.concatenate([held[1], cell[open_]]))
+                if len(held[0]) > 4 * FLUSH:
+                    yield out(held)
+                    held = tuple(x[:0] for x in held)
+        yield out(held)
 
+    def move(batches):
+        for batch in batches:
+            best = np.zeros(batch.num_rows, np.int32)
+            for i, cells in enumerate(batch.column(1).to_pylist()):
+                cell = np.frombuffer(b"".join(cells), np.uint16)
+                before, after = (np.bincount(x, minlength=k).astype(float) for x in (cell // k, cell % k))
+                best[i] = (after @ gain.T + before @ gain)[:CLASSES].argmax()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["hash", "moved"])
 
-def score(df: DataFrame, counts: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each row of ``df``.
+    seen = texts.mapInArrow(sides, "hash bigint, cells binary").groupBy("hash").agg(F.collect_list("cells").alias("cells"))
+    moved = seen.join(items, "hash", "left_semi").mapInArrow(move, "hash bigint, moved int").unionAll(done)
+    of_group = F.array(F.lit(CLASSES), *(F.lit(int(c)) for c in classes[-GROUPS - 1 : -1]))
+    return counts.join(moved, "hash", "left").select("hash", "n", F.coalesce("moved", F.get(of_group, F.col("grp") + 1)).alias("cls"))
 
-    One pass gives a row for each text, with what frequent words add to it, and a row for each
-    rare word of it, whose count is joined and summed up. Rows are told apart by the task's
-    partition and their place in it, which a task that runs again finds alike.
+
+def annotate(df: DataFrame, table: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, inside, classes) of each row of ``df``, materialised.
+
+    ``classes`` has a byte for each token, ``inside`` is the sum of log P(word | class). A block of texts
+    gives a row of its own and one for each rare word in it with that word's places; counts
+    and classes are joined to these, and the block's rows meet again.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     doc_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["row", "hash", "tf", "id", "n_tokens", "n_known", "base", "score"]
-    schema = f"row bigint, hash bigint, tf int, id {doc_type}, n_tokens bigint, n_known bigint, base double, score double"
+    names = ["block", "hash", "places", "ids", "ends", "known", "base", "inside", "own"]
+    schema = f"block bigint, hash bigint, places binary, ids array<{doc_type}>, ends binary, known binary, base binary, inside binary, own binary"
 
     def run(batches):
         from pyspark import TaskContext
 
         m = shared.value
         local, words = m["local"], Words()
-        per_item = m["classes"]
+        per_item = np.concatenate([np.arange(CLASSES), m["groups"], [CLASSES]])
         whole_log = np.log10(m["n"] + m["v"] + 1)
-        at_row = TaskContext.get().partitionId() << 36
+        block = TaskContext.get().partitionId() << 36
         for whole in batches:
             for batch in slices(whole, 1):
                 h, g, ends = tokens(batch.column(1).to_pylist(), words)
@@ -299,37 +377,101 @@ def score(df: DataFrame, counts: DataFrame, model: dict, id_col: str = "doc_id",
                 rare = (place < 0) & ~is_end
                 count = np.where(place >= 0, local.counts[place] if len(local.counts) else 0, 0)
                 above = np.where(rare, 0.0, np.log10(np.where(is_end, m["ends"], count) + 1.0))
-                step = m["step"][_before(cls, ends, CLASSES), cls]
-                score = step + np.where(is_end, 0.0, above - m["below"][cls])
-                known = (place >= 0) | (is_end & (m["ends"] > 0))
-                ids = np.arange(at_row, at_row + docs)
-                at_row += docs
-                unique, first, tf = _counted(mix64(h[rare]) ^ mix64(ids[doc[rare]].astype(np.uint64)), np.ones(int(rare.sum())))
-                rare_at = np.flatnonzero(rare)[first]
-                zeros, none = np.zeros(len(rare_at)), pa.nulls(len(rare_at), batch.schema.field(0).type)
+                known = ((place >= 0) & ~is_end) | (is_end & (m["ends"] > 0))
+                inside = np.where(is_end | rare, 0.0, above - m["below"][cls])
+                keys, places = _packed(h[rare], np.flatnonzero(rare).astype(np.uint32))
+                n = len(keys)
+                own = [
+                    ends.astype(np.int64), np.bincount(doc, known, docs).astype(np.int64), np.bincount(doc, above - whole_log, docs),
+                    np.bincount(doc, inside, docs), cls.astype(np.uint8),
+                ]
+                ids = pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(0))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([ids, ids[doc[rare_at]]])),
-                        # a text's own row meets no word: its key only spreads the rows
-                        pa.array(np.concatenate([mix64(ids.astype(np.uint64)), h[rare_at]]).view(np.int64)),
-                        pa.array(np.concatenate([np.zeros(docs, np.int32), tf.astype(np.int32)])),
-                        pa.concat_arrays([batch.column(0), none]),
-                        pa.array(np.concatenate([np.bincount(doc, minlength=docs), zeros]).astype(np.int64)),
-                        pa.array(np.concatenate([np.bincount(doc, known, docs), zeros]).astype(np.int64)),
-                        pa.array(np.concatenate([np.bincount(doc, above - whole_log, docs), zeros])),
-                        pa.array(np.concatenate([np.bincount(doc, score, docs), zeros])),
+                        pa.array(np.full(n + 1, block)),
+                        # a block's own row meets no word: its key only spreads the rows
+                        pa.array(np.append(keys, mix64(np.array([block], np.uint64))).view(np.int64)),
+                        pa.concat_arrays([places, pa.nulls(1, pa.binary())]),
+                        pa.concat_arrays([pa.nulls(n, ids.type), ids]),
+                        *(pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x.tobytes()], pa.binary())]) for x in own),
                     ],
                     names=names,
                 )
+                block += 1
+
+    def meet(rows: pa.Table) -> pa.Table:
+        below = shared.value["below"]
+        rows = rows.combine_chunks()
+        mine = rows.filter(rows.column("ids").is_valid())
+        ids = mine.column("ids").combine_chunks().flatten()
+        ends, known = (np.frombuffer(mine.column(c)[0].as_py(), np.int64) for c in ("ends", "known"))
+        base, inside = (np.frombuffer(mine.column(c)[0].as_py(), np.float64) for c in ("base", "inside"))
+        cls = np.frombuffer(mine.column("own")[0].as_py(), np.uint8).copy()
+        rest = rows.filter(rows.column("places").is_valid())
+        places = rest.column("places").to_pylist()
+        sizes = np.fromiter((len(p) // 4 for p in places), np.int64, len(places))
+        at = np.frombuffer(b"".join(places), np.uint32)
+        n = np.repeat(rest.column("c").fill_null(0).to_numpy(), sizes)
+        moved = np.repeat(rest.column("cls").fill_null(-1).to_numpy(), sizes)
+        cls[at] = np.where(moved >= 0, moved, cls[at])
+        count, rare = np.zeros(len(cls), np.int64), np.zeros(len(cls), bool)
+        count[at], rare[at] = n, True
+        docs = len(ends)
+        doc = np.repeat(np.arange(docs), np.diff(ends, prepend=0))[rare]
+        above = np.log10(count[rare] + 1.0)
+        text = cls.tobytes()
+        starts = np.append(0, ends[:-1])
+        return pa.table(
+            {
+                "doc_id": ids,
+                "n_tokens": pa.array(np.diff(ends, prepend=0)),
+                "n_known": pa.array(known + np.bincount(doc, count[rare] > 0, docs).astype(np.int64)),
+                "base_score": pa.array(base + np.bincount(doc, above, docs)),
+                "inside": pa.array(inside + np.bincount(doc, above - below[cls[rare]], docs)),
+                "classes": pa.array([text[a:b] for a, b in zip(starts, ends)], pa.binary()),
+            }
+        )
 
     parts = rows.mapInArrow(run, schema)
-    joined = parts.join(counts.select("hash", F.col("n").alias("c")), "hash", "left")
-    extra = F.sum(F.when((F.col("tf") > 0) & F.col("c").isNotNull(), F.col("tf") * F.log10(F.col("c") + 1)).otherwise(0.0))
-    known = F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))
-    return joined.groupBy("row").agg(
-        F.max("id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        known.alias("n_known"),
-        (F.sum("base") + extra).alias("base_score"),
-        (F.sum("score") + extra).alias("score"),
-    ).drop("row")
+    joined = parts.join(table.select("hash", F.col("n").alias("c"), "cls"), "hash", "left").drop("hash")
+    out = f"doc_id {doc_type}, n_tokens bigint, n_known bigint, base_score double, inside double, classes binary"
+    return materialize(joined.groupBy("block").applyInArrow(meet, out), "token-classes")
+
+
+def _sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of texts one after another, and those before them: each text ends in an end."""
+    cls = np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int64)
+    return cls, np.append(CLASSES, cls[:-1]) if len(cls) else cls
+
+
+def steps(trained: DataFrame) -> np.ndarray:
+    """log P(class | class before) from the ``classes`` of annotated training texts."""
+    k = CLASSES + 1
+
+    def run(batches):
+        counts = np.zeros(k * k, np.int64)
+        for batch in batches:
+            cls, before = _sequence(batch.column(0))
+            counts += np.bincount(before * k + cls, minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(counts)], names=["cell", "n"])
+
+    bigrams = np.zeros(k * k)
+    for cell, n in trained.select("classes").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).toPandas().itertuples(index=False):
+        bigrams[cell] = n
+    bigrams = bigrams.reshape(k, k)
+    return np.log10((bigrams + ADDED) / (bigrams.sum(axis=1, keepdims=True) + ADDED * k))
+
+
+def score(annotated: DataFrame, step: np.ndarray) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of annotated texts."""
+    kept = ["doc_id", "n_tokens", "n_known", "base_score"]
+    schema = annotated.select(*kept, F.col("inside").alias("score")).schema
+
+    def run(batches):
+        for batch in batches:
+            cls, before = _sequence(batch.column(5))
+            doc = np.repeat(np.arange(batch.num_rows), batch.column(1).to_numpy())
+            own = batch.column(4).to_numpy() + np.bincount(doc, step[before, cls], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own)], names=[*kept, "score"])
+
+    return annotated.mapInArrow(run, schema)

@@ -136,8 +136,9 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts, model = brown_lm.learn(docs.where(crc_mod("doc_id", 7) != 2))
-    scored = brown_lm.score(docs, counts, model)
+    words, model = brown_lm.learn(docs.where(crc_mod("doc_id", 7) != 2))
+    marked = brown_lm.annotate(docs, words, model)
+    scored = brown_lm.score(marked, brown_lm.steps(marked.where(crc_mod("doc_id", 7) != 2)))
     return scored.select(
         "doc_id",
         (crc_mod("doc_id", 7) == 2).alias("held_out"),

@@ -239,3 +239,20 @@ def test_language_model(spark, sf_dir):
         want = sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in tokens)
         assert abs(r.base_score - want) < 1e-6 * abs(want) and r.n_known == sum(w in counts for w in tokens) and r.train_tokens == n
     assert brown_lm.CLASSES and hashlib
+
+
+def test_rare_words_have_classes_of_their_own(spark):
+    # two kinds of words of 30 occurrences, below a share of 2**-14, with one ending and different company
+    rng = random.Random(5)
+    kinds = [[f"{kind}{i:03d}zz" for i in range(200)] for kind in "ab"]
+    texts = []
+    for kind, company in zip(kinds, ("p", "q")):
+        pool = [w for w in kind for _ in range(30)]
+        rng.shuffle(pool)
+        for i in range(0, len(pool), 40):
+            texts.append(" ".join(f"{w} " + " ".join(f"{company}{rng.randrange(20)}" for _ in range(50)) for w in pool[i : i + 40]))
+    words, _ = brown_lm.learn(docs(spark, texts))
+    found = {r.hash: r.cls for r in words.collect()}
+    of = lambda w: found[int(np.array([brown_lm.Words()._hash(w.encode())], np.uint64).view(np.int64)[0])]
+    first, second = ({of(w) for w in kind} for kind in kinds)
+    assert not first & second
