@@ -6,8 +6,8 @@ pages of a host, tokens with the same occurrence vector (how often on which page
 by their paths they are the host's template, and what text a page has beneath a template token
 but not beneath a deeper one is that token's slot. The slots are then read: one beneath
 navigation, adverts, forms, comments and the like is dropped with all it holds, and the main
-slot is the article element if the template has one, else the token that holds most text
-outside links. A page that lacks the template's main token, and a page whose host has no
+slot is the article element if the template has one, else the smallest container that holds
+all text that is not mostly links. A page that lacks the template's main token, and a page whose host has no
 template, is read by its own tokens.
 
 The classes are counted with aggregations that collapse before the shuffle; only what a page
@@ -46,6 +46,8 @@ _DROPPED_WORDS = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related reply replies search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements that are parts of an article, not containers of one.
+PARTS = frozenset("html p ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6".split())
 MIN_PAGES = 3
 
 
@@ -128,30 +130,32 @@ def main_token(weights: dict[str, int]) -> str | None:
         own = [p for p in weights if _name(p) == name and weights[p] > 0]
         if own:
             return max(own, key=lambda p: (weights[p], p))
-    own = {p: w for p, w in weights.items() if _name(p) not in ("html", "p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6") and w > 0}
+    own = {p: w for p, w in weights.items() if _name(p) not in PARTS and w > 0}
     if not own:
         return None
-    # the deepest token that still holds four fifths of the most that any token holds
+    # the deepest of those that hold all; the empty path is the whole page
     most = max(own.values())
-    return max((p for p in own if own[p] * 5 >= most * 4), key=lambda p: (p.count("/"), own[p], p))
+    return max((p for p in own if own[p] == most), key=lambda p: (p.count("/"), p))
 
 
 def weigh(tokens: dict[str, int], blocks: list[tuple[str, str, int, bool]]) -> dict[str, int]:
-    """For each token the characters of text beneath it, without links and dropped elements."""
-    out = dict.fromkeys(tokens, 0)
+    """For each token, and the whole page (the empty path), the characters of text beneath it,
+    without links, blocks that are mostly links, and dropped elements."""
+    out = dict.fromkeys([*tokens, ""], 0)
     for path, text, linked, dropped in blocks:
-        if not dropped:
+        if not dropped and 2 * linked <= len(text):
             n = len(text) - linked
             while path:
                 out[path] = out.get(path, 0) + n
                 path = path.rpartition("/")[0]
+            out[""] += n
     return out
 
 
 def main_text(page: str | None, main: str | None) -> str:
     """The blocks in the slots beneath the main token; the page's own if it lacks that token."""
     tokens, blocks = read_page(page)
-    if main is None or main not in tokens:
+    if main is None or (main and main not in tokens):
         main = main_token(weigh(tokens, blocks))
     if main is None:
         return "\n".join(text for _, text, linked, dropped in blocks if not dropped and 2 * linked <= len(text))
@@ -167,7 +171,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
             tokens, blocks = read_page(page)
             weights = weigh(tokens, blocks)
-            for token, n in tokens.items():
+            for token, n in [("", 1), *tokens.items()]:
                 for column, value in zip(out, (host, token, xxhash.xxh64_intdigest(f"{key}:{n}") - 2**63, weights[token])):
                     column.append(value)
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())

@@ -155,6 +155,12 @@ def test_pages():
     assert page_templates.main_text(None, None) == "" and page_templates.main_text("plain", None) == "plain"
 
 
+def test_pages_without_an_article_keep_all_text():
+    page = "<html><body><div class=c><p>twenty characters ab</p><ul><li>" + "x " * 40 + "</ul></div></body></html>"
+    assert page_templates.main_text(page, None) == "twenty characters ab\n" + ("x " * 40).strip()
+    assert page_templates.main_text("<p>first</p><div>" + "y " * 40 + "</div>", None) == "first\n" + ("y " * 40).strip()
+
+
 def test_edit_distance():
     def plain(p, t):
         row = [0] * (len(t) + 1)
