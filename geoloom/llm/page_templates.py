@@ -7,8 +7,8 @@ by their paths they are the host's template, and what text a page has beneath a
 but not beneath a deeper one is that token's slot. The slots are then read: one beneath
 navigation, adverts, forms, comments and the like is dropped with all it holds, and the main
 slot is the article element if the template has one, else the smallest container that holds
-all text that is not mostly links. A page that lacks the template's main token, and a page whose host has no
-template, is read by its own tokens.
+all text that is not mostly links. A page that lacks the template's main token, a page with an article element on a
+host whose template has none, and a page whose host has no template are read by their own tokens.
 
 The classes are counted with aggregations that collapse before the shuffle; only what a page
 can hold is gathered for a host. Null html: empty text. Null url: the host is empty.
@@ -155,8 +155,12 @@ def weigh(tokens: dict[str, int], blocks: list[tuple[str, str, int, bool]]) -> d
 def main_text(page: str | None, main: str | None) -> str:
     """The blocks in the slots beneath the main token; the page's own if it lacks that token."""
     tokens, blocks = read_page(page)
-    if main is None or (main and main not in tokens):
-        main = main_token(weigh(tokens, blocks))
+    lacking = main is None or (main and main not in tokens)
+    if lacking or _name(main) not in MAIN:
+        own = main_token(weigh(tokens, blocks))
+        # layouts that fewer than half of the host's pages share are not in its template
+        if lacking or (own is not None and _name(own) in MAIN):
+            main = own
     if main is None:
         return "\n".join(text for _, text, linked, dropped in blocks if not dropped and 2 * linked <= len(text))
     return "\n".join(text for path, text, _, dropped in blocks if not dropped and (path == main or path.startswith(main + "/")))

@@ -161,6 +161,12 @@ def test_pages_without_an_article_keep_all_text():
     assert page_templates.main_text("<p>first</p><div>" + "y " * 40 + "</div>", None) == "first\n" + ("y " * 40).strip()
 
 
+def test_pages_of_a_host_with_several_layouts(spark):
+    pages = [(i, f"http://h/{i}", f"<html><body><div>every page</div><div class=layout{'abc'[i % 3]}><article><p>text {i}</article></div></body></html>") for i in range(9)]
+    got = page_templates.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(9)}
+
+
 def test_edit_distance():
     def plain(p, t):
         row = [0] * (len(t) + 1)
