@@ -1,14 +1,14 @@
 """Scoring texts with a Brown class-based bigram model.
 
 log P(text) is the sum over its tokens of log P(class | class before) + log P(word | class).
-Every word that occurs ``ITEM_COUNT`` times or more has a class by its own neighbours; only the
-rarer ones take the class of one of ``GROUPS`` groups, by a hash of their last two characters.
+Every word of the training texts has a class by its own neighbours; only words that are not in
+them take the class of one of ``GROUPS`` groups, by a hash of their last two characters.
 
 Exchange clustering gives an item the class that gains most, from the item bigrams, under the
 class-bigram likelihood (Brown et al. 1992, Martin et al. 1998). It runs ``ROUNDS`` rounds over
 the words with at least one of ``1 << EXCHANGE_BITS`` training tokens and the groups; odd and even
 items move in turn, against the counts of the round before, so a round is one aggregation
-(Uszkoreit and Brants 2008). All other words of ``ITEM_COUNT`` then move once, each in the
+(Uszkoreit and Brants 2008). All other words then move once, each in the
 partition of its hash, from the classes of the tokens on both sides of it in the whole corpus (a
 neighbour that is itself not among the first counts as its group). Class sizes and class
 bigrams are counted again with the final class of each word. Both distributions are smoothed by
@@ -20,7 +20,8 @@ tokens is kept in memory, and there can be no more than 2**LOCAL_BITS of these;
 classes of all other words are joined in a shuffle by the word's hash, in blocks of texts. The
 classes' tables have ``CLASSES`` squared entries.
 
-Null and empty texts are the end token alone. Repeated rows are scored, and learnt, each.
+Null and empty texts are the end token alone. Repeated rows, and rows that share an id, are scored, and learnt, each.
+Long texts are read whole. Items that gain equally from two classes take the first. Other columns are not looked at.
 Without training texts every count is 0 and the base score of a token is that of one unseen.
 """
 
@@ -35,11 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HashCache, MemberFilter, materialize, mix64, slices, words_of
+from ._shared import HashCache, materialize, mix64, slices, words_of
 
 CLASSES = 48
 GROUPS = 256
-ITEM_COUNT = 20
 EXCHANGE_BITS = 14
 LOCAL_BITS = 17
 ROUNDS = 8
@@ -296,19 +296,18 @@ def learn(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict]:
 
 
 def _with_classes(texts: DataFrame, counts: DataFrame, local: Local, classes: np.ndarray, gain: np.ndarray) -> DataFrame:
-    """(hash, n, cls) of ``counts``: words of ``ITEM_COUNT`` that are no items yet move to the class that gains most."""
+    """(hash, n, cls) of ``counts``: words that are no items yet move to the class that gains most."""
     spark = texts.sparkSession
     own = local.items >= 0
     done = spark.createDataFrame(
         [(int(h), int(c)) for h, c in zip(local.hashes[own].view(np.int64), classes[local.items[own]])], "hash bigint, moved int"
     )
-    items = counts.where((F.col("n") >= ITEM_COUNT) & (F.col("grp") >= 0)).select("hash")
-    shared = spark.sparkContext.broadcast((local, classes, MemberFilter.of(items)))
+    shared = spark.sparkContext.broadcast((local, classes))
     k = CLASSES + 1
 
     def sides(batches):
         """(hash, cells): the classes before and after each occurrence, two bytes for both."""
-        local, classes, among = shared.value
+        local, classes = shared.value
         words, held = Words(), (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
 
         def out(held):
@@ -323,7 +322,6 @@ def _with_classes(texts: DataFrame, counts: DataFrame, local: Local, classes: np
                 # a text ends in an end, so each of its words has a token after it
                 cell = (_before(cls, ends, CLASSES) * k + np.append(cls[1:], CLASSES)).astype(np.uint16)
                 open_ = (item >= local.n_items) & (g >= 0)
-                open_[open_] = among.has(h[open_].view(np.int64))
                 held = (np.concatenate([held[0], h[open_]]), np.concatenate([held[1], cell[open_]]))
                 if len(held[0]) > 4 * FLUSH:
                     yield out(held)
@@ -340,7 +338,7 @@ def _with_classes(texts: DataFrame, counts: DataFrame, local: Local, classes: np
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["hash", "moved"])
 
     seen = texts.mapInArrow(sides, "hash bigint, cells binary").groupBy("hash").agg(F.collect_list("cells").alias("cells"))
-    moved = seen.join(items, "hash", "left_semi").mapInArrow(move, "hash bigint, moved int").unionAll(done)
+    moved = seen.mapInArrow(move, "hash bigint, moved int").unionAll(done)
     of_group = F.array(F.lit(CLASSES), *(F.lit(int(c)) for c in classes[-GROUPS - 1 : -1]))
     return counts.join(moved, "hash", "left").select("hash", "n", F.coalesce("moved", F.get(of_group, F.col("grp") + 1)).alias("cls"))
 

@@ -5,8 +5,13 @@ distinct matches of a batch go to the library together and their ids are kept in
 cache, because natural text repeats its words. Bytes are mapped to printable characters for
 the library and back for decoding.
 
-Null text: no ids, decodes to the empty text. Empty text: the same. Long texts are encoded
-whole; only single rows, never a column, are held as Python lists.
+A token is bytes, so a sequence of ids that is cut anywhere can begin or end inside a character:
+``decode`` gives bytes, and text in which such a rest is a replacement character; ``joined`` puts pieces of a
+sequence together before they are read as text, so characters split over them come out whole.
+
+Null text: no ids, decodes to the empty text. Empty text: the same. Null ids: no bytes. Long texts are encoded
+whole; only single rows, never a column, are held as Python lists. Rows that tie or repeat are coded each.
+Columns named as the results are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -160,36 +165,45 @@ def encode(
     return kept.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """``df`` with ``bytes_col``: the bytes that the ids stand for (null ids: none).
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", text_col: str | None = None) -> DataFrame:
+    """``df`` with ``bytes_col``: the bytes that the ids stand for (null ids: none), and with ``text_col`` if named.
 
-    Bytes, not text: a cut sequence of ids may end inside a character. ``decoded_text`` turns
-    them into text, with a replacement character for what is not whole.
+    The vocabulary's names of the tokens are joined and the byte table is reversed. The text has a
+    replacement character for each part of a character that the ids begin or end with.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import BinaryType, StructField, StructType
+    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-    ranks = read_ranks(ranks_path)
-    tokens = [b""] * (max(ranks.values()) + 1)
+    ranks, table = read_ranks(ranks_path), byte_table()
+    names = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
-    kept = df.drop(bytes_col)
-    schema = StructType(kept.schema.fields + [StructField(bytes_col, BinaryType(), False)])
+        names[rank] = "".join(map(table.__getitem__, token))
+    shared = df.sparkSession.sparkContext.broadcast(names)
+    kept = df.drop(bytes_col, *([text_col] if text_col else []))
+    made_fields = [StructField(bytes_col, BinaryType(), False)] + ([StructField(text_col, StringType(), False)] if text_col else [])
+    schema = StructType(kept.schema.fields + made_fields)
     arrow, at = to_arrow_schema(schema), kept.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.__getitem__
+        byte_of = {ord(ch): byte for byte, ch in byte_table().items()}
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 rows = (batch.column(at)[i].values for i in range(batch.num_rows))
-                made = pa.array([b"".join(map(get, ids.to_numpy().tolist())) if ids is not None else b"" for ids in rows], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*batch.columns, made], arrow.types)], schema=arrow)
+                # a character of the table becomes that of its byte, which Latin-1 writes as that byte
+                found = ["".join(map(get, ids.to_numpy().tolist())).translate(byte_of).encode("latin-1") if ids is not None else b"" for ids in rows]
+                made = [pa.array(found, pa.binary())] + ([pa.array([b.decode("utf-8", "replace") for b in found], pa.string())] if text_col else [])
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*batch.columns, *made], arrow.types)], schema=arrow)
 
     return kept.mapInArrow(run, schema)
 
 
-def decoded_text(column: str = "decoded"):
-    """The decoded bytes as text."""
-    return F.decode(F.col(column), F.lit("UTF-8"))
+def joined(pieces: DataFrame, key_cols: list[str], order_col: str, ranks_path: str, ids_col: str = "ids") -> DataFrame:
+    """(*key_cols, ids, decoded, text) of sequences given in pieces, one row for each, in order of ``order_col``.
+
+    The ids of a sequence are joined before they are decoded, as a character may be split over pieces.
+    """
+    whole = pieces.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("at"), F.col(ids_col).alias("ids")))).alias("__parts"))
+    whole = whole.select(*key_cols, F.flatten(F.transform(F.filter("__parts", lambda p: p["ids"].isNotNull()), lambda p: p["ids"])).alias("ids"))
+    return decode(whole, ranks_path, "ids", "decoded", "text")

@@ -7,21 +7,29 @@ compared: the aggregation has them as a grouping key, so copies collapse before
 and a bucket of many equal copies is one row for each task. Should different canonical texts
 share a digest, each gets the digest and its ordinal among them in byte order.
 
-Null text: as the empty text. Long texts are digested whole. Repeated rows get equal results.
+Null text: as the empty text. Long texts are digested whole. Repeated rows get equal results, but for what follows
+them: null ids come last, and rows that share an id stand in order of a hash of their text. An empty table gives no rows.
+Columns named as the results are replaced, others are kept (``fingerprint``) or not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ._shared import among
+from ._shared import among, materialize, slices
 
-BLOCK_BITS = 10
+_NAMES = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
+_TYPES = ("bigint", "string", "string", "string", "string")
+_KINDS = (pa.int64(), *(pa.string(),) * 4)
 
 
 def canonical(text: str | None) -> str:
@@ -38,19 +46,17 @@ def digest_of(text: str | None) -> str:
     return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
 
 
-@F.pandas_udf(StringType())
-def _digest(texts: pd.Series) -> pd.Series:
-    return texts.map(digest_of, na_action=None)
-
-
 @F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action=None)
 
 
-def with_digest(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``df`` with a digest column for each text column: ``columns`` maps text to digest."""
-    return df.withColumns({digest: _digest(F.col(text)) for text, digest in columns.items()})
+def _digested(digest: Callable) -> Callable:
+    @F.pandas_udf(StringType())
+    def own(texts: pd.Series) -> pd.Series:
+        return texts.map(digest, na_action=None)
+
+    return own
 
 
 def collisions(texts: DataFrame) -> DataFrame:
@@ -66,21 +72,16 @@ def collisions(texts: DataFrame) -> DataFrame:
     return distinct.join(several, "digest", "left_semi").select("digest", "canonical", F.row_number().over(order).alias("ordinal"))
 
 
-def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
+def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint", digest: Callable = digest_of) -> DataFrame:
     """``df`` with ``out_col``: equal for rows whose canonical texts are equal, and only for them."""
-    rows = df.withColumn(out_col, _digest(F.col(text_col)))
+    rows = df.withColumn(out_col, _digested(digest)(F.col(text_col)))
     clash = collisions(rows.select(F.col(text_col).alias("text"), F.col(out_col).alias("digest")))
-    return resolve(rows, clash, text_col, out_col)
-
-
-def resolve(rows: DataFrame, clash: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """Add the ordinal to digests in ``clash``; the others stay as they are."""
     if clash.isEmpty():
         return rows
     clash = clash.select(F.col("digest").alias(out_col), F.col("canonical").alias("__canonical"), F.col("ordinal").alias("__ordinal"))
     marked = rows.withColumn("__canonical", _canonical(F.col(text_col))).join(clash, [out_col, "__canonical"], "left")
     full = F.concat(F.col(out_col), F.coalesce(F.concat(F.lit("-"), F.col("__ordinal").cast("string")), F.lit("")))
-    return marked.withColumn(out_col, full).drop("__canonical", "__ordinal")
+    return marked.withColumn(out_col, full).drop("__canonical", "__ordinal").select(*rows.columns)
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,34 +90,118 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_rows"), F.min(id_col).alias("first_id"))
 
 
-def followed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_id, next): each row's text, and the row after it in descending order of id.
-
-    After the last row comes the first. Ids are dealt in blocks of ``1 << BLOCK_BITS`` values,
-    and a block also gets a copy of the first row of the next block that has rows, so a window
-    inside it sees all that its rows need and texts are shuffled once. The blocks' first ids are
-    ordered in two levels, one task for each ``1 << 2 * BLOCK_BITS`` ids. Null ids come last;
-    rows that share an id are in order of text.
+def _first_and_last(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (id, text): what ``make`` gives for each text and the one after it; the last
+    row of a range waits for the next range, so its text and that of the first row go along."""
+    from pyspark import TaskContext
+
+    part, waiting, first = TaskContext.get().partitionId(), None, True
+    for whole in batches:
+        for batch in slices(whole, 1, 4 << 20):
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            if not texts:
+                continue
+            head = texts[0] if first else None
+            if waiting is not None:
+                ids, texts = pa.concat_arrays([waiting[0], ids]), [waiting[1], *texts]
+            waiting = (ids.slice(len(ids) - 1), texts[-1])
+            done = len(texts) - 1
+            yield _made(part, ids.slice(0, done), make(texts[:-1], texts[1:]), ids.slice(1), [None] * done, [None] * done)
+            if first:
+                yield _made(part, ids.slice(0, 1), None, pa.nulls(1, ids.type), [head], [None])
+                first = False
+    if waiting is not None:
+        yield _made(part, waiting[0], None, pa.nulls(1, waiting[0].type), [None], [waiting[1]])
+
+
+def _made(part: int, ids: pa.Array, made: list[list] | None, next_ids: pa.Array, heads: list, tails: list) -> pa.RecordBatch:
+    n = len(ids)
+    values = [pa.array(column, kind) for column, kind in zip(made, _KINDS)] if made else [pa.nulls(n, kind) for kind in _KINDS]
+    columns = [pa.array(np.full(n, part, np.int32)), ids, next_ids, *values, pa.array(heads, pa.string()), pa.array(tails, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "id", "next_id", *_NAMES, "head", "tail"])
+
+
+def by_descending_id(df: DataFrame, make: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, next_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint): what ``make``
+    gives for the lists of the rows' texts and of those that follow in descending order of id.
+
+    After the last row comes the first. Null ids come last; rows that share an id are in order of
+    a hash of their text. Texts are shuffled once, by range, and each range's rows are met in a stream; only one
+    row for each range waits for the first row of the next.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"part int, id {kind}, next_id {kind}, {', '.join(f'{n} {t}' for n, t in zip(_NAMES, _TYPES))}, head string, tail string"
+    found = materialize(ranges.mapInArrow(lambda batches: _first_and_last(batches, make), schema), "followed")
+    done = found.where("head is null and tail is null").select("id", "next_id", *_NAMES)
+    # two rows for each range, as many as shuffle partitions whatever the input
+    heads = found.where("head is not null").select("part", F.col("id").alias("next_id"), "head")
+    tails = found.where("tail is not null").select("part", "id", "tail")
+    turn = Window.orderBy("part")
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.struct("next_id", "head")
+    after = heads.select("part", F.coalesce(F.lead(head).over(turn), F.first(head).over(whole)).alias("after"))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(made, _KINDS))], names=["id", "next_id", *_NAMES])
+
+    last = tails.join(after, "part").select("id", "after.next_id", "tail", "after.head").mapInArrow(rest, done.schema)
+    return done.unionAll(last)
+
+
+def edited(text: str, following: str) -> str:
+    """``text`` with its second half replaced by as much of the beginning of ``following``, or all of that."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def fingerprints(texts: list[str], following: list[str], marks: dict[tuple[str, str], int], digest: Callable) -> list[list]:
+    """The columns of ``by_descending_id``; ``marks`` are the ordinals of different texts that share a digest."""
+
+    def mark(text: str) -> str:
+        own = digest(text)
+        ordinal = marks.get((own, canonical(text))) if marks else None
+        return own if ordinal is None else f"{own}-{ordinal}"
+
+    changed = [edited(a, b) for a, b in zip(texts, following)]
+    own = [mark(t) for t in texts]
+    after = [*own[1:], mark(following[-1])] if following[:-1] == texts[1:] and texts else [mark(t) for t in following]
+    sums = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
+    return [[len(t) for t in texts], sums, own, [mark(t) for t in changed], after]
+
+
+def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable = digest_of) -> DataFrame:
+    """The columns of ``by_descending_id`` with exact fingerprints: of each text, its edited text and the next text.
+
+    Digests that occur once are whole. Texts behind the others are read again and their
+    canonical bytes are compared; only if some differ is the work done again with their ordinals.
     """
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key"))
-    heads = df.select(key.alias("key")).groupBy(F.shiftright("key", BLOCK_BITS).alias("block")).agg(F.max("key").alias("head"))
-    heads = heads.withColumn("outer", F.shiftright("block", BLOCK_BITS))
-    across = Window.orderBy(F.col("outer").desc())
-    tops = heads.groupBy("outer").agg(F.max("head").alias("top"))
-    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select("outer", F.coalesce(F.lead("top").over(across), F.first("top").over(whole)).alias("top_after"))
-    inside = Window.partitionBy("outer").orderBy(F.col("block").desc())
-    after = heads.join(tops, "outer").select(F.col("block").alias("of_block"), F.coalesce(F.lead("head").over(inside), "top_after").alias("head"))
-    guests = among(rows.select("text", "key"), after.select("head"), "key").join(after, F.col("key") == F.col("head")).groupBy("of_block").agg(F.min(F.struct("text", "key")).alias("head"))
-    hosts = rows.select(F.shiftright("key", BLOCK_BITS).alias("block"), F.lit(False).alias("guest"), "key", "id", "text")
-    guests = guests.select(F.col("of_block").alias("block"), F.lit(True).alias("guest"), "head.key", F.col("head.key").alias("id"), "head.text")
-    order = Window.partitionBy("block").orderBy("guest", F.col("key").desc(), "text")
-    both = hosts.unionAll(guests).withColumns({"next": F.lead("text").over(order), "next_id": F.lead("id").over(order)})
-    return both.where("not guest").select("id", "text", "next_id", "next")
-
-
-def digests_of(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, digest) of the rows whose id is among ``ids`` (a column), and of a few others."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return with_digest(among(rows, ids, "id").select("text"), {"text": "digest"})
+    plain = lambda texts, following: fingerprints(texts, following, {}, digest)
+    rows = by_descending_id(df, plain, id_col, text_col)
+    digests = rows.select("id", F.col("fingerprint").alias("digest")).unionAll(rows.select("id", F.col("edited_fingerprint").alias("digest")))
+    again = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    again = materialize(again, "digests-again")
+    of = lambda c: rows.join(again, rows[c] == again["digest"], "left_semi")
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = [_digests(among(docs, of("fingerprint").select("id"), "id"), digest)]
+    changed = materialize(of("edited_fingerprint").select("id", "next_id"), "edited-ids")
+    if not changed.isEmpty():
+        few = materialize(among(docs, changed.select("id").unionAll(changed.select("next_id")), "id"), "edited-texts")
+        own, after = few.select(F.col("id").alias("own_id"), F.col("text").alias("own")), few.select(F.col("id").alias("after_id"), F.col("text").alias("after"))
+        both = changed.join(own, F.col("id").eqNullSafe(F.col("own_id"))).join(after, F.col("next_id").eqNullSafe(F.col("after_id")))
+        n = F.length("own")
+        half = F.floor(n / 2).cast("int")
+        made = both.select(F.concat(F.substr("own", F.lit(1), n - half), F.substr("after", F.lit(1), half)).alias("text"))
+        texts.append(_digests(made, digest))
+    clash = collisions(materialize(texts[0].unionAll(texts[-1]) if len(texts) > 1 else texts[0], "shared-digests"))
+    marks = {(r["digest"], r["canonical"]): r["ordinal"] for r in clash.collect()}  # none, but for broken digests
+    return by_descending_id(df, lambda texts, following: fingerprints(texts, following, marks, digest), id_col, text_col) if marks else rows
+
+
+def _digests(texts: DataFrame, digest: Callable) -> DataFrame:
+    """(text, digest) of the column text."""
+    return texts.select("text", _digested(digest)(F.col("text")).alias("digest"))

@@ -1,18 +1,20 @@
 """Formatting conversations as budgeted windows with a loss mask.
 
-DataFrame operations only. The tokens of a conversation's turns are summed up in order, and
-the sums choose spans of whole turns: a turn of half the budget or more is a span of its own,
-the others are cut where their running sum passes a multiple of half the budget, so a span of
-several turns stays within the budget. Each span becomes a window that retains the system
-turn, repeats the last ``history`` turns before it (those of ``history_tokens`` at most) and
-then has its own turns. The loss mask covers the text of the span's own assistant turns;
-repeated targets are masked, so every assistant text is learnt once.
+DataFrame operations only. Each window retains the system turn, repeats the last ``history`` turns
+before it (of ``history_tokens`` together at most) and then has its own span of turns. What is left of the budget for a span is
+its *room*: the budget without the system turn and without ``history_tokens``. The tokens of the other turns
+are summed up in order, and the sums choose the spans: a turn of half the room or more is a span
+of its own, the others are cut where their running sum passes a multiple of half the room, so a
+span of several turns stays within the room. History is repeated only as far as the window stays within
+the budget. So a window passes the budget only if the system turn and one turn of a span of its own do: texts are never cut.
+The loss mask covers the text of the span's own assistant turns; repeated targets are masked, so every assistant text is learnt once.
 
 Template: ``<|turn|>`` role newline text ``<|end|>`` newline. Control strings inside texts are
 escaped reversibly with ``&`` codes.
 
-Null text or role: empty. Null turn numbers come first; turns that tie are in order of role
-and text. Texts are never cut. A conversation without assistant turns has an empty mask.
+Null text or role: empty. Null turn numbers come first; turns that tie, and repeated rows, are turns each, in order of role
+and text. A null conv_id is a conversation. A conversation without assistant turns has an empty mask; an empty table has no
+windows. Other columns are not looked at and not returned. A conversation is one task's, as its running sums need.
 """
 
 from __future__ import annotations
@@ -51,36 +53,44 @@ def windows(df: DataFrame, budget: int = 1024, history: int = 2, history_tokens:
     ``n_context`` turns at the head of a window are repeated; ``loss`` has the first and the
     past-the-end code point of each piece of ``text`` under the loss mask.
     """
-    half = budget // 2
     rows = df.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("body")
     ).withColumn("tokens", count_tokens(F.col("body")))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    is_long = F.col("tokens") >= half
-    rows = rows.select(
-        "*",
-        F.row_number().over(order).alias("at"),
-        is_long.alias("is_long"),
-        F.coalesce(F.sum(F.when(~is_long, F.col("tokens"))).over(before), F.lit(0)).alias("short_before"),
-        F.coalesce(F.sum(is_long.cast("long")).over(before), F.lit(0)).alias("long_before"),
+    whole = Window.partitionBy("conv_id")
+    rows = rows.withColumn("at", F.row_number().over(order))
+    rows = rows.withColumn("is_system", (F.col("role") == "system") & (F.col("at") == 1))
+    rows = rows.withColumn("system", F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(whole))
+    half = F.greatest(F.lit(1), F.floor((budget - F.col("system") - history_tokens) / 2))
+    counted = F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))
+    rows = rows.withColumns({"half": half, "counted": counted}).withColumn("is_long", F.col("counted") >= F.col("half"))
+    rows = rows.withColumns(
+        {
+            "short_before": F.coalesce(F.sum(F.when(~F.col("is_long"), F.col("counted"))).over(before), F.lit(0)),
+            "long_before": F.coalesce(F.sum(F.col("is_long").cast("long")).over(before), F.lit(0)),
+            "all_before": F.coalesce(F.sum("counted").over(before), F.lit(0)),
+        }
     )
     by_at = Window.partitionBy("conv_id").orderBy("at")
-    mark = F.struct("is_long", "long_before", F.when(~F.col("is_long"), F.floor(F.col("short_before") / half)).alias("cut"))
-    rows = rows.withColumn("mark", mark)
+    # the system turn is in the span of the turn after it
+    mark = F.struct("is_long", "long_before", F.when(~F.col("is_long"), F.floor(F.col("short_before") / F.col("half"))).alias("cut"))
+    rows = rows.withColumn("mark", mark).withColumn("mark", F.when(F.col("is_system"), F.coalesce(F.lead("mark").over(by_at), "mark")).otherwise(F.col("mark")))
     rows = rows.withColumn("starts", (~F.col("mark").eqNullSafe(F.lag("mark").over(by_at))).cast("long"))
     rows = rows.withColumn("window", F.sum("starts").over(by_at.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    ahead = [F.lead("window", k).over(by_at) for k in range(1, history + 1)]
+    rows = rows.withColumn("spare", budget - F.col("system") - F.sum("counted").over(Window.partitionBy("conv_id", "window")))
+    ahead = [F.lead(F.struct("window", "all_before", "spare"), k).over(by_at) for k in range(1, history + 1)]
     rows = rows.select(
-        "conv_id", "at", "role", "body", "window", "tokens",
+        "conv_id", "at", "role", "body", "window", "all_before", "is_system",
         F.array_compact(F.array(*ahead)).alias("ahead"),
-        F.max("window").over(Window.partitionBy("conv_id")).alias("last"),
+        F.max("window").over(whole).alias("last"),
     )
-    is_system = (F.col("role") == "system") & (F.col("at") == 1)
-    later = F.filter(F.array_distinct("ahead"), lambda w: w > F.col("window"))
+    # a later window is met first at its first turn: what is between that and here would be repeated with it
+    met = F.filter("ahead", lambda w, i: (w["window"] > F.col("window")) & ((i == 0) | (F.get(F.col("ahead"), i - 1)["window"] < w["window"])))
+    fits = F.filter(met, lambda w: w["all_before"] - F.col("all_before") <= F.least(F.lit(history_tokens), w["spare"]))
+    later = F.transform(fits, lambda w: w["window"])
     none = F.array().cast("array<bigint>")
-    again = F.when(is_system, F.when(F.col("last") > F.col("window"), F.sequence(F.col("window") + 1, F.col("last"))).otherwise(none))
-    again = again.when(F.col("tokens") <= history_tokens, later).otherwise(none)
+    again = F.when(F.col("is_system"), F.when(F.col("last") > F.col("window"), F.sequence(F.col("window") + 1, F.col("last"))).otherwise(none)).otherwise(later)
     placed = rows.select(
         "conv_id", "at", "role", "body", F.col("window").alias("own"), F.explode(F.concat(F.array("window"), again)).alias("window")
     )

@@ -3,42 +3,48 @@
 A word's features are its affixes (1 to 3 characters), its character 2- and 3-grams and the
 word itself (the lexicon), hashed into ``1 << HASH_BITS`` weights
 for each label. Labels are the languages; transition weights are learned with them. Training
-maximises the conditional likelihood by forward-backward on sequences of ``LENGTH`` words, of
-which a part is spliced from two documents, so that transitions between languages occur.
+maximises the conditional likelihood by forward-backward on all runs of ``LENGTH`` words of the sampled texts, of
+which a part is spliced from two runs, so that transitions between languages occur.
+
+The sample is at most ``SAMPLE`` rows of each language (those of the smallest hashes of id and text;
+equal rows count once); of these, whole texts are read. An epoch trains ``SHARDS`` parts of it side
+by side, each from the same weights, and goes on with the mean of what they found (McDonald, Hall
+and Mann 2010), so no text leaves the executors.
 
-Training reads at most ``SAMPLE`` documents of each language (the smallest by a checksum of
-their id) and at most ``SEQUENCES`` stretches of ``LENGTH`` words, evenly spaced, from each (words of ``LONGEST`` characters at most).
 Prediction labels every word of every document: chains are runs of ``LENGTH`` words, the
 posteriors of forward-backward are summed over the document, and the label with most of it is
-the document's language; its share is the score.
+the document's language; its share is the score. ``spans`` gives the words' own labels.
 
 A text that is null or has no letter is ``und`` with score 0. Words without a letter have no
-features and follow their neighbours. With no labelled text at all, everything is ``und``.
+features and follow their neighbours. With no labelled text at all, everything is ``und``. Rows without text or
+language are not learnt from. Long texts are read whole. Repeated rows, and rows that share an id, are each predicted. Ties
+go to the label first in order. Columns named as the results are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import among, materialize, mix64
+from ._shared import materialize, mix64, slices
 
 HASH_BITS = 17
 LENGTH = 32
 SAMPLE = 600
-SEQUENCES = 4
 EPOCHS = 4
-PARTS = 64
+SHARDS = 4
+PARTS = 16
+BATCH, BUFFER = 128, 4096
 RATE = 0.3
 UNKNOWN = "und"
 CACHE_WORDS = 120_000
 MOST = 48
-LONGEST = 40
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,93 +188,144 @@ class Model:
         return out
 
 
-def train(sequences: list[tuple[str, list[str]]], seed: int = 7) -> Model:
-    """Fit a field on (language, words) stretches."""
-    labels = sorted({lang for lang, _ in sequences})
-    n = max(1, len(labels))
-    weights, total = np.zeros((1 << HASH_BITS, n), np.float32), np.full((1 << HASH_BITS, n), 1e-6, np.float32)
-    transition, first = np.zeros((n, n)), np.zeros(n)
-    move_total, first_total = np.full((n, n), 1e-6), np.full(n, 1e-6)
-    rng = np.random.default_rng(seed)
-    vocabulary: dict[str, int] = {}
-    sequences = sorted(sequences)
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words[:LENGTH]]) for _, words in sequences]
-    label = np.array([labels.index(lang) for lang, _ in sequences])
-    place, hashed, _ = features(list(vocabulary))
-    order = np.argsort(place, kind="stable")
-    place, hashed = place[order], hashed[order]
-    counts = np.bincount(place, minlength=len(vocabulary))
-    grid = np.full((len(vocabulary), max(1, counts.max(initial=1))), -1, np.int64)
-    grid[place, np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)] = hashed
-    for _ in range(EPOCHS):
+class Trainer:
+    """Weights, and the sums of their squared slopes, that learn from runs of words of one language."""
+
+    def __init__(self, labels: list[str], arrays: list[np.ndarray] | None = None) -> None:
+        n = max(1, len(labels))
+        sizes = ((1 << HASH_BITS, n), (n, n), (n,))
+        self.labels = labels
+        self.arrays = arrays or [np.zeros(size, np.float32) for size in sizes] + [np.full(size, 1e-6, np.float32) for size in sizes]
+
+    def model(self) -> Model:
+        weights, transition, first = self.arrays[:3]
+        return Model(self.labels, weights, transition.astype(float), first.astype(float))
+
+    def code(self, runs: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Words as numbers, the place of each word's first feature, and all features."""
+        known: dict[str, int] = {}
+        coded = [np.array([known.setdefault(w, len(known)) for w in run]) for run in runs]
+        place, hashed, _ = features(list(known))
+        hashed = hashed[np.argsort(place, kind="stable")]
+        return coded, np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(known)))]), hashed
+
+    def learn(self, runs: list[tuple[int, list[str]]], rng: np.random.Generator) -> None:
+        """One pass over (label, words), in batches of random order."""
+        coded, begin, hashed = self.code([words for _, words in runs])
+        label = np.array([lang for lang, _ in runs])
         order = rng.permutation(len(coded))
-        for at in range(0, len(order), 256):
-            picked = order[at : at + 256]
+        for at in range(0, len(order), BATCH):
+            picked = order[at : at + BATCH]
             words, gold = np.full((len(picked), LENGTH), -1, np.int64), np.zeros((len(picked), LENGTH), np.int64)
             for row, i in enumerate(picked):
                 own = coded[i]
                 words[row, : len(own)], gold[row] = own, label[i]
-                if rng.random() < 0.3:  # code-switching: the second half is from another stretch
+                if rng.random() < 0.3:  # code-switching: the second half is from another run
                     j = int(rng.integers(len(coded)))
-                    other = coded[j][: LENGTH // 2]
-                    cut = len(own) // 2
+                    other, cut = coded[j][: LENGTH // 2], len(own) // 2
                     words[row, cut:] = -1
                     words[row, cut : cut + len(other)] = other[: LENGTH - cut]
                     gold[row, cut:] = label[j]
-            real = words >= 0
-            cells = grid[words[real]]
-            has = cells >= 0
-            emission = np.zeros((len(picked), LENGTH, n))
-            emission[real] = (weights[np.maximum(cells, 0)] * has[:, :, None]).sum(axis=1)
-            posterior, pair = forward_backward(emission, transition, first, real)
-            truth = np.eye(n)[gold]
-            slope = (truth - posterior)[real] / len(picked)
-            follow = real[:, 1:] & real[:, :-1]
-            seen = np.zeros((n, n))
-            np.add.at(seen, (gold[:, :-1][follow], gold[:, 1:][follow]), 1)
-            where = cells[has]
-            change = np.repeat(slope, has.sum(axis=1), axis=0).astype(np.float32)
-            touched, inverse = np.unique(where, return_inverse=True)
-            summed = np.zeros((len(touched), n), np.float32)
-            np.add.at(summed, inverse, change)
-            total[touched] += summed**2
-            weights[touched] += RATE * summed / np.sqrt(total[touched])
-            for value, slope_of, sums in (
-                (transition, (seen - pair) / len(picked), move_total),
-                (first, (truth[:, 0] - posterior[:, 0]).sum(axis=0) / len(picked), first_total),
-            ):
-                sums += slope_of**2
-                value += 0.1 * slope_of / np.sqrt(sums)
-    return Model(labels, weights, transition, first)
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            self.step(words, gold, begin, hashed)
+
+    def step(self, words: np.ndarray, gold: np.ndarray, begin: np.ndarray, hashed: np.ndarray) -> None:
+        weights, transition, first, total, move_total, first_total = self.arrays
+        real = words >= 0
+        own = words[real]
+        n_features = begin[own + 1] - begin[own]
+        cells = hashed[np.repeat(begin[own] - np.cumsum(n_features) + n_features, n_features) + np.arange(n_features.sum())]
+        scale = np.repeat(1 / np.maximum(1.0, n_features / MOST), n_features)[:, None].astype(np.float32)
+        word = np.repeat(np.arange(len(own)), n_features)
+        emission = np.zeros((*words.shape, weights.shape[1]))
+        emission[real] = np.stack([np.bincount(word, (weights[cells, k] * scale[:, 0]), len(own)) for k in range(weights.shape[1])], axis=1)
+        posterior, pair = forward_backward(emission, transition.astype(float), first.astype(float), real)
+        truth = np.eye(weights.shape[1])[gold]
+        slope = ((truth - posterior)[real] / len(words)).astype(np.float32)
+        touched, inverse = np.unique(cells, return_inverse=True)
+        summed = np.stack([np.bincount(inverse, slope[word, k] * scale[:, 0], len(touched)) for k in range(weights.shape[1])], axis=1).astype(np.float32)
+        total[touched] += summed**2
+        weights[touched] += RATE * summed / np.sqrt(total[touched])
+        follow = real[:, 1:] & real[:, :-1]
+        seen = np.zeros(transition.shape)
+        np.add.at(seen, (gold[:, :-1][follow], gold[:, 1:][follow]), 1)
+        for value, change, sums in ((transition, (seen - pair) / len(words), move_total), (first, (truth[:, 0] - posterior[:, 0]).sum(axis=0) / len(words), first_total)):
+            sums += (change**2).astype(np.float32)
+            value += (0.1 * change / np.sqrt(sums)).astype(np.float32)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], labels: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(label, words) of all runs of the rows (lang, text)."""
     for batch in batches:
-        langs, words = [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = [w for w in text.lower().split() if len(w) <= LONGEST and any(map(str.isalpha, w))]
-            last = max(0, len(own) - LENGTH)
-            for start in sorted({last * i // max(1, SEQUENCES - 1) for i in range(SEQUENCES)}):
-                if own:
-                    langs.append(lang)
-                    words.append(own[start : start + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["lang", "words"])
+            own = text.lower().split()
+            for start in range(0, len(own), LENGTH):
+                yield labels.index(lang), own[start : start + LENGTH]
+
+
+def sampled(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text, at) of the rows to learn from, ``SAMPLE`` of each language at most, materialised."""
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = labelled.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("at")).where("text is not null and lang is not null")
+    # rows are ranked without their texts, in parts of a language first
+    ranked = rows.select("lang", "at").distinct()
+    for keys in ([F.col("lang"), F.pmod("at", F.lit(PARTS))], [F.col("lang")]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where(F.col("rank") <= SAMPLE).drop("rank")
+    ranked = materialize(ranked, "language-ranks")
+    return materialize(rows.join(ranked, ["lang", "at"]).dropDuplicates(["lang", "at"]).select("lang", "text", "at"), "language-sample")
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on a bounded sample of the rows whose text and language are not null."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where("text is not null and lang is not null")
-    # ids are ranked without their texts, in parts of a language first
-    rank = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")).alias("rank")
-    ids = rows.select("id", "lang", rank)
-    for keys in ([F.col("lang"), F.col("rank") % PARTS], [F.col("lang")]):
-        order = Window.partitionBy(*keys).orderBy("rank", "id")
-        ids = ids.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= SAMPLE).drop("__at")
-    ids = materialize(ids.select("id", F.col("lang").alias("of_lang")), "language-sample")
-    sample = among(rows, ids.select("id"), "id").join(ids, "id").where(F.col("lang") == F.col("of_lang"))
-    got = sample.select("lang", "text").mapInArrow(_stretches, "lang string, words array<string>").collect()
-    return train([(r["lang"], list(r["words"])) for r in got])
+    rows = sampled(labelled, id_col, text_col, lang_col)
+    context = labelled.sparkSession.sparkContext
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    trainer = Trainer(labels)
+    parts = rows.repartition(SHARDS, F.pmod("at", F.lit(SHARDS))).sortWithinPartitions("at").select("lang", "text")
+    for epoch in range(EPOCHS if labels else 0):
+        shared = context.broadcast((labels, trainer.arrays))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            own = Trainer(shared.value[0], [a.copy() for a in shared.value[1]])
+            rng, runs, n = np.random.default_rng(epoch), _runs(batches, own.labels), 0
+            while part := list(islice(runs, BUFFER)):
+                own.learn(part, rng)
+                n += len(part)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([[a.tobytes() for a in own.arrays]], pa.list_(pa.binary()))], names=["n", "arrays"])
+
+        found = parts.mapInArrow(run, "n bigint, arrays array<binary>").collect()
+        if found:
+            share = np.array([r["n"] for r in found]) / sum(r["n"] for r in found)
+            trainer.arrays = [
+                sum(np.float32(w) * np.frombuffer(r["arrays"][i], np.float32).reshape(a.shape) for w, r in zip(share, found)) for i, a in enumerate(trainer.arrays)
+            ]
+    return trainer.model()
+
+
+def spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start int, end int, lang): runs of words (split at white space) with one label, of texts with a letter."""
+    doc_type = df.schema[id_col].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            rows, starts, ends, langs = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = text.lower().split() if text else []
+                if not own.labels or not any(map(str.isalpha, text or "")):
+                    continue
+                best = own.words(words)[0].argmax(axis=1)
+                cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(words)]
+                for start, end in zip(cuts, cuts[1:]):
+                    rows.append(i)
+                    starts.append(start)
+                    ends.append(end)
+                    langs.append(own.labels[best[start]])
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(langs, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "end", "lang"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {doc_type}, start int, end int, lang string")
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -276,8 +333,6 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    from ._shared import slices
-
     kept = df.drop("lang_pred", "lang_score")
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType(), False), StructField("lang_score", DoubleType(), False)])
     arrow, at = to_arrow_schema(schema), kept.columns.index(text_col)

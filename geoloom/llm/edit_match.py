@@ -4,13 +4,16 @@ A test item of n normalised characters may differ from a passage by ``n // 12``
 cut into one piece more than that, so a passage within the budget holds one piece unchanged.
 An automaton of all pieces finds their exact hits in a document, and each hit's surroundings
 are verified with Myers' bit-parallel distance. Texts are case-folded and their white space
-is folded to single spaces first; documents are searched whole.
+is folded to single spaces first; documents are searched whole. An item without an edit to spare
+(fewer than ``CHARS_PER_EDIT`` characters) is a passage only between characters that are no letters or digits.
 
 The benchmark is measured first and dealt into blocks of about ``BLOCK_CHARS`` characters; each
 block is one pass over the documents, so what a worker holds is bounded whatever its size.
 
-Null or blank texts match nothing, and nor do null or blank items. Equal items are reported
-each under its own id. Repeated documents are reported repeatedly.
+Null or blank texts match nothing, and nor do null or blank items or items without an id. Equal items are reported
+each under its own id; rows of one id are items each, and equal rows are one. Repeated documents are reported repeatedly, and so are
+those that share an id. Of equally near passages of an item the one found first is given. Very long texts and items are
+read whole. An empty benchmark or table gives no rows. Only the id and text columns are looked at; ``clean`` keeps the others.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize, slices
+
 CHARS_PER_EDIT = 12
 BLOCK_CHARS = 1_000_000
 _STATE: dict = {}
@@ -73,6 +78,11 @@ def best_match(masks: dict[str, int], length: int, text: str) -> tuple[int, int]
     return best, at
 
 
+def _inside_a_word(text: str, start: int, end: int) -> bool:
+    """Whether a letter or digit goes on on either side."""
+    return any(text[at].isalnum() and text[next_to].isalnum() for at, next_to in ((start, start - 1), (end - 1, end)) if 0 <= next_to < len(text))
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         import ahocorasick
@@ -97,6 +107,8 @@ class Matcher:
         for end, (length, where) in self.automaton.iter(text):
             for i, offset in where:
                 start = end + 1 - length - offset
+                if not self.items[i][2] and _inside_a_word(text, start, end + 1):
+                    continue
                 run = (i, start // (self.items[i][2] + 1))
                 low, top = starts.get(run, (start, start))
                 starts[run] = (min(low, start), max(top, start))
@@ -122,7 +134,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     dealt = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
     for block in range(n):
         rows = dealt.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).collect()
-        yield [(r["id"], text) for r in sorted(rows, key=lambda r: (r["id"], r["text"])) if (text := normalised(r["text"]))]
+        yield sorted({(r["id"], text) for r in rows if (text := normalised(r["text"]))})
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,8 +143,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     ``distance`` is that of the nearest passage and ``end_char`` where it ends in the
     normalised text.
     """
-    from ._shared import slices
-
     spark = docs.sparkSession
     doc_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -164,7 +174,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__found")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that hold no test item, with all their columns. Rows that share an id with one that does go too."""
+    found = matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__found")).distinct()
+    # written, so that its size decides whether texts are shuffled for the join
+    found = materialize(found, "contaminated")
+    return docs.join(found, docs[id_col].eqNullSafe(F.col("__found")), "left_anti")

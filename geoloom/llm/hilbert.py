@@ -5,13 +5,15 @@ Hilbert curve, and the ordered rows are cut into runs of equal length. A shard t
 compact region of every dimension, so the minima and maxima that files keep prune well on
 any of them.
 
-The global rank is found without a global sort: cells have a fixed number (2**(bits*dims)),
-their counts give the rank at which a cell begins, and each cell is split into ``SPREAD``
-parts by a checksum of the row's key, so a cell that holds most of the rows is no single task.
+The global rank is found by a range sort: rows are dealt in ranges of (index on the curve, group, key),
+sorted inside each range and written, so a row's place in its range does not change again; the ranges'
+counts, one number each, give the rank at which a range begins. A cell or a group that holds
+most of the rows ends up in several ranges. Rows of a group (equal texts, say) that are in one cell stand
+side by side, so they share a shard unless a cut falls between them, as it must in a group larger than what is left of the shard.
 
 Null dimension: coordinate 0. Null text: size 1 and the checksum of the empty text. Rows that
-are equal in all of cell and key tie; either order gives the same result but for their slots.
-An empty table gives no rows.
+are equal in cell, group and key tie; they are put in some order once. Null keys come first. Very long texts
+count by their size. An empty table gives no rows. Columns named as the results are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ._shared import materialize
+
 BITS = 5
-SPREAD = 64
 
 
 def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -61,38 +64,30 @@ def magnitude(column: Column, bits: int = BITS) -> Column:
     return F.coalesce(F.least(step, F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
 
 
-def shard(df: DataFrame, dims: list[Column], key: Column, n_shards: int, bits: int = BITS) -> DataFrame:
+def shard(df: DataFrame, dims: list[Column], key: Column, n_shards: int, bits: int = BITS, group: Column | None = None) -> DataFrame:
     """``df`` with ``curve`` long, ``shard`` int and ``slot`` long; counts differ by one at most.
 
-    Columns of ``df`` with these names are replaced.
+    ``df`` is written to the shared folder on the way, so select the columns that are needed.
     """
-    if bits * len(dims) > 18:
-        raise ValueError("the cells must stay a bounded table: bits * dimensions <= 18")
+    if bits * len(dims) > 62:
+        raise ValueError("an index on the curve is a long: bits * dimensions <= 62")
 
     @F.pandas_udf(LongType())
     def curve(*axes: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index([a.to_numpy() for a in axes], bits))
 
-    names = df.columns
-    kept = [n for n in names if n not in ("curve", "shard", "slot")]
-    rows = df.select(*kept, *(d.alias(f"__axis{i}") for i, d in enumerate(dims)), key.alias("__key"))
-    rows = rows.withColumn("curve", curve(*(F.col(f"__axis{i}") for i in range(len(dims)))))
-    rows = rows.withColumn("__part", (F.crc32(F.coalesce(F.col("__key").cast("string"), F.lit("")).cast("binary")) % SPREAD).cast("int"))
-    parts = rows.groupBy("curve", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    cells = parts.groupBy("curve").agg(F.sum("__n").alias("__cell_n"))
-    # at most 2**18 cells, whatever the input: one task orders them and they can be broadcast
-    cells = cells.select(
-        "curve",
-        (F.sum("__cell_n").over(Window.orderBy("curve")) - F.col("__cell_n")).alias("__cell_at"),
-        F.sum("__cell_n").over(Window.partitionBy()).alias("__total"),
-    )
-    inside = Window.partitionBy("curve").orderBy("__part")
-    starts = parts.join(F.broadcast(cells), "curve").select(
-        "curve", "__part", "__total", (F.col("__cell_at") + F.sum("__n").over(inside) - F.col("__n")).alias("__at")
-    )
-    order = Window.partitionBy("curve", "__part").orderBy(F.col("__key").asc_nulls_first())
-    ranked = rows.withColumn("__rank", F.row_number().over(order).cast("long") - 1).join(starts, ["curve", "__part"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__at"))
+    kept = [n for n in df.columns if n not in ("curve", "shard", "slot")]
+    group = F.lit(0) if group is None else group
+    rows = df.select(*kept, curve(*dims).alias("curve"), group.alias("__group"), key.alias("__key"))
+    ranges = rows.repartitionByRange("curve", F.col("__group"), F.col("__key")).sortWithinPartitions("curve", "__group", "__key")
+    # its high bits are the range's number, in order, and its low ones the place in the range
+    placed = materialize(ranges.select(*kept, "curve", F.monotonically_increasing_id().alias("__at")), "curve-ranges")
+    placed = placed.withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # a row for each range, as many as shuffle partitions whatever the input: one task adds them up
+    before = F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")
+    starts = counts.select("__range", before.alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
+    ranked = placed.join(F.broadcast(starts), "__range").withColumn("__rank", F.col("__before") + F.col("__at"))
     number = F.expr(f"(__rank * {n_shards}) div __total")
     return (
         ranked.withColumn("shard", number.cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown_lm, byte_bpe, canonical_digest, chat_windows, crf_language, edit_match, hilbert, lsh_forest, page_templates, url_rules
-from ._shared import among, crc_mod, materialize, table
+from ._shared import crc_mod, table
 
 SHARDS = 16
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,7 +34,7 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         hilbert.category(F.col("source")).alias("q_source"),
         hilbert.magnitude(F.octet_length(text)).alias("q_size"),
     )
-    placed = hilbert.shard(rows, [F.col("q_lang"), F.col("q_source"), F.col("q_size")], F.col("doc_id"), SHARDS)
+    placed = hilbert.shard(rows, [F.col("q_lang"), F.col("q_source"), F.col("q_size")], F.col("doc_id"), SHARDS, group=F.col("text_crc32"))
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
@@ -44,8 +44,9 @@ def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
-    own = spark.createDataFrame(probe, "conv_id long, turn long, role string, text string")
+    own = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
     read = chat_windows.read_back(chat_windows.windows(rows.unionByName(own)))
     return read.select(
         "conv_id",
@@ -58,46 +59,10 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next", F.lit(1), half))
-    pairs = canonical_digest.followed(docs).withColumn("edited", edited)
-    marked = canonical_digest.with_digest(pairs, {"text": "fingerprint", "edited": "edited_fingerprint", "next": "next_fingerprint"})
-    rows = materialize(
-        marked.select(
-            F.col("id").alias("doc_id"),
-            "next_id",
-            n.cast("long").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            "fingerprint",
-            "edited_fingerprint",
-            "next_fingerprint",
-        ),
-        "digests",
-    )
-    # the bytes of texts that share a digest are compared; other texts are not read again
-    digests = rows.select("doc_id", F.col("fingerprint").alias("digest")).unionAll(rows.select("doc_id", F.col("edited_fingerprint").alias("digest")))
-    again = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    again_of = lambda c: rows.join(again, rows[c] == again["digest"], "left_semi").select(F.col("doc_id").alias("id"))
-    texts = canonical_digest.digests_of(docs, again_of("fingerprint"))
-    changed = again_of("edited_fingerprint")
-    if not changed.isEmpty():
-        ends = rows.join(changed, rows["doc_id"].eqNullSafe(changed["id"]), "left_semi").select("doc_id", "next_id")
-        few = among(docs.select("doc_id", "text"), ends.select("doc_id").unionAll(ends.select("next_id")), "doc_id")
-        few = materialize(few, "edited-texts").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-        after = few.select(F.col("id").alias("next_id"), F.col("text").alias("next"))
-        made = ends.join(few, ends["doc_id"].eqNullSafe(few["id"])).join(after, "next_id").select(edited.alias("text"))
-        texts = texts.unionAll(canonical_digest.with_digest(made, {"text": "digest"}))
-    clash = canonical_digest.collisions(materialize(texts, "shared-digests"))
-    if not clash.isEmpty():  # digests that are not whole: the texts are looked at again
-        full = pairs.select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited", "next")
-        for column, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next", "next_fingerprint")):
-            full = canonical_digest.resolve(canonical_digest.with_digest(full, {column: out}), clash, column, out)
-        rows = full.drop("text", "edited", "next")
+    rows = canonical_digest.compared(table(spark, sf_dir, "documents"))
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
     )
 
 
