@@ -328,13 +328,13 @@ def spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {doc_type}, start int, end int, lang string")
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` string and ``lang_score`` double; such columns are replaced."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", label_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``df`` with ``label_col`` string and ``score_col`` double; such columns are replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    kept = df.drop("lang_pred", "lang_score")
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType(), False), StructField("lang_score", DoubleType(), False)])
+    kept = df.drop(label_col, score_col)
+    schema = StructType([*kept.schema.fields, StructField(label_col, StringType(), False), StructField(score_col, DoubleType(), False)])
     arrow, at = to_arrow_schema(schema), kept.columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
