@@ -14,24 +14,39 @@ MIN_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that most words have, go."""
+    """Documents without a letter (null and empty texts too), or without a language that ``MIN_SHARE`` of their words have, go.
+
+    The model learns from rows with text and language whose id is not in the held-out quarter; without
+    such rows, all go. Each row is judged by itself, whole, whatever its id, repeats and other columns.
+    """
     model = crf_language.fit(docs.where(crc_mod("doc_id", 4) != 2))
-    found = crf_language.predict(docs, model)
-    return found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("lang_score") >= MIN_SHARE)).select(*docs.columns)
+    found = crf_language.predict(docs, model, label_col="__label", score_col="__share")
+    return found.where((F.col("__label") != crf_language.UNKNOWN) & (F.col("__share") >= MIN_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: that of the smallest id.
+
+    Null and empty texts are in no group. Rows without an id stay; of rows that share one, one stays.
+    Whole texts are compared; all columns are kept.
+    """
     return lsh_forest.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, and so do rows that share an id with one.
+
+    Null and empty texts and items hold nothing; an empty benchmark removes nothing. Whole texts
+    are searched; all columns are kept.
+    """
     return edit_match.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text; only texts that the ids give back whole would be trained on."""
+    """(doc_id, lang, source, ids, n_tokens, whole): token ids of each whole text, and whether they give it back.
+
+    A null or empty text has no ids and is whole. Each row is coded by itself; other columns than these are left.
+    """
     ranks, pattern = _tokenizer()
     coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern), ranks)
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
@@ -40,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
 
-#: No stage can be said in SQL; tests hold run() against a brute-force version.
+#: No stage can be said in SQL; tests/llm/test_pipeline.py holds run() against a plain version of all four.
 ORACLE_SQL = None
 
 
