@@ -6,6 +6,7 @@ order or a label take it from the id column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions.planar import literal_box
-from .operators import joins, layers
+from .operators import joins, layers, tabular
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,13 @@ class SpatialFrame:
         """The EPSG code of the UTM zone of the middle of the layer's bounds."""
         frame = self if self.crs == 4326 else self.to_crs(4326)
         minx, miny, maxx, maxy = layers.total_bounds(frame.df, frame.geometry).first()
-        zone = min(60, int(((minx + maxx) / 2 + 180) // 6) + 1)
-        return (32600 if miny + maxy >= 0 else 32700) + zone
+        lon, lat = (minx + maxx) / 2, (miny + maxy) / 2
+        zone = min(60, int((lon + 180) // 6) + 1)
+        if 56 <= lat < 64 and 3 <= lon < 12:  # the wide zone of south-west Norway
+            zone = 32
+        elif 72 <= lat <= 84 and 0 <= lon < 42:  # Svalbard has four zones
+            zone = 31 + 2 * int((lon + 3) // 12)
+        return (32600 if lat >= 0 else 32700) + zone
 
     def _like(self, df: DataFrame) -> SpatialFrame:
         return replace(self, df=df)
@@ -85,8 +91,141 @@ class SpatialFrame:
     def eval(self, expression: str) -> SpatialFrame:
         return self._like(self.df.selectExpr("*", expression))
 
-    def fillna(self, value: Column) -> SpatialFrame:
-        return self._like(self.df.withColumn(self.geometry, F.coalesce(F.col(self.geometry), value)))
+    def fillna(self, value: Column | dict | None = None, limit: int | None = None) -> SpatialFrame:
+        """Null geometries become a geometry, an empty collection by default, the first ``limit`` by id at most; a dict fills attributes."""
+        if isinstance(value, dict):
+            return self._like(self.df.na.fill(value))
+        filler = G.from_wkt(F.lit("GEOMETRYCOLLECTION EMPTY")) if value is None else value
+        missing = F.col(self.geometry).isNull()
+        if limit is not None:
+            few = self.df.where(missing).orderBy(self.id).limit(limit).select(F.col(self.id).alias("__few"))
+            marked = self.df.join(few, F.col(self.id) == F.col("__few"), "left")
+            return self._like(marked.withColumn(self.geometry, F.when(missing & F.col("__few").isNotNull(), filler).otherwise(F.col(self.geometry))).drop("__few"))
+        return self._like(self.df.withColumn(self.geometry, F.coalesce(F.col(self.geometry), filler)))
+
+    # ---- the frame's columns, rows and labels; the label is the id column
+
+    def rename(self, columns: dict[str, str]) -> SpatialFrame:
+        name = lambda c: columns.get(c, c)
+        return replace(self, df=self.df.withColumnsRenamed(columns), geometry=name(self.geometry), id=name(self.id))
+
+    def drop(self, *columns: str) -> SpatialFrame:
+        return replace(self, df=self.df.drop(*columns), geometry=None if self.geometry in columns else self.geometry)
+
+    def insert(self, at: int, name: str, value: Column) -> SpatialFrame:
+        return self._like(tabular.insert(self.df, at, name, value))
+
+    def astype(self, types: dict[str, str]) -> SpatialFrame:
+        return self._like(self.df.withColumns({c: F.col(c).cast(t) for c, t in types.items()}))
+
+    def dropna(self, how: str = "any", subset: list[str] | None = None) -> SpatialFrame:
+        return self._like(self.df.na.drop(how, subset=subset))
+
+    def replace(self, values: dict, subset: list[str] | None = None) -> SpatialFrame:
+        return self._like(self.df.na.replace(values, subset=subset))
+
+    def where(self, condition: Column, columns: list[str] | None = None, other: Column | None = None) -> SpatialFrame:
+        return self._like(tabular.where(self.df, condition, columns or [c for c in self.df.columns if c != self.id], other))
+
+    def mask(self, condition: Column, columns: list[str] | None = None, other: Column | None = None) -> SpatialFrame:
+        return self._like(tabular.mask(self.df, condition, columns or [c for c in self.df.columns if c != self.id], other))
+
+    def set_index(self, key: str, verify_integrity: bool = False) -> SpatialFrame:
+        if verify_integrity:
+            tabular.set_index(self.df, [key], verify_integrity=True)
+        return replace(self, id=key)
+
+    def reset_index(self, drop: bool = False) -> SpatialFrame:
+        return replace(self, df=tabular.reset_index(self.df, self.id, drop), id="_index")
+
+    def rename_axis(self, name: str) -> SpatialFrame:
+        return replace(self, df=tabular.rename_axis(self.df, self.id, name), id=name)
+
+    def set_axis(self, names: list[str]) -> SpatialFrame:
+        return self.rename(dict(zip(self.df.columns, tabular.set_axis(self.df, names).columns)))
+
+    def reindex(self, labels: list, fill: dict | None = None) -> SpatialFrame:
+        return self._like(tabular.reindex(self.df, self.id, labels, fill))
+
+    def reindex_like(self, other: SpatialFrame) -> SpatialFrame:
+        return self._like(tabular.reindex_like(self.df, other.rename_axis(self.id).df, self.id))
+
+    def sort_values(self, *columns: str, ascending: bool = True) -> SpatialFrame:
+        """In the order of columns; of the geometry, that of the Hilbert curve."""
+        rows = self.hilbert_distance() if self.geometry in columns else self.df
+        names = ["hilbert" if c == self.geometry else c for c in columns]
+        ordered = rows.orderBy(*((F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last()) for c in names))
+        return self._like(ordered.select(*self.df.columns))
+
+    def sort_index(self, ascending: bool = True, na_position: str = "last") -> SpatialFrame:
+        return self._like(tabular.sort_index(self.df, self.id, ascending, na_position))
+
+    def merge(self, other: DataFrame | SpatialFrame, on: str | list[str], how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> SpatialFrame:
+        """An equi-join; names that both have, but for the keys, get suffixes (the active geometry's own stays)."""
+        right = other.df if isinstance(other, SpatialFrame) else other
+        keys = [on] if isinstance(on, str) else on
+        both = (set(self.df.columns) & set(right.columns)) - set(keys)
+        left = self.df.withColumnsRenamed({c: c + suffixes[0] for c in both if c != self.geometry})
+        joined = left.join(right.withColumnsRenamed({c: c + suffixes[1] for c in both}), keys, how)
+        return replace(self, df=joined, id=self.id + suffixes[0] if self.id in both else self.id)
+
+    def join(self, other: DataFrame | SpatialFrame, other_id: str = "id", how: str = "left", suffixes: tuple[str, str] = ("_x", "_y")) -> SpatialFrame:
+        """Rows of another frame by label."""
+        right = other.df if isinstance(other, SpatialFrame) else other
+        return self.merge(right.withColumnRenamed(other.id if isinstance(other, SpatialFrame) else other_id, self.id), self.id, how, suffixes)
+
+    def concat(self, *others: SpatialFrame) -> SpatialFrame:
+        """Rows of several frames; different CRS are an error, an unknown one is taken as that of the others."""
+        known = {f.crs for f in (self, *others)} - {None}
+        if len(known) > 1:
+            raise ValueError(f"the frames have different CRS: {sorted(known)}")
+        frames = [f if f.geometry == self.geometry else f.rename_geometry(self.geometry) for f in others]
+        return replace(self, df=tabular.concat([self.df, *(f.df for f in frames)]), crs=next(iter(known), None))
+
+    def head(self, n: int = 5) -> SpatialFrame:
+        return self._like(tabular.head(self.df, n, [self.id]))
+
+    def tail(self, n: int = 5) -> SpatialFrame:
+        return self._like(tabular.tail(self.df, n, [self.id]))
+
+    def sample(self, n: int | None = None, frac: float | None = None, seed: int = 0) -> SpatialFrame:
+        return self._like(tabular.sample(self.df, n, frac, seed, [self.id]))
+
+    def apply(self, function: Callable, schema: str) -> SpatialFrame:
+        """A Python function from a pandas frame to one of ``schema``, batch by batch; still a frame of this geometry if that has it."""
+        rows = tabular.apply_rows(self.df, function, schema)
+        return replace(self, df=rows, geometry=self.geometry if self.geometry in rows.columns else None)
+
+    def value_counts(self, column: str | None = None, dropna: bool = True) -> DataFrame:
+        return tabular.value_counts(self.df, column or self.geometry, dropna)
+
+    def unique(self, column: str | None = None) -> DataFrame:
+        return tabular.unique(self.df, column or self.geometry)
+
+    def min(self, column: str | None = None) -> Column:
+        return self._reduced("min", column)
+
+    def max(self, column: str | None = None) -> Column:
+        return self._reduced("max", column)
+
+    def sum(self, column: str | None = None) -> Column:
+        return self._reduced("sum", column)
+
+    def _reduced(self, name: str, column: str | None) -> Column:
+        column = column or self.geometry
+        if column == self.geometry or dict(self.df.dtypes).get(column) == "binary":
+            raise TypeError(f"geometries have no {name}")
+        return getattr(F, name)(column)
+
+    # ---- the index: cells are found when two frames are joined, so there is nothing to build
+
+    @property
+    def sindex(self) -> joins.Index:
+        return joins.Index(self._side())
+
+    def has_sindex(self) -> bool:
+        """Whether an index has been built: never, see ``sindex``."""
+        return False
 
     def isna(self) -> Column:
         return F.col(self.geometry).isNull()
@@ -112,8 +251,15 @@ class SpatialFrame:
         left, right = replace(self._side(other), keys=on_attribute), replace(other._side(), keys=on_attribute)
         return joins.sjoin(left, right, how, predicate, lsuffix, rsuffix, distance)
 
-    def sjoin_nearest(self, other: SpatialFrame, how: str = "inner", max_distance: float | None = None, distance_col: str | None = None, exclusive: bool = False) -> DataFrame:
-        return joins.sjoin_nearest(self._side(other), other._side(), how, max_distance, distance_col, exclusive)
+    def sjoin_nearest(
+        self, other: SpatialFrame, how: str = "inner", max_distance: float | None = None, lsuffix: str = "left", rsuffix: str = "right", distance_col: str | None = None, exclusive: bool = False
+    ) -> DataFrame:
+        """Rows of both frames by least distance, all ties kept."""
+        if self.crs == 4326:
+            import warnings
+
+            warnings.warn("distances of longitudes and latitudes are in degrees; to_crs a projected CRS first", UserWarning, stacklevel=2)
+        return joins.sjoin_nearest(self._side(other), other._side(), how, max_distance, distance_col, exclusive, True, lsuffix, rsuffix)
 
     def semijoin(self, other: SpatialFrame, predicate: str = "intersects", distance: float | None = None) -> SpatialFrame:
         return self._like(joins.left_semi(self._side(other), other._side(), predicate, distance))

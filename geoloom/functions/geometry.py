@@ -6,6 +6,8 @@ area and length 0 and bounds NaN, and is in no relation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def _shape(op: str, g: ColumnOrName, *more: Value) -> Column:
 
 
 def from_wkb(data: ColumnOrName, on_invalid: str = "raise") -> Column:
-    """WKB bytes, or their hexadecimal text, to a geometry; ``on_invalid`` raise, ignore or fix."""
+    """WKB bytes, or their hexadecimal text, to a geometry; ``on_invalid`` raise, ignore (null), warn (null and
+    a line in the executor's log) or fix."""
     return call("Parse", F.lit("wkb"), F.hex(_c(data)), F.lit(on_invalid))
 
 
@@ -458,15 +461,38 @@ def coordinates(g: ColumnOrName) -> Column:
 
 
 def affine_transform(g: ColumnOrName, matrix: list[float]) -> Column:
-    """Six coefficients a, b, d, e, xoff, yoff, or twelve of which the planar ones are used."""
-    a, b, d, e, xoff, yoff = matrix if len(matrix) == 6 else (matrix[0], matrix[1], matrix[3], matrix[4], matrix[9], matrix[10])
+    """Six coefficients a, b, d, e, xoff, yoff, or twelve: a, b, c, d, e, f, g, h, i, xoff, yoff, zoff.
+
+    With twelve, z is 0 in the sums of a vertex without one, and that stays without one.
+    """
+    if len(matrix) == 12:
+        return _shape("affine_3d", g, *matrix)
+    if len(matrix) != 6:
+        raise ValueError("six or twelve coefficients are needed")
+    a, b, d, e, xoff, yoff = matrix
     return _shape("affine", g, a, b, d, e, xoff, yoff)
 
 
-def translate(g: ColumnOrName, xoff: Value = 0.0, yoff: Value = 0.0) -> Column:
+def translate(g: ColumnOrName, xoff: Value = 0.0, yoff: Value = 0.0, zoff: Value = 0.0) -> Column:
+    if isinstance(zoff, Column) or zoff:
+        return _shape("affine_3d", g, 1, 0, 0, 0, 1, 0, 0, 0, 1, xoff, yoff, zoff)
     return _shape("affine", g, 1, 0, 0, 1, xoff, yoff)
 
 
+def transform(g: ColumnOrName, function: Callable[..., tuple[Column, ...]], include_z: bool = False) -> Column:
+    """Vertices moved by expressions: ``function`` takes x and y (and z) and returns as many columns."""
+    flat = call("Vertices", F.lit("xyzm"), _c(g))
+    vertex = lambda i: [F.element_at(flat, (i * 4 + k + 1).cast("int")) for k in range(3 if include_z else 2)]
+    count = F.floor(F.size(flat) / F.lit(4)).cast("int")
+
+    def moved(i: Column) -> Column:
+        made = [c.cast("double") for c in function(*vertex(i))]
+        return F.array(*made, *([] if len(made) == 3 else [F.lit(None).cast("double")]))
+
+    values = F.flatten(F.transform(F.sequence(F.lit(0), count - 1), moved))
+    return F.when(count > 0, call("Moved", _c(g), F.when(count > 0, values))).otherwise(_c(g))
+
+
 def _origin(origin: str | tuple[float, float]) -> tuple[float, float, float]:
     if isinstance(origin, tuple):
         return 2.0, float(origin[0]), float(origin[1])
@@ -483,8 +509,13 @@ def rotate(g: ColumnOrName, angle: float, origin: str | tuple[float, float] = "c
     return _shape("rotate", g, _radians(angle, use_radians), *_origin(origin))
 
 
-def scale(g: ColumnOrName, xfact: float = 1.0, yfact: float = 1.0, origin: str | tuple[float, float] = "center") -> Column:
-    return _shape("scale", g, xfact, yfact, *_origin(origin))
+def scale(g: ColumnOrName, xfact: float = 1.0, yfact: float = 1.0, zfact: float = 1.0, origin: str | tuple[float, float] | tuple[float, float, float] = "center") -> Column:
+    """Stretched about an origin; z is stretched about the third number of a point, 0 by default."""
+    flat = _shape("scale", g, xfact, yfact, *_origin(origin[:2] if isinstance(origin, tuple) else origin))
+    if zfact == 1.0:
+        return flat
+    z = float(origin[2]) if isinstance(origin, tuple) and len(origin) > 2 else 0.0
+    return _shape("affine_3d", flat, 1, 0, 0, 0, 1, 0, 0, 0, zfact, 0, 0, z - zfact * z)
 
 
 def skew(g: ColumnOrName, xs: float = 0.0, ys: float = 0.0, origin: str | tuple[float, float] = "center", use_radians: bool = False) -> Column:

@@ -29,6 +29,9 @@ KINDS: dict[str, DataType] = {
     "Shape": BinaryType(),
     "Parts": ArrayType(BinaryType()),
     "Vertices": ArrayType(DoubleType()),
+    "Moved": BinaryType(),
+    "Made": BinaryType(),
+    "Plain": BinaryType(),
     "Gathered": BinaryType(),
     "GatheredParts": ArrayType(BinaryType()),
 }

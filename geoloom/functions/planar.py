@@ -108,28 +108,25 @@ def in_ring(x: Column | str, y: Column | str, ring: Column | str) -> Column:
 
 
 
-def wkb_point(x: Column | str, y: Column | str) -> Column:
-    """WKB of a point."""
-    from .geometry import from_wkt
+def wkb_point(x: Column | str, y: Column | str, z: Column | str | None = None) -> Column:
+    """WKB of a point; null if a coordinate is."""
+    from .jts import call, numbers
 
-    xy = F.concat_ws(" ", _c(x).cast("string"), _c(y).cast("string"))
-    return F.when(_c(x).isNotNull() & _c(y).isNotNull(), from_wkt(F.concat(F.lit("POINT ("), xy, F.lit(")"))))
+    return call("Made", F.lit("point"), numbers(*(_c(v) for v in (x, y, *([] if z is None else [z])))))
 
 
 def wkb_box(box: Box) -> Column:
     """WKB of a rectangle, counter-clockwise from its lower left corner."""
-    from .geometry import from_wkt
-
-    corner = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
-    ring = F.concat_ws(
-        ", ",
-        corner(box.xmin, box.ymin),
-        corner(box.xmax, box.ymin),
-        corner(box.xmax, box.ymax),
-        corner(box.xmin, box.ymax),
-        corner(box.xmin, box.ymin),
-    )
-    return from_wkt(F.concat(F.lit("POLYGON (("), ring, F.lit("))")))
+    from .jts import call, numbers
+
+    return call("Made", F.lit("box"), numbers(box.xmin, box.ymin, box.xmax, box.ymax))
+
+
+def wkb_line(*ends: Column | str) -> Column:
+    """WKB of a line through x, y, x, y and so on."""
+    from .jts import call, numbers
+
+    return call("Made", F.lit("line"), numbers(*map(_c, ends)))
 
 
 def literal_point(x: float, y: float) -> Column:

@@ -21,6 +21,7 @@ geometries have a null or NaN box and are in no pair. Pairs are (left_id, right_
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -31,29 +32,37 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.planar import Box, point_distance
+from .steps import written
 
 MAX_CELLS = 16
 LEVEL = 8
+RINGS, GRID = 3, 32
 #: Predicates whose operands change places.
 INVERSE = {"within": "contains", "contains": "within", "covers": "covered_by", "covered_by": "covers"}
 
 
 @dataclass(frozen=True)
 class Side:
-    """One side of a join: a frame, its id, its box, and its geometry for exact predicates."""
+    """One side of a join: a frame, its id, its box, and its geometry for exact predicates.
+
+    ``carry`` are columns that pairs have beside the ids, so no join has to fetch them; ``points`` says that boxes are points.
+    """
 
     df: DataFrame
     id: str
     box: Box
     geometry: str | None = None
     keys: tuple[str, ...] = field(default=())
+    carry: tuple[str, ...] = field(default=())
+    points: bool = False
 
     def slim(self, prefix: str, more: str | None = None) -> DataFrame:
         """Id, box, geometry and keys of the rows that have a box, and one more column as ``grown``."""
         box = [c.alias(prefix + n) for c, n in zip((self.box.xmin, self.box.ymin, self.box.xmax, self.box.ymax), ("x0", "y0", "x1", "y1"))]
         geometry = [F.col(self.geometry).alias(prefix + "geom")] if self.geometry else []
         grown = [F.col(more).cast("double").alias(prefix + "grown")] if more else []
-        rows = self.df.select(F.col(self.id).alias(prefix + "id"), *box, *geometry, *grown, *(F.col(k).alias(prefix + k) for k in self.keys))
+        carried = [F.col(c).alias(prefix + "of_" + c) for c in self.carry]
+        rows = self.df.select(F.col(self.id).alias(prefix + "id"), *box, *geometry, *grown, *carried, *(F.col(k).alias(prefix + k) for k in self.keys))
         known = F.col(prefix + "x0").isNotNull() & ~F.isnan(prefix + "x0")
         return rows.where(known & F.col(prefix + "grown").isNotNull() if more else known)
 
@@ -75,12 +84,12 @@ class Extent:
         return max(self.xmax - self.xmin, self.ymax - self.ymin)
 
 
-def point_side(df: DataFrame, id: str, x: str, y: str, keys: tuple[str, ...] = ()) -> Side:
-    return Side(df, id, Box.of_point(x, y), None, keys)
+def point_side(df: DataFrame, id: str, x: str, y: str, keys: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> Side:
+    return Side(df, id, Box.of_point(x, y), None, keys, carry, True)
 
 
-def box_side(df: DataFrame, id: str, prefix: str = "", keys: tuple[str, ...] = ()) -> Side:
-    return Side(df, id, Box.of(prefix), None, keys)
+def box_side(df: DataFrame, id: str, prefix: str = "", keys: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> Side:
+    return Side(df, id, Box.of(prefix), None, keys, carry)
 
 
 def geometry_side(df: DataFrame, id: str, geometry: str = "geometry", keys: tuple[str, ...] = ()) -> Side:
@@ -105,6 +114,20 @@ def measure(*sides: Side, grown_by: str | None = None) -> list[Extent]:
     return [Extent(*found[i]) if found[i][0] else Extent(0) for i in range(len(sides))]
 
 
+def planned(left: Side, right: Side, grown: float = 0.0, grown_by: str | None = None) -> tuple[Extent, Extent]:
+    """The extents that a join of two sides is planned by.
+
+    Points have no widths and do not decide a cell's: where the other side has boxes with a width, it alone is
+    read, and points take its bounds.
+    """
+    if left.points != right.points and not grown_by:
+        other = measure(right if left.points else left)[0]
+        if other.count and (other.median or grown):
+            points = Extent(1, 0.0, 0.0, other.xmin, other.ymin, other.xmax, other.ymax)
+            return (points, other) if left.points else (other, points)
+    return tuple(measure(left, right, grown_by=grown_by))
+
+
 def cell_size(*extents: Extent, grown: float = 0.0) -> float:
     """A cell's width: the median side of the boxes of the wider side, or what spreads points."""
     known = [e for e in extents if e.count]
@@ -150,7 +173,7 @@ def candidates(
     Columns l_id, l_x0.. (as grown), r_id, r_x0.., and l_geom, r_geom where there are geometries.
     ``extents`` are those of the sides, or of frames that hold them, if they are known already.
     """
-    l_extent, r_extent = extents or measure(left, right, grown_by=grown_by)
+    l_extent, r_extent = extents or planned(left, right, grown, grown_by)
     size = size or cell_size(l_extent, r_extent, grown=grown)
     reach = max(abs(v) for e in (l_extent, r_extent) for v in (e.xmin, e.ymin, e.xmax, e.ymax)) + 2 * grown
     size = max(size, reach * 2.0**-40)  # cells are numbered by longs
@@ -185,6 +208,7 @@ def candidates(
     touch = (F.col("l_x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1")) & (F.col("l_y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1"))
     out = pairs.where(touch & corner)
     names = ["l_id", "l_x0", "l_y0", "l_x1", "l_y1", "r_id", "r_x0", "r_y0", "r_x1", "r_y1"]
+    names += ["l_of_" + c for c in left.carry] + ["r_of_" + c for c in right.carry]
     names += ["l_geom"] * bool(left.geometry) + ["r_geom"] * bool(right.geometry) + ["l_grown"] * bool(grown_by)
     return out.select(*names)
 
@@ -220,8 +244,9 @@ def pairs(
     distance: float | str | None = None,
     size: float | None = None,
     with_distance: bool = False,
+    extents: tuple[Extent, Extent] | None = None,
 ) -> DataFrame:
-    """(left_id, right_id[, distance]) of the pairs in a relation.
+    """(left_id, right_id[, distance], carried columns) of the pairs in a relation.
 
     ``distance`` is that of ``dwithin``: a number, or the name of a column of the left frame.
     Points and rectangles without geometry columns are decided by expressions alone.
@@ -233,19 +258,20 @@ def pairs(
         if distance is None:
             raise ValueError("dwithin needs a distance")
         grown = 0.0 if by_column else float(distance)
-        found = candidates(left, right, size, grown, distance if by_column else None)
+        found = candidates(left, right, size, grown, distance if by_column else None, extents)
         limit = F.col("l_grown") if by_column else F.lit(grown)
         back = {c: F.col(c) + limit for c in ("l_x0", "l_y0")} | {c: F.col(c) - limit for c in ("l_x1", "l_y1")}
         gap = G.distance("l_geom", "r_geom") if left.geometry else box_distance()
         found = found.withColumns(back).withColumn("distance", gap).where(F.col("distance") <= limit)
     else:
-        found = candidates(left, right, size)
+        found = candidates(left, right, size, extents=extents)
         test = _exact(left, right, predicate, 0.0)
         found = found if test is None else found.where(test)
         if with_distance:
             found = found.withColumn("distance", G.distance("l_geom", "r_geom") if left.geometry else box_distance())
     more = ["distance"] if with_distance or predicate == "dwithin" else []
-    return found.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), *more)
+    carried = [F.col(p + "of_" + c).alias(c) for p, side in (("l_", left), ("r_", right)) for c in side.carry]
+    return found.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), *more, *carried)
 
 
 def sjoin(
@@ -264,7 +290,13 @@ def sjoin(
     """
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"no such how: {how}")
-    found = pairs(left, right, predicate, distance).select(F.col("left_id").alias("__l"), F.col("right_id").alias("__r"))
+    return _attributes(pairs(left, right, predicate, distance).select("left_id", "right_id"), left, right, how, lsuffix, rsuffix)
+
+
+def _attributes(found: DataFrame, left: Side, right: Side, how: str, lsuffix: str, rsuffix: str) -> DataFrame:
+    """Both frames' columns beside pairs (left_id, right_id, ...), with the rows of a side that are in none if ``how`` says so."""
+    more = [c for c in found.columns if c not in ("left_id", "right_id")]
+    found = found.select(F.col("left_id").alias("__l"), F.col("right_id").alias("__r"), *(F.col(c).alias("m." + c) for c in more))
     hidden = ("__box",)
     l_names, r_names = ([c for c in s.df.columns if c not in hidden] for s in (left, right))
     geometry = {left.geometry, right.geometry} - {None}
@@ -278,7 +310,9 @@ def sjoin(
     rows = found.join(l_rows, F.col("__l") == F.col("__lid"), kind[0])
     rows = rows.join(r_rows, F.col("__r") == F.col("__rid"), kind[1])
     quoted = lambda name: F.col(f"`{name}`")
-    return rows.select(*(quoted("l." + c).alias(n) for c, n in l_out.items()), *(quoted("r." + c).alias(n) for c, n in r_out.items()))
+    return rows.select(
+        *(quoted("l." + c).alias(n) for c, n in l_out.items()), *(quoted("r." + c).alias(n) for c, n in r_out.items()), *(quoted("m." + c).alias(c) for c in more)
+    )
 
 
 def left_semi(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
@@ -332,18 +366,23 @@ def query_aggregate(
     return every.select("left_id", *(F.coalesce(n, F.lit(0)).alias(n) if n in zero else F.col(n) for n in aggregates))
 
 
-def pair_aggregate(first: Side, second: Side, zones: Side, predicate: str = "intersects") -> DataFrame:
+def pair_aggregate(first: Side, second: Side, zones: Side, predicate: str = "intersects", every: bool = True) -> DataFrame:
     """(id, left_count, right_count, shared_count) of rows whose two positions are ``first`` and
-    ``second``: how many zones each is in, and how many both are in."""
-    a = pairs(first, zones, predicate).select(F.col("left_id").alias("id"), "right_id")
-    b = pairs(second, zones, predicate).select(F.col("left_id").alias("id"), "right_id")
-    marked = a.select("id", "right_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select("id", "right_id", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    by_pair = marked.groupBy("id", "right_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    ``second``: how many zones each is in, and how many both are in. Rows in no zone are left out unless ``every``.
+
+    Zones are measured once, and pairs are shuffled once, by id.
+    """
+    extents = planned(first, zones)
+    a = pairs(first, zones, predicate, extents=extents).select(F.col("left_id").alias("id"), "right_id", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    b = pairs(second, zones, predicate, extents=extents if second.points else None).select(F.col("left_id").alias("id"), "right_id", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    by_pair = a.unionAll(b).repartition("id").groupBy("id", "right_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     counts = by_pair.groupBy("id").agg(
         F.sum("a").alias("left_count"), F.sum("b").alias("right_count"), F.sum(F.col("a") * F.col("b")).alias("shared_count")
     )
-    every = first.df.select(F.col(first.id).alias("id")).join(counts, "id", "left")
-    return every.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("left_count", "right_count", "shared_count")))
+    if not every:
+        return counts
+    whole = first.df.select(F.col(first.id).alias("id")).join(counts, "id", "left")
+    return whole.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("left_count", "right_count", "shared_count")))
 
 
 def _gap(left: Side) -> Column:
@@ -361,14 +400,15 @@ def nearest(
     """(left_id, right_id, distance): the nearest right rows of each left row.
 
     Without ``k`` all that tie for the least distance; with it exactly ``k``, ties by right id.
-    ``exclusive`` leaves out equal geometries (equal boxes). Rings of growing reach are searched:
+    ``exclusive`` leaves out equal geometries (equal boxes). ``RINGS`` rings of growing reach are searched:
     a left row is done when it has enough partners within the reach, the others go on with
-    four times the reach; the last reach covers everything.
+    four times the reach. Each of those that are left then gets a reach of its own, within which there must be enough: the
+    right side is summed up in ``GRID`` squared cells, and the nearest of these that together hold enough rows bound it.
     """
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
-    need = k or 1
     extents = tuple(measure(left, right))
+    need = min(k or 1, extents[1].count) if not exclusive else k or 1
     reach = max_distance or cell_size(*extents) * max(1.0, need**0.5)
     known = [e for e in extents if e.count]
     empty = len(known) < 2
@@ -376,46 +416,116 @@ def nearest(
     extent = max((hi - lo for lo, hi in sides), default=0.0) * 2 + 1
     order = Window.partitionBy("l_id").orderBy("distance", "r_id")
     tied = Window.partitionBy("l_id").orderBy("distance")
-    rest, out = left, None
-    while True:
-        found = candidates(rest, right, max(reach, 1e-300), reach, extents=extents)
-        back = {c: F.col(c) + reach for c in ("l_x0", "l_y0")} | {c: F.col(c) - reach for c in ("l_x1", "l_y1")}
-        found = found.withColumns(back).withColumn("distance", _gap(left)).where(F.col("distance") <= reach)
+
+    def ranked(found: DataFrame) -> DataFrame:
         if exclusive:
             same = G.geom_equals("l_geom", "r_geom") if left.geometry else F.lit(True)
             for c in ("x0", "y0", "x1", "y1"):
                 same = same & (F.col("l_" + c) == F.col("r_" + c))
             found = found.where(~same)
-        ranked = found.withColumn("rank", F.row_number().over(order) if k else F.rank().over(tied)).where(F.col("rank") <= need)
-        part = ranked.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "distance")
-        last = max_distance is not None or reach >= extent or empty
-        if last:
+        rows = found.withColumn("rank", F.row_number().over(order) if k else F.rank().over(tied)).where(F.col("rank") <= (k or 1))
+        return rows.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "distance")
+
+    def within(rows: Side, by: Column, **grown) -> DataFrame:
+        found = candidates(rows, right, extents=extents, **grown)
+        back = {c: F.col(c) + by for c in ("l_x0", "l_y0")} | {c: F.col(c) - by for c in ("l_x1", "l_y1")}
+        return ranked(found.withColumns(back).withColumn("distance", _gap(left)).where(F.col("distance") <= by))
+
+    rest, out, ring = left, None, 0
+    while True:
+        part = within(rest, F.lit(reach), size=max(reach, 1e-300), grown=reach)
+        if max_distance is not None or reach >= extent or empty:
             return part if out is None else out.unionAll(part)
-        part = part.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("left_id"))).where(F.col("__n") >= need).drop("__n").persist()
+        part = written(part.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("left_id"))).where(F.col("__n") >= need).drop("__n"))
         out = part if out is None else out.unionAll(part)
         done = part.select(F.col("left_id").alias("__done")).distinct()
-        open_rows = rest.df.join(done, F.col(rest.id) == F.col("__done"), "left_anti").persist()
+        open_rows = written(rest.df.join(done, F.col(rest.id) == F.col("__done"), "left_anti"))
         if open_rows.isEmpty():
             return out
-        rest = Side(open_rows, rest.id, rest.box, rest.geometry, rest.keys)
+        rest = Side(open_rows, rest.id, rest.box, rest.geometry, rest.keys, (), rest.points)
+        ring += 1
+        if ring >= RINGS and not exclusive:
+            bound = open_rows.withColumn("__reach", _enough(right, extents[1], need, rest.box))
+            return out.unionAll(within(Side(bound, rest.id, rest.box, rest.geometry, rest.keys), F.col("l_grown"), grown_by="__reach"))
         reach = min(reach * 4, extent)
 
 
+def _enough(right: Side, extent: Extent, need: int, box: Box) -> Column:
+    """A distance from a box within which there are ``need`` rows of the right side at least."""
+    rows = right.slim("r_")
+    place = lambda lo, hi, low, high: F.least(F.floor(((F.col(lo) + F.col(hi)) / 2 - low) / ((high - low) or 1.0) * GRID), F.lit(GRID - 1))
+    at = place("r_x0", "r_x1", extent.xmin, extent.xmax).alias("cx"), place("r_y0", "r_y1", extent.ymin, extent.ymax).alias("cy")
+    # at most GRID * GRID rows
+    cells = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("r_x0").alias("x0"), F.min("r_y0").alias("y0"), F.max("r_x1").alias("x1"), F.max("r_y1").alias("y1")).drop("cx", "cy")
+    told = json.dumps([r.asDict() for r in cells.collect()])
+    known = F.from_json(F.lit(told), "array<struct<n: bigint, x0: double, y0: double, x1: double, y1: double>>")
+    apart = lambda lo, hi, c0, c1: F.greatest(F.abs(hi - c0), F.abs(c1 - lo))
+    far = lambda c: F.sqrt(F.pow(apart(box.xmin, box.xmax, c["x0"], c["x1"]), 2) + F.pow(apart(box.ymin, box.ymax, c["y0"], c["y1"]), 2))
+    nearest_first = F.array_sort(F.transform(known, lambda c: F.struct(far(c).alias("far"), c["n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("far"))
+    step = lambda s, c: F.when(s["n"] >= need, s).otherwise(F.struct((s["n"] + c["n"]).alias("n"), c["far"].alias("far")))
+    # a little more, for distances that are rounded
+    return F.aggregate(nearest_first, start, step, lambda s: s["far"] * (1 + 1e-9))
+
+
 def sjoin_nearest(
-    left: Side, right: Side, how: str = "inner", max_distance: float | None = None, distance_col: str | None = None, exclusive: bool = False
+    left: Side,
+    right: Side,
+    how: str = "inner",
+    max_distance: float | None = None,
+    distance_col: str | None = None,
+    exclusive: bool = False,
+    attributes: bool = False,
+    lsuffix: str = "left",
+    rsuffix: str = "right",
 ) -> DataFrame:
     """(left_id, right_id[, distance]) with all ties; ``how`` left keeps left rows without a
-    partner, right the right ones."""
+    partner, right the right ones. With ``attributes`` both frames' columns, named as by ``sjoin``, in place of the ids."""
+    if how not in ("inner", "left", "right"):
+        raise ValueError(f"no such how: {how}")
     found = nearest(left, right, None, max_distance, exclusive)
+    if attributes:
+        found = found.withColumnRenamed("distance", distance_col) if distance_col else found.drop("distance")
+        return _attributes(found, left, right, how, lsuffix, rsuffix)
     if how == "left":
         found = left.df.select(F.col(left.id).alias("left_id")).join(found, "left_id", "left")
     elif how == "right":
         found = right.df.select(F.col(right.id).alias("right_id")).join(found, "right_id", "left").select("left_id", "right_id", "distance")
-    elif how != "inner":
-        raise ValueError(f"no such how: {how}")
     return found.withColumnRenamed("distance", distance_col) if distance_col else found.drop("distance")
 
 
+@dataclass(frozen=True)
+class Index:
+    """Questions to the boxes of one side."""
+
+    side: Side
+
+    def intersection(self, *at: float) -> DataFrame:
+        """(id): rows whose boxes touch a box (xmin, ymin, xmax, ymax) or a place (x, y)."""
+        x0, y0, x1, y1 = at if len(at) == 4 else (*at, *at)
+        rows = self.side.slim("s_").where((F.col("s_x0") <= x1) & (F.col("s_x1") >= x0) & (F.col("s_y0") <= y1) & (F.col("s_y1") >= y0))
+        return rows.select(F.col("s_id").alias("id"))
+
+    def query(self, left: Side, predicate: str = "intersects", distance: float | str | None = None, sort: bool = False) -> DataFrame:
+        """(left_id, right_id) of the pairs in a relation, in order if asked for."""
+        found = pairs(left, self.side, predicate, distance).select("left_id", "right_id")
+        return found.orderBy("left_id", "right_id") if sort else found
+
+    def nearest(self, left: Side, **options) -> DataFrame:
+        return nearest(left, self.side, **options)
+
+    def size(self) -> int:
+        """Rows that have a box."""
+        return self.side.slim("s_").count()
+
+    def is_empty(self) -> bool:
+        return self.side.slim("s_").isEmpty()
+
+    @staticmethod
+    def valid_query_predicates() -> set[str]:
+        return {*G.PREDICATES}
+
+
 def distances(points: DataFrame, x: str, y: str, to: tuple[float, float]) -> Column:
     """Distance of a frame's points from one place."""
     return point_distance(points[x], points[y], F.lit(to[0]), F.lit(to[1]))

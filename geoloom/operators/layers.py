@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.planar import Box, wkb_box
 from .joins import geometry_side, pairs
 from .steps import written
 
-SALTS = 16
+SALTS, CHUNK = 16, 4096
 METHODS = ("unary", "coverage", "disjoint_subset")
 DIMENSIONS = {"Point": 0, "MultiPoint": 0, "LineString": 1, "LinearRing": 1, "MultiLineString": 1, "Polygon": 2, "MultiPolygon": 2}
 
@@ -28,23 +29,57 @@ def _ordered(order: str, value: str | Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda s: s["v"])
 
 
-def union_by(df: DataFrame, keys: list[str], geometry: str = "geometry", method: str = "unary", grid_size: float = 0.0) -> DataFrame:
-    """(keys, geometry): the union of each group's geometries; null geometries are left out."""
+#: The Java reduction of each method. A coverage may not overlap; disjoint subsets are found by their boxes.
+REDUCTIONS = {"unary": "union", "coverage": "coverage_union", "disjoint_subset": "disjoint_union"}
+
+
+def union_by(df: DataFrame, keys: list[str], geometry: str = "geometry", method: str = "unary", grid_size: float = 0.0, spread: bool = False) -> DataFrame:
+    """(keys, geometry): the union of each group's geometries; null geometries are left out.
+
+    With ``spread`` the layer is counted and bounded first, and large groups are united in
+    neighbourhoods: by cells of about ``CHUNK`` rows (and ``SALTS`` parts of each, for places that are denser),
+    then by ever wider cells, so partial unions shrink on the way. Without, by ``SALTS`` parts and then over all.
+    """
     if method not in METHODS:
         raise ValueError(f"no such method: {method}")
     if grid_size and method != "unary":
         raise ValueError("grid_size goes with the unary method only")
-    if method == "disjoint_subset":
-        return df.groupBy(*keys).agg(G.gathered("collect", F.collect_list(geometry)).alias(geometry))
-    op = "coverage_union" if method == "coverage" else "union"
-    salt = F.pmod(F.xxhash64(geometry), F.lit(SALTS)).alias("__salt")
-    parts = df.where(F.col(geometry).isNotNull()).groupBy(*keys, salt).agg(G.gathered("union", F.collect_list(geometry)).alias("__part"))
-    more = [grid_size] if grid_size else []
-    return parts.groupBy(*keys).agg(G.gathered(op if op == "union" else "union", F.collect_list("__part"), *more).alias(geometry))
+    op, more = REDUCTIONS[method], [grid_size] if grid_size else []
+    rows = df.where(F.col(geometry).isNotNull()).select(*keys, F.col(geometry).alias("__part"))
+    salt = F.pmod(F.xxhash64("__part"), F.lit(SALTS)).alias("__salt")
+    united = lambda rows, by, *p: rows.groupBy(*keys, *by).agg(G.gathered(op, F.collect_list("__part"), *p).alias("__part"))
+    if not spread:
+        return united(united(rows, [salt]), [], *more).withColumnRenamed("__part", geometry)
+    boxed = rows.withColumn("__b", G.settled(G.bounds("__part")))
+    known = lambda c: F.nanvl(F.col(f"__b.{c}"), F.lit(None).cast("double"))
+    n, minx, miny, maxx, maxy = boxed.agg(F.count(F.lit(1)), F.min(known("minx")), F.min(known("miny")), F.max(known("maxx")), F.max(known("maxy"))).first()
+    level = 0
+    while minx is not None and n > CHUNK * 4**level:
+        level += 1
+    if level:
+        place = lambda lo, hi, low, high: F.least(F.floor(((F.col(f"__b.{lo}") + F.col(f"__b.{hi}")) / 2 - low) / ((high - low) or 1.0) * 2**level), F.lit(2**level - 1))
+        rows = boxed.select(*keys, "__part", place("minx", "maxx", minx, maxx).alias("__cx"), place("miny", "maxy", miny, maxy).alias("__cy"))
+        rows = united(rows, ["__cx", "__cy", salt])
+        while level:
+            rows = united(rows, ["__cx", "__cy"])
+            step = min(2, level)  # sixteen cells become one
+            rows = rows.withColumns({c: F.shiftright(c, step) for c in ("__cx", "__cy")})
+            level -= step
+    return united(rows, [], *more).withColumnRenamed("__part", geometry)
 
 
 def union_all(df: DataFrame, geometry: str = "geometry", method: str = "unary", grid_size: float = 0.0) -> DataFrame:
-    return union_by(df.withColumn("__all", F.lit(1)), ["__all"], geometry, method, grid_size).drop("__all")
+    return union_by(df.withColumn("__all", F.lit(1)), ["__all"], geometry, method, grid_size, spread=True).drop("__all")
+
+
+unary_union = union_all
+
+
+def box_union_by(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """(keys, geometry): the box around each group; of boxes that make up one, their union. No geometry is gathered."""
+    box = df.select(*keys, G.settled(G.bounds(geometry)).alias("__b")).where(~F.isnan("__b.minx"))
+    around = box.groupBy(*keys).agg(*(f(f"__b.{c}").alias("__" + c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))))
+    return around.select(*keys, wkb_box(Box(*(F.col("__" + c) for c in ("minx", "miny", "maxx", "maxy")))).alias(geometry))
 
 
 def intersection_all(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -64,40 +99,51 @@ def total_bounds(df: DataFrame, geometry: str = "geometry") -> DataFrame:
 
 
 def reducer(name: str, column: str, order: str | None = None) -> Column:
-    """A named reducer: sum, count, mean, min, max, first, last, any, all, size or nunique.
+    """A named reducer: sum, count, mean, min, max, first, last, any, all, size, nunique, median, std, var or prod.
 
     first and last are those of the non-null values in the order of ``order``.
     """
     c = F.col(column)
-    if name in ("first", "last") and order:
+    if name in ("first", "last"):
+        if not order:
+            raise ValueError(f"{name} needs the column that the rows are in the order of")
         pick = F.min_by if name == "first" else F.max_by
         return pick(c, F.when(c.isNotNull(), F.col(order)))
     made = {
-        "first": lambda: F.first(c, ignorenulls=True),
-        "last": lambda: F.last(c, ignorenulls=True),
         "any": lambda: F.bool_or(c.cast("boolean")),
         "all": lambda: F.bool_and(c.cast("boolean")),
         "mean": lambda: F.avg(c),
         "size": lambda: F.count(F.lit(1)),
         "nunique": lambda: F.count_distinct(c),
+        "std": lambda: F.stddev_samp(c),
+        "var": lambda: F.var_samp(c),
+        "prod": lambda: F.product(c),
     }
     return made[name]() if name in made else getattr(F, name)(c)
 
 
+def _named(how: str | Callable[..., Column]) -> str:
+    return how if isinstance(how, str) else getattr(how, "__name__", "function").replace("<lambda>", "lambda")
+
+
 def dissolve(
     df: DataFrame,
     by: str | list[str] | None = None,
-    aggfunc: str | list[str] | dict[str, str | list[str]] = "first",
+    aggfunc: str | Callable[..., Column] | list | dict = "first",
     geometry: str = "geometry",
     order: str | None = None,
     dropna: bool = True,
     method: str = "unary",
     grid_size: float = 0.0,
+    categories: dict[str, list] | None = None,
 ) -> DataFrame:
     """Groups with the union of their geometries and their aggregated attributes.
 
-    A list of functions gives columns named ``column_function``. Rows with a null key are left
-    out unless ``dropna`` is false. ``by`` None makes one group of all.
+    A reducer is a name, or a callable that takes a column and gives an aggregate of it: an expression
+    (``lambda c: F.max(c) - F.min(c)``) or a grouped-aggregate pandas UDF. A list of them gives columns named ``column_reducer``.
+    ``first`` and ``last`` need ``order``. Rows with a null key are left
+    out unless ``dropna`` is false. ``by`` None makes one group of all. ``categories`` are keys' values
+    that have a group even if no row has them: one with null attributes and geometry.
     """
     keys = [by] if isinstance(by, str) else list(by or [])
     rows = df.na.drop(subset=keys) if keys and dropna else df
@@ -107,19 +153,20 @@ def dissolve(
     wanted = aggfunc if isinstance(aggfunc, dict) else dict.fromkeys(attributes, aggfunc)
     made = []
     for column, how in wanted.items():
-        names = [how] if isinstance(how, str) else how
-        made += [reducer(n, column, order).alias(column if isinstance(how, str) else f"{column}_{n}") for n in names]
-    shapes = union_by(rows, group, geometry, method, grid_size)
-    if not made:
-        return shapes.drop("__all")
-    summed = rows.groupBy(*group).agg(*made)
-    renamed = shapes.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(group)), geometry)
-    on = None
-    for i, k in enumerate(group):
-        test = F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        on = test if on is None else on & test
-    names = [c for c in summed.columns if c != "__all"]
-    return summed.join(renamed, on, "left").select(*names, geometry)
+        several = isinstance(how, list)
+        for one in how if several else [how]:
+            value = reducer(one, column, order) if isinstance(one, str) else one(F.col(column))
+            made.append(value.alias(f"{column}_{_named(one)}" if several else column))
+    shapes = union_by(rows, group, geometry, method, grid_size, spread=True)
+    if made:
+        summed = rows.groupBy(*group).agg(*made)
+        renamed = shapes.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(group)), geometry)
+        on = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(group)))
+        shapes = summed.join(renamed, on, "left").select(*summed.columns, geometry)
+    for key, values in (categories or {}).items():
+        every = df.sparkSession.createDataFrame([(v,) for v in values], df.select(key).schema)
+        shapes = every.join(shapes, key, "full").select(*shapes.columns)
+    return shapes.drop("__all")
 
 
 def dissolved_intersects(df: DataFrame, by: str, shape: Column, geometry: str = "geometry", predicate: str = "intersects") -> DataFrame:
@@ -133,10 +180,12 @@ def explode(df: DataFrame, geometry: str = "geometry", index_parts: bool = False
     return parts if index_parts else parts.drop("part")
 
 
-def get_coordinates(df: DataFrame, id: str, geometry: str = "geometry", include_z: bool = False, include_m: bool = False) -> DataFrame:
-    """(id, part, x, y[, z][, m]): a row for each vertex."""
+def get_coordinates(
+    df: DataFrame, id: str, geometry: str = "geometry", include_z: bool = False, include_m: bool = False, ignore_index: bool = False, index_parts: bool = True
+) -> DataFrame:
+    """(id, part, x, y[, z][, m]): a row for each vertex; without its id or its place in the geometry if not asked for."""
     rows = df.select(id, F.posexplode(G.coordinates(geometry)).alias("part", "c"))
-    return rows.select(id, "part", "c.x", "c.y", *["c.z"] * include_z, *["c.m"] * include_m)
+    return rows.select(*[id] * (not ignore_index), *["part"] * (index_parts and not ignore_index), "c.x", "c.y", *["c.z"] * include_z, *["c.m"] * include_m)
 
 
 def hilbert_distance(df: DataFrame, geometry: str = "geometry", level: int = 16, total: tuple[float, float, float, float] | None = None) -> DataFrame:

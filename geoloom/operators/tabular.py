@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SALTS = 64
 
@@ -28,9 +29,32 @@ def positions(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
 
 
 def take(df: DataFrame, indices: list[int], order: list[str]) -> DataFrame:
-    """Rows at positions, as often and in the order they are asked for (column ``_at``)."""
-    wanted = df.sparkSession.createDataFrame([(i, p) for i, p in enumerate(indices)], "_at long, _row long")
-    return positions(df, order).join(wanted, "_row").drop("_row")
+    """Rows at positions, as often and in the order they are asked for (column ``_at``); negative ones count from the end."""
+    rows = positions(df, order)
+    n = df.count() if any(i < 0 for i in indices) else 0
+    wanted = df.sparkSession.createDataFrame([(i, p + n if p < 0 else p) for i, p in enumerate(indices)], "_at long, _row long")
+    return rows.join(wanted, "_row").drop("_row")
+
+
+def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in an order; the last -n are left out if it is negative."""
+    return df.orderBy(*order).limit(n) if n >= 0 else iloc(df, 0, max(0, df.count() + n), order)
+
+
+def tail(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The last n rows in an order; the first -n are left out if it is negative."""
+    total = df.count()
+    return iloc(df, max(0, total - n) if n >= 0 else min(total, -n), total, order)
+
+
+def sample(df: DataFrame, n: int | None = None, frac: float | None = None, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """``n`` rows, or a share of them: those whose key (all columns) has the smallest hash with the seed, so a
+    sample comes out the same again."""
+    if (n is None) == (frac is None):
+        raise ValueError("one of n and frac is needed")
+    n = round(frac * df.count()) if n is None else n
+    names = key or df.columns
+    return df.orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(n)
 
 
 def iloc(df: DataFrame, start: int, stop: int, order: list[str]) -> DataFrame:
@@ -38,7 +62,60 @@ def iloc(df: DataFrame, start: int, stop: int, order: list[str]) -> DataFrame:
 
 
 def loc(df: DataFrame, key: str, labels: list) -> DataFrame:
-    return df.where(F.col(key).isin(labels))
+    """Rows with labels, as often as they are asked for and with their place in the list (column ``_at``)."""
+    wanted = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(labels)], f"_at long, __label {df.schema[key].dataType.simpleString()}")
+    return df.join(wanted, F.col(key).eqNullSafe(F.col("__label"))).drop("__label")
+
+
+def set_index(df: DataFrame, keys: list[str], name: str = "_index", drop: bool = True, verify_integrity: bool = False) -> DataFrame:
+    """``df`` with a label column: a key, or a struct of several; ``drop`` takes the keys' own columns away."""
+    label = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    out = df.withColumn("__label", label)
+    if verify_integrity and not out.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("labels repeat")
+    return (out.drop(*keys) if drop else out).withColumnRenamed("__label", name)
+
+
+def reset_index(df: DataFrame, key: str = "_index", drop: bool = False, order: list[str] | None = None) -> DataFrame:
+    """Rows numbered from 0 (column ``_index``) in the order of the label, which becomes columns of its own or goes."""
+    rows = positions(df, order or [key], "__position")
+    if drop:
+        rows = rows.drop(key)
+    elif isinstance(df.schema[key].dataType, StructType):
+        rows = rows.select("*", f"{key}.*").drop(key)
+    elif key == "_index":
+        rows = rows.withColumnRenamed(key, "index")
+    return rows.withColumnRenamed("__position", "_index")
+
+
+def rename_axis(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Another name for the label column."""
+    return df.withColumnRenamed(key, name)
+
+
+def set_axis(df: DataFrame, names: list[str]) -> DataFrame:
+    """New names for all columns."""
+    if len(names) != len(df.columns):
+        raise ValueError(f"{len(df.columns)} names are needed")
+    return df.toDF(*names)
+
+
+def sort_index(df: DataFrame, key: str, ascending: bool = True, na_position: str = "last") -> DataFrame:
+    """Rows in the order of their label."""
+    c = F.col(key)
+    first = na_position == "first"
+    return df.orderBy((c.asc_nulls_first() if first else c.asc_nulls_last()) if ascending else (c.desc_nulls_first() if first else c.desc_nulls_last()))
+
+
+def reindex_like(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The labels and columns of ``other``, with values of ``df``; null where it has none."""
+    rows = other.select(key).join(df, key, "left")
+    return rows.select(*(F.col(c) if c in df.columns else F.lit(None).cast(other.schema[c].dataType).alias(c) for c in other.columns))
+
+
+def unique(df: DataFrame, column: str) -> DataFrame:
+    """(column): its distinct values, null among them; geometries are told apart by their WKB."""
+    return df.select(column).distinct()
 
 
 def filter_columns(df: DataFrame, items: list[str] | None = None, like: str | None = None, regex: str | None = None) -> DataFrame:
@@ -113,7 +190,7 @@ def drop_duplicates(df: DataFrame, subset: list[str], order: list[str], keep: st
 
 
 def nlargest(df: DataFrame, n: int, columns: list[str], keep: str = "first", order: list[str] | None = None, largest: bool = True) -> DataFrame:
-    """The n rows with the largest values; ``keep`` all keeps what ties with the last of them."""
+    """Ties go by ``order``, or against it with ``keep`` last. The n rows with the largest values; ``keep`` all keeps what ties with the last of them."""
     by = [F.col(c).desc_nulls_last() if largest else F.col(c).asc_nulls_last() for c in columns]
     ties = [F.col(c).asc() if keep != "last" else F.col(c).desc() for c in order or []]
     if keep != "all":
@@ -169,6 +246,7 @@ def datetime_component(df: DataFrame, column: str, component: str) -> Column:
 
 
 def concat(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all frames; a column that one lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

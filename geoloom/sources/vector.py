@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..functions.planar import Box, literal_box, wkb_point
+from ..functions.planar import literal_box, wkb_point
 from .flatgeobuf import read_flatgeobuf
 from .geopackage import read_geopackage
+from .geoparquet import read_feather, read_geoparquet, to_feather, to_geoparquet
 from .osm import read_osm_pbf
 
 #: Column names that hold coordinates or geometry in CSV files.
@@ -69,17 +70,6 @@ def list_layers(path: str) -> list[tuple[str, str]]:
     return [(path.rstrip("/").rpartition("/")[2].rpartition(".")[0], FORMATS.get(path.rpartition(".")[2].lower(), "unknown"))]
 
 
-def read_geoparquet(spark: SparkSession, path: str, columns: list[str] | None = None, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """A covering ``bbox`` struct, if the file has one, prunes row groups by its statistics."""
-    df = spark.read.parquet(path)
-    if bbox is not None:
-        if "bbox" in df.columns:
-            box = Box(F.col("bbox.xmin"), F.col("bbox.ymin"), F.col("bbox.xmax"), F.col("bbox.ymax"))
-            df = df.where(box.intersects(Box(*map(F.lit, map(float, bbox)))))
-        df = df.where(G.intersects("geometry", literal_box(*bbox)))
-    return df.select(*columns) if columns else df
-
-
 def read_geoparquet_batches(spark: SparkSession, path: str, batch_rows: int, **options) -> Iterator:
     """pandas frames of at most ``batch_rows`` rows, one task's rows at a time on the driver."""
     import pandas as pd
@@ -94,51 +84,6 @@ def read_geoparquet_batches(spark: SparkSession, path: str, batch_rows: int, **o
         yield pd.DataFrame(rows, columns=df.columns)
 
 
-def geo_metadata(path: str) -> dict | None:
-    """The ``geo`` key of a Parquet file's footer, or its sidecar's."""
-    import pyarrow.parquet as pq
-
-    found = (pq.read_schema(path).metadata or {}).get(b"geo")
-    return json.loads(found) if found else None
-
-
-def to_geoparquet(df: DataFrame, path: str, geometry: str = "geometry", covering_bbox: bool = False, crs: int | None = None, encoding: str = "WKB", compression: str = "snappy") -> None:
-    """Parquet with WKB (or, for points, separated coordinates) and a ``_geo.json`` sidecar.
-
-    Executors write the files; the sidecar has what a single file's ``geo`` key would.
-    """
-    if covering_bbox:
-        b = F.col("__b")
-        box = F.struct(b["minx"].alias("xmin"), b["miny"].alias("ymin"), b["maxx"].alias("xmax"), b["maxy"].alias("ymax"))
-        df = df.withColumn("__b", G.bounds(geometry)).withColumn("bbox", box).drop("__b")
-    if encoding == "point":
-        df = df.withColumn(geometry, F.struct(G.x(geometry).alias("x"), G.y(geometry).alias("y")))
-    elif encoding != "WKB":
-        raise ValueError(f"no such encoding: {encoding}")
-    df.write.option("compression", compression).parquet(path)
-    column: dict = {"encoding": encoding, "geometry_types": [], "crs": crs}
-    if covering_bbox:
-        column["covering"] = {"bbox": {k: ["bbox", k] for k in ("xmin", "ymin", "xmax", "ymax")}}
-    meta = {"version": "1.1.0", "primary_column": geometry, "columns": {geometry: column}}
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path + "/_geo.json")
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    out.write(json.dumps(meta).encode())
-    out.close()
-
-
-def read_feather(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    import pyarrow.feather as feather
-
-    return spark.createDataFrame(feather.read_table(path, columns=columns))
-
-
-def to_feather(df: DataFrame, path: str) -> None:
-    import pyarrow.feather as feather
-
-    feather.write_feather(df.toArrow(), path)
-
-
 def from_arrow(spark: SparkSession, table) -> DataFrame:
     """A table of WKB geometry, or with separated point coordinates in ``geometry``."""
     df = spark.createDataFrame(table)
@@ -244,8 +189,13 @@ def from_dict(spark: SparkSession, data: dict[str, list], schema: str) -> DataFr
     return spark.createDataFrame(list(zip(*data.values())), schema)
 
 
-def from_xy(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.withColumn("geometry", wkb_point(x, y))
+def from_xy(df: DataFrame, x: str, y: str, z: str | None = None) -> DataFrame:
+    return df.withColumn("geometry", wkb_point(x, y, z))
+
+
+def geometry_from_file(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The geometry column of a file, alone."""
+    return read_file(spark, path, **options).select("geometry")
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", lat: str | None = None, lon: str | None = None, geometry: str | None = None, schema: str | None = None) -> DataFrame:
@@ -374,20 +324,15 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
 def read_postgis(spark: SparkSession, url: str, query: str, geometry: str = "geom", **options) -> DataFrame:
     """A query over JDBC; EWKB loses its SRID."""
     df = spark.read.format("jdbc").options(url=url, query=query, **options).load()
-    return df.withColumn(geometry, strip_srid(F.col(geometry)))
+    return df.withColumn(geometry, strip_srid(F.col(geometry), dict(df.dtypes)[geometry] == "string"))
 
 
-@F.udf(T.BinaryType())
-def strip_srid(value) -> bytes | None:
-    """WKB from EWKB bytes or hexadecimal text."""
-    if value is None:
-        return None
-    data = bytes.fromhex(value) if isinstance(value, str) else bytes(value)
-    order = "<" if data[0] == 1 else ">"
-    code = struct.unpack_from(order + "I", data, 1)[0]
-    if not code & 0x20000000:
-        return data
-    return data[:1] + struct.pack(order + "I", code & ~0x20000000) + data[9:]
+def strip_srid(value: Column, hex: bool = False) -> Column:
+    """WKB from EWKB bytes, or from their hexadecimal text."""
+    from ..functions.jts import call
+
+    none = F.lit(None)
+    return call("Plain", value if hex else none.cast("string"), none.cast("binary") if hex else value)
 
 
 def to_postgis(df: DataFrame, url: str, table: str, if_exists: str = "fail", geometry: str = "geometry", **options) -> None:

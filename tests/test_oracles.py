@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from geoloom.plans import operator_queries, trip_queries, workflow_queries
+from geoloom.plans import operator_queries, shape_queries, trip_queries, workflow_queries
 
-QUERIES = trip_queries.QUERIES | operator_queries.QUERIES | workflow_queries.QUERIES
-ORACLES = trip_queries.ORACLES | operator_queries.ORACLES | workflow_queries.ORACLES
+QUERIES = trip_queries.QUERIES | operator_queries.QUERIES | shape_queries.QUERIES | workflow_queries.QUERIES
+ORACLES = trip_queries.ORACLES | operator_queries.ORACLES | shape_queries.ORACLES | workflow_queries.ORACLES
 
 
 def plain(value):

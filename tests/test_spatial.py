@@ -160,3 +160,65 @@ def test_tabular(spark):
     assert T.filter_columns(rows, regex="^[kv]$").columns == ["k", "v"] and T.select_dtypes(rows, "number").columns == ["id", "v"]
     with pytest.raises(Exception, match="domain"):
         T.dense_count(rows, "id", 2).collect()
+
+
+def test_geoparquet_footers(spark, squares, tmp_path):
+    from geoloom.sources import geoparquet
+
+    rows = squares[0]
+    vector.to_geoparquet(rows, f"{tmp_path}/a.parquet", covering_bbox=True, crs=32631)
+    meta = geoparquet.geo_metadata(f"{tmp_path}/a.parquet")
+    own = meta["columns"]["geometry"]
+    assert meta["primary_column"] == "geometry" and own["geometry_types"] == ["Polygon"] and geoparquet.crs_code(own) == 32631
+    assert own["covering"]["bbox"]["xmin"] == ["bbox", "xmin"] and len(own["bbox"]) == 4
+    bbox = vector.read_geoparquet(spark, f"{tmp_path}/a.parquet", bbox=(3.0, 3.0, 9.0, 9.0))
+    assert bbox.count() == 1 and "PushedFilters: [IsNotNull(bbox.xmin)" in bbox._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        vector.to_geoparquet(rows, f"{tmp_path}/a.parquet")
+    none = rows.limit(0).withColumnRenamed("geometry", "shape")
+    vector.to_geoparquet(none, f"{tmp_path}/none.parquet", geometry="shape")
+    assert vector.read_geoparquet(spark, f"{tmp_path}/none.parquet").count() == 0 and geoparquet.geo_metadata(f"{tmp_path}/none.parquet")["primary_column"] == "shape"
+    rows.write.parquet(f"{tmp_path}/plain.parquet")
+    assert geoparquet.geo_metadata(f"{tmp_path}/plain.parquet") is None and vector.read_geoparquet(spark, f"{tmp_path}/plain.parquet").count() == rows.count()
+
+
+def test_unions_of_overlapping_shapes(spark):
+    two = shapes(spark, "POLYGON((0 0,2 0,2 2,0 2,0 0))", "POLYGON((1 0,3 0,3 2,1 2,1 0))", "POLYGON((9 9,10 9,10 10,9 10,9 9))", None)
+    for method in ("unary", "disjoint_subset"):
+        got = L.union_all(two, method=method).select(G.area("geometry"), G.is_valid("geometry"), G.count_geometries("geometry")).first()
+        assert tuple(got) == (7.0, True, 2)
+    with pytest.raises(Exception, match="no coverage"):
+        L.union_all(two, method="coverage").collect()
+    with pytest.raises(ValueError):
+        L.dissolve(two.withColumn("v", F.lit(1)), None, "first")
+
+
+def test_nearest_of_rows_far_away(spark):
+    left = spark.createDataFrame([(i, float(i), 0.0) for i in range(50)] + [(99, 1e7, 1e7), (98, -1e6, 5.0)], "id int, x double, y double")
+    right = spark.createDataFrame([(i, float(i), 1.0) for i in range(0, 50, 7)], "id int, x double, y double")
+    got = J.nearest(J.point_side(left, "id", "x", "y"), J.point_side(right, "id", "x", "y"), k=3)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.left_id, set()).add(r.right_id)
+    assert by[99] == {49, 42, 35} and by[98] == {0, 7, 14} and len(by) == 52 and all(len(v) == 3 for v in by.values())
+    every = J.nearest(J.point_side(left, "id", "x", "y"), J.point_side(right, "id", "x", "y"), k=100)
+    assert every.count() == 52 * 8
+
+
+def test_frames_keep_what_they_are(spark):
+    from geoloom.frame import SpatialFrame
+
+    frame = SpatialFrame(shapes(spark, "POINT (1 2)", "POINT (3 4)").withColumn("v", F.col("id") * 1.0), crs=4326)
+    assert frame.rename({"geometry": "shape", "id": "key"}).sort_index().crs == 4326
+    assert frame.set_axis(["key", *frame.df.columns[1:]]).id == "key" and not frame.has_sindex()
+    with pytest.raises(TypeError):
+        frame.max()
+    with pytest.raises(ValueError):
+        frame.concat(SpatialFrame(frame.df, crs=3857))
+    assert frame.concat(SpatialFrame(frame.df)).df.count() == 4 and frame.tail(1).df.count() == 1 and frame.sample(frac=0.5).df.count() == 1
+    assert SpatialFrame(frame.df.withColumn("geometry", P.literal_point(5.0, 60.0)), crs=4326).estimate_utm_crs() == 32632
+    assert SpatialFrame(frame.df.withColumn("geometry", P.literal_point(20.0, 78.0)), crs=4326).estimate_utm_crs() == 32633
+    with pytest.warns(UserWarning, match="degrees"):
+        assert frame.sjoin_nearest(frame).columns == ["id_left", "geometry", "v_left", "id_right", "v_right"]
+    assert frame.apply(lambda f: f[["id"]], "id int").geometry is None
+    assert [r.x for r in frame.df.select(G.x(G.transform("geometry", lambda x, y: (y, x))).alias("x")).collect()] == [2.0, 4.0]
