@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from geoloom.plans import operator_queries, trip_queries
+    from geoloom.plans import operator_queries, shape_queries, trip_queries, workflow_queries
 
     cpus, sf_dir = os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = (
@@ -28,7 +28,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     names = [*(n for n in trip_queries.QUERIES), "sjoin_left", "sjoin_nearest", "dissolve", "overlay_intersection", "clip", "predicates", "constructions"]
-    queries = trip_queries.QUERIES | operator_queries.QUERIES
+    names += ["unions", "shape_properties", "workflow_flood_exposure", "workflow_vegetation_corridor", "workflow_transit_service_gap"]
+    queries = trip_queries.QUERIES | operator_queries.QUERIES | shape_queries.QUERIES | workflow_queries.QUERIES
     took = {}
     for name in names:
         for _ in range(2):

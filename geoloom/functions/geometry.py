@@ -55,6 +55,10 @@ def from_wkt(text: ColumnOrName, on_invalid: str = "raise") -> Column:
     return call("Parse", F.lit("wkt"), _c(text), F.lit(on_invalid))
 
 
+def from_geojson(text: ColumnOrName, on_invalid: str = "raise") -> Column:
+    return call("Parse", F.lit("geojson"), _c(text), F.lit(on_invalid))
+
+
 def to_wkb(g: ColumnOrName, hex: bool = False) -> Column:
     return F.lower(F.hex(_c(g))) if hex else _c(g)
 

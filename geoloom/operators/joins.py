@@ -366,6 +366,27 @@ def query_aggregate(
     return every.select("left_id", *(F.coalesce(n, F.lit(0)).alias(n) if n in zero else F.col(n) for n in aggregates))
 
 
+def right_reduce_left(
+    left: Side, right: Side, aggregates: dict[str, tuple[str, str]], predicate: str = "intersects", distance: float | None = None
+) -> DataFrame:
+    """For every right row, aggregates of its left partners, as ``query_aggregate`` has them: (right_id, ...)."""
+    return query_aggregate(right, left, aggregates, INVERSE.get(predicate, predicate), distance).withColumnRenamed("left_id", "right_id")
+
+
+def filter_by_distance(found: DataFrame, operator: str, distance: float | Column) -> DataFrame:
+    """Pairs with a ``distance`` that is ``<``, ``<=``, ``>``, ``>=`` or ``==`` another."""
+    own, other = F.col("distance"), distance if isinstance(distance, Column) else F.lit(float(distance))
+    tests = {"<": own < other, "<=": own <= other, ">": own > other, ">=": own >= other, "==": own == other}
+    if operator not in tests:
+        raise ValueError(f"no such operator: {operator}")
+    return found.where(tests[operator])
+
+
+def left_reduce_distances(found: DataFrame, how: str = "min") -> DataFrame:
+    """(left_id, distance): a reduction of the distances of each left row's pairs."""
+    return found.groupBy("left_id").agg(getattr(F, how)("distance").alias("distance"))
+
+
 def pair_aggregate(first: Side, second: Side, zones: Side, predicate: str = "intersects", every: bool = True) -> DataFrame:
     """(id, left_count, right_count, shared_count) of rows whose two positions are ``first`` and
     ``second``: how many zones each is in, and how many both are in. Rows in no zone are left out unless ``every``.

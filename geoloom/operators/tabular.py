@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .steps import written
+
 SALTS = 64
 
 
@@ -19,7 +21,8 @@ def positions(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
     The rows are sorted by range, and each range starts after the rows of those before it.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("__m", F.monotonically_increasing_id()).persist()
+    # written, so that a row keeps its range and its place in it
+    marked = written(ranged.withColumn("__m", F.monotonically_increasing_id()))
     part = F.shiftright("__m", 33)
     counts = marked.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     # one row for each range

@@ -91,6 +91,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"

@@ -285,7 +285,11 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return L.is_valid_coverage(_boxes(spark, d, "parcel").withColumnRenamed("parcelid", "id"))
 
 
-@against(None)
+@against("""WITH RECURSIVE b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM site),
+step(siteid, px, py, d, s) AS (SELECT siteid, CAST(floor((x - lx) / (hx - lx) * 65535) AS BIGINT), CAST(floor((y - ly) / (hy - ly) * 65535) AS BIGINT), CAST(0 AS BIGINT), CAST(32768 AS BIGINT) FROM site, b
+  UNION ALL SELECT siteid, CASE WHEN ry = 1 THEN qx WHEN rx = 1 THEN s - 1 - qy ELSE qy END, CASE WHEN ry = 1 THEN qy WHEN rx = 1 THEN s - 1 - qx ELSE qx END, d + s * s * xor(3 * rx, ry), s // 2
+  FROM (SELECT *, CASE WHEN px & s > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN py & s > 0 THEN 1 ELSE 0 END AS ry, px & (s - 1) AS qx, py & (s - 1) AS qy FROM step WHERE s > 0))
+SELECT siteid, d AS hilbert FROM step WHERE s = 0""")
 def hilbert_order(spark: SparkSession, d: str) -> DataFrame:
     return L.hilbert_distance(_points(spark, d, "site")).select("siteid", "hilbert")
 
@@ -325,8 +329,7 @@ def shift(spark: SparkSession, d: str) -> DataFrame:
 def where_and_mask(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("kept"), F.col("o_totalprice").alias("masked"))
     large = F.col("kept") > 100000
-    rows = rows.withColumn("masked", F.when(large, F.lit(None)).otherwise(F.col("masked")))
-    rows = T.where(rows, large, ["kept"])
+    rows = T.where(T.mask(rows, large, ["masked"]), large, ["kept"])
     return rows.select("o_orderkey", "kept", "masked", T.datetime_component(rows, "o_orderdate", "year").alias("year"), T.datetime_component(rows, "o_orderdate", "month").alias("month"))
 
 

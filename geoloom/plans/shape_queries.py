@@ -304,6 +304,18 @@ def index_questions(spark: SparkSession, d: str) -> DataFrame:
     return found.unionAll(spark.range(1).select(F.lit(-1 if index.is_empty() else index.size()).cast("long"), F.lit("size")))
 
 
+@against(f"""WITH near AS (SELECT siteid, depotid, sqrt((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y)) AS gap FROM site s, depot t)
+SELECT 'near' AS what, siteid AS id, round(avg(gap), 6) AS value FROM near WHERE gap > 20 AND gap <= 60 GROUP BY siteid
+UNION ALL SELECT 'inside', siteid, count(zonekey) FROM site LEFT JOIN zone ON {_IN} GROUP BY siteid""")
+def reduced_relations(spark: SparkSession, d: str) -> DataFrame:
+    sites, depots = J.point_side(view(spark, d, "site"), "siteid", "x", "y"), J.point_side(view(spark, d, "depot"), "depotid", "x", "y")
+    found = J.filter_by_distance(J.pairs(sites, depots, "dwithin", 60.0), ">", 20.0)
+    near = J.left_reduce_distances(found, "avg").select(F.lit("near").alias("what"), F.col("left_id").alias("id"), _r(F.col("distance")).alias("value"))
+    zones, places = J.geometry_side(_zones(spark, d).df, "zonekey"), J.geometry_side(_sites(spark, d).df, "siteid")
+    inside = J.right_reduce_left(zones, places, {"n": ("*", "size")}, "contains")
+    return near.unionAll(inside.select(F.lit("inside"), F.col("right_id"), F.col("n").cast("double")))
+
+
 # ------------------------------------------------------------------ frames
 
 
@@ -386,7 +398,7 @@ def geometry_values(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ files
 
 
-@against("""SELECT format, siteid, x, y FROM site, (VALUES ('geoparquet'), ('separated'), ('appended'), ('feather'), ('geojsonseq'), ('csv'), ('arrow')) f(format) WHERE format <> 'appended' OR siteid % 2 = 0
+@against("""SELECT format, siteid, x, y FROM site, (VALUES ('geoparquet'), ('separated'), ('appended'), ('feather'), ('geojsonseq'), ('csv'), ('arrow'), ('geoarrow')) f(format) WHERE format <> 'appended' OR siteid % 2 = 0
 UNION ALL SELECT 'boxed', siteid, x, y FROM site WHERE x BETWEEN 100 AND 300 AND y BETWEEN 200 AND 400 UNION ALL SELECT 'wkt', NULL, x, y FROM site""")
 def file_round_trips(spark: SparkSession, d: str) -> DataFrame:
     """Sites written in each format and read again."""
@@ -404,6 +416,7 @@ def file_round_trips(spark: SparkSession, d: str) -> DataFrame:
         "separated": vector.read_file(spark, f"{home}/b.parquet"), "appended": vector.read_file(spark, f"{home}/c.parquet"), "feather": vector.read_file(spark, f"{home}/a.feather"),
         "geojsonseq": vector.read_file(spark, f"{home}/a.geojsonl", properties="siteid long"), "csv": vector.read_file(spark, f"{home}/a.csv"),
         "wkt": vector.read_file(spark, f"{home}/a.wkt").withColumn("siteid", F.lit(None)), "arrow": vector.from_arrow(spark, vector.to_arrow(rows)),
+        "geoarrow": vector.from_arrow(spark, vector.to_arrow(rows, geometry_encoding="geoarrow")),
     }
     out = None
     for name, df in read.items():

@@ -18,7 +18,7 @@ from ..functions import geometry as G
 from ..functions.planar import literal_box, wkb_point
 from .flatgeobuf import read_flatgeobuf
 from .geopackage import read_geopackage
-from .geoparquet import read_feather, read_geoparquet, to_feather, to_geoparquet
+from .geoparquet import geo_metadata, read_feather, read_geoparquet, to_feather, to_geoparquet
 from .osm import read_osm_pbf
 
 #: Column names that hold coordinates or geometry in CSV files.
@@ -39,10 +39,11 @@ def read_file(
     mask: Column | None = None,
     columns: list[str] | None = None,
     target: tuple[int, int] | None = None,
+    rows: int | None = None,
     **options,
 ) -> DataFrame:
     """Read by the format of the extension. ``bbox`` and ``mask`` leave out rows that do not touch
-    them; ``target`` is a pair of CRS codes to reproject from and to."""
+    them; ``target`` is a pair of CRS codes to reproject from and to; ``rows`` is how many are read at most."""
     if bbox is not None and mask is not None:
         raise ValueError("bbox and mask exclude each other")
     kind = FORMATS.get(path.rstrip("/").rpartition(".")[2].lower())
@@ -62,12 +63,25 @@ def read_file(
         df = df.where(G.intersects("geometry", mask))
     if target:
         df = df.withColumn("geometry", G.to_crs("geometry", *target))
+    df = df if rows is None else df.limit(rows)
     return df.select(*columns, *(["geometry"] if "geometry" not in columns else [])) if columns else df
 
 
-def list_layers(path: str) -> list[tuple[str, str]]:
-    """(name, format) of the one layer of a file."""
-    return [(path.rstrip("/").rpartition("/")[2].rpartition(".")[0], FORMATS.get(path.rpartition(".")[2].lower(), "unknown"))]
+def list_layers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, geometry type) of the layers of a file; a type for each kind of a mixed layer, joined by a slash."""
+    kind = FORMATS.get(path.rstrip("/").rpartition(".")[2].lower())
+    if kind == "geopackage":
+        from .geopackage import list_layers as of_container
+
+        return of_container(spark, path)
+    name = path.rstrip("/").rpartition("/")[2].rpartition(".")[0]
+    own = (geo_metadata(path, spark) or {}) if kind == "geoparquet" else {}
+    types = own.get("columns", {}).get(own.get("primary_column"), {}).get("geometry_types")
+    if not types:
+        rows = read_file(spark, path)
+        found = rows.where(F.col("geometry").isNotNull()).select(G.geom_type("geometry").alias("t")).distinct().collect()
+        types = sorted(r["t"] for r in found)
+    return [(name, "/".join(types) or "Unknown")]
 
 
 def read_geoparquet_batches(spark: SparkSession, path: str, batch_rows: int, **options) -> Iterator:
@@ -85,31 +99,43 @@ def read_geoparquet_batches(spark: SparkSession, path: str, batch_rows: int, **o
 
 
 def from_arrow(spark: SparkSession, table) -> DataFrame:
-    """A table of WKB geometry, or with separated point coordinates in ``geometry``."""
-    df = spark.createDataFrame(table)
-    if isinstance(df.schema["geometry"].dataType, T.StructType):
-        return df.withColumn("geometry", wkb_point(F.col("geometry.x"), F.col("geometry.y")))
+    """An Arrow table's rows; geometry in WKB, or as points of two numbers or of x and y, becomes WKB by its extension name."""
+    import pyarrow as pa
+
+    names = {f.name: (f.metadata or {}).get(b"ARROW:extension:name", b"").decode() for f in table.schema}
+    plain = pa.table([c.storage if isinstance(c, pa.ExtensionArray) else c for c in table.columns], schema=pa.schema([pa.field(f.name, f.type) for f in table.schema]))
+    df = spark.createDataFrame(plain)
+    for name, kind in names.items():
+        is_struct = isinstance(df.schema[name].dataType, T.StructType)
+        if kind == "geoarrow.point" or (name == "geometry" and is_struct):
+            x, y = (F.col(f"{name}.x"), F.col(f"{name}.y")) if is_struct else (F.col(name)[0], F.col(name)[1])
+            df = df.withColumn(name, wkb_point(x, y))
     return df
 
 
-def to_arrow(df: DataFrame):
-    return df.toArrow()
+def to_arrow(df: DataFrame, geometry: str = "geometry", geometry_encoding: str = "WKB", interleaved: bool = True, crs: int | None = None):
+    """The rows, gathered on the driver, as an Arrow table whose geometry column has its extension name: WKB, or for
+    points ``geoarrow`` (pairs of numbers, or separate x and y)."""
+    import pyarrow as pa
+
+    if geometry_encoding not in ("WKB", "geoarrow"):
+        raise ValueError(f"no such encoding: {geometry_encoding}")
+    native = geometry_encoding == "geoarrow"
+    if native:
+        known = F.col(geometry).isNotNull()
+        parts = F.array(G.x(geometry), G.y(geometry)) if interleaved else F.struct(G.x(geometry).alias("x"), G.y(geometry).alias("y"))
+        df = df.withColumn(geometry, F.when(known & (G.geom_type(geometry) == "Point"), parts).when(known, F.raise_error(F.lit("only points have this encoding"))))
+    table = df.toArrow()
+    column, at = table.column(geometry), table.schema.get_field_index(geometry)
+    kind = pa.list_(pa.float64(), 2) if native and interleaved else column.type
+    meta = {"ARROW:extension:name": "geoarrow.point" if native else "geoarrow.wkb", "ARROW:extension:metadata": json.dumps({} if crs is None else {"crs": f"EPSG:{crs}"})}
+    return table.set_column(at, pa.field(geometry, kind, metadata=meta), column.cast(kind))
 
 
 def _properties(ddl: str | None) -> str:
     return f"struct<{ddl}>" if ddl else "map<string, string>"
 
 
-def geojson_geometry(column: Column) -> Column:
-    """Geometry from its GeoJSON text."""
-    return from_geojson(column)
-
-
-@F.udf(T.BinaryType())
-def from_geojson(text: str | None) -> bytes | None:
-    return None if text is None else wkb_of(json.loads(text))
-
-
 def wkb_of(g: dict | None) -> bytes | None:
     """WKB (two dimensions) of a GeoJSON geometry."""
     if not g:
@@ -137,7 +163,7 @@ def read_geojson(spark: SparkSession, path: str, properties: str | None = None)
     feature = f"struct<type: string, id: string, properties: {_properties(properties)}, geometry: string>"
     files = spark.read.text(path, wholetext=True)
     parsed = files.select(F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
-    rows = parsed.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), from_geojson(F.col("f.geometry")).alias("geometry"))
+    rows = parsed.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), G.from_geojson("f.geometry").alias("geometry"))
     return rows.select("id", "properties.*", "geometry") if properties else rows
 
 
@@ -145,7 +171,7 @@ def read_geojsonseq(spark: SparkSession, path: str, properties: str | None = Non
     """A feature on each line."""
     feature = f"struct<type: string, id: string, properties: {_properties(properties)}, geometry: string>"
     rows = spark.read.text(path).select(F.from_json(F.ltrim("value", F.lit("\x1e")), feature).alias("f")).where("f is not null")
-    rows = rows.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), from_geojson(F.col("f.geometry")).alias("geometry"))
+    rows = rows.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), G.from_geojson("f.geometry").alias("geometry"))
     return rows.select("id", "properties.*", "geometry") if properties else rows
 
 
