@@ -196,6 +196,31 @@ class SpatialFrame:
         rows = tabular.apply_rows(self.df, function, schema)
         return replace(self, df=rows, geometry=self.geometry if self.geometry in rows.columns else None)
 
+    def loc(self, labels: list) -> SpatialFrame:
+        return self._like(tabular.loc(self.df, self.id, labels))
+
+    def iloc(self, start: int, stop: int) -> SpatialFrame:
+        return self._like(tabular.iloc(self.df, start, stop, [self.id]))
+
+    def take(self, indices: list[int]) -> SpatialFrame:
+        return self._like(tabular.take(self.df, indices, [self.id]))
+
+    def filter(self, items: list[str] | None = None, like: str | None = None, regex: str | None = None) -> DataFrame:
+        return tabular.filter_columns(self.df, items, like, regex)
+
+    def drop_duplicates(self, subset: list[str], keep: str | bool = "first") -> SpatialFrame:
+        return self._like(tabular.drop_duplicates(self.df, subset, [self.id], keep))
+
+    def nlargest(self, n: int, columns: list[str], keep: str = "first") -> SpatialFrame:
+        return self._like(tabular.nlargest(self.df, n, columns, keep, [self.id]))
+
+    def nsmallest(self, n: int, columns: list[str], keep: str = "first") -> SpatialFrame:
+        return self._like(tabular.nsmallest(self.df, n, columns, keep, [self.id]))
+
+    def apply_geometry(self, function: Callable, returns: str = "binary") -> SpatialFrame:
+        """A Python function of each geometry's WKB."""
+        return self._like(tabular.apply_values(self.df, self.geometry, function, returns))
+
     def value_counts(self, column: str | None = None, dropna: bool = True) -> DataFrame:
         return tabular.value_counts(self.df, column or self.geometry, dropna)
 

@@ -526,27 +526,28 @@ def skew(g: ColumnOrName, xs: float = 0.0, ys: float = 0.0, origin: str | tuple[
     return _shape("skew", g, _radians(xs, use_radians), _radians(ys, use_radians), *_origin(origin))
 
 
+#: EPSG codes of projections besides Web Mercator and UTM: world Mercator, conics of France, Europe, the
+#: United States and Australia, and Europe's azimuthal one. Their datums are taken as WGS 84.
+PROJECTED = (3395, 2154, 3034, 5070, 3577, 3035)
+
+
 def to_crs(g: ColumnOrName, source: int, target: int) -> Column:
-    """Reproject every vertex between 4326, 3857 and the UTM zones (326zz, 327zz)."""
+    """Reproject every vertex between 4326, 3857, the UTM zones (326zz, 327zz) and ``PROJECTED``."""
     if source == target:
         return _c(g)
 
-    def utm(code: int) -> tuple[int, float] | None:
-        return (code % 100, float(code // 100 == 327)) if code // 100 in (326, 327) and 1 <= code % 100 <= 60 else None
+    def step(code: int, names: tuple[str, str, str], g: ColumnOrName) -> Column:
+        if code == 3857:
+            return _shape(names[0], g)
+        if code // 100 in (326, 327) and 1 <= code % 100 <= 60:
+            return _shape(names[1], g, code % 100, float(code // 100 == 327))
+        if code in PROJECTED:
+            return _shape(names[2], g, code)
+        raise NotImplementedError(f"CRS {code}")
 
     if source != 4326:
-        if source == 3857:
-            lonlat = _shape("from_mercator", g)
-        elif utm(source):
-            lonlat = _shape("from_utm", g, *utm(source))
-        else:
-            raise NotImplementedError(f"CRS {source}")
-        return to_crs(lonlat, 4326, target)
-    if target == 3857:
-        return _shape("mercator", g)
-    if utm(target):
-        return _shape("utm", g, *utm(target))
-    raise NotImplementedError(f"CRS {target}")
+        g = step(source, ("from_mercator", "from_utm", "from_projected"), g)
+    return _c(g) if target == 4326 else step(target, ("mercator", "utm", "projected"), g)
 
 
 # ------------------------------------------------------------------ aggregates over gathered geometries

@@ -98,12 +98,12 @@ def total_bounds(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     )
 
 
-def reducer(name: str, column: str, order: str | None = None) -> Column:
-    """A named reducer: sum, count, mean, min, max, first, last, any, all, size, nunique, median, std, var or prod.
+def reducer(name: str, column: str | Column, order: str | None = None) -> Column:
+    """A named reducer: sum, count, mean, min, max, first, last, any, all, size, nunique, median, std, var or prod, of a column or an expression.
 
     first and last are those of the non-null values in the order of ``order``.
     """
-    c = F.col(column)
+    c = F.col(column) if isinstance(column, str) else column
     if name in ("first", "last"):
         if not order:
             raise ValueError(f"{name} needs the column that the rows are in the order of")

@@ -261,3 +261,14 @@ def apply_rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
             yield function(frame)
 
     return df.mapInPandas(run, schema)
+
+
+def apply_values(df: DataFrame, column: str, function: Callable, returns: str) -> DataFrame:
+    """A Python function of each value of a column (WKB of a geometry), by Arrow batches."""
+    import pandas as pd
+
+    @F.pandas_udf(returns)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(function, na_action="ignore")
+
+    return df.withColumn(column, run(F.col(column)))

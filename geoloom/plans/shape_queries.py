@@ -173,6 +173,22 @@ def more_constructions(spark: SparkSession, d: str) -> DataFrame:
     ).where(G.is_valid(snapped))
 
 
+@against("""SELECT c.code, siteid, round(6 + x / 100, 7) AS lon, round(44 + y / 100, 7) AS lat FROM site, (VALUES (3395), (2154), (3034), (3035), (32631), (3857)) c(code)
+UNION ALL SELECT 1, 0, 3962799.45, 2999718.85 UNION ALL SELECT 2, 0, 700000, 6600000 UNION ALL SELECT 3, 0, 0, 0""")
+def projections(spark: SparkSession, d: str) -> DataFrame:
+    """There and back again, a published point of Europe's equal-area projection, and origins of conics."""
+    rows = view(spark, d, "site").select(F.col("siteid").cast("long").alias("siteid"), wkb_point(F.col("x") / 100 + 6, F.col("y") / 100 + 44).alias("g"))
+    out = None
+    for code in (3395, 2154, 3034, 3035, 32631, 3857):
+        back = rows.select(F.lit(code).alias("code"), "siteid", G.settled(G.to_crs(G.to_crs("g", 4326, code), code, 4326)).alias("g"))
+        part = back.select("code", "siteid", _r(G.x("g"), 7).alias("lon"), _r(G.y("g"), 7).alias("lat"))
+        out = part if out is None else out.unionAll(part)
+    for i, code, lon, lat in ((1, 3035, 5.0, 50.0), (2, 2154, 3.0, 46.5), (3, 5070, -96.0, 23.0)):
+        g = G.to_crs(wkb_point(F.lit(lon), F.lit(lat)), 4326, code)
+        out = out.unionAll(spark.range(1).select(F.lit(i), F.lit(0).cast("long"), _r(G.x(g), 2) + 0.0, _r(G.y(g), 2) + 0.0))
+    return out
+
+
 # ------------------------------------------------------------------ unions and overlays of shapes that meet
 
 
@@ -263,6 +279,17 @@ def whole_columns(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@against("""SELECT p_brand, sum(p_size * 2) AS doubled, round(stddev_samp(p_retailprice), 4) AS spread, bool_or(p_size > 45) AS any_large, bool_and(p_size > 1) AS all_large, count(*) AS size, median(p_size) AS middle,
+  arg_min(p_name, p_partkey) AS first_name, arg_max(p_name, p_partkey) AS last_name, count(DISTINCT p_type) AS kinds FROM part GROUP BY p_brand""")
+def reducers(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    r = lambda name, c: L.reducer(name, c, "p_partkey")
+    return rows.groupBy("p_brand").agg(
+        r("sum", F.col("p_size") * 2).alias("doubled"), _r(r("std", "p_retailprice"), 4).alias("spread"), r("any", F.col("p_size") > 45).alias("any_large"), r("all", F.col("p_size") > 1).alias("all_large"),
+        r("size", "p_size").alias("size"), r("median", "p_size").alias("middle"), r("first", "p_name").alias("first_name"), r("last", "p_name").alias("last_name"), r("nunique", "p_type").alias("kinds"),
+    )
+
+
 # ------------------------------------------------------------------ joins
 
 

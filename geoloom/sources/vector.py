@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,23 +247,30 @@ def read_wkt(spark: SparkSession, path: str, on_invalid: str = "raise") -> DataF
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """Placemarks with a point, line or polygon: (name, geometry)."""
+    """Placemarks with points, lines, polygons or several of these: (name, geometry)."""
     ring = "struct<LinearRing: struct<coordinates: string>>"
-    schema = f"name string, Point struct<coordinates: string>, LineString struct<coordinates: string>, Polygon struct<outerBoundaryIs: {ring}, innerBoundaryIs: array<{ring}>>"
+    shapes = f"Point: array<struct<coordinates: string>>, LineString: array<struct<coordinates: string>>, Polygon: array<struct<outerBoundaryIs: {ring}, innerBoundaryIs: array<{ring}>>>"
+    fields = T._parse_datatype_string(f"struct<{shapes}>")
+    schema = T.StructType([T.StructField("name", T.StringType()), *fields.fields, T.StructField("MultiGeometry", fields)])
     df = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
 
     def run(text: Column) -> Column:
         pairs = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
         return F.array_join(F.transform(pairs, lambda t: F.concat_ws(" ", F.split(t, ",")[0], F.split(t, ",")[1])), ", ")
 
-    inner = F.transform(F.coalesce("Polygon.innerBoundaryIs", F.array().cast(f"array<{ring}>")), lambda r: F.concat(F.lit("("), run(r["LinearRing"]["coordinates"]), F.lit(")")))
-    outer = F.array(F.concat(F.lit("("), run(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")), F.lit(")")))
-    wkt = F.coalesce(
-        F.concat(F.lit("POINT ("), run(F.col("Point.coordinates")), F.lit(")")),
-        F.concat(F.lit("LINESTRING ("), run(F.col("LineString.coordinates")), F.lit(")")),
-        F.concat(F.lit("POLYGON ("), F.array_join(F.concat(outer, inner), ", "), F.lit(")")),
-    )
-    return df.select("name", G.from_wkt(wkt).alias("geometry"))
+    def listed(column: str, wkt: Callable[[Column], Column]) -> Column:
+        both = F.concat(*(F.coalesce(c, F.array().cast(fields[column].dataType)) for c in (F.col(column), F.col(f"MultiGeometry.{column}"))))
+        return F.transform(both, wkt)
+
+    def polygon(p: Column) -> Column:
+        rings = F.concat(F.array(p["outerBoundaryIs"]), F.coalesce(p["innerBoundaryIs"], F.array().cast(f"array<{ring}>")))
+        return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, lambda r: F.concat(F.lit("("), run(r["LinearRing"]["coordinates"]), F.lit(")"))), ", "), F.lit(")"))
+
+    line = lambda kind: lambda p: F.concat(F.lit(kind + " ("), run(p["coordinates"]), F.lit(")"))
+    parts = F.concat(listed("Point", line("POINT")), listed("LineString", line("LINESTRING")), listed("Polygon", polygon))
+    # one shape stays as it is, several of a kind become a multi-geometry
+    made = G.gathered("collect", F.transform(parts, lambda t: G.from_wkt(t)))
+    return df.select("name", F.when(F.size(parts) > 0, made).alias("geometry"))
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
