@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -328,16 +329,33 @@ def _with_classes(texts: DataFrame, counts: DataFrame, local: Local, classes: np
                     held = tuple(x[:0] for x in held)
         yield out(held)
 
+    # what one occurrence between two classes adds to the value of each class
+    worth = np.ascontiguousarray((gain[:CLASSES].T[None, :, :] + gain[:, None, :CLASSES]).reshape(k * k, CLASSES), np.float32)
+
     def move(batches):
-        for batch in batches:
-            best = np.zeros(batch.num_rows, np.int32)
-            for i, cells in enumerate(batch.column(1).to_pylist()):
-                cell = np.frombuffer(b"".join(cells), np.uint16)
-                before, after = (np.bincount(x, minlength=k).astype(float) for x in (cell // k, cell % k))
-                best[i] = (after @ gain.T + before @ gain)[:CLASSES].argmax()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["hash", "moved"])
-
-    seen = texts.mapInArrow(sides, "hash bigint, cells binary").groupBy("hash").agg(F.collect_list("cells").alias("cells"))
+        """(hash, class) of rows sorted by hash: a word's rows are summed up as they come."""
+        word, value = None, np.zeros(CLASSES)
+        for whole in batches:
+            for batch in slices(whole, 1, 1 << 20):
+                hashes, cells = batch.column(0).to_numpy(), batch.column(1)
+                ends = np.cumsum(np.asarray(pc.binary_length(cells), np.int64) // 2)
+                cell = np.frombuffer(b"".join(cells.to_pylist()), np.uint16)
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]]))
+                if not len(first):
+                    continue
+                starts = np.concatenate([[0], ends])[first]
+                sums = np.add.reduceat(worth[cell], starts, axis=0, dtype=np.float64)
+                own = hashes[first]
+                if own[0] == word:
+                    sums[0] += value
+                elif word is not None:
+                    own, sums = np.append(word, own), np.vstack([value, sums])
+                word, value = own[-1], sums[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(own[:-1]), pa.array(sums[:-1].argmax(axis=1).astype(np.int32))], names=["hash", "moved"])
+        if word is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([word], pa.int64()), pa.array([value.argmax()], pa.int32())], names=["hash", "moved"])
+
+    seen = texts.mapInArrow(sides, "hash bigint, cells binary").repartition("hash").sortWithinPartitions("hash")
     moved = seen.mapInArrow(move, "hash bigint, moved int").unionAll(done)
     of_group = F.array(F.lit(CLASSES), *(F.lit(int(c)) for c in classes[-GROUPS - 1 : -1]))
     return counts.join(moved, "hash", "left").select("hash", "n", F.coalesce("moved", F.get(of_group, F.col("grp") + 1)).alias("cls"))
