@@ -6,7 +6,7 @@ its *room*: the budget without the system turn and without ``history_tokens``. T
 are summed up in order, and the sums choose the spans: a turn of half the room or more is a span
 of its own, the others are cut where their running sum passes a multiple of half the room, so a
 span of several turns stays within the room. History is repeated only as far as the window stays within
-the budget. So a window passes the budget only if the system turn and one turn of a span of its own do: texts are never cut.
+the budget. So a window passes the budget only if the system turn, alone or with one turn of a span of its own, does: texts are never cut.
 The loss mask covers the text of the span's own assistant turns; repeated targets are masked, so every assistant text is learnt once.
 
 Template: ``<|turn|>`` role newline text ``<|end|>`` newline. Control strings inside texts are
@@ -73,9 +73,9 @@ def windows(df: DataFrame, budget: int = 1024, history: int = 2, history_tokens:
         }
     )
     by_at = Window.partitionBy("conv_id").orderBy("at")
-    # the system turn is in the span of the turn after it
+    # the system turn counts nothing, so it is in the span of the turn after it unless that is a long one
     mark = F.struct("is_long", "long_before", F.when(~F.col("is_long"), F.floor(F.col("short_before") / F.col("half"))).alias("cut"))
-    rows = rows.withColumn("mark", mark).withColumn("mark", F.when(F.col("is_system"), F.coalesce(F.lead("mark").over(by_at), "mark")).otherwise(F.col("mark")))
+    rows = rows.withColumn("mark", mark)
     rows = rows.withColumn("starts", (~F.col("mark").eqNullSafe(F.lag("mark").over(by_at))).cast("long"))
     rows = rows.withColumn("window", F.sum("starts").over(by_at.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     rows = rows.withColumn("spare", budget - F.col("system") - F.sum("counted").over(Window.partitionBy("conv_id", "window")))
