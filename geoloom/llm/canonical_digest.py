@@ -27,9 +27,9 @@ from pyspark.sql.types import StringType
 
 from ._shared import among, materialize, slices
 
-_NAMES = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
-_TYPES = ("bigint", "string", "string", "string", "string")
-_KINDS = (pa.int64(), *(pa.string(),) * 4)
+#: What ``compared`` gives for each text.
+COLUMNS = {"n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "next_fingerprint": "string"}
+_KINDS = {"bigint": pa.int64(), "string": pa.string()}
 
 
 def canonical(text: str | None) -> str:
@@ -90,7 +90,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_rows"), F.min(id_col).alias("first_id"))
 
 
-def _first_and_last(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.RecordBatch]:
+def _first_and_last(batches: Iterator[pa.RecordBatch], make: Callable, columns: dict[str, str]) -> Iterator[pa.RecordBatch]:
     """Of sorted rows (id, text): what ``make`` gives for each text and the one after it; the last
     row of a range waits for the next range, so its text and that of the first row go along."""
     from pyspark import TaskContext
@@ -106,24 +106,24 @@ def _first_and_last(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterat
                 ids, texts = pa.concat_arrays([waiting[0], ids]), [waiting[1], *texts]
             waiting = (ids.slice(len(ids) - 1), texts[-1])
             done = len(texts) - 1
-            yield _made(part, ids.slice(0, done), make(texts[:-1], texts[1:]), ids.slice(1), [None] * done, [None] * done)
+            yield _made(columns, part, ids.slice(0, done), make(texts[:-1], texts[1:]), ids.slice(1), [None] * done, [None] * done)
             if first:
-                yield _made(part, ids.slice(0, 1), None, pa.nulls(1, ids.type), [head], [None])
+                yield _made(columns, part, ids.slice(0, 1), None, pa.nulls(1, ids.type), [head], [None])
                 first = False
     if waiting is not None:
-        yield _made(part, waiting[0], None, pa.nulls(1, waiting[0].type), [None], [waiting[1]])
+        yield _made(columns, part, waiting[0], None, pa.nulls(1, waiting[0].type), [None], [waiting[1]])
 
 
-def _made(part: int, ids: pa.Array, made: list[list] | None, next_ids: pa.Array, heads: list, tails: list) -> pa.RecordBatch:
-    n = len(ids)
-    values = [pa.array(column, kind) for column, kind in zip(made, _KINDS)] if made else [pa.nulls(n, kind) for kind in _KINDS]
-    columns = [pa.array(np.full(n, part, np.int32)), ids, next_ids, *values, pa.array(heads, pa.string()), pa.array(tails, pa.string())]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "id", "next_id", *_NAMES, "head", "tail"])
+def _made(columns: dict[str, str], part: int, ids: pa.Array, made: list[list] | None, next_ids: pa.Array, heads: list, tails: list) -> pa.RecordBatch:
+    n, kinds = len(ids), [_KINDS[t] for t in columns.values()]
+    values = [pa.array(column, kind) for column, kind in zip(made, kinds)] if made else [pa.nulls(n, kind) for kind in kinds]
+    arrays = [pa.array(np.full(n, part, np.int32)), ids, next_ids, *values, pa.array(heads, pa.string()), pa.array(tails, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", "id", "next_id", *columns, "head", "tail"])
 
 
-def by_descending_id(df: DataFrame, make: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, next_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint): what ``make``
-    gives for the lists of the rows' texts and of those that follow in descending order of id.
+def by_descending_id(df: DataFrame, make: Callable, columns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, next_id, *columns): the lists that ``make`` gives for the lists of the rows' texts and of those that
+    follow in descending order of id; ``columns`` are their names and types.
 
     After the last row comes the first. Null ids come last; rows that share an id are in order of
     a hash of their text. Texts are shuffled once, by range, and each range's rows are met in a stream; only one
@@ -133,9 +133,9 @@ def by_descending_id(df: DataFrame, make: Callable, id_col: str = "doc_id", text
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"part int, id {kind}, next_id {kind}, {', '.join(f'{n} {t}' for n, t in zip(_NAMES, _TYPES))}, head string, tail string"
-    found = materialize(ranges.mapInArrow(lambda batches: _first_and_last(batches, make), schema), "followed")
-    done = found.where("head is null and tail is null").select("id", "next_id", *_NAMES)
+    schema = f"part int, id {kind}, next_id {kind}, {', '.join(f'{n} {t}' for n, t in columns.items())}, head string, tail string"
+    found = materialize(ranges.mapInArrow(lambda batches: _first_and_last(batches, make, columns), schema), "followed")
+    done = found.where("head is null and tail is null").select("id", "next_id", *columns)
     # two rows for each range, as many as shuffle partitions whatever the input
     heads = found.where("head is not null").select("part", F.col("id").alias("next_id"), "head")
     tails = found.where("tail is not null").select("part", "id", "tail")
@@ -147,12 +147,18 @@ def by_descending_id(df: DataFrame, make: Callable, id_col: str = "doc_id", text
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = make(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(made, _KINDS))], names=["id", "next_id", *_NAMES])
+            arrays = [pa.array(c, _KINDS[t]) for c, t in zip(made, columns.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "next_id", *columns])
 
     last = tails.join(after, "part").select("id", "after.next_id", "tail", "after.head").mapInArrow(rest, done.schema)
     return done.unionAll(last)
 
 
+def followed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, next_id, text, next): each row's text and that of the row after it in descending order of id."""
+    return by_descending_id(df, lambda texts, following: [texts, following], {"text": "string", "next": "string"}, id_col, text_col)
+
+
 def edited(text: str, following: str) -> str:
     """``text`` with its second half replaced by as much of the beginning of ``following``, or all of that."""
     half = len(text) // 2
@@ -160,7 +166,7 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(texts: list[str], following: list[str], marks: dict[tuple[str, str], int], digest: Callable) -> list[list]:
-    """The columns of ``by_descending_id``; ``marks`` are the ordinals of different texts that share a digest."""
+    """The columns of ``COLUMNS``; ``marks`` are the ordinals of different texts that share a digest."""
 
     def mark(text: str) -> str:
         own = digest(text)
@@ -175,13 +181,13 @@ def fingerprints(texts: list[str], following: list[str], marks: dict[tuple[str,
 
 
 def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable = digest_of) -> DataFrame:
-    """The columns of ``by_descending_id`` with exact fingerprints: of each text, its edited text and the next text.
+    """(id, next_id, *COLUMNS) with exact fingerprints: of each text, its edited text and the next text.
 
     Digests that occur once are whole. Texts behind the others are read again and their
     canonical bytes are compared; only if some differ is the work done again with their ordinals.
     """
     plain = lambda texts, following: fingerprints(texts, following, {}, digest)
-    rows = by_descending_id(df, plain, id_col, text_col)
+    rows = by_descending_id(df, plain, COLUMNS, id_col, text_col)
     digests = rows.select("id", F.col("fingerprint").alias("digest")).unionAll(rows.select("id", F.col("edited_fingerprint").alias("digest")))
     again = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     again = materialize(again, "digests-again")
@@ -199,7 +205,7 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
         texts.append(_digests(made, digest))
     clash = collisions(materialize(texts[0].unionAll(texts[-1]) if len(texts) > 1 else texts[0], "shared-digests"))
     marks = {(r["digest"], r["canonical"]): r["ordinal"] for r in clash.collect()}  # none, but for broken digests
-    return by_descending_id(df, lambda texts, following: fingerprints(texts, following, marks, digest), id_col, text_col) if marks else rows
+    return by_descending_id(df, lambda texts, following: fingerprints(texts, following, marks, digest), COLUMNS, id_col, text_col) if marks else rows
 
 
 def _digests(texts: DataFrame, digest: Callable) -> DataFrame:
