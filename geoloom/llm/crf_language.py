@@ -7,8 +7,9 @@ maximises the conditional likelihood by forward-backward on all runs of ``LENGTH
 which a part is spliced from two runs, so that transitions between languages occur.
 
 The sample is at most ``SAMPLE`` rows of each language (those of the smallest hashes of id and text;
-equal rows count once); of these, whole texts are read. An epoch trains ``SHARDS`` parts of it side
-by side, each from the same weights, and goes on with the mean of what they found (McDonald, Hall
+equal rows count once); of these, whole texts are read, and the words of a text of more than ``FULL`` runs weigh
+as much together as those of ``FULL`` runs, so that a few very long texts do not outweigh the others. An epoch trains ``SHARDS`` parts of it side
+by side, each from the same weights, and each weight goes on with the mean of the parts that changed it (after McDonald, Hall
 and Mann 2010), so no text leaves the executors.
 
 Prediction labels every word of every document: chains are runs of ``LENGTH`` words, the
@@ -41,6 +42,7 @@ EPOCHS = 4
 SHARDS = 4
 PARTS = 16
 BATCH, BUFFER = 128, 4096
+FULL = 4
 RATE = 0.3
 UNKNOWN = "und"
 CACHE_WORDS = 120_000
@@ -209,14 +211,15 @@ class Trainer:
         hashed = hashed[np.argsort(place, kind="stable")]
         return coded, np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(known)))]), hashed
 
-    def learn(self, runs: list[tuple[int, list[str]]], rng: np.random.Generator) -> None:
-        """One pass over (label, words), in batches of random order."""
-        coded, begin, hashed = self.code([words for _, words in runs])
-        label = np.array([lang for lang, _ in runs])
+    def learn(self, runs: list[tuple[int, list[str], float]], rng: np.random.Generator) -> None:
+        """One pass over (label, words, weight), in batches of random order."""
+        coded, begin, hashed = self.code([words for _, words, _ in runs])
+        label, share = np.array([lang for lang, _, _ in runs]), np.array([weight for _, _, weight in runs], np.float32)
         order = rng.permutation(len(coded))
         for at in range(0, len(order), BATCH):
             picked = order[at : at + BATCH]
             words, gold = np.full((len(picked), LENGTH), -1, np.int64), np.zeros((len(picked), LENGTH), np.int64)
+            weigh = np.repeat(share[picked][:, None], LENGTH, axis=1)
             for row, i in enumerate(picked):
                 own = coded[i]
                 words[row, : len(own)], gold[row] = own, label[i]
@@ -225,10 +228,10 @@ class Trainer:
                     other, cut = coded[j][: LENGTH // 2], len(own) // 2
                     words[row, cut:] = -1
                     words[row, cut : cut + len(other)] = other[: LENGTH - cut]
-                    gold[row, cut:] = label[j]
-            self.step(words, gold, begin, hashed)
+                    gold[row, cut:], weigh[row, cut:] = label[j], share[j]
+            self.step(words, gold, weigh, begin, hashed)
 
-    def step(self, words: np.ndarray, gold: np.ndarray, begin: np.ndarray, hashed: np.ndarray) -> None:
+    def step(self, words: np.ndarray, gold: np.ndarray, weigh: np.ndarray, begin: np.ndarray, hashed: np.ndarray) -> None:
         weights, transition, first, total, move_total, first_total = self.arrays
         real = words >= 0
         own = words[real]
@@ -240,7 +243,7 @@ class Trainer:
         emission[real] = np.stack([np.bincount(word, (weights[cells, k] * scale[:, 0]), len(own)) for k in range(weights.shape[1])], axis=1)
         posterior, pair = forward_backward(emission, transition.astype(float), first.astype(float), real)
         truth = np.eye(weights.shape[1])[gold]
-        slope = ((truth - posterior)[real] / len(words)).astype(np.float32)
+        slope = ((truth - posterior)[real] * weigh[real][:, None] / len(words)).astype(np.float32)
         touched, inverse = np.unique(cells, return_inverse=True)
         summed = np.stack([np.bincount(inverse, slope[word, k] * scale[:, 0], len(touched)) for k in range(weights.shape[1])], axis=1).astype(np.float32)
         total[touched] += summed**2
@@ -253,13 +256,13 @@ class Trainer:
             value += (0.1 * change / np.sqrt(sums)).astype(np.float32)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], labels: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(label, words) of all runs of the rows (lang, text)."""
+def _runs(batches: Iterator[pa.RecordBatch], labels: list[str]) -> Iterator[tuple[int, list[str], float]]:
+    """(label, words, weight) of all runs of the rows (lang, text)."""
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = text.lower().split()
             for start in range(0, len(own), LENGTH):
-                yield labels.index(lang), own[start : start + LENGTH]
+                yield labels.index(lang), own[start : start + LENGTH], min(1.0, FULL * LENGTH / len(own))
 
 
 def sampled(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -280,7 +283,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     context = labelled.sparkSession.sparkContext
     labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     trainer = Trainer(labels)
-    parts = rows.repartition(SHARDS, F.pmod("at", F.lit(SHARDS))).sortWithinPartitions("at").select("lang", "text")
+    # hashed again: the larger a language, the smaller are the hashes of its sample, and a part mixes all languages
+    parts = rows.repartition(SHARDS, F.pmod("at", F.lit(SHARDS))).sortWithinPartitions(F.xxhash64(F.lit(1), "at")).select("lang", "text")
     for epoch in range(EPOCHS if labels else 0):
         shared = context.broadcast((labels, trainer.arrays))
 
@@ -291,14 +295,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 own.learn(part, rng)
                 n += len(part)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([[a.tobytes() for a in own.arrays]], pa.list_(pa.binary()))], names=["n", "arrays"])
+                yield pa.RecordBatch.from_arrays([pa.array([[a.tobytes() for a in own.arrays]], pa.list_(pa.binary()))], names=["arrays"])
 
-        found = parts.mapInArrow(run, "n bigint, arrays array<binary>").collect()
+        found = parts.mapInArrow(run, "arrays array<binary>").collect()
         if found:
-            share = np.array([r["n"] for r in found]) / sum(r["n"] for r in found)
-            trainer.arrays = [
-                sum(np.float32(w) * np.frombuffer(r["arrays"][i], np.float32).reshape(a.shape) for w, r in zip(share, found)) for i, a in enumerate(trainer.arrays)
-            ]
+            for i, start in enumerate(trainer.arrays):
+                # a weight is the mean of those parts that changed it: most words are in one part only
+                moved = [np.frombuffer(r["arrays"][i], np.float32).reshape(start.shape) - start for r in found]
+                trainer.arrays[i] = start + sum(moved) / np.maximum(1, sum(m != 0 for m in moved)).astype(np.float32)
     return trainer.model()
 
 

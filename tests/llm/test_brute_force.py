@@ -333,3 +333,12 @@ def test_ids_of_near_duplicates_that_repeat(spark):
     assert {(g[1], g[3], g[4]) for g in got if not g[0]} == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)}
     left = lsh_forest.deduplicated(frame, shingle_words=2)
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 0, 1, 3, 4] and left.columns == frame.columns
+
+
+def test_every_language_is_learnt_whatever_its_share(spark):
+    """A part of the sample mixes its languages: the largest is neither first nor forgotten."""
+    found = queries.op10_crf_language(spark, "/root/testdata/sf0.01").where("held_out and lang_pred <> 'und'")
+    rows = found.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang]
+        assert sum(r.lang_pred == lang for r in own) >= 0.95 * len(own) and sum(r.score for r in own) >= 0.9 * len(own)
