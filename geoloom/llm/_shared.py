@@ -27,15 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The written table ends the lineage, so a lost executor costs only the tasks that read it.
+    The written table ends the lineage, so a lost executor costs only the tasks that read it. The
+    shuffle files of the write are no longer needed then, and Spark is told to remove them at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.step_path = path
+    return read
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that is made of them is written itself."""
+    for step in steps:
+        spark = step.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(step.step_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
