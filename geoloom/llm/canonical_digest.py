@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ._shared import among, materialize, slices
+from ._shared import MemberFilter, among, materialize, slices
 
 #: What ``compared`` gives for each text.
 COLUMNS = {"n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "next_fingerprint": "string"}
@@ -194,14 +195,16 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     of = lambda c: rows.join(again, rows[c] == again["digest"], "left_semi")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = [_digests(among(docs, of("fingerprint").select("id"), "id"), digest)]
-    changed = materialize(of("edited_fingerprint").select("id", "next_id"), "edited-ids")
-    if not changed.isEmpty():
-        few = materialize(among(docs, changed.select("id").unionAll(changed.select("next_id")), "id"), "edited-texts")
-        own, after = few.select(F.col("id").alias("own_id"), F.col("text").alias("own")), few.select(F.col("id").alias("after_id"), F.col("text").alias("after"))
-        both = changed.join(own, F.col("id").eqNullSafe(F.col("own_id"))).join(after, F.col("next_id").eqNullSafe(F.col("after_id")))
-        n = F.length("own")
-        half = F.floor(n / 2).cast("int")
-        made = both.select(F.concat(F.substr("own", F.lit(1), n - half), F.substr("after", F.lit(1), half)).alias("text"))
+    if not of("edited_fingerprint").isEmpty():
+        # edited texts are made again where their rows are met, as ids may repeat; few of the others pass the filter
+        shared = df.sparkSession.sparkContext.broadcast(MemberFilter.of(again.select(F.crc32(F.col("digest").cast("binary")).alias("at"))))
+
+        def repeated(own: list[str], following: list[str]) -> list[list]:
+            made = [edited(a, b) for a, b in zip(own, following)]
+            keys = np.array([zlib.crc32(digest(t).encode()) for t in made], np.int64)
+            return [[t if met else None for t, met in zip(made, shared.value.has(keys))]]
+
+        made = by_descending_id(df, repeated, {"text": "string"}, id_col, text_col).where("text is not null")
         texts.append(_digests(made, digest))
     clash = collisions(materialize(texts[0].unionAll(texts[-1]) if len(texts) > 1 else texts[0], "shared-digests"))
     marks = {(r["digest"], r["canonical"]): r["ordinal"] for r in clash.collect()}  # none, but for broken digests

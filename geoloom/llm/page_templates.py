@@ -12,7 +12,8 @@ text is the same on ``SUPPORT`` pages and on half of those that have it is templ
 
 The slots are then read from the outside in. The article element is the main token of a page that has
 one. Else, beginning with the whole page, the next token is the one that holds ``MOST`` of the text that varies over the host in all tokens
-at its level; the slots of the tokens so passed stay, the tokens beside them go. Beneath the
+at its level. What stands outside the main token stays where the page has no article element, unless it is template
+text, in a record (comments, teasers), mostly links or set apart by HTML. Beneath the
 main token everything stays but template text (in slots of its own: a passage that articles share is
 no slot) and elements that HTML itself sets apart: navigation, asides, forms, footers, headers
 outside the article, articles within the article (comments). No names of classes are known.
@@ -176,8 +177,9 @@ def main_text(page: str | None, template: dict[str, tuple[float | None, frozense
                 inner[frame[_above(path)]].add(path)
     articles = [p for p in tokens if re.search(r"/article\b[^/]*$", p)] or [p for p in tokens if re.search(r"/main\b[^/]*$", p)]
     held = {p: sum(len(b[1]) for b in blocks if _is_text(b) and (b[0] == p or b[0].startswith(p + "/"))) for p in articles}
-    passed: set[str] = set()
-    if any(held.values()):
+    records: set[str] = set()
+    around = not any(held.values())
+    if not around:
         main = max(held, key=lambda p: (held[p], p))
     else:
         total: dict[str, float] = {}
@@ -188,13 +190,16 @@ def main_text(page: str | None, template: dict[str, tuple[float | None, frozense
             best = max(inner[main], key=lambda p: (total[p], p))
             if not total[best] or total[best] < MOST * sum(total[c] for c in inner[main]):
                 break
-            passed.add(main)
             main = best
+        for path in sorted(tokens):  # parents first; a token that comes several times is a record, and so is what it holds
+            several = template[path][0] is None if path in template else tokens[path] > 1
+            if several or _above(path) in records:
+                records.add(path)
     kept = []
     for block in blocks:
         if not block[3]:
             beneath = main == "" or block[0] == main or block[0].startswith(main + "/")
-            if beneath or (frame[block[0]] in passed and _is_text(block) and block[0] not in same):
+            if beneath or (around and _is_text(block) and block[0] not in same and block[0] not in records):
                 kept.append(block)
     if any(b[0] not in same for b in kept):  # else all of it is a copy
         kept = [b for b in kept if b[0] not in same or b[0] == main]

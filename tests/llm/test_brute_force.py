@@ -342,3 +342,11 @@ def test_every_language_is_learnt_whatever_its_share(spark):
     for lang in {r.lang for r in rows}:
         own = [r for r in rows if r.lang == lang]
         assert sum(r.lang_pred == lang for r in own) >= 0.95 * len(own) and sum(r.score for r in own) >= 0.9 * len(own)
+
+
+def test_digests_of_many_rows_without_an_id(spark):
+    """Rows that share an id, or have none, and an edited text grow in proportion."""
+    rows = spark.range(20_000).selectExpr("cast(null as bigint) as doc_id", "'one text' as text").unionByName(spark.range(5_000).selectExpr("7L as doc_id", "'another text' as text"))
+    got = canonical_digest.compared(rows)
+    assert got.groupBy("id").count().orderBy("id").collect() == [(None, 20_000), (7, 5_000)]
+    assert got.select("fingerprint").distinct().count() == 2

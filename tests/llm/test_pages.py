@@ -123,3 +123,19 @@ def test_odd_pages(spark):
     assert {r.page_id: r.text for r in got if r.page_id in (0, 1, 2)} == {0: "", 1: "", 2: ""}
     assert [r.text for r in got if r.page_id is None] == ["a b"] and len(got) == 7
     assert page_templates.extract(rows.limit(0)).collect() == []
+
+
+def test_a_sibling_of_the_main_text_stays(spark):
+    """Without an article element, what stands beside the largest token goes only if it is template text, a record or apart."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(6):
+        a, b, replies = text(60), text(10), [text(4) for _ in range(3)]
+        comments = "".join(f'<div class="reply">{r}</div>' for r in replies)
+        html = f'<div class="top">Our site</div><div class="c"><div class="a">{a}</div><div class="b">{b}</div></div><div class="replies">{comments}</div><footer>{text(8)}</footer>'
+        rows.append((i, f"http://h.com/{i}", html))
+        want[i] = f"{a}\n{b}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in page_templates.extract(pages).collect()} == want
