@@ -13,7 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, IntegerType, StringType
 
 HOME = Path(__file__).parent / "jvm"
 JAR = HOME / "geoloom-jts.jar"
@@ -34,7 +34,13 @@ KINDS: dict[str, DataType] = {
     "Plain": BinaryType(),
     "Gathered": BinaryType(),
     "GatheredParts": ArrayType(BinaryType()),
+    "Pack": BinaryType(),
+    "Least": ArrayType(DoubleType()),
+    "Enough": DoubleType(),
+    "Leaves": ArrayType(IntegerType()),
 }
+#: Kinds that are about boxes, not shapes.
+BOXES = ("Pack", "Least", "Enough", "Leaves")
 
 
 def build_jar(to: Path = JAR) -> Path:
@@ -59,7 +65,7 @@ def attach(spark: SparkSession | None = None) -> None:
     jar = JAR if JAR.exists() else build_jar(Path(tempfile.mkdtemp(prefix="geoloom-jts-")) / JAR.name)
     spark.sql(f"ADD JAR '{jar}'")
     for kind, result in KINDS.items():
-        spark.udf.registerJavaFunction(f"geoloom_{kind.lower()}", f"geoloom.Geo${kind}", result)
+        spark.udf.registerJavaFunction(f"geoloom_{kind.lower()}", f"geoloom.{'Near' if kind in BOXES else 'Geo'}${kind}", result)
     spark.conf.set("geoloom.jts.attached", "yes")
 
 

@@ -22,25 +22,35 @@ geometries have a null or NaN box and are in no pair. Pairs are (left_id, right_
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.jts import call
 from ..functions.planar import Box, point_distance
 from .steps import written
 
 MAX_CELLS = 16
 LEVEL = 8
-RINGS, GRID = 3, 32
+GRID = 32
+#: Rows of a sample that reaches the driver; a cell's block may hold so many times the wanted boxes.
+SAMPLE, CROWD = 8192, 64
+#: A side of so few boxes goes to every task as it is.
+FEW = 2048
 #: Predicates whose operands change places.
 INVERSE = {"within": "contains", "contains": "within", "covers": "covered_by", "covered_by": "covers"}
 
 
+_BOX = ("x0", "y0", "x1", "y1")
+
+
 @dataclass(frozen=True)
 class Side:
     """One side of a join: a frame, its id, its box, and its geometry for exact predicates.
@@ -170,7 +180,7 @@ def candidates(
 ) -> DataFrame:
     """Pairs of rows whose boxes touch, the left boxes grown by ``grown`` (or by a left column).
 
-    Columns l_id, l_x0.. (as grown), r_id, r_x0.., and l_geom, r_geom where there are geometries.
+    Columns l_id, l_x0.. (its own), r_id, r_x0.., and l_geom, r_geom where there are geometries.
     ``extents`` are those of the sides, or of frames that hold them, if they are known already.
     """
     l_extent, r_extent = extents or planned(left, right, grown, grown_by)
@@ -179,7 +189,8 @@ def candidates(
     size = max(size, reach * 2.0**-40)  # cells are numbered by longs
     l_rows, r_rows = left.slim("l_", grown_by), right.slim("r_")
     by = F.col("l_grown") if grown_by else F.lit(float(grown))
-    l_rows = l_rows.withColumns({c: F.col(c) - by for c in ("l_x0", "l_y0")} | {c: F.col(c) + by for c in ("l_x1", "l_y1")})
+    # what a row is dealt by is grown, what pairs have is its own
+    l_rows = l_rows.withColumns({"l_own_" + c: F.col("l_" + c) for c in _BOX} | {c: F.col(c) - by for c in ("l_x0", "l_y0")} | {c: F.col(c) + by for c in ("l_x1", "l_y1")})
     l_top, r_top = _top(l_extent.widest + 2 * grown, size), _top(r_extent.widest, size)
     # A pair meets on the coarser of its levels only. Either the right row is there dealt on a
     # level that is not below its own and the left one on its own, or the left row climbs to the
@@ -207,7 +218,7 @@ def candidates(
     corner = (F.floor(F.greatest("l_x0", "r_x0") / cell) == F.col("l.cx")) & (F.floor(F.greatest("l_y0", "r_y0") / cell) == F.col("l.cy"))
     touch = (F.col("l_x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1")) & (F.col("l_y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1"))
     out = pairs.where(touch & corner)
-    names = ["l_id", "l_x0", "l_y0", "l_x1", "l_y1", "r_id", "r_x0", "r_y0", "r_x1", "r_y1"]
+    names = ["l_id", *(F.col("l_own_" + c).alias("l_" + c) for c in _BOX), "r_id", "r_x0", "r_y0", "r_x1", "r_y1"]
     names += ["l_of_" + c for c in left.carry] + ["r_of_" + c for c in right.carry]
     names += ["l_geom"] * bool(left.geometry) + ["r_geom"] * bool(right.geometry) + ["l_grown"] * bool(grown_by)
     return out.select(*names)
@@ -260,9 +271,8 @@ def pairs(
         grown = 0.0 if by_column else float(distance)
         found = candidates(left, right, size, grown, distance if by_column else None, extents)
         limit = F.col("l_grown") if by_column else F.lit(grown)
-        back = {c: F.col(c) + limit for c in ("l_x0", "l_y0")} | {c: F.col(c) - limit for c in ("l_x1", "l_y1")}
         gap = G.distance("l_geom", "r_geom") if left.geometry else box_distance()
-        found = found.withColumns(back).withColumn("distance", gap).where(F.col("distance") <= limit)
+        found = found.withColumn("distance", gap).where(F.col("distance") <= limit)
     else:
         found = candidates(left, right, size, extents=extents)
         test = _exact(left, right, predicate, 0.0)
@@ -410,6 +420,69 @@ def _gap(left: Side) -> Column:
     return G.distance("l_geom", "r_geom") if left.geometry else box_distance()
 
 
+def _places(right: Side, k: int | None) -> DataFrame:
+    """(x0, y0, x1, y1, id): the boxes of a side, of rows that share one the first ``k`` by id; without ``k`` each box once, with no id."""
+    rows = right.slim("r_").select(F.col("r_id").alias("id"), *(F.col("r_" + c).alias(c) for c in _BOX))
+    if k is None:
+        return rows.groupBy(*_BOX).agg(F.lit(None).cast(rows.schema["id"].dataType).alias("id"))
+    rank = F.row_number().over(Window.partitionBy(*_BOX).orderBy("id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def _cell_sizes(places: DataFrame, count: int, need: int) -> list[float]:
+    """Cell widths from the densest parts of a side to the sparsest, each four times the one before; by a sample of ``SAMPLE`` boxes."""
+    centre = ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")
+    rows = places.sample(min(1.0, 1.2 * SAMPLE / max(count, 1)), seed=7).select(*centre).limit(SAMPLE).toPandas().to_numpy(dtype=float)
+    if len(rows) < 2:
+        return [1.0]
+    low, high = rows.min(0), rows.max(0)
+    grid = ((rows - low) / np.where(high > low, high - low, 1.0) * 65535).astype(np.int64)
+    curve = np.zeros(len(rows), np.int64)
+    for bit in range(16):
+        curve |= ((grid[:, 0] >> bit) & 1) << (2 * bit) | ((grid[:, 1] >> bit) & 1) << (2 * bit + 1)
+    rows = rows[np.argsort(curve)]
+    runs = [rows[i : i + 64] for i in range(0, len(rows), 64)]
+    across = [np.ptp(r, axis=0) for r in runs if len(r) > 1]
+    spacing = sorted((w * h / len(r) if w * h else max(w, h) ** 2 / len(r) ** 2) ** 0.5 for (w, h), r in zip(across, runs))
+    spacing = [v * (len(rows) / max(count, len(rows))) ** 0.5 for v in spacing if v > 0] or [max(float(np.ptp(rows)), 1.0)]
+    # so many places a cell that a block of nine has ``need`` of them almost surely
+    wide = ((need + 3 * need**0.5 + 3) / 9) ** 0.5
+    first, last = (wide * spacing[int(q * (len(spacing) - 1))] for q in (0.25, 0.95))
+    return [first * 4**i for i in range(1 + math.floor(math.log(last / first, 4) + 0.3))]
+
+
+def _home_candidates(places: DataFrame, extent: Extent, size: float, need: int, ids: bool) -> DataFrame:
+    """(cx, cy, near, boxes): of the cells of one width whose block of nine holds ``need`` places, the places among which are
+    the ``need`` nearest of every point of the cell, by id, and their boxes as packed numbers; ``near`` has ids alone or whole places."""
+    cell = lambda lo, hi: F.floor((F.col(lo) + F.col(hi)) / 2 / size)
+    counts = places.groupBy(cell("x0", "x1").alias("cx"), cell("y0", "y1").alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(i == j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    blocks = counts.select("n", around.alias("at")).groupBy("at.cx", "at.cy").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("at.own"), F.col("n")).otherwise(0)).alias("own"))
+    # the counts bound how far the places are: inside the cell, or inside the block
+    reach = F.when(F.col("own") >= need, 2**0.5).otherwise(2 * 2**0.5) * size * (1 + 1e-9)
+    cells = blocks.where((F.col("n") >= need) & (F.col("n") <= CROWD * need)).withColumn("reach", reach)
+    cells = cells.withColumn("key", F.struct("cx", "cy"))
+    box = Box(F.col("cx") * size, F.col("cy") * size, (F.col("cx") + 1) * size, (F.col("cy") + 1) * size)
+    across = 8 * size
+    extents = (Extent(extent.count, across, across, extent.xmin - across, extent.ymin - across, extent.xmax + across, extent.ymax + across), extent)
+    of_place = Side(places.withColumn("key", F.struct("id", *_BOX)), "key", Box(*map(F.col, _BOX)))
+    found = candidates(Side(cells, "key", box), of_place, max(across / 2, extent.median), grown_by="reach", extents=extents)
+    near = found.groupBy("l_id").agg(F.sort_array(F.collect_list("r_id")).alias("near"))
+    boxes = call("Pack", F.flatten(F.transform("near", lambda c: F.array(*(c[n] for n in _BOX)))))
+    # rows of many points carry these: ids alone where boxes have them
+    return near.select("l_id.cx", "l_id.cy", F.col("near.id" if ids else "near").alias("near"), boxes.alias("boxes"))
+
+
+def _all_places(places: DataFrame, ids: bool) -> dict[str, Column]:
+    """``near`` and ``boxes`` of at most ``FEW`` places, as literals."""
+    told = sorted(map(tuple, places.select("id", *_BOX).collect()), key=lambda r: (r[0] is not None, r))
+    kind = places.schema["id"].dataType.simpleString()
+    near = F.from_json(F.lit(json.dumps([r[0] for r in told], default=str)), f"array<{kind}>")
+    if not ids:
+        near = F.from_json(F.lit(json.dumps([dict(zip(_BOX, r[1:])) for r in told])), "array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    return {"near": near, "boxes": F.lit(np.array([r[1:] for r in told], ">f8").tobytes())}
+
+
 def nearest(
     left: Side,
     right: Side,
@@ -421,72 +494,93 @@ def nearest(
     """(left_id, right_id, distance): the nearest right rows of each left row.
 
     Without ``k`` all that tie for the least distance; with it exactly ``k``, ties by right id.
-    ``exclusive`` leaves out equal geometries (equal boxes). ``RINGS`` rings of growing reach are searched:
-    a left row is done when it has enough partners within the reach, the others go on with
-    four times the reach. Each of those that are left then gets a reach of its own, within which there must be enough: the
-    right side is summed up in ``GRID`` squared cells, and the nearest of these that together hold enough rows bound it.
+    ``exclusive`` leaves out equal geometries (equal boxes).
+
+    Counts come first. The right side's different boxes are counted by cell, and the counts of a cell and the eight around it bound how
+    far the wanted ones can be from any point of the cell; the boxes within that bound are the cell's candidates. Each left
+    row meets those of the one cell that it is in, so no left row is dealt twice, and ranks them in place. Where
+    density differs much, wider cells serve the rows that narrower ones do not. Points are done with that; of other rows the
+    candidates give a reach of their own, within which exact distances are taken. Rows with too few boxes near them get
+    a reach from the counts of ``GRID`` squared cells. A side of ``FEW`` boxes at most is every row's list of candidates.
     """
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
-    extents = tuple(measure(left, right))
-    need = min(k or 1, extents[1].count) if not exclusive else k or 1
-    reach = max_distance or cell_size(*extents) * max(1.0, need**0.5)
-    known = [e for e in extents if e.count]
-    empty = len(known) < 2
-    sides = ((min(e.xmin for e in known), max(e.xmax for e in known)), (min(e.ymin for e in known), max(e.ymax for e in known))) if known else ()
-    extent = max((hi - lo for lo, hi in sides), default=0.0) * 2 + 1
-    order = Window.partitionBy("l_id").orderBy("distance", "r_id")
-    tied = Window.partitionBy("l_id").orderBy("distance")
-
-    def ranked(found: DataFrame) -> DataFrame:
+    direct = left.points and not left.geometry and not right.geometry
+    places = written(_places(right, k if direct else None))
+    extent = measure(Side(places, "id", Box(*map(F.col, _BOX))))[0]
+    count = extent.count
+    # rows that share the own box may have to be left out
+    need = min((k or 1) + ((k if direct and k else 1) if exclusive else 0), count)
+    order, tied = Window.partitionBy("l_id").orderBy("distance", "r_id"), Window.partitionBy("l_id").orderBy("distance")
+
+    def within(rows: Side) -> DataFrame:
+        """By each row's ``__reach``."""
+        found = candidates(rows, right, grown_by="__reach")
+        found = found.withColumn("distance", _gap(left)).where(F.col("distance") <= F.col("l_grown"))
         if exclusive:
             same = G.geom_equals("l_geom", "r_geom") if left.geometry else F.lit(True)
-            for c in ("x0", "y0", "x1", "y1"):
+            for c in _BOX:
                 same = same & (F.col("l_" + c) == F.col("r_" + c))
             found = found.where(~same)
         rows = found.withColumn("rank", F.row_number().over(order) if k else F.rank().over(tied)).where(F.col("rank") <= (k or 1))
         return rows.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "distance")
 
-    def within(rows: Side, by: Column, **grown) -> DataFrame:
-        found = candidates(rows, right, extents=extents, **grown)
-        back = {c: F.col(c) + by for c in ("l_x0", "l_y0")} | {c: F.col(c) - by for c in ("l_x1", "l_y1")}
-        return ranked(found.withColumns(back).withColumn("distance", _gap(left)).where(F.col("distance") <= by))
-
-    rest, out, ring = left, None, 0
-    while True:
-        part = within(rest, F.lit(reach), size=max(reach, 1e-300), grown=reach)
-        if max_distance is not None or reach >= extent or empty:
-            return part if out is None else out.unionAll(part)
-        part = written(part.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("left_id"))).where(F.col("__n") >= need).drop("__n"))
-        out = part if out is None else out.unionAll(part)
-        done = part.select(F.col("left_id").alias("__done")).distinct()
-        open_rows = written(rest.df.join(done, F.col(rest.id) == F.col("__done"), "left_anti"))
-        if open_rows.isEmpty():
-            return out
-        rest = Side(open_rows, rest.id, rest.box, rest.geometry, rest.keys, (), rest.points)
-        ring += 1
-        if ring >= RINGS and not exclusive:
-            bound = open_rows.withColumn("__reach", _enough(right, extents[1], need, rest.box))
-            return out.unionAll(within(Side(bound, rest.id, rest.box, rest.geometry, rest.keys), F.col("l_grown"), grown_by="__reach"))
-        reach = min(reach * 4, extent)
-
-
-def _enough(right: Side, extent: Extent, need: int, box: Box) -> Column:
-    """A distance from a box within which there are ``need`` rows of the right side at least."""
-    rows = right.slim("r_")
+    own = Box(*(F.col("l_" + c) for c in _BOX))
+    limit = F.lit(float(max_distance)) if max_distance is not None else F.lit(float("inf"))
+    slim = left.slim("l_")
+    rows = slim.select("l_id", *own_columns(own), *(["l_geom"] if left.geometry else []))
+    if not count:
+        return within(Side(slim.withColumn("__reach", F.lit(0.0)), "l_id", own, "l_geom" if left.geometry else None))
+
+    def ranked() -> Column:
+        """The wanted of the candidates: structs of distance and place."""
+        least = call("Least", F.array(*(F.col("l_" + n) for n in _BOX)), F.col("boxes"), F.lit(0 if direct and not k else k or 1), F.lit((not direct) + 2 * exclusive))
+        # the numbers in turn: a place in the list, and its distance
+        distance = F.filter(least, lambda v, i: i % 2 == 1)
+        place = F.transform(F.filter(least, lambda v, i: i % 2 == 0), lambda v: F.col("near")[v.cast("int")])
+        return F.when(F.size(least) > 0, F.arrays_zip(distance.alias("distance"), place.alias("place")))
+
+    served = []
+    if count <= FEW:
+        served.append(rows.withColumns(_all_places(places, bool(direct and k))).withColumn("near", ranked()).drop("boxes"))
+    for size in _cell_sizes(places, count, need) if count > FEW else []:
+        cells = written(_home_candidates(places, extent, size, need, bool(direct and k)))
+        at = F.floor((own.xmin + own.xmax) / 2 / size).alias("__cx"), F.floor((own.ymin + own.ymax) / 2 / size).alias("__cy")
+        met = rows.select("*", *at).join(cells.hint("merge"), (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")), "left").drop("__cx", "__cy", "cx", "cy")
+        met = written(met.withColumn("near", ranked()).drop("boxes"))
+        served.append(met.where("near is not null"))
+        rows = met.where("near is null").drop("near")
+    found = reduce(DataFrame.unionAll, served)
+    side = lambda df: Side(df, "l_id", own, "l_geom" if left.geometry else None)
+    bounded = lambda df, reach: side(df.withColumn("__reach", F.least(reach, limit)))
+    out = []
+    if count > FEW and not rows.isEmpty():
+        out.append(within(bounded(rows, _enough(places, extent, need, own))))
+    if direct and k:
+        out.append(found.select(F.col("l_id").alias("left_id"), F.inline("near")).select("left_id", F.col("place").alias("right_id"), "distance"))
+    elif direct:
+        flat = found.select(F.col("l_id").alias("left_id"), F.inline("near")).select("left_id", "distance", *(F.col("place." + c).alias(c) for c in _BOX))
+        ids = right.slim("r_").select("r_id", *(F.col("r_" + c).alias(c) for c in _BOX))
+        out.append(flat.join(ids, list(_BOX)).select("left_id", F.col("r_id").alias("right_id"), "distance"))
+    else:
+        # a little more, for distances that are rounded
+        out.append(within(bounded(found, F.element_at("near", -1)["distance"] * (1 + 1e-9))))
+    return reduce(DataFrame.unionAll, out).where(F.col("distance") <= limit)
+
+
+def own_columns(box: Box) -> list[Column]:
+    return [c.alias("l_" + n) for c, n in zip((box.xmin, box.ymin, box.xmax, box.ymax), _BOX)]
+
+
+def _enough(places: DataFrame, extent: Extent, need: int, box: Box) -> Column:
+    """A distance from a box within which there are ``need`` of the places at least."""
     place = lambda lo, hi, low, high: F.least(F.floor(((F.col(lo) + F.col(hi)) / 2 - low) / ((high - low) or 1.0) * GRID), F.lit(GRID - 1))
-    at = place("r_x0", "r_x1", extent.xmin, extent.xmax).alias("cx"), place("r_y0", "r_y1", extent.ymin, extent.ymax).alias("cy")
+    at = place("x0", "x1", extent.xmin, extent.xmax).alias("cx"), place("y0", "y1", extent.ymin, extent.ymax).alias("cy")
     # at most GRID * GRID rows
-    cells = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("r_x0").alias("x0"), F.min("r_y0").alias("y0"), F.max("r_x1").alias("x1"), F.max("r_y1").alias("y1")).drop("cx", "cy")
-    told = json.dumps([r.asDict() for r in cells.collect()])
-    known = F.from_json(F.lit(told), "array<struct<n: bigint, x0: double, y0: double, x1: double, y1: double>>")
-    apart = lambda lo, hi, c0, c1: F.greatest(F.abs(hi - c0), F.abs(c1 - lo))
-    far = lambda c: F.sqrt(F.pow(apart(box.xmin, box.xmax, c["x0"], c["x1"]), 2) + F.pow(apart(box.ymin, box.ymax, c["y0"], c["y1"]), 2))
-    nearest_first = F.array_sort(F.transform(known, lambda c: F.struct(far(c).alias("far"), c["n"].alias("n"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("far"))
-    step = lambda s, c: F.when(s["n"] >= need, s).otherwise(F.struct((s["n"] + c["n"]).alias("n"), c["far"].alias("far")))
+    cells = places.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).drop("cx", "cy")
+    told = np.array([[float(v) for v in r] for r in cells.collect()], ">f8").tobytes()
     # a little more, for distances that are rounded
-    return F.aggregate(nearest_first, start, step, lambda s: s["far"] * (1 + 1e-9))
+    return call("Enough", F.array(box.xmin, box.ymin, box.xmax, box.ymax), F.lit(told), F.lit(need).cast("bigint")) * (1 + 1e-9)
 
 
 def sjoin_nearest(

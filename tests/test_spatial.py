@@ -222,3 +222,34 @@ def test_frames_keep_what_they_are(spark):
         assert frame.sjoin_nearest(frame).columns == ["id_left", "geometry", "v_left", "id_right", "v_right"]
     assert frame.apply(lambda f: f[["id"]], "id int").geometry is None
     assert [r.x for r in frame.df.select(G.x(G.transform("geometry", lambda x, y: (y, x))).alias("x")).collect()] == [2.0, 4.0]
+
+
+def _plain_nearest(left, right, k, exclusive, limit):
+    gap = lambda p, q: (max(q[1] - p[3], 0, p[1] - q[3]) ** 2 + max(q[2] - p[4], 0, p[2] - q[4]) ** 2) ** 0.5
+    out = set()
+    for p in left:
+        ranked = sorted((gap(p, q), q[0]) for q in right if not (exclusive and p[1:] == q[1:]))
+        ranked = ranked[:k] if k else [r for r in ranked if r[0] == ranked[0][0]]
+        out |= {(p[0], i, round(d, 9)) for d, i in ranked if limit is None or d <= limit}
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+@pytest.mark.parametrize("k, exclusive, limit", [(3, False, None), (None, False, None), (2, True, None), (None, True, None), (4, False, 2.0), (500, True, None)])
+def test_nearest_against_all_pairs(spark, monkeypatch, k, exclusive, limit, few):
+    """A dense place, a sparse rest, rows far away, repeated places and boxes."""
+    monkeypatch.setattr(J, "FEW", few)
+    rng = random.Random(11)
+    spot = lambda: (rng.gauss(50, 0.5), rng.gauss(50, 0.5)) if rng.random() < 0.8 else (rng.random() * 1000, rng.random() * 1000)
+    at = [spot() for _ in range(60)]
+    right = [(i, *p, *p) for i, p in enumerate([*at, *(spot() for _ in range(300)), *at[:20], *at[:5]])] + [(900 + i, x, y, x + 3, y + 1) for i, (x, y) in enumerate(at[:10])]
+    left = [(i, *p, *p) for i, p in enumerate([*at[:30], *(spot() for _ in range(60)), (-1e5, 7.0)])]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, xmin double, ymin double, xmax double, ymax double")
+    points = J.point_side(frame(left), "id", "xmin", "ymin")
+    want = _plain_nearest(left, right, k, exclusive, limit)
+    got = {(r.left_id, r.right_id, round(r.distance, 9)) for r in J.nearest(points, J.box_side(frame(right), "id"), k, limit, exclusive).collect()}
+    assert got == want
+    if k != 500:
+        boxes = [(i, x, y, x + 2, y) for i, x, y, *_ in left]
+        found = J.nearest(J.box_side(frame(boxes), "id"), J.box_side(frame(right), "id"), k, limit, exclusive)
+        assert {(r.left_id, r.right_id, round(r.distance, 9)) for r in found.collect()} == _plain_nearest(boxes, right, k, exclusive, limit)
