@@ -35,9 +35,11 @@ from ._shared import discard, materialize, slices
 from .byte_bpe import byte_table
 
 #: Bytes of text in a chunk, and those aligned at once.
-CHUNK, AT_ONCE = 8 << 20, 2 << 20
+CHUNK, AT_ONCE = 4 << 20, 1 << 20
+#: Tokens of documents that are counted at once (one document at least).
+TOKENS_AT_ONCE = 400_000
 SALTS = 16
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 _STATE: dict = {}
 
 
@@ -47,7 +49,8 @@ class PieceCoder:
     def __init__(self, size: int, bytes_of: list[bytes]) -> None:
         self.size, self.bytes_of = size, bytes_of
         self.lengths = np.array([len(b) for b in bytes_of], np.int64)
-        self.known: dict[str, list[int] | None] = {}
+        self.known: dict[str, list[int]] = {}
+        self.bad: set[str] = set()
 
     def split(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -61,12 +64,14 @@ class PieceCoder:
         wanted = set().union(*rows)
         new = [p for p in wanted if p not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, new = {}, list(wanted)
+            self.known, self.bad, new = {}, set(), list(wanted)
+        token = self.bytes_of.__getitem__
         for piece, ids in zip(new, self.code(new) if new else []):
-            self.known[piece] = ids if b"".join(map(self.bytes_of.__getitem__, ids)) == piece.encode() else None
-        bad = {p for p in new if self.known[p] is None} or {p for p in wanted if self.known[p] is None}
+            self.known[piece] = ids
+            if b"".join(map(token, ids)) != piece.encode():
+                self.bad.add(piece)
         get = self.known.__getitem__
-        return [None if bad and not bad.isdisjoint(row) else np.fromiter(chain.from_iterable(map(get, row)), np.int64) for row in rows]
+        return [None if self.bad and not self.bad.isdisjoint(row) else np.fromiter(chain.from_iterable(map(get, row)), np.int64) for row in rows]
 
 
 class ByteLevelCoder(PieceCoder):
@@ -165,11 +170,11 @@ def _flat(rows: list[np.ndarray]) -> np.ndarray:
 
 def _doc_pairs(doc: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different pairs of links and how many documents have each; documents rise along the links."""
-    order = np.lexsort((doc, pair)) if len(doc) and doc[-1] >= 1 << 20 else np.argsort(pair << np.int64(20) | doc, kind="stable")
-    pair, doc = pair[order], doc[order]
-    new_pair = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
-    new = new_pair | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(pair)]
-    return pair[new_pair], np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_pair)) if len(pair) else np.zeros(0, np.int64)
+    if len(doc) and doc[-1] >= 1 << 20:
+        raise ValueError("too many documents at once")
+    different = np.unique(pair << np.int64(20) | doc) >> np.int64(20)
+    first = np.flatnonzero(np.concatenate([[True], different[1:] != different[:-1]])[: len(different)])
+    return different[first], np.diff(np.append(first, len(different)))
 
 
 _CODED = "chunk bigint, id {0}, a array<int>, b array<int>, pairs array<bigint>, docs array<bigint>"
@@ -238,6 +243,18 @@ def _written_groups(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group:
 _STATS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
 
+def _few_tokens(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``TOKENS_AT_ONCE`` tokens."""
+    for whole in docs.to_batches():
+        total = np.cumsum(np.diff(np.asarray(whole.column(1).offsets)))
+        start = 0
+        while start < whole.num_rows:
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + TOKENS_AT_ONCE, side="right")))
+            yield whole.slice(start, end - start)
+            start = end
+
+
 def _counted(docs: pa.Table, totals: pa.Table, a_lengths: np.ndarray, b_lengths: np.ndarray) -> pa.Table:
     """Of a chunk: documents (chunk, id, a, b) and its pairs' totals (chunk, pair, total, best)."""
     pair = totals.column("pair").to_numpy()
@@ -245,7 +262,7 @@ def _counted(docs: pa.Table, totals: pa.Table, a_lengths: np.ndarray, b_lengths:
     pair, total, best = pair[order], totals.column("total").to_numpy()[order], totals.column("best").to_numpy(zero_copy_only=False).astype(np.int64)[order]
     out = []
     flat = lambda c: c.flatten().to_numpy().astype(np.int64)
-    for batch in docs.select(["id", "a", "b"]).to_batches(max_chunksize=256):
+    for batch in _few_tokens(docs.select(["id", "a", "b"])):
         n = batch.num_rows
         a, b = flat(batch.column(1)), flat(batch.column(2))
         a_sizes, b_sizes = (np.diff(np.asarray(batch.column(i).offsets)).astype(np.int64) for i in (1, 2))
