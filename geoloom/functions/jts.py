@@ -38,9 +38,11 @@ KINDS: dict[str, DataType] = {
     "Least": ArrayType(DoubleType()),
     "Enough": DoubleType(),
     "Leaves": ArrayType(IntegerType()),
+    "Edges": ArrayType(DoubleType()),
+    "Linked": BinaryType(),
 }
-#: Kinds that are about boxes, not shapes.
-BOXES = ("Pack", "Least", "Enough", "Leaves")
+#: The class that has a kind, where it is not ``Geo``.
+OWNERS = {"Pack": "Near", "Least": "Near", "Enough": "Near", "Leaves": "Near", "Edges": "Rings", "Linked": "Rings"}
 
 
 def build_jar(to: Path = JAR) -> Path:
@@ -65,7 +67,7 @@ def attach(spark: SparkSession | None = None) -> None:
     jar = JAR if JAR.exists() else build_jar(Path(tempfile.mkdtemp(prefix="geoloom-jts-")) / JAR.name)
     spark.sql(f"ADD JAR '{jar}'")
     for kind, result in KINDS.items():
-        spark.udf.registerJavaFunction(f"geoloom_{kind.lower()}", f"geoloom.{'Near' if kind in BOXES else 'Geo'}${kind}", result)
+        spark.udf.registerJavaFunction(f"geoloom_{kind.lower()}", f"geoloom.{OWNERS.get(kind, 'Geo')}${kind}", result)
     spark.conf.set("geoloom.jts.attached", "yes")
 
 

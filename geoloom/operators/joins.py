@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_
 
@@ -284,6 +284,12 @@ def pairs(
     return found.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), *more, *carried)
 
 
+def numbered(side: Side) -> Side:
+    """A side whose ids are the places of its rows, so that rows that share an id are told apart; written, as the numbers must not change."""
+    rows = written(side.df.withColumn("__row", F.monotonically_increasing_id()))
+    return replace(side, df=rows, id="__row")
+
+
 def sjoin(
     left: Side,
     right: Side,
@@ -300,6 +306,7 @@ def sjoin(
     """
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"no such how: {how}")
+    left, right = numbered(left), numbered(right)
     return _attributes(pairs(left, right, predicate, distance).select("left_id", "right_id"), left, right, how, lsuffix, rsuffix)
 
 
@@ -307,7 +314,7 @@ def _attributes(found: DataFrame, left: Side, right: Side, how: str, lsuffix: st
     """Both frames' columns beside pairs (left_id, right_id, ...), with the rows of a side that are in none if ``how`` says so."""
     more = [c for c in found.columns if c not in ("left_id", "right_id")]
     found = found.select(F.col("left_id").alias("__l"), F.col("right_id").alias("__r"), *(F.col(c).alias("m." + c) for c in more))
-    hidden = ("__box",)
+    hidden = ("__box", "__row")
     l_names, r_names = ([c for c in s.df.columns if c not in hidden] for s in (left, right))
     geometry = {left.geometry, right.geometry} - {None}
     drop_left, drop_right = (geometry, set()) if how == "right" else (set(), geometry)
@@ -327,31 +334,36 @@ def _attributes(found: DataFrame, left: Side, right: Side, how: str, lsuffix: st
 
 def left_semi(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
     """Left rows with a match."""
+    left = numbered(left)
     ids = pairs(left, right, predicate, distance).select(F.col("left_id").alias("__id")).distinct()
-    return left.df.drop("__box").join(ids, F.col(left.id) == F.col("__id"), "left_semi")
+    return left.df.drop("__box").join(ids, F.col("__row") == F.col("__id"), "left_semi").drop("__row")
 
 
 def left_anti(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
     """Left rows without a match; null and empty geometries have none."""
+    left = numbered(left)
     ids = pairs(left, right, predicate, distance).select(F.col("left_id").alias("__id")).distinct()
-    return left.df.drop("__box").join(ids, F.col(left.id) == F.col("__id"), "left_anti")
+    return left.df.drop("__box").join(ids, F.col("__row") == F.col("__id"), "left_anti").drop("__row")
 
 
 def right_semi(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
+    right = numbered(right)
     ids = pairs(left, right, predicate, distance).select(F.col("right_id").alias("__id")).distinct()
-    return right.df.drop("__box").join(ids, F.col(right.id) == F.col("__id"), "left_semi")
+    return right.df.drop("__box").join(ids, F.col("__row") == F.col("__id"), "left_semi").drop("__row")
 
 
 def right_anti(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
+    right = numbered(right)
     ids = pairs(left, right, predicate, distance).select(F.col("right_id").alias("__id")).distinct()
-    return right.df.drop("__box").join(ids, F.col(right.id) == F.col("__id"), "left_anti")
+    return right.df.drop("__box").join(ids, F.col("__row") == F.col("__id"), "left_anti").drop("__row")
 
 
 def match_counts(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
     """(left_id, matches) of every left row, 0 where there is none."""
-    counts = pairs(left, right, predicate, distance).groupBy("left_id").agg(F.count(F.lit(1)).alias("matches"))
-    rows = left.df.select(F.col(left.id).alias("left_id"))
-    return rows.join(counts, "left_id", "left").select("left_id", F.coalesce("matches", F.lit(0)).alias("matches"))
+    rows = numbered(left)
+    counts = pairs(rows, right, predicate, distance).groupBy("left_id").agg(F.count(F.lit(1)).alias("matches"))
+    every = rows.df.select(F.col(left.id).alias("__own"), "__row").join(counts, F.col("__row") == F.col("left_id"), "left")
+    return every.select(F.col("__own").alias("left_id"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 def query_any(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
@@ -367,13 +379,14 @@ def query_aggregate(
     Reducers are names of Spark aggregates; ``("*", "size")`` counts. Sums and counts of no
     partner are 0, other aggregates null.
     """
-    found = pairs(left, right, predicate, distance)
-    rows = found.join(right.df.drop("__box"), found["right_id"] == F.col(right.id))
+    left_rows, right_rows = numbered(left), numbered(right)
+    found = pairs(left_rows, right_rows, predicate, distance)
+    rows = found.join(right_rows.df.drop("__box"), found["right_id"] == F.col("__row"))
     made = [F.count(F.lit(1)).alias(n) if r == "size" else getattr(F, r)(c).alias(n) for n, (c, r) in aggregates.items()]
     summed = rows.groupBy("left_id").agg(*made)
-    every = left.df.select(F.col(left.id).alias("left_id")).join(summed, "left_id", "left")
+    every = left_rows.df.select(F.col(left.id).alias("__own"), F.col("__row").alias("__at")).join(summed, F.col("__at") == F.col("left_id"), "left")
     zero = [n for n, (_, r) in aggregates.items() if r in ("size", "sum", "count")]
-    return every.select("left_id", *(F.coalesce(n, F.lit(0)).alias(n) if n in zero else F.col(n) for n in aggregates))
+    return every.select(F.col("__own").alias("left_id"), *(F.coalesce(n, F.lit(0)).alias(n) if n in zero else F.col(n) for n in aggregates))
 
 
 def right_reduce_left(
@@ -598,6 +611,8 @@ def sjoin_nearest(
     partner, right the right ones. With ``attributes`` both frames' columns, named as by ``sjoin``, in place of the ids."""
     if how not in ("inner", "left", "right"):
         raise ValueError(f"no such how: {how}")
+    if attributes:
+        left, right = numbered(left), numbered(right)
     found = nearest(left, right, None, max_distance, exclusive)
     if attributes:
         found = found.withColumnRenamed("distance", distance_col) if distance_col else found.drop("distance")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.jts import call
 from ..functions.planar import Box, wkb_box
 from .joins import geometry_side, pairs
 from .steps import written
@@ -29,8 +30,8 @@ def _ordered(order: str, value: str | Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda s: s["v"])
 
 
-#: The Java reduction of each method. A coverage may not overlap; disjoint subsets are found by their boxes.
-REDUCTIONS = {"unary": "union", "coverage": "coverage_union", "disjoint_subset": "disjoint_union"}
+#: The Java reduction of each method; disjoint subsets are found by their boxes. A coverage is united by its edges.
+REDUCTIONS = {"unary": "union", "disjoint_subset": "disjoint_union"}
 
 
 def union_by(df: DataFrame, keys: list[str], geometry: str = "geometry", method: str = "unary", grid_size: float = 0.0, spread: bool = False) -> DataFrame:
@@ -44,6 +45,8 @@ def union_by(df: DataFrame, keys: list[str], geometry: str = "geometry", method:
         raise ValueError(f"no such method: {method}")
     if grid_size and method != "unary":
         raise ValueError("grid_size goes with the unary method only")
+    if method == "coverage":
+        return coverage_union_by(df, keys, geometry)
     op, more = REDUCTIONS[method], [grid_size] if grid_size else []
     rows = df.where(F.col(geometry).isNotNull()).select(*keys, F.col(geometry).alias("__part"))
     salt = F.pmod(F.xxhash64("__part"), F.lit(SALTS)).alias("__salt")
@@ -75,11 +78,57 @@ def union_all(df: DataFrame, geometry: str = "geometry", method: str = "unary",
 unary_union = union_all
 
 
+def coverage_union_by(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """(keys, geometry): the union of each group's polygons, which share whole edges and do not overlap.
+
+    Polygons become directed edges with the inside on their left. An edge that two neighbours share comes once in each direction, and
+    one shuffle by edge cancels such pairs; only what is left, the union's own boundary, is gathered and linked into rings.
+    Edges that come twice in one direction, and a boundary whose area is not that of the polygons, are no coverage's: an error.
+    """
+    rows = df.where(F.col(geometry).isNotNull()).select(*keys, F.col(geometry).alias("__g"))
+    flat = call("Edges", F.col("__g"))
+    at = lambda i, k: F.element_at("__flat", (4 * i + k + 1).cast("int"))
+    every = F.when(F.size("__flat") > 0, F.sequence(F.lit(0), (F.size("__flat") / 4).cast("int") - 1))
+    edges = rows.select(*keys, G.settled(flat).alias("__flat")).select(*keys, "__flat", F.explode(every).alias("__i"))
+    edges = edges.select(*keys, F.struct(at(F.col("__i"), 0).alias("x"), at(F.col("__i"), 1).alias("y")).alias("__a"), F.struct(at(F.col("__i"), 2).alias("x"), at(F.col("__i"), 3).alias("y")).alias("__b"))
+    low, high = F.least("__a", "__b").alias("__low"), F.greatest("__a", "__b").alias("__high")
+    counted = edges.groupBy(*keys, low, high).agg(F.count_if(F.col("__a") < F.col("__b")).alias("__up"), F.count_if(F.col("__a") > F.col("__b")).alias("__down"))
+    refused = F.raise_error(F.lit("the geometries are no coverage: an edge comes twice in one direction"))
+    once = F.when((F.col("__up") > 1) | (F.col("__down") > 1), refused.cast("boolean")).otherwise(F.col("__up") != F.col("__down"))
+    first, last = F.when(F.col("__up") > 0, F.col("__low")).otherwise(F.col("__high")), F.when(F.col("__up") > 0, F.col("__high")).otherwise(F.col("__low"))
+    left = counted.where(once).select(*keys, F.array(first["x"], first["y"], last["x"], last["y"]).alias("__edge"))
+    boundary = left.groupBy(*keys).agg(F.flatten(F.collect_list("__edge")).alias("__edges"))
+    areas = rows.groupBy(*keys).agg(F.sum(G.area("__g")).alias("__area"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    boundary = boundary.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__edges")
+    none = F.expr("cast(array() as array<double>)")
+    return areas.join(boundary, same, "left").select(*keys, call("Linked", F.coalesce("__edges", none), F.col("__area")).alias(geometry))
+
+
 def box_union_by(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
-    """(keys, geometry): the box around each group; of boxes that make up one, their union. No geometry is gathered."""
-    box = df.select(*keys, G.settled(G.bounds(geometry)).alias("__b")).where(~F.isnan("__b.minx"))
-    around = box.groupBy(*keys).agg(*(f(f"__b.{c}").alias("__" + c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))))
-    return around.select(*keys, wkb_box(Box(*(F.col("__" + c) for c in ("minx", "miny", "maxx", "maxy")))).alias(geometry))
+    """(keys, geometry): the union of each group's geometries, which is the box around them where they are boxes that fill it.
+
+    Boxes fill the one around them without overlapping if their areas sum up to its area and, but for its own corners, each place is a
+    corner of an even number of them. Both are sums, so nothing is gathered; other groups are united as any geometries are.
+    """
+    around = df.select(*keys, F.col(geometry).alias("__g"), G.settled(G.bounds(geometry)).alias("__b")).where(~F.isnan("__b.minx"))
+    area = lambda p: (F.col(p + "maxx") - F.col(p + "minx")) * (F.col(p + "maxy") - F.col(p + "miny"))
+    whole = around.groupBy(*keys).agg(
+        *(f(f"__b.{c}").alias("__" + c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))),
+        F.sum(area("__b.")).alias("__sum"), F.bool_and(F.abs(G.area("__g") - area("__b.")) <= 1e-12 * area("__b.")).alias("__boxes"),
+    )
+    corners = F.array(*(F.struct(F.col(f"__b.{x}").alias("x"), F.col(f"__b.{y}").alias("y")) for x in ("minx", "maxx") for y in ("miny", "maxy")))
+    odd = around.select(*keys, F.explode(corners).alias("__at")).groupBy(*keys, "__at").agg(F.count(F.lit(1)).alias("__n")).where("__n % 2 = 1")
+    odd = odd.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(
+        F.count(F.lit(1)).alias("__odd"), F.min("__at.x").alias("__x0"), F.min("__at.y").alias("__y0"), F.max("__at.x").alias("__x1"), F.max("__at.y").alias("__y1")
+    )
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    outer = reduce(Column.__and__, (F.col(a) == F.col(b) for a, b in (("__x0", "__minx"), ("__y0", "__miny"), ("__x1", "__maxx"), ("__y1", "__maxy"))))
+    fills = F.col("__boxes") & (F.abs(F.col("__sum") - area("__")) <= 1e-9 * area("__")) & (F.col("__odd") == 4) & outer
+    told = written(whole.join(odd, same, "left").select(*keys, *("__" + c for c in ("minx", "miny", "maxx", "maxy")), F.coalesce(fills, F.lit(False)).alias("__fills")))
+    box = wkb_box(Box(*(F.col("__" + c) for c in ("minx", "miny", "maxx", "maxy")))).alias(geometry)
+    rest = told.where("not __fills").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    return told.where("__fills").select(*keys, box).unionByName(union_by(df.join(rest, same, "left_semi"), keys, geometry))
 
 
 def intersection_all(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -170,8 +219,26 @@ def dissolve(
 
 
 def dissolved_intersects(df: DataFrame, by: str, shape: Column, geometry: str = "geometry", predicate: str = "intersects") -> DataFrame:
-    """(by, hit): whether a group's union is in a relation that any member decides; no union is made."""
-    return df.groupBy(by).agg(F.bool_or(G.relates(predicate, geometry, shape)).alias("hit"))
+    """(by, hit): whether a group's union is in a relation to a shape.
+
+    Members decide ``intersects``, ``disjoint``, ``covered_by`` and ``within`` of the union each by itself. For ``covers`` and
+    ``contains`` several may do it together, so those that touch the shape, and only they, are united. Other relations are not decided by pieces.
+    """
+    test = lambda name: F.when(F.col(geometry).isNotNull() & ~G.is_empty(geometry), G.relates(name, geometry, shape))
+    if predicate == "intersects":
+        hit = F.bool_or(test("intersects"))
+    elif predicate == "disjoint":
+        hit = F.bool_and(~test("intersects"))
+    elif predicate == "covered_by":
+        hit = F.bool_and(test("covered_by"))
+    elif predicate == "within":
+        hit = F.bool_and(test("covered_by")) & F.bool_or(test("within"))
+    elif predicate in ("covers", "contains"):
+        united = union_by(df.where(test("intersects")), [by], geometry, spread=True).select(F.col(by).alias("__by"), G.relates(predicate, geometry, shape).alias("__hit"))
+        return df.select(by).distinct().join(united, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, F.coalesce("__hit", F.lit(False)).alias("hit"))
+    else:
+        raise ValueError(f"not decided by the members of a union: {predicate}")
+    return df.groupBy(by).agg(F.coalesce(hit, F.lit(predicate == "disjoint")).alias("hit"))
 
 
 def explode(df: DataFrame, geometry: str = "geometry", index_parts: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,56 @@ def test_nearest_against_all_pairs(spark, monkeypatch, k, exclusive, limit, few)
         boxes = [(i, x, y, x + 2, y) for i, x, y, *_ in left]
         found = J.nearest(J.box_side(frame(boxes), "id"), J.box_side(frame(right), "id"), k, limit, exclusive)
         assert {(r.left_id, r.right_id, round(r.distance, 9)) for r in found.collect()} == _plain_nearest(boxes, right, k, exclusive, limit)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    left = spark.createDataFrame([(1, 0.5, 0.5), (1, 9.0, 9.0), (2, 0.6, 0.6)], "id int, x double, y double")
+    right = spark.createDataFrame([(7, 0.0, 0.0, 1.0, 1.0), (7, 0.0, 0.0, 2.0, 2.0)], "id int, xmin double, ymin double, xmax double, ymax double")
+    a, b = J.point_side(left, "id", "x", "y"), J.box_side(right, "id")
+    assert sorted((r.id_left, r.x) for r in J.sjoin(a, b).collect()) == [(1, 0.5), (1, 0.5), (2, 0.6), (2, 0.6)]
+    assert J.sjoin(a, b, "outer").count() == 5
+    assert [r.x for r in J.left_anti(a, b).collect()] == [9.0] and J.right_semi(a, b).count() == 2 and J.left_semi(a, b).count() == 2
+    assert sorted(map(tuple, J.match_counts(a, b).collect())) == [(1, 0), (1, 2), (2, 2)]
+    assert sorted(map(tuple, J.query_aggregate(a, b, {"n": ("*", "size"), "w": ("xmax", "sum")}).collect())) == [(1, 0, 0.0), (1, 2, 3.0), (2, 2, 3.0)]
+    near = J.sjoin_nearest(a, b, attributes=True, distance_col="d").collect()
+    assert sorted((r.x, r.xmax, round(r.d, 6)) for r in near) == [(0.5, 1.0, 0.0), (0.5, 2.0, 0.0), (0.6, 1.0, 0.0), (0.6, 2.0, 0.0), (9.0, 2.0, 9.899495)]
+
+
+def test_box_unions_that_do_not_fill(spark):
+    box = lambda x0, y0, x1, y1: f"POLYGON(({x0} {y0},{x1} {y0},{x1} {y1},{x0} {y1},{x0} {y0}))"
+    groups = {
+        "apart": [box(0, 0, 2, 2), box(10, 0, 12, 2)], "fill": [box(0, 0, 1, 2), box(1, 0, 3, 1), box(1, 1, 3, 2)],
+        "sum only": [box(0, 0, 2, 1), box(1, 0, 3, 1), box(4, 0, 5, 1)], "overlap": [box(0, 0, 2, 2), box(1, 0, 3, 2)], "twice": [box(0, 0, 1, 1), box(0, 0, 1, 1)],
+        "triangle": ["POLYGON((0 0,2 0,0 2,0 0))"],
+    }
+    rows = reduce(lambda a, b: a.unionAll(b), (shapes(spark, *g).withColumn("k", F.lit(k)) for k, g in groups.items()))
+    got = {r.k: round(r.a, 9) for r in L.box_union_by(rows, ["k"]).select("k", G.area("geometry").alias("a")).collect()}
+    assert got == {"apart": 8.0, "fill": 6.0, "sum only": 4.0, "overlap": 6.0, "twice": 1.0, "triangle": 2.0}
+
+
+def test_relations_of_a_union(spark):
+    two = shapes(spark, "POLYGON((0 0,2 0,2 2,0 2,0 0))", "POLYGON((2 0,4 0,4 2,2 2,2 0))", None).withColumn("k", F.lit(1))
+    across, out = F.lit("POLYGON((1 0.5,3 0.5,3 1.5,1 1.5,1 0.5))"), F.lit("POLYGON((1 0.5,5 0.5,5 1.5,1 1.5,1 0.5))")
+    hit = lambda name, shape: L.dissolved_intersects(two, "k", G.from_wkt(shape), predicate=name).first().hit
+    assert hit("contains", across) and hit("covers", across) and not hit("contains", out) and hit("intersects", out)
+    around = F.lit("POLYGON((0 0,9 0,9 2,0 2,0 0))")
+    assert hit("within", around) and hit("covered_by", around) and not hit("within", out) and not hit("disjoint", out)
+    assert hit("disjoint", F.lit("POINT (9 9)")) and not hit("contains", F.lit("POINT (9 9)"))
+    with pytest.raises(ValueError):
+        hit("touches", across)
+
+
+def test_coverage_union_by_edges(spark):
+    """A checkered ring with a hole, an island inside it and groups that touch at a corner; overlaps are refused."""
+    tile = lambda x, y: f"POLYGON(({x} {y},{x + 1} {y},{x + 1} {y + 1},{x} {y + 1},{x} {y}))"
+    ring = [tile(x, y) for x in range(5) for y in range(5) if (x, y) not in {(1, 1), (1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2), (3, 3)}]
+    rows = shapes(spark, *ring).withColumn("k", F.lit("ring")).unionAll(shapes(spark, tile(0, 0), tile(1, 1), None).withColumn("k", F.lit("corner")))
+    got = {r.k: tuple(r)[1:] for r in L.union_by(rows, ["k"], method="coverage").select("k", G.area("geometry"), G.count_geometries("geometry"), G.is_valid("geometry"), G.length("geometry")).collect()}
+    assert got == {"ring": (17.0, 2, True, 36.0), "corner": (2.0, 2, True, 8.0)}
+    for bad in ([tile(0, 0), tile(0, 0)], [tile(0, 0), tile(0.5, 0)], ["LINESTRING (0 0, 1 1)"]):
+        with pytest.raises(Exception, match="no coverage"):
+            L.union_by(shapes(spark, *bad).withColumn("k", F.lit(1)), ["k"], method="coverage").collect()
+    many = spark.range(90_000).select(F.lit(1).alias("k"), P.wkb_box(P.Box((F.col("id") % 300).cast("double"), F.floor(F.col("id") / 300).cast("double"), F.col("id") % 300 + 1.0, F.floor(F.col("id") / 300) + 1.0)).alias("geometry"))
+    plan = L.union_by(many, ["k"], method="coverage")
+    assert plan.select(G.area("geometry"), G.count_coordinates("geometry")).first()[0] == 90_000.0
+    assert "collect_list(__g" not in plan._jdf.queryExecution().toString()
