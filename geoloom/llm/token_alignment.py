@@ -6,9 +6,9 @@ a token's group is that of the first common end at or after its own. An A and a
 which is a run of B tokens for each A token: links are the A tokens repeated by the lengths of their runs.
 All documents of a batch lie on one axis, as their ends are common.
 
-Texts are coded by their distinct pieces: A's by the split of its own pre-tokenizer, B's by runs of spaces and what follows them,
-as none of its tokens has a space behind another character. Whether a piece's tokens give back its bytes is tested when it
-is first met; a document with a piece that does not has no tokens. Special tokens' strings are plain text.
+Texts are coded by their distinct words, what stands between single spaces: A's pre-tokenizer begins a piece at such a space,
+and none of B's tokens has a space behind another character. Whether a word's tokens give back its bytes is tested when it
+is first met; a document with a word that does not has no tokens. Special tokens' strings are plain text.
 
 Counting: a chunk of documents (``CHUNK`` bytes) gives each of its pairs once, with the number of its documents that have it
 linked. The pairs are summed up in two stages, first by pair and a salt of the chunk, then by pair. Totals go back to chunks, not
@@ -23,6 +23,8 @@ input only the id is kept.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,45 +39,14 @@ from .byte_bpe import byte_table
 #: Bytes of text in a chunk, and those aligned at once.
 CHUNK, AT_ONCE = 4 << 20, 1 << 20
 #: Tokens of documents that are counted at once (one document at least).
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 150_000
 SALTS = 16
-CACHE_PIECES = 200_000
+CACHE_WORDS = 200_000
 _STATE: dict = {}
 
 
-class PieceCoder:
-    """Codes texts by their distinct pieces; a piece that its tokens do not give back has no ids."""
-
-    def __init__(self, size: int, bytes_of: list[bytes]) -> None:
-        self.size, self.bytes_of = size, bytes_of
-        self.lengths = np.array([len(b) for b in bytes_of], np.int64)
-        self.known: dict[str, list[int]] = {}
-        self.bad: set[str] = set()
-
-    def split(self, text: str) -> list[str]:
-        raise NotImplementedError
-
-    def code(self, pieces: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """The ids of each text; None where they do not give back its bytes."""
-        rows = [self.split(t) for t in texts]
-        wanted = set().union(*rows)
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, self.bad, new = {}, set(), list(wanted)
-        token = self.bytes_of.__getitem__
-        for piece, ids in zip(new, self.code(new) if new else []):
-            self.known[piece] = ids
-            if b"".join(map(token, ids)) != piece.encode():
-                self.bad.add(piece)
-        get = self.known.__getitem__
-        return [None if self.bad and not self.bad.isdisjoint(row) else np.fromiter(chain.from_iterable(map(get, row)), np.int64) for row in rows]
-
-
-class ByteLevelCoder(PieceCoder):
-    """A: a file of the tokenizers library with a byte-level BPE."""
+class ByteLevelCoder:
+    """A: a file of the tokenizers library with a byte-level BPE; ``code`` gives the ids of all words, each after a space, and how many each has."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import os
@@ -93,43 +64,96 @@ class ByteLevelCoder(PieceCoder):
         names = [""] * (max(vocabulary.values()) + 1)
         for name, token in vocabulary.items():
             names[token] = name
-        super().__init__(len(names), [bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else b"" for name in names])
+        self.bytes_of = [bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else b"" for name in names]
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self._split = regex.compile(pattern).findall
 
-    def split(self, text: str) -> list[str]:
-        return self._split(" " + text)
-
-    def code(self, pieces: list[str]) -> list[list[int]]:
-        coded = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        rows: list[list[int]] = [[] for _ in pieces]
-        for piece, token in zip(coded.word_ids, coded.ids):
-            rows[piece].append(token)
-        return rows
+    def code(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        split = [self._split(" " + w) for w in words]
+        pieces = np.fromiter(map(len, split), np.int64, len(split))
+        coded = self.tokenizer.encode(list(chain.from_iterable(split)), is_pretokenized=True, add_special_tokens=False)
+        of_piece = np.bincount(np.array(coded.word_ids, np.int64), minlength=int(pieces.sum()))
+        return coded.ids, np.bincount(np.repeat(np.arange(len(words)), pieces), of_piece, len(words)).astype(np.int64)
 
 
-class SentencePieceCoder(PieceCoder):
+class SentencePieceCoder:
     """B: a sentencepiece BPE with byte fallback, whose spaces only stand at the beginning of tokens."""
 
     def __init__(self, path: str) -> None:
-        import regex
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any("▁" in n.lstrip("▁") for n in names):
-            raise ValueError("tokens of this model have a space inside, so texts cannot be coded by pieces")
-        of = [bytes([int(n[3:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        super().__init__(len(names), of)
-        self.space = self.model.piece_to_id("▁")
-        self._split = regex.compile(" *[^ ]+| +").findall
-
-    def split(self, text: str) -> list[str]:
-        return self._split(" " + text)
-
-    def code(self, pieces: list[str]) -> list[list[int]]:
-        # the model puts a space before what it codes, so each piece, all of which begin with one, goes without
-        rows = self.model.encode([p[1:] for p in pieces], num_threads=1)
-        return [[self.space] if p == " " else ids for p, ids in zip(pieces, rows)]
+            raise ValueError("tokens of this model have a space inside, so texts cannot be coded by words")
+        self.bytes_of = [bytes([int(n[3:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+
+    def code(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        rows = self.model.encode(words, num_threads=1)  # which puts the space itself
+        return list(chain.from_iterable(rows)), np.fromiter(map(len, rows), np.int64, len(rows))
+
+
+_RUN, _BETWEEN = re.compile(r"\s\s|^\s|\s$"), re.compile(r"(?<=\S) (?=\S)")
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between single spaces; both tokenizers begin anew at a space between other characters."""
+    return _BETWEEN.split(text) if _RUN.search(text) else text.split(" ")
+
+
+class Coders:
+    """Both tokenizers, and the ids of at most ``CACHE_WORDS`` words in flat arrays."""
+
+    def __init__(self, settings: tuple[str, str, str]) -> None:
+        self.sides = (ByteLevelCoder(*settings[:2]), SentencePieceCoder(settings[2]))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.fits = array("b")
+        self.ids, self.sizes = (array("i"), array("i")), (array("i"), array("i"))
+
+    def _learn(self, words: list[str]) -> None:
+        raw = [(" " + w).encode() for w in words]
+        length, fits = np.fromiter(map(len, raw), np.int64, len(raw)), np.ones(len(raw), bool)
+        for side, flat, sizes in zip(self.sides, self.ids, self.sizes):
+            ids, size = side.code(words)
+            flat.extend(ids)
+            sizes.extend(size.tolist())
+            tokens = list(map(side.bytes_of.__getitem__, ids))
+            given = np.bincount(np.repeat(np.arange(len(words)), size), side.lengths[np.array(ids, np.int64)], len(words))
+            if (given != length).any() or b"".join(tokens) != b"".join(raw):
+                ends = np.cumsum(size).tolist()
+                fits &= [b"".join(tokens[a:b]) == r for a, b, r in zip([0, *ends], ends, raw)]
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.fits.extend(fits.tolist())
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of A and of B: the ids of all texts one after the other, and how many each text has. A text
+        with a word that its tokens do not give back has none."""
+        rows = [words_of(t) if t else [] for t in texts]
+        wanted = set().union(*rows)
+        new = [w for w in wanted if w not in self.index]
+        if len(self.index) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = list(wanted)
+        for start in range(0, len(new), 4096):
+            self._learn(new[start : start + 4096])
+        count = np.array([len(r) for r in rows], np.int64)
+        word = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(count.sum()))
+        of = np.repeat(np.arange(len(texts)), count)
+        bad = np.zeros(len(texts), bool)
+        bad[of[~np.array(self.fits, bool)[word]]] = True
+        word, of = word[~bad[of]], of[~bad[of]]
+        out = []
+        for flat, sizes in zip(self.ids, self.sizes):
+            size = np.array(sizes, np.int64)
+            first = np.cumsum(size) - size
+            size, first = size[word], first[word]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first, size)
+            out.append((np.array(flat, np.int64)[at], np.bincount(of, size, len(texts)).astype(np.int64)))
+        return out
 
 
 class Alignment:
@@ -154,9 +178,9 @@ def _per_document(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(of, values, n).astype(np.int64) if values is not None else np.bincount(of, minlength=n)
 
 
-def _coders(settings: tuple[str, str, str]) -> tuple[PieceCoder, PieceCoder]:
+def _coders(settings: tuple[str, str, str]) -> Coders:
     if _STATE.get("settings") != settings:
-        _STATE.update(settings=settings, coders=(ByteLevelCoder(settings[0], settings[1]), SentencePieceCoder(settings[2])))
+        _STATE.update(settings=settings, coders=Coders(settings))
     return _STATE["coders"]
 
 
@@ -184,7 +208,8 @@ def _coded(batches: Iterator[pa.RecordBatch], settings: tuple[str, str, str]) ->
     """Of rows (id, text): a row with the ids of each, and for each chunk a row with its pairs and their documents."""
     from pyspark import TaskContext
 
-    a_coder, b_coder = _coders(settings)
+    coders = _coders(settings)
+    a_coder, b_coder = coders.sides
     task, number, held, size, pairs = TaskContext.get().partitionId() << 32, 0, 0, 0, []
     schema = None
 
@@ -202,15 +227,10 @@ def _coded(batches: Iterator[pa.RecordBatch], settings: tuple[str, str, str]) ->
         for batch in slices(whole, 1, AT_ONCE):
             texts = batch.column(1).to_pylist()
             n = len(texts)
-            rows_a, rows_b = a_coder.encode([t or "" for t in texts]), b_coder.encode([t or "" for t in texts])
-            none = np.zeros(0, np.int64)
-            fits = [bool(t) and a is not None and b is not None for t, a, b in zip(texts, rows_a, rows_b)]
-            rows_a, rows_b = ([r if f else none for r, f in zip(rows, fits)] for rows in (rows_a, rows_b))
-            a, b = _flat(rows_a), _flat(rows_b)
-            a_sizes, b_sizes = np.array([len(r) for r in rows_a]), np.array([len(r) for r in rows_b])
+            (a, a_sizes), (b, b_sizes) = coders.encode(texts)
             made = Alignment(np.cumsum(a_coder.lengths[a]), np.cumsum(b_coder.lengths[b]))
             doc = np.repeat(np.arange(n), a_sizes)[made.link_a]
-            pairs.append(_doc_pairs(doc, a[made.link_a] * b_coder.size + b[made.link_b]))
+            pairs.append(_doc_pairs(doc, a[made.link_a] * len(b_coder.lengths) + b[made.link_b]))
             columns = [pa.array(np.full(n, task + number), pa.int64()), batch.column(0), _lists(a, a_sizes, pa.int32()), _lists(b, b_sizes, pa.int32())]
             columns += [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
             schema = schema or pa.schema(list(zip(["chunk", "id", "a", "b", "pairs", "docs"], [c.type for c in columns])))
@@ -303,7 +323,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     """
     settings = _settings(a_path, b_path, pattern)
     a_coder, b_coder = ByteLevelCoder(*settings[:2]), SentencePieceCoder(settings[2])
-    lengths, b_size = (a_coder.lengths, b_coder.lengths), b_coder.size
+    lengths, b_size = (a_coder.lengths, b_coder.lengths), len(b_coder.lengths)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     coded = materialize(rows.mapInArrow(lambda batches: _coded(batches, settings), _CODED.format(kind)), "coded")
@@ -317,7 +337,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
 def pairs(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None) -> DataFrame:
     """(a, b, docs, best): the id pairs that are linked, in how many documents, and whether none of the A token is in more."""
     settings = _settings(a_path, b_path, pattern)
-    b_size = SentencePieceCoder(settings[2]).size
+    b_size = len(SentencePieceCoder(settings[2]).lengths)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     coded = materialize(rows.mapInArrow(lambda batches: _coded(batches, settings), _CODED.format(kind)), "coded")

@@ -91,18 +91,15 @@ def test_equals_plain_loops(spark, sf_dir, coders, monkeypatch, chunk):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(" ab'\n\t.é漢▁ <s>0x🙂\x00́"), max_size=24) | st.text(max_size=12))
-def test_pieces_code_as_whole_texts_do(text):
-    coders = test_pieces_code_as_whole_texts_do.__dict__.setdefault("coders", None) or (Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B))
-    test_pieces_code_as_whole_texts_do.coders = coders
+def test_words_code_as_whole_texts_do(text):
+    coders = test_words_code_as_whole_texts_do.__dict__.setdefault("coders", None) or (Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B))
+    test_words_code_as_whole_texts_do.coders = coders
     coders[0].encode_special_tokens = True
-    own = test_pieces_code_as_whole_texts_do.__dict__.setdefault("own", None) or (token_alignment.ByteLevelCoder(A, public.PATTERN), token_alignment.SentencePieceCoder(B))
-    test_pieces_code_as_whole_texts_do.own = own
+    own = test_words_code_as_whole_texts_do.__dict__.setdefault("own", None) or token_alignment.Coders((A, public.PATTERN, B))
+    test_words_code_as_whole_texts_do.own = own
     a, b = both(coders, text)
-    got_a, got_b = own[0].encode([text])[0], own[1].encode([text])[0]
-    if text and (got_a is None or got_b is None):
-        assert (a, b) == ([], [])
-    elif text:
-        assert got_a.tolist() == [i for i, _ in a] and got_b.tolist() == [i for i, _ in b]
+    got = [ids.tolist() for ids, _ in own.encode([text])]
+    assert got == [[i for i, _ in a], [i for i, _ in b]]
 
 
 def test_odd_rows(spark, coders):
