@@ -10,7 +10,8 @@ sides are shuffled by cell and skewed cells are split.
 The cell size follows the wider side's median box, and no box is dealt to more than
 ``MAX_CELLS`` cells: larger ones are dealt on a coarser grid of their own, level by level
 (each level's cells are ``LEVEL`` times as wide). A row climbs only to levels on which the other
-side has boxes of its own, and there it meets only those.
+side has boxes of its own, and there it meets only those. Joins of many rows, and those that ask for it, have a grid for
+each leaf of a quadtree (``quadtree``), so dense places have narrower cells; a box is dealt to the leaves it meets.
 
 Before a join one job takes both sides' counts, median and greatest widths and bounds; all that
 follows is planned from these few numbers.
@@ -44,6 +45,8 @@ GRID = 32
 SAMPLE, CROWD = 8192, 64
 #: A side of so few boxes goes to every task as it is.
 FEW = 2048
+#: Joins of so many rows have cells by place.
+ADAPTIVE = 1 << 20
 #: Predicates whose operands change places.
 INVERSE = {"within": "contains", "contains": "within", "covers": "covered_by", "covered_by": "covers"}
 
@@ -147,13 +150,13 @@ def cell_size(*extents: Extent, grown: float = 0.0) -> float:
     return max(max(e.median for e in known) + 2 * grown, spread, 2 * grown) or 1.0
 
 
-def _levels(rows: DataFrame, p: str, size: float, n_levels: int) -> DataFrame:
+def _levels(rows: DataFrame, p: str, size: Column, n_levels: int) -> DataFrame:
     """The least level on which a box touches ``MAX_CELLS`` cells at most."""
     across = lambda lo, hi, s: F.floor(F.col(p + hi) / s) - F.floor(F.col(p + lo) / s) + 1
     level = F.lit(n_levels - 1)
     for i in range(n_levels - 2, -1, -1):
-        s = F.lit(size * LEVEL**i)
-        level = F.when(across("x0", "x1", s) * across("y0", "y1", s) <= MAX_CELLS, F.lit(i)).otherwise(level)
+        s = size * float(LEVEL**i)
+        level = F.when(across("a0", "a1", s) * across("b0", "b1", s) <= MAX_CELLS, F.lit(i)).otherwise(level)
     return rows.withColumn(p + "level", level)
 
 
@@ -167,7 +170,78 @@ def _top(widest: float, size: float) -> int:
 
 def _cells(rows: DataFrame, p: str, size: Column) -> DataFrame:
     span = lambda lo, hi: F.sequence(F.floor(F.col(p + lo) / size), F.floor(F.col(p + hi) / size))
-    return rows.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    return rows.withColumn("cx", F.explode(span("a0", "a1"))).withColumn("cy", F.explode(span("b0", "b1")))
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """A place of a join's grid: its box, the width of its cells, and the levels of both sides' widest boxes."""
+
+    box: tuple[float, float, float, float]
+    size: float
+    l_top: int
+    r_top: int
+
+
+def _sampled(side: Side, count: int, by: float) -> np.ndarray:
+    """At most ``SAMPLE`` of a side's boxes, grown."""
+    rows = side.slim("s_").select(*("s_" + c for c in _BOX)).sample(min(1.0, 1.2 * SAMPLE / max(count, 1)), seed=7).limit(SAMPLE)
+    return rows.toPandas().to_numpy(dtype=float).reshape(-1, 4) + np.array([-by, -by, by, by])
+
+
+def quadtree(left: Side, right: Side, l_extent: Extent, r_extent: Extent, grown: float = 0.0) -> tuple[bytes, list[Leaf]]:
+    """A tree over both sides' bounds, cut from a bounded sample: as the helper that walks it reads it, and its leaves.
+
+    A node is cut in four while it has enough of the sample and one of the four would have far more than its share, so places of even
+    density are one leaf each. A leaf's cells are as wide as the boxes in it, or as what spreads its rows; a leaf whose cells would
+    each hold a large part of all rows has cells of a third.
+    """
+    counts = [e.count if e.count > 1 else side.slim("s_").count() for side, e in ((left, l_extent), (right, r_extent))]
+    samples = [_sampled(side, n, by) for side, n, by in zip((left, right), counts, (grown, 0.0))]
+    boxes = np.concatenate(samples)
+    if not len(boxes):
+        return b"", []
+    weight = np.concatenate([np.full(len(s), n / max(len(s), 1)) for s, n in zip(samples, counts)])
+    side = np.repeat([0, 1], [len(s) for s in samples])
+    at, width = (boxes[:, :2] + boxes[:, 2:]) / 2, np.maximum(boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1])
+    known = [e for e in (l_extent, r_extent) if e.count]
+    low = np.minimum([min(e.xmin for e in known), min(e.ymin for e in known)], at.min(0))
+    high = np.maximum([max(e.xmax for e in known), max(e.ymax for e in known)], at.max(0))
+    high = np.where(high > low, high, low + 1.0)
+    coarse = cell_size(l_extent, r_extent, grown=grown)
+    finest = float(np.abs([low, high]).max()) * 2.0**-40 or 1.0
+    tree: list[float] = [*low, *high]
+    leaves: list[Leaf] = []
+
+    def cut(rows: np.ndarray, x0: float, y0: float, x1: float, y1: float, outer: tuple[bool, bool, bool, bool], depth: int) -> None:
+        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+        quarter = (at[rows, 0] >= x) + 2 * (at[rows, 1] >= y)
+        share = np.bincount(quarter, weight[rows], 4)
+        across = max(x1 - x0, y1 - y0)
+        if depth < 24 and len(rows) >= 64 and share.max() >= 0.4 * share.sum() and across > 8 * max(finest, float(np.median(width[rows]))):
+            tree.append(1.0)
+            for i, (a, b, c, d) in enumerate(((x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1))):
+                cut(rows[quarter == i], a, b, c, d, (outer[0] and not i % 2, outer[1] and i < 2, outer[2] and i % 2 == 1, outer[3] and i > 1), depth + 1)
+            return
+        tree.append(0.0)
+        own = [rows[side[rows] == s] for s in (0, 1)]
+        number = [float(weight[r].sum()) for r in own]
+        wide = max((float(np.median(width[r])) for r in own if len(r)), default=coarse)
+        spread = ((x1 - x0) * (y1 - y0) / max(*number, 1.0)) ** 0.5
+        size = max(wide, spread, finest)
+        if max(number) * size * size / ((x1 - x0) * (y1 - y0)) > sum(counts) / 4096:
+            size = max(wide / 3, spread, finest)
+        infinite = float("inf")
+        box = tuple(v if not o else s * infinite for v, o, s in zip((x0, y0, x1, y1), outer, (-1, -1, 1, 1)))
+        tops = [_top(e.widest + by if any(outer) else min(e.widest + by, across), size) for e, by in ((l_extent, 2 * grown), (r_extent, 0.0))]
+        leaves.append(Leaf(box, size, *tops))
+
+    cut(np.arange(len(boxes)), *low, *high, (True,) * 4, 0)
+    return np.array(tree, ">f8").tobytes(), leaves
+
+
+def _of_leaf(values: list, kind: str) -> Column:
+    return F.element_at(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col("leaf") + 1)
 
 
 def candidates(
@@ -177,13 +251,18 @@ def candidates(
     grown: float = 0.0,
     grown_by: str | None = None,
     extents: tuple[Extent, Extent] | None = None,
+    adaptive: bool | None = None,
 ) -> DataFrame:
     """Pairs of rows whose boxes touch, the left boxes grown by ``grown`` (or by a left column).
 
     Columns l_id, l_x0.. (its own), r_id, r_x0.., and l_geom, r_geom where there are geometries.
-    ``extents`` are those of the sides, or of frames that hold them, if they are known already.
+    ``extents`` are those of the sides, or of frames that hold them, if they are known already. ``adaptive`` cells have a
+    width by place, from a quadtree; by default from ``ADAPTIVE`` known rows on, where one dense place could be a task of its own.
     """
     l_extent, r_extent = extents or planned(left, right, grown, grown_by)
+    if adaptive is None:
+        adaptive = not size and not grown_by and max(l_extent.count, r_extent.count) >= ADAPTIVE
+    packed, leaves = quadtree(left, right, l_extent, r_extent, grown) if adaptive else (b"", [])
     size = size or cell_size(l_extent, r_extent, grown=grown)
     reach = max(abs(v) for e in (l_extent, r_extent) for v in (e.xmin, e.ymin, e.xmax, e.ymax)) + 2 * grown
     size = max(size, reach * 2.0**-40)  # cells are numbered by longs
@@ -191,7 +270,26 @@ def candidates(
     by = F.col("l_grown") if grown_by else F.lit(float(grown))
     # what a row is dealt by is grown, what pairs have is its own
     l_rows = l_rows.withColumns({"l_own_" + c: F.col("l_" + c) for c in _BOX} | {c: F.col(c) - by for c in ("l_x0", "l_y0")} | {c: F.col(c) + by for c in ("l_x1", "l_y1")})
-    l_top, r_top = _top(l_extent.widest + 2 * grown, size), _top(r_extent.widest, size)
+    dealt_by = dict(zip(_BOX, ("a0", "b0", "a1", "b1")))
+    if leaves:
+        l_top, r_top = max(leaf.l_top for leaf in leaves), max(leaf.r_top for leaf in leaves)
+        base, l_tops, r_tops = (_of_leaf([getattr(leaf, n) for leaf in leaves], kind) for n, kind in (("size", "double"), ("l_top", "int"), ("r_top", "int")))
+        # bounds beyond all numbers are written as very large ones
+        edges = [_of_leaf([min(max(leaf.box[i], -1e308), 1e308) for leaf in leaves], "double") for i in range(4)]
+
+        def place(rows: DataFrame, p: str) -> DataFrame:
+            rows = rows.withColumn("leaf", F.explode(call("Leaves", F.array(*(F.col(p + c) for c in _BOX)), F.lit(packed))))
+            inner = (F.greatest, F.greatest, F.least, F.least)
+            return rows.withColumns({p + n: f(F.col(p + c), e) for (c, n), f, e in zip(dealt_by.items(), inner, edges)})
+
+    else:
+        l_top, r_top = _top(l_extent.widest + 2 * grown, size), _top(r_extent.widest, size)
+        base, l_tops, r_tops = F.lit(float(size)), F.lit(l_top), F.lit(r_top)
+
+        def place(rows: DataFrame, p: str) -> DataFrame:
+            return rows.withColumns({"leaf": F.lit(0)} | {p + n: F.col(p + c) for c, n in dealt_by.items()})
+
+    l_rows, r_rows = place(l_rows, "l_"), place(r_rows, "r_")
     # A pair meets on the coarser of its levels only. Either the right row is there dealt on a
     # level that is not below its own and the left one on its own, or the left row climbs to the
     # right one's level; ``up`` tells the two apart, so that no other rows meet.
@@ -199,23 +297,28 @@ def candidates(
     if l_top == r_top == 0:
         l_dealt, r_dealt = l_rows.select("*", level, F.lit(False).alias("up")), r_rows.select("*", level, F.lit(False).alias("up"))
     else:
-        l_rows, r_rows = _levels(l_rows, "l_", size, l_top + 1), _levels(r_rows, "r_", size, r_top + 1)
-        upward = lambda own, top: F.sequence(F.col(own), F.greatest(F.col(own), F.lit(top)))
-        l_dealt = l_rows.select("*", F.explode(upward("l_level", r_top)).alias("level"))
+        l_rows, r_rows = _levels(l_rows, "l_", base, l_top + 1), _levels(r_rows, "r_", base, r_top + 1)
+        upward = lambda own, top: F.sequence(F.col(own), F.greatest(F.col(own), top))
+        l_dealt = l_rows.select("*", F.explode(upward("l_level", r_tops)).alias("level"))
         l_dealt = l_dealt.withColumn("up", F.col("level") > F.col("l_level"))
-        places = F.transform(upward("r_level", l_top), lambda v: F.struct(v.alias("level"), F.lit(False).alias("up")))
+        places = F.transform(upward("r_level", l_tops), lambda v: F.struct(v.alias("level"), F.lit(False).alias("up")))
         places = F.concat(places, F.array(F.struct(F.col("r_level").alias("level"), F.lit(True).alias("up"))))
         r_dealt = r_rows.select("*", F.inline(places))
-        r_dealt = r_dealt.where(F.when(F.col("up"), F.col("level") > 0).otherwise(F.col("level") <= l_top))
-    used = F.pow(F.lit(float(LEVEL)), F.col("level")) * size
-    l_dealt, r_dealt = _cells(l_dealt, "l_", used), _cells(r_dealt, "r_", used)
-    on = reduce(and_, (F.col("l." + c) == F.col("r." + c) for c in ("level", "up", "cx", "cy")))
+        r_dealt = r_dealt.where(F.when(F.col("up"), F.col("level") > 0).otherwise(F.col("level") <= l_tops))
+    used = F.pow(F.lit(float(LEVEL)), F.col("level")) * base
+    if leaves:
+        l_dealt = l_dealt.withColumns({f"e{i}": e for i, e in enumerate(edges)})
+    l_dealt, r_dealt = (_cells(d, p, used).withColumn("width", used) for d, p in ((l_dealt, "l_"), (r_dealt, "r_")))
+    on = reduce(and_, (F.col("l." + c) == F.col("r." + c) for c in ["leaf"] * bool(leaves) + ["level", "up", "cx", "cy"]))
     for k in left.keys:
         on = on & (F.col("l.l_" + k) == F.col("r.r_" + k))
-    pairs = l_dealt.alias("l").join(r_dealt.alias("r"), on)
-    # once: in the cell of the common part's corner
-    cell = F.pow(F.lit(float(LEVEL)), F.col("l.level")) * size
+    pairs = l_dealt.alias("l").join(r_dealt.drop("width").alias("r"), on)
+    # once: in the cell, and the leaf, of the common part's corner
+    cell = F.col("l.width")
     corner = (F.floor(F.greatest("l_x0", "r_x0") / cell) == F.col("l.cx")) & (F.floor(F.greatest("l_y0", "r_y0") / cell) == F.col("l.cy"))
+    if leaves:
+        for x, low, high in (("x0", "e0", "e2"), ("y0", "e1", "e3")):
+            corner = corner & (F.greatest("l_" + x, "r_" + x) >= F.col(low)) & (F.greatest("l_" + x, "r_" + x) < F.col(high))
     touch = (F.col("l_x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1")) & (F.col("l_y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1"))
     out = pairs.where(touch & corner)
     names = ["l_id", *(F.col("l_own_" + c).alias("l_" + c) for c in _BOX), "r_id", "r_x0", "r_y0", "r_x1", "r_y1"]
@@ -256,6 +359,7 @@ def pairs(
     size: float | None = None,
     with_distance: bool = False,
     extents: tuple[Extent, Extent] | None = None,
+    adaptive: bool | None = None,
 ) -> DataFrame:
     """(left_id, right_id[, distance], carried columns) of the pairs in a relation.
 
@@ -269,12 +373,12 @@ def pairs(
         if distance is None:
             raise ValueError("dwithin needs a distance")
         grown = 0.0 if by_column else float(distance)
-        found = candidates(left, right, size, grown, distance if by_column else None, extents)
+        found = candidates(left, right, size, grown, distance if by_column else None, extents, adaptive)
         limit = F.col("l_grown") if by_column else F.lit(grown)
         gap = G.distance("l_geom", "r_geom") if left.geometry else box_distance()
         found = found.withColumn("distance", gap).where(F.col("distance") <= limit)
     else:
-        found = candidates(left, right, size, extents=extents)
+        found = candidates(left, right, size, extents=extents, adaptive=adaptive)
         test = _exact(left, right, predicate, 0.0)
         found = found if test is None else found.where(test)
         if with_distance:

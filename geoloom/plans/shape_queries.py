@@ -213,11 +213,19 @@ def unions(spark: SparkSession, d: str) -> DataFrame:
     return made[0].unionAll(made[1]).unionAll(made[2])
 
 
+@against(f"WITH {_CHAIN} SELECT band, 100.0 * count(*) AS area, true AS valid FROM chain GROUP BY band UNION ALL SELECT 9, 100.0 * count(*), true FROM chain WHERE band = 1 AND x < 50")
+def box_unions(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes side by side: some groups fill the box around them, others have gaps."""
+    rows = _chain(spark, d, 10.0)
+    few = rows.where((F.col("band") == 1) & (G.bounds("geometry")["minx"] < 50)).withColumn("band", F.lit(9).cast(rows.schema["band"].dataType))
+    return L.box_union_by(rows.unionByName(few), ["band"]).select("band", G.area("geometry").alias("area"), G.is_valid("geometry").alias("valid"))
+
+
 @against(f"WITH {_CHAIN} SELECT count(*) AS n, 10 * sum(own) AS area, (SELECT max(x) + 15 FROM chain) * 210 AS box_area, 50.0 AS common FROM ahead")
 def whole_unions(spark: SparkSession, d: str) -> DataFrame:
     rows = _chain(spark, d, 15.0)
     whole = L.union_all(rows, method="disjoint_subset").select(G.area("geometry").alias("area"))
-    boxed = L.box_union_by(rows.withColumn("one", F.lit(1)), ["one"]).select((G.area("geometry") + F.lit(0)).alias("box_area"), G.bounds("geometry")["minx"].alias("minx"))
+    boxed = L.total_bounds(rows).select(((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("box_area"), "minx")
     first = rows.sparkSession.sql("SELECT * FROM VALUES (1, 0D), (2, 10D) AS t(k, x)").select(wkb_box(Box(F.col("x"), F.lit(0.0), F.col("x") + 15, F.lit(10.0))).alias("geometry"))
     common = L.intersection_all(first).select(G.area("geometry").alias("common"))
     n = rows.agg(F.count(F.lit(1)).alias("n"))

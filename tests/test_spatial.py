@@ -307,3 +307,32 @@ def test_coverage_union_by_edges(spark):
     plan = L.union_by(many, ["k"], method="coverage")
     assert plan.select(G.area("geometry"), G.count_coordinates("geometry")).first()[0] == 90_000.0
     assert "collect_list(__g" not in plan._jdf.queryExecution().toString()
+
+
+def test_adaptive_cells(spark):
+    """Nine tenths of the points in a hundredth of the extent: the same pairs as by brute force, and even tasks."""
+    rng = random.Random(21)
+    spot = lambda: (rng.random() * 10 + 200, rng.random() * 10 + 700) if rng.random() < 0.9 else (rng.random() * 1000, rng.random() * 1000)
+    points = [(i, *spot()) for i in range(3000)]
+    boxes = [(i, x, y, x + w, y + w) for i, ((x, y), w) in enumerate((spot(), rng.choice((0.05, 0.3, 30.0))) for _ in range(400))]
+    left = J.point_side(spark.createDataFrame(points, "id int, x double, y double"), "id", "x", "y")
+    right = J.box_side(spark.createDataFrame(boxes, "id int, xmin double, ymin double, xmax double, ymax double"), "id")
+    want = sorted((p[0], q[0]) for p in points for q in boxes if q[1] <= p[1] <= q[3] and q[2] <= p[2] <= q[4])
+    assert sorted(map(tuple, J.pairs(left, right, adaptive=True).collect())) == want
+    assert sorted(map(tuple, J.pairs(right, left, adaptive=True).select("right_id", "left_id").collect())) == want
+    near = sorted((p[0], q[0]) for p in points for q in boxes if max(q[1] - p[1], 0, p[1] - q[3]) ** 2 + max(q[2] - p[2], 0, p[2] - q[4]) ** 2 <= 0.25)
+    assert sorted(tuple(r)[:2] for r in J.pairs(left, right, "dwithin", 0.5, adaptive=True).collect()) == near
+    both = J.pairs(right, right, adaptive=True).collect()
+    assert len(both) == sum(p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4] for p in boxes for q in boxes)
+    packed, leaves = J.quadtree(left, right, *J.measure(left, right))
+    assert len(leaves) > 8 and min(leaf.size for leaf in leaves) * 20 < max(leaf.size for leaf in leaves)
+    from geoloom.functions.jts import call
+
+    dealt = left.df.select(F.explode(call("Leaves", F.array("x", "y", "x", "y"), F.lit(packed))).alias("leaf"), "x", "y")
+    sizes = {i: leaf.size for i, leaf in enumerate(leaves)}
+    cells = [(r.leaf, r.x // sizes[r.leaf], r.y // sizes[r.leaf]) for r in dealt.collect()]
+    assert len(cells) == len(points)  # a point is in one leaf
+    tasks = [0] * 64
+    for cell in cells:
+        tasks[hash(cell) % 64] += 1
+    assert max(tasks) <= 4 * sorted(tasks)[32]
