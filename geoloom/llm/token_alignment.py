@@ -12,7 +12,7 @@ is first met; a document with a word that does not has no tokens. Special tokens
 
 Counting: a chunk of documents (``CHUNK`` bytes) gives each of its pairs once, with the number of its documents that have it
 linked. The pairs are summed up in two stages, first by pair and a salt of the chunk, then by pair. Totals go back to chunks, not
-to documents: a chunk's distinct pairs meet the ids of its documents, which are kept from the first pass, and links
+to documents: a chunk's distinct pairs meet the ids of its documents, which are kept from the first pass, compressed, and links
 are made again from them. Nothing is broadcast but the vocabularies.
 
 Null and empty texts have no tokens: zeros, empty lists and an empty string of groups. Rows that repeat or share an id are
@@ -201,11 +201,22 @@ def _doc_pairs(doc: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return different[first], np.diff(np.append(first, len(different)))
 
 
-_CODED = "chunk bigint, id {0}, a array<int>, b array<int>, pairs array<bigint>, docs array<bigint>"
+_CODED = "chunk bigint, id array<{0}>, sizes array<int>, codes binary, pairs array<bigint>, docs array<bigint>"
+
+
+def _packed(a: np.ndarray, b: np.ndarray) -> bytes:
+    """Ids of A and of B in as many bytes as they need, compressed; they are written and shuffled."""
+    wide = max(a.max(initial=0), b.max(initial=0)) >= 1 << 16
+    return bytes([int(wide)]) + pa.compress(np.concatenate([a, b]).astype("<u4" if wide else "<u2").tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(codes: bytes, count: int) -> np.ndarray:
+    width = 4 if codes[0] else 2
+    return np.frombuffer(pa.decompress(codes[1:], count * width, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
 
 
 def _coded(batches: Iterator[pa.RecordBatch], settings: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
-    """Of rows (id, text): a row with the ids of each, and for each chunk a row with its pairs and their documents."""
+    """Of rows (id, text): rows with the ids of some of them, and for each chunk a row with its pairs and their documents."""
     from pyspark import TaskContext
 
     coders = _coders(settings)
@@ -231,9 +242,10 @@ def _coded(batches: Iterator[pa.RecordBatch], settings: tuple[str, str, str]) ->
             made = Alignment(np.cumsum(a_coder.lengths[a]), np.cumsum(b_coder.lengths[b]))
             doc = np.repeat(np.arange(n), a_sizes)[made.link_a]
             pairs.append(_doc_pairs(doc, a[made.link_a] * len(b_coder.lengths) + b[made.link_b]))
-            columns = [pa.array(np.full(n, task + number), pa.int64()), batch.column(0), _lists(a, a_sizes, pa.int32()), _lists(b, b_sizes, pa.int32())]
-            columns += [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
-            schema = schema or pa.schema(list(zip(["chunk", "id", "a", "b", "pairs", "docs"], [c.type for c in columns])))
+            keys = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(0))
+            columns = [pa.array([task + number], pa.int64()), keys, _lists(np.concatenate([a_sizes, b_sizes]), np.array([2 * n]), pa.int32()), pa.array([_packed(a, b)], pa.binary())]
+            columns += [pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))]
+            schema = schema or pa.schema(list(zip(["chunk", "id", "sizes", "codes", "pairs", "docs"], [c.type for c in columns])))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
             size += sum(len(t) for t in texts if t)
             if size >= CHUNK:
@@ -263,29 +275,33 @@ def _written_groups(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group:
 _STATS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
 
-def _few_tokens(docs: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``TOKENS_AT_ONCE`` tokens."""
-    for whole in docs.to_batches():
-        total = np.cumsum(np.diff(np.asarray(whole.column(1).offsets)))
-        start = 0
-        while start < whole.num_rows:
-            before = total[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(total, before + TOKENS_AT_ONCE, side="right")))
-            yield whole.slice(start, end - start)
-            start = end
+def _few_tokens(docs: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, a, b, a_sizes, b_sizes) of documents that have about ``TOKENS_AT_ONCE`` tokens."""
+    for row in docs.to_batches(max_chunksize=1):
+        for i in range(row.num_rows):
+            key = row.column("id")[i].values
+            n = len(key)
+            sizes = row.column("sizes")[i].values.to_numpy().astype(np.int64)
+            codes = _unpacked(row.column("codes")[i].as_py(), int(sizes.sum()))
+            a_sizes, b_sizes = sizes[:n], sizes[n:]
+            a_end, b_end = np.cumsum(a_sizes), np.cumsum(b_sizes) + a_sizes.sum()
+            start = 0
+            while start < n:
+                before = a_end[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(a_end, before + TOKENS_AT_ONCE, side="right")))
+                a, b = codes[before : a_end[end - 1]], codes[(b_end[start - 1] if start else a_end[-1]) : b_end[end - 1]]
+                yield key.slice(start, end - start), a, b, a_sizes[start:end], b_sizes[start:end]
+                start = end
 
 
 def _counted(docs: pa.Table, totals: pa.Table, a_lengths: np.ndarray, b_lengths: np.ndarray) -> pa.Table:
-    """Of a chunk: documents (chunk, id, a, b) and its pairs' totals (chunk, pair, total, best)."""
+    """Of a chunk: documents (chunk, id, sizes, codes) and its pairs' totals (chunk, pair, total, best)."""
     pair = totals.column("pair").to_numpy()
     order = np.argsort(pair)
     pair, total, best = pair[order], totals.column("total").to_numpy()[order], totals.column("best").to_numpy(zero_copy_only=False).astype(np.int64)[order]
     out = []
-    flat = lambda c: c.flatten().to_numpy().astype(np.int64)
-    for batch in _few_tokens(docs.select(["id", "a", "b"])):
-        n = batch.num_rows
-        a, b = flat(batch.column(1)), flat(batch.column(2))
-        a_sizes, b_sizes = (np.diff(np.asarray(batch.column(i).offsets)).astype(np.int64) for i in (1, 2))
+    for key, a, b, a_sizes, b_sizes in _few_tokens(docs):
+        n = len(key)
         made = Alignment(np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b]))
         a_doc = np.repeat(np.arange(n), a_sizes)
         doc = a_doc[made.link_a]
@@ -294,7 +310,7 @@ def _counted(docs: pa.Table, totals: pa.Table, a_lengths: np.ndarray, b_lengths:
         groups = _written_groups(a, b, made.a_group, made.b_group, a_sizes, b_sizes)
         # sums are of integers below 2**53 a document
         stats = [a_sizes, b_sizes, _per_document(None, a_doc[ends], n), _per_document(None, doc, n), _per_document(best[at], doc, n), _per_document(total[at], doc, n)]
-        arrays = [batch.column(0), *(pa.array(s, pa.int64()) for s in stats), pa.array(groups, pa.string())]
+        arrays = [key, *(pa.array(s, pa.int64()) for s in stats), pa.array(groups, pa.string())]
         out.append(pa.RecordBatch.from_arrays(arrays, names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]))
     return pa.Table.from_batches(out)
 
@@ -329,7 +345,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     coded = materialize(rows.mapInArrow(lambda batches: _coded(batches, settings), _CODED.format(kind)), "coded")
     totals = materialize(_totals(coded, b_size), "pairs")
     of_chunks = coded.where("pairs is not null").select("chunk", F.explode("pairs").alias("pair")).join(totals, "pair").select(F.col("chunk").alias("of"), "pair", "total", "best")
-    docs = coded.where("pairs is null").select("chunk", "id", "a", "b")
+    docs = coded.where("pairs is null").select("chunk", "id", "sizes", "codes")
     met = docs.groupBy("chunk").cogroup(of_chunks.groupBy("of"))
     return met.applyInArrow(lambda d, t: _counted(d, t, *lengths), f"id {kind}, {_STATS}").withColumnRenamed("id", id_col)
 
