@@ -6,11 +6,13 @@ area and length 0 and bounds NaN, and is in no relation.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .crs import Crs, by_code, from_projjson
 from .jts import call, numbers
 
 ColumnOrName = Column | str
@@ -531,10 +533,27 @@ def skew(g: ColumnOrName, xs: float = 0.0, ys: float = 0.0, origin: str | tuple[
 PROJECTED = (3395, 2154, 3034, 5070, 3577, 3035)
 
 
-def to_crs(g: ColumnOrName, source: int, target: int) -> Column:
-    """Reproject every vertex between 4326, 3857, the UTM zones (326zz, 327zz) and ``PROJECTED``."""
+def to_crs(g: ColumnOrName, source: int | dict | Crs, target: int | dict | Crs) -> Column:
+    """Reproject every vertex. A system is an EPSG code (4326, 3857, UTM zones, ``PROJECTED`` and what ``crs.by_code`` knows), PROJJSON or a ``Crs``.
+
+    Systems given by parameters are moved through the datum shifts of both. 5070 and 3577 have datums
+    that are a metre or two off WGS 84, which is not corrected: a warning says so.
+    """
     if source == target:
         return _c(g)
+    old = lambda code: isinstance(code, int) and (code in (4326, 3857, *PROJECTED) or code // 100 in (326, 327))
+    for code in (source, target):
+        if code in (5070, 3577):
+            warnings.warn(f"the datum of {code} is taken as WGS 84, which is a metre or two off", stacklevel=2)
+    if not (old(source) and old(target)):
+        known = [c if isinstance(c, Crs) else from_projjson(c) if isinstance(c, dict) else by_code(c) for c in (source, target)]
+        if known[0] is None and old(source):
+            return to_crs(to_crs(g, source, 4326), 4326, target)
+        if known[1] is None and old(target):
+            return to_crs(to_crs(g, source, 4326), 4326, target)
+        if None in known:
+            raise NotImplementedError(f"CRS {source if known[0] is None else target}")
+        return call("Reproject", _c(g), numbers(*known[0].numbers), numbers(*known[1].numbers))
 
     def step(code: int, names: tuple[str, str, str], g: ColumnOrName) -> Column:
         if code == 3857:

@@ -40,9 +40,10 @@ KINDS: dict[str, DataType] = {
     "Leaves": ArrayType(IntegerType()),
     "Edges": ArrayType(DoubleType()),
     "Linked": BinaryType(),
+    "Reproject": BinaryType(),
 }
 #: The class that has a kind, where it is not ``Geo``.
-OWNERS = {"Pack": "Near", "Least": "Near", "Enough": "Near", "Leaves": "Near", "Edges": "Rings", "Linked": "Rings"}
+OWNERS = {"Pack": "Near", "Least": "Near", "Enough": "Near", "Leaves": "Near", "Edges": "Rings", "Linked": "Rings", "Reproject": "Datum"}
 
 
 def build_jar(to: Path = JAR) -> Path:

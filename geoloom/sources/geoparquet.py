@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions import geometry as G
+from ..functions.crs import by_code, to_projjson
 from ..functions.planar import Box, literal_box, wkb_point
 
 VERSION = "1.1.0"
@@ -27,8 +29,11 @@ TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLi
 
 
 def crs_json(code: int | None) -> dict | None:
-    """What a footer says of a CRS by its EPSG code; None is unknown."""
-    return None if code is None else {"type": "GeographicCRS" if code == 4326 else "ProjectedCRS", "name": f"EPSG:{code}", "id": {"authority": "EPSG", "code": code}}
+    """PROJJSON of a CRS by its EPSG code; None is unknown, and so is a code whose parameters are not known."""
+    known = None if code is None else by_code(code)
+    if code is not None and known is None:
+        warnings.warn(f"the parameters of CRS {code} are not known: the footer has none", stacklevel=2)
+    return None if known is None else to_projjson(known)
 
 
 def crs_code(column: dict) -> int | None:

@@ -336,3 +336,33 @@ def test_adaptive_cells(spark):
     for cell in cells:
         tasks[hash(cell) % 64] += 1
     assert max(tasks) <= 4 * sorted(tasks)[32]
+
+
+def test_systems_by_parameters(spark):
+    """Worked examples of the projections on their own datums, and published points through the datum shifts."""
+    from geoloom.functions import crs as C
+
+    def at(code, target, x, y):
+        r = spark.range(1).select(G.to_crs(P.literal_point(x, y), code, target).alias("g")).select(G.x("g").alias("x"), G.y("g").alias("y")).first()
+        return r.x, r.y
+
+    near = lambda a, b, within: abs(a[0] - b[0]) <= within and abs(a[1] - b[1]) <= within
+    assert near(at(4277, 27700, 0.5, 50.5), (577274.99, 69740.50), 0.01)
+    assert near(at(4289, 28992, 6.0, 53.0), (196105.283, 557057.739), 0.01)
+    assert near(at(27700, 4277, 577274.99, 69740.50), (0.5, 50.5), 1e-7) and near(at(28992, 4289, 196105.283, 557057.739), (6.0, 53.0), 1e-8)
+    assert near(at(4326, 28992, 5.38720621, 52.15517440), (155000.0, 463000.0), 1.0)
+    assert near(at(4258, 25832, 9.0, 50.0), (500000.0, 5538630.703), 0.01) and near(at(4326, 25833, 12.0, 52.0), at(4326, 32633, 12.0, 52.0), 0.01)
+    # heights are left out between datums, which costs a millimetre
+    for code, x, y in ((27700, 530000.0, 180000.0), (28992, 121000.0, 487000.0), (31467, 3500000.0, 5500000.0), (23030, 440000.0, 4470000.0), (25829, 500000.0, 4500000.0), (32723, 333000.0, 7390000.0)):
+        assert near(at(4326, code, *at(code, 4326, x, y)), (x, y), 2e-3)
+        told = C.to_projjson(C.by_code(code))
+        assert C.from_projjson(told).numbers == pytest.approx(C.by_code(code).numbers)
+        assert {"base_crs", "conversion", "coordinate_system"} <= set(told) and told["id"] == {"authority": "EPSG", "code": code}
+    shifted = {"type": "BoundCRS", "source_crs": C.to_projjson(C.by_code(28992)), "target_crs": C.to_projjson(C.by_code(4326)), "transformation": {
+        "method": {"name": "Coordinate Frame rotation (geog2D domain)"}, "parameters": [{"name": n, "value": v} for n, v in zip(C.SHIFTS, (565.4171, 50.3319, 465.5524, 0.398957, -0.343988, 1.87740, 4.0725))]}}
+    assert near(at(4326, shifted, 5.38720621, 52.15517440), (155000.0, 463000.0), 1.0)
+    assert near(at(3857, 27700, *at(27700, 3857, 530000.0, 180000.0)), (530000.0, 180000.0), 2e-3)
+    with pytest.raises(NotImplementedError):
+        at(4326, 2056, 7.0, 46.0)
+    with pytest.warns(UserWarning, match="datum"):
+        at(4326, 5070, -96.0, 40.0)
