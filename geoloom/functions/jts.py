@@ -13,7 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType
 
 HOME = Path(__file__).parent / "jvm"
 JAR = HOME / "geoloom-jts.jar"
@@ -41,9 +41,11 @@ KINDS: dict[str, DataType] = {
     "Edges": ArrayType(DoubleType()),
     "Linked": BinaryType(),
     "Reproject": BinaryType(),
+    "Range": BinaryType(),
+    "Hits": ArrayType(LongType()),
 }
 #: The class that has a kind, where it is not ``Geo``.
-OWNERS = {"Pack": "Near", "Least": "Near", "Enough": "Near", "Leaves": "Near", "Edges": "Rings", "Linked": "Rings", "Reproject": "Datum"}
+OWNERS = {"Pack": "Near", "Least": "Near", "Enough": "Near", "Leaves": "Near", "Edges": "Rings", "Linked": "Rings", "Reproject": "Datum", "Range": "Files", "Hits": "Files"}
 
 
 def build_jar(to: Path = JAR) -> Path:

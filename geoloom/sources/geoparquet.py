@@ -62,7 +62,8 @@ class _Writer(DataSourceArrowWriter):
         self.schema = schema
         self.path, self.geometry, self.encoding = options["path"].rstrip("/"), options["geometry"], options["encoding"]
         self.compression, self.crs, self.covering = options["compression"], json.loads(options["crs"]), options["covering"] == "true"
-        self.kind = options["kind"]
+        self.kind, self.layer, self.code = options["kind"], options.get("layer", ""), int(options.get("code", 0))
+        self.name_rows = True
         self.folder = f"{self.path}/_temporary-{uuid.uuid4().hex}"
 
     def _at(self, path: str):
@@ -75,6 +76,8 @@ class _Writer(DataSourceArrowWriter):
 
         if self.kind == "feather":
             return self._feather(iterator)
+        if self.kind == "flatgeobuf":
+            return self._flatgeobuf(iterator)
         name, writer, types, bounds = f"part-{uuid.uuid4().hex}.parquet", None, set(), None
         for batch in iterator:
             if writer is None:
@@ -118,9 +121,36 @@ class _Writer(DataSourceArrowWriter):
         sink.close()
         return Written(name)
 
+    def _flatgeobuf(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        """A task's rows in one file; its index stands before its features, so they are held until their sizes are known."""
+        from . import flatgeobuf as fgb
+
+        codes = {"bool": 2, "int32": 5, "int64": 7, "double": 10, "string": 11, "binary": 14}
+        rest = [i for i, f in enumerate(self.schema) if f.name not in (self.geometry, "__box")]
+        columns = [(self.schema.field(i).name, codes[str(self.schema.field(i).type)]) for i in rest]
+        features, boxes = [], []
+        for batch in iterator:
+            values = [batch.column(i).to_pylist() for i in rest]
+            for row, (wkb, box) in enumerate(zip(batch.column(self.geometry).to_pylist(), batch.column("__box").to_pylist())):
+                features.append(fgb.feature(wkb, [v[row] for v in values], columns))
+                known = box and box["minx"] is not None and box["minx"] == box["minx"]
+                boxes.append(tuple(box[k] for k in ("minx", "miny", "maxx", "maxy")) if known else (float("nan"),) * 4)
+        if not features and self.name_rows:
+            return Written(None)
+        store, folder = self._at(self.folder)
+        store.create_dir(folder)
+        name = f"part-{uuid.uuid4().hex}.fgb"
+        # rows without a box come last, in a part of the tree that no area meets
+        order = sorted(range(len(boxes)), key=lambda i: boxes[i][0] != boxes[i][0])
+        boxes = [b if b[0] == b[0] else (float("inf"), float("inf"), -float("inf"), -float("inf")) for b in boxes]
+        with store.open_output_stream(f"{folder}/{name}") as sink:
+            sink.write(fgb.file_bytes(self.layer, columns, [features[i] for i in order], [boxes[i] for i in order], self.code))
+        return Written(name)
+
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = self._at(self.folder)
         if not any(message and message.name for message in messages):  # a table without rows has a file all the same
+            self.name_rows = False
             messages = [self.write(iter([pa.RecordBatch.from_pylist([], self.schema)]))]
         for message in messages:
             if message and message.name:
@@ -204,6 +234,21 @@ def to_feather(df: DataFrame, path: str, geometry: str = "geometry", crs: int |
     _write(df, path, "feather", geometry=geometry, encoding="WKB", compression=compression, crs=json.dumps(crs_json(crs)), covering="false")
 
 
+def to_flatgeobuf(df: DataFrame, path: str, geometry: str = "geometry", crs: int | None = None, layer: str = "layer") -> None:
+    """A folder of FlatGeobuf files with an index each; rows are dealt by range of the Hilbert code of their boxes' middles.
+
+    Attributes are booleans, integers, doubles, binaries and texts; others are written as text.
+    """
+    from ..operators.layers import hilbert_distance
+
+    if _files(df.sparkSession, path)[1]:
+        raise ValueError(f"there are files in {path}")
+    kinds = {"boolean": "boolean", "int": "int", "bigint": "bigint", "smallint": "int", "tinyint": "int", "double": "double", "float": "double", "binary": "binary"}
+    rows = df.select(*(F.col(n).cast(kinds.get(t, "string")).alias(n) for n, t in df.dtypes if n != geometry), geometry)
+    coded = hilbert_distance(rows, geometry).repartitionByRange("hilbert").sortWithinPartitions("hilbert").drop("hilbert")
+    _write(coded.withColumn("__box", G.bounds(geometry)), path, "flatgeobuf", geometry=geometry, encoding="WKB", compression="", crs="null", covering="false", layer=layer, code=str(crs or 0))
+
+
 def read_feather(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A Feather file or a folder of them; a task reads a file, of 2 GB at most. The first file has the schema of all."""
     from pyspark.sql.pandas.types import from_arrow_schema

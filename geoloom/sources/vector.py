@@ -18,7 +18,7 @@ from ..functions import geometry as G
 from ..functions.planar import literal_box, wkb_point
 from .flatgeobuf import read_flatgeobuf
 from .geopackage import read_geopackage
-from .geoparquet import geo_metadata, read_feather, read_geoparquet, to_feather, to_geoparquet
+from .geoparquet import geo_metadata, read_feather, read_geoparquet, to_feather, to_flatgeobuf, to_geoparquet
 from .osm import read_osm_pbf
 
 #: Column names that hold coordinates or geometry in CSV files.
@@ -49,13 +49,12 @@ def read_file(
     kind = FORMATS.get(path.rstrip("/").rpartition(".")[2].lower())
     if kind is None:
         raise ValueError(f"no reader for {path}")
-    if kind == "geoparquet":
-        df = read_geoparquet(spark, path, bbox=bbox, **options)
+    if kind in ("geoparquet", "flatgeobuf"):
+        df = {"geoparquet": read_geoparquet, "flatgeobuf": read_flatgeobuf}[kind](spark, path, bbox=bbox, **options)
     else:
         df = {
             "feather": read_feather, "geojson": read_geojson, "geojsonseq": read_geojsonseq, "csv": read_csv, "wkt": read_wkt,
             "kml": read_kml, "gpx": read_gpx, "shapefile": read_shapefile, "geopackage": read_geopackage, "osm": read_osm_pbf,
-            "flatgeobuf": read_flatgeobuf,
         }[kind](spark, path, **options)
     if bbox is not None:
         df = df.where(G.intersects("geometry", literal_box(*bbox)))
@@ -374,7 +373,7 @@ def to_postgis(df: DataFrame, url: str, table: str, if_exists: str = "fail", geo
 
 
 def to_file(df: DataFrame, path: str, geometry: str = "geometry", driver: str | None = None) -> None:
-    """GeoParquet, GeoJSON lines, CSV with WKT, WKT lines or Feather, by the extension or driver."""
+    """GeoParquet, GeoJSON lines, CSV with WKT, WKT lines, Feather or FlatGeobuf, by the extension or driver."""
     kind = driver or FORMATS.get(path.rpartition(".")[2].lower())
     if kind == "geoparquet":
         to_geoparquet(df, path, geometry)
@@ -386,5 +385,7 @@ def to_file(df: DataFrame, path: str, geometry: str = "geometry", driver: str |
         df.select(G.to_wkt(geometry)).write.text(path)
     elif kind == "feather":
         to_feather(df, path)
+    elif kind == "flatgeobuf":
+        to_flatgeobuf(df, path, geometry)
     else:
         raise ValueError(f"no writer for {path}")

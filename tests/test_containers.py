@@ -1,12 +1,15 @@
 """Binary containers written here byte by byte and read back."""
 
 import sqlite3
+import json
 import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.functions import planar as P
 from geoloom.sources import flatgeobuf, geopackage, osm, vector
 
 
@@ -187,3 +190,33 @@ def test_flatgeobuf_blocks():
     assert list(flatgeobuf.blocks(flatgeobuf_bytes(1, [], []))) == []
     with pytest.raises(ValueError):
         flatgeobuf.header(b"no")
+
+
+def test_flatgeobuf_index(spark, tmp_path):
+    """What is written comes back; an area's read touches the bytes of the features that it meets and no others."""
+    n = 3000
+    rows = spark.range(n).select(
+        "id", F.concat(F.lit("f"), F.col("id")).alias("name"), (F.col("id") / 2).alias("half"), (F.col("id") % 2 == 0).alias("even"),
+        G.from_wkt(F.when(F.col("id") % 3 == 0, F.concat(F.lit("POINT ("), F.col("id") % 60, F.lit(" "), F.floor(F.col("id") / 60), F.lit(")")))
+                   .when(F.col("id") % 3 == 1, F.concat(F.lit("POLYGON (("), F.array_join(F.array(*(F.concat_ws(" ", F.col("id") % 60 + a, F.floor(F.col("id") / 60) + b) for a, b in ((0, 0), (1, 0), (1, 1), (0, 0)))), ","), F.lit("))")))
+                   .otherwise("MULTIPOLYGON (((100 100, 101 100, 101 101, 100 100)), ((90 90, 91 90, 91 91, 90 90)))")).alias("geometry"),
+    )
+    rows = rows.unionByName(rows.limit(1).withColumns({"id": F.lit(-1).cast("bigint"), "geometry": F.lit(None).cast("binary")}))
+    vector.to_file(rows, str(tmp_path / "a.fgb"))
+    back = vector.read_file(spark, str(tmp_path / "a.fgb")).withColumn("wkt", G.to_wkt("geometry"))
+    want = {(str(r.id), r.name, str(r.half), str(r.even).lower(), r.wkt) for r in rows.withColumn("wkt", G.to_wkt("geometry")).collect()}
+    assert {(a["id"], a["name"], a["half"], a["even"], w) for a, w in ((r.attributes, r.wkt) for r in back.collect())} == want
+    area = (10.0, 10.0, 14.5, 12.5)
+    found = flatgeobuf.ranges(spark, str(tmp_path / "a.fgb"), area).collect()
+    box = G.bounds("geometry")
+    met = rows.where((box["minx"] <= area[2]) & (box["maxx"] >= area[0]) & (box["miny"] <= area[3]) & (box["maxy"] >= area[1]))
+    read = 0
+    for r in found:
+        with open(r.path.removeprefix("file:"), "rb") as file:
+            file.seek(r.start)
+            read += len(list(flatgeobuf.decoded(file.read(r.end - r.start), json.loads(r.about))))
+    assert read == met.count() and 0 < read < n / 20
+    got = vector.read_file(spark, str(tmp_path / "a.fgb"), bbox=area)
+    assert {r.attributes["id"] for r in got.collect()} == {str(r.id) for r in met.where(G.intersects("geometry", P.literal_box(*area))).collect()}
+    vector.to_file(rows.limit(0), str(tmp_path / "none.fgb"))
+    assert vector.read_file(spark, str(tmp_path / "none.fgb")).count() == 0
