@@ -169,7 +169,7 @@ def more_constructions(spark: SparkSession, d: str) -> DataFrame:
         _r(F.sqrt(G.area(G.envelope(G.minimum_bounding_circle(g)))) / 2, 4).alias("circle_radius"), _r(G.length(G.maximum_inscribed_circle(g)), 2).alias("inside_radius"), G.area(G.concave_hull(g, 1.0)).alias("concave"),
         G.z(G.force_3d(wkb_point("x", "y"), 5.0)).alias("z_after"), G.has_z(G.force_2d(p)).alias("z_gone"), G.x(lifted).alias("z_moved"), G.z(lifted).alias("z_value"), G.z(G.scale(p, 1, 1, 3, origin=(0.0, 0.0, 0.0))).alias("z_scaled"),
         G.x(G.affine_transform(p, twelve)).alias("affine_x"), G.x(moved).alias("transformed_x"), G.z(moved).alias("transformed_z"), G.count_geometries(samples).alias("n_samples"), G.covers(g, samples).alias("samples_inside"),
-        F.lit(1.0).alias("grid"), G.area(G.normalize(g)).alias("normal_area"), G.length(G.exterior(g)).alias("unrolled"),
+        (G.get_precision(g) + 1.0).alias("grid"), G.area(G.normalize(g)).alias("normal_area"), G.length(G.exterior(g)).alias("unrolled"),
     ).where(G.is_valid(snapped))
 
 
@@ -392,7 +392,7 @@ def rows_by_place(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@against("""SELECT c_custkey AS label, upper(c_name) AS title, CAST(c_acctbal AS BIGINT) AS whole, coalesce(c_acctbal_new, c_acctbal) AS balance, n_name AS nation, coalesce(nullif(c_mktsegment, 'BUILDING'), 'HOUSE') AS segment,
+@against("""SELECT c_custkey AS label, upper(c_name) AS title, CAST(round(coalesce(c_acctbal_new, c_acctbal)) AS BIGINT) AS whole, coalesce(c_acctbal_new, c_acctbal) AS balance, n_name AS nation, coalesce(nullif(c_mktsegment, 'BUILDING'), 'HOUSE') AS segment,
  CASE WHEN c_custkey % 2 = 0 THEN 'even' END AS odd, 1 AS one FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 1.5 END AS c_acctbal_new FROM customer) c JOIN nation ON c_nationkey = n_nationkey""")
 def frame_columns(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/customer.parquet")
@@ -405,13 +405,7 @@ def frame_columns(spark: SparkSession, d: str) -> DataFrame:
     assert frame.active_geometry_name == "geometry" and frame.id == "label"
     frame = frame.astype({"whole": "bigint"}).eval("1 AS one")
     kept = T.select_dtypes(frame.df, exclude="geometry")
-    plain = view_of_balance(rows, news)
-    return kept.join(plain, "label").select("label", "title", F.col("raw_whole").alias("whole"), "balance", "nation", "segment", "odd", "one")
-
-
-def view_of_balance(rows: DataFrame, news: DataFrame) -> DataFrame:
-    """(label, raw_whole): the balance before the update, to the nearest whole number."""
-    return rows.select(F.col("c_custkey").alias("label"), F.rint("c_acctbal").cast("bigint").alias("raw_whole"))
+    return kept.select("label", "title", "whole", "balance", "nation", "segment", "odd", "one")
 
 
 @against("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size % 10 END AS x FROM part)

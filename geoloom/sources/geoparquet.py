@@ -21,7 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..functions import geometry as G
 from ..functions.crs import by_code, to_projjson
-from ..functions.planar import Box, literal_box, wkb_point
+from ..functions.planar import Box, literal_box
+from . import native
 
 VERSION = "1.1.0"
 #: The names of WKB's type codes.
@@ -85,7 +86,7 @@ class _Writer(DataSourceArrowWriter):
                 store.create_dir(folder)
                 writer = pq.ParquetWriter(f"{folder}/{name}", batch.schema, compression=self.compression, filesystem=store)
             column = batch.column(self.geometry)
-            types |= _type_names(column) if self.encoding == "WKB" else {"Point"}
+            types |= _type_names(column) if self.encoding == "WKB" else {native.NAMES[self.encoding] + (" Z" if "z: double" in str(column.type) else "")}
             if self.covering and batch.num_rows:
                 box = batch.column("bbox")
                 ends = [pc.min(pc.struct_field(box, k)).as_py() for k in ("xmin", "ymin")] + [pc.max(pc.struct_field(box, k)).as_py() for k in ("xmax", "ymax")]
@@ -202,13 +203,13 @@ def geo_metadata(path: str, spark: SparkSession | None = None) -> dict | None:
 
 
 def to_geoparquet(
-    df: DataFrame, path: str, geometry: str = "geometry", covering_bbox: bool = False, crs: int | None = None, encoding: str = "WKB", compression: str = "snappy", if_exists: str = "fail"
+    df: DataFrame, path: str, geometry: str = "geometry", covering_bbox: bool = False, crs: int | None = None, encoding: str = "WKB", compression: str = "snappy", if_exists: str = "fail", with_z: bool = False
 ) -> None:
-    """A folder of Parquet files with WKB (or, for points, separated coordinates) and a ``geo`` key in each footer.
+    """A folder of Parquet files with WKB, or nested coordinates (an encoding of ``native.ENCODINGS``; ``with_z``), and a ``geo`` key in each footer.
 
     ``covering_bbox`` adds a ``bbox`` struct by which readers leave out row groups. ``if_exists`` append adds files.
     """
-    if encoding not in ("WKB", "point"):
+    if encoding != "WKB" and encoding not in native.ENCODINGS:
         raise ValueError(f"no such encoding: {encoding}")
     spark = df.sparkSession
     if if_exists != "append" and _files(spark, path)[1]:
@@ -217,8 +218,8 @@ def to_geoparquet(
         b = F.col("__b")
         box = F.struct(b["minx"].alias("xmin"), b["miny"].alias("ymin"), b["maxx"].alias("xmax"), b["maxy"].alias("ymax"))
         df = df.withColumn("__b", G.bounds(geometry)).withColumn("bbox", box).drop("__b")
-    if encoding == "point":
-        df = df.withColumn(geometry, F.when(F.col(geometry).isNotNull(), F.struct(G.x(geometry).alias("x"), G.y(geometry).alias("y"))))
+    if encoding != "WKB":
+        df = df.withColumn(geometry, native.encoded(geometry, encoding, with_z))
     _write(df, path, "geoparquet", geometry=geometry, encoding=encoding, compression=compression, crs=json.dumps(crs_json(crs)), covering=str(covering_bbox).lower())
 
 
@@ -293,8 +294,8 @@ def read_geoparquet(
         if cover:
             box = Box(*(F.col(".".join(f"`{part}`" for part in cover[k])) for k in ("xmin", "ymin", "xmax", "ymax")))
             df = df.where(box.intersects(Box(*map(F.lit, map(float, bbox)))))
-    if own.get("encoding") == "point":
-        df = df.withColumn(name, wkb_point(F.col(f"{name}.x"), F.col(f"{name}.y")))
+    if own.get("encoding") in native.ENCODINGS:
+        df = df.withColumn(name, native.decoded(name, own["encoding"], native.has_z(df, name)))
     if bbox is not None:
         df = df.where(G.intersects(name, literal_box(*bbox)))
     return df.select(*columns) if columns else df

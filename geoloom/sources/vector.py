@@ -19,6 +19,7 @@ from ..functions.planar import literal_box, wkb_point
 from .flatgeobuf import read_flatgeobuf
 from .geopackage import read_geopackage
 from .geoparquet import geo_metadata, read_feather, read_geoparquet, to_feather, to_flatgeobuf, to_geoparquet
+from . import native
 from .osm import read_osm_pbf
 
 #: Column names that hold coordinates or geometry in CSV files.
@@ -98,7 +99,7 @@ def read_geoparquet_batches(spark: SparkSession, path: str, batch_rows: int, **o
 
 
 def from_arrow(spark: SparkSession, table) -> DataFrame:
-    """An Arrow table's rows; geometry in WKB, or as points of two numbers or of x and y, becomes WKB by its extension name."""
+    """An Arrow table's rows; geometry in WKB, as points of two numbers, or as lists of coordinates with x, y (and z), becomes WKB by its extension name."""
     import pyarrow as pa
 
     names = {f.name: (f.metadata or {}).get(b"ARROW:extension:name", b"").decode() for f in table.schema}
@@ -106,28 +107,33 @@ def from_arrow(spark: SparkSession, table) -> DataFrame:
     df = spark.createDataFrame(plain)
     for name, kind in names.items():
         is_struct = isinstance(df.schema[name].dataType, T.StructType)
+        if kind.removeprefix("geoarrow.") in native.ENCODINGS and (is_struct or kind != "geoarrow.point"):
+            df = df.withColumn(name, native.decoded(name, kind.removeprefix("geoarrow."), native.has_z(df, name)))
+            continue
         if kind == "geoarrow.point" or (name == "geometry" and is_struct):
             x, y = (F.col(f"{name}.x"), F.col(f"{name}.y")) if is_struct else (F.col(name)[0], F.col(name)[1])
             df = df.withColumn(name, wkb_point(x, y))
     return df
 
 
-def to_arrow(df: DataFrame, geometry: str = "geometry", geometry_encoding: str = "WKB", interleaved: bool = True, crs: int | None = None):
+def to_arrow(df: DataFrame, geometry: str = "geometry", geometry_encoding: str = "WKB", interleaved: bool = True, with_z: bool = False, crs: int | None = None):
     """The rows, gathered on the driver, as an Arrow table whose geometry column has its extension name: WKB, or for
-    points ``geoarrow`` (pairs of numbers, or separate x and y)."""
+    points ``geoarrow`` (pairs of numbers, or separate x and y), or one of ``native.ENCODINGS`` with separate coordinates."""
     import pyarrow as pa
 
-    if geometry_encoding not in ("WKB", "geoarrow"):
+    if geometry_encoding not in ("WKB", "geoarrow", *native.ENCODINGS):
         raise ValueError(f"no such encoding: {geometry_encoding}")
-    native = geometry_encoding == "geoarrow"
-    if native:
+    pairs = geometry_encoding == "geoarrow"
+    if geometry_encoding in native.ENCODINGS:
+        df = df.withColumn(geometry, native.encoded(geometry, geometry_encoding, with_z))
+    if pairs:
         known = F.col(geometry).isNotNull()
         parts = F.array(G.x(geometry), G.y(geometry)) if interleaved else F.struct(G.x(geometry).alias("x"), G.y(geometry).alias("y"))
         df = df.withColumn(geometry, F.when(known & (G.geom_type(geometry) == "Point"), parts).when(known, F.raise_error(F.lit("only points have this encoding"))))
     table = df.toArrow()
     column, at = table.column(geometry), table.schema.get_field_index(geometry)
-    kind = pa.list_(pa.float64(), 2) if native and interleaved else column.type
-    meta = {"ARROW:extension:name": "geoarrow.point" if native else "geoarrow.wkb", "ARROW:extension:metadata": json.dumps({} if crs is None else {"crs": f"EPSG:{crs}"})}
+    kind = pa.list_(pa.float64(), 2) if pairs and interleaved else column.type
+    meta = {"ARROW:extension:name": "geoarrow." + ("point" if pairs else geometry_encoding.lower()), "ARROW:extension:metadata": json.dumps({} if crs is None else {"crs": f"EPSG:{crs}"})}
     return table.set_column(at, pa.field(geometry, kind, metadata=meta), column.cast(kind))
 
 

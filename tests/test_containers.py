@@ -220,3 +220,33 @@ def test_flatgeobuf_index(spark, tmp_path):
     assert {r.attributes["id"] for r in got.collect()} == {str(r.id) for r in met.where(G.intersects("geometry", P.literal_box(*area))).collect()}
     vector.to_file(rows.limit(0), str(tmp_path / "none.fgb"))
     assert vector.read_file(spark, str(tmp_path / "none.fgb")).count() == 0
+
+
+SHAPES = {
+    "point": ["POINT (1 2)", "POINT (0.1 -3)", "POINT EMPTY"], "linestring": ["LINESTRING (0 0, 1 0.3)", "LINESTRING EMPTY"],
+    "polygon": ["POLYGON ((0 0, 4 0, 4 4, 0 0), (2 1, 3 1, 3 2, 2 1))", "POLYGON EMPTY"], "multipoint": ["MULTIPOINT ((1 1), (2 2))", "MULTIPOINT EMPTY"],
+    "multilinestring": ["MULTILINESTRING ((0 0, 1 1), (5 5, 6 6))"], "multipolygon": ["MULTIPOLYGON (((0 0, 4 0, 4 4, 0 0), (2 1, 3 1, 3 2, 2 1)), ((9 9, 10 9, 10 10, 9 9)))", "MULTIPOLYGON EMPTY"],
+}
+
+
+@pytest.mark.parametrize("encoding", sorted(SHAPES))
+def test_native_encodings(spark, tmp_path, encoding):
+    """All types come back from Parquet and from Arrow, with and without z; boxes prune; other types are refused."""
+    from geoloom.sources import geoparquet
+
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate([*SHAPES[encoding], None])], "id int, wkt string").select("id", G.from_wkt("wkt").alias("geometry"))
+    for z in (False, True):
+        given = rows.withColumn("geometry", G.force_3d("geometry", 7.0)) if z else rows
+        want = {(r.id, r.w) for r in given.select("id", G.to_wkt("geometry").alias("w")).collect()}
+        path = str(tmp_path / f"{encoding}{z}.parquet")
+        geoparquet.to_geoparquet(given, path, encoding=encoding, covering_bbox=True, with_z=z)
+        assert geoparquet.geo_metadata(path)["columns"]["geometry"]["encoding"] == encoding
+        back = geoparquet.read_geoparquet(spark, path).select("id", G.to_wkt("geometry").alias("w"))
+        arrow = vector.from_arrow(spark, vector.to_arrow(given, geometry_encoding=encoding, with_z=z)).select("id", G.to_wkt("geometry").alias("w"))
+        plain = lambda found: {(i, w and w.replace(" Z EMPTY", " EMPTY")) for i, w in found}
+        assert plain(map(tuple, back.collect())) == plain(want) == plain(map(tuple, arrow.collect()))
+    first = geoparquet.read_geoparquet(spark, path, bbox=(-50.0, -50.0, -40.0, -40.0))
+    assert first.count() == 0 and "PushedFilters: [IsNotNull(bbox" in first._jdf.queryExecution().toString()
+    other = spark.range(1).select(G.from_wkt(F.lit("GEOMETRYCOLLECTION EMPTY")).alias("geometry"))
+    with pytest.raises(Exception, match=f"no {encoding}"):
+        vector.to_arrow(other, geometry_encoding=encoding)
