@@ -21,6 +21,7 @@ from .geopackage import read_geopackage
 from .geoparquet import geo_metadata, read_feather, read_geoparquet, to_feather, to_flatgeobuf, to_geoparquet
 from . import native
 from .osm import read_osm_pbf
+from .topojson import read_topojson
 
 #: Column names that hold coordinates or geometry in CSV files.
 LATITUDE = ("lat", "latitude", "y")
@@ -29,7 +30,7 @@ GEOMETRY = ("geometry", "geom", "wkt", "the_geom", "shape", "wkb")
 FORMATS = {
     "parquet": "geoparquet", "geoparquet": "geoparquet", "feather": "feather", "arrow": "feather", "geojson": "geojson", "json": "geojson",
     "geojsonl": "geojsonseq", "geojsons": "geojsonseq", "csv": "csv", "wkt": "wkt", "kml": "kml", "gpx": "gpx", "shp": "shapefile",
-    "gpkg": "geopackage", "pbf": "osm", "fgb": "flatgeobuf",
+    "gpkg": "geopackage", "pbf": "osm", "fgb": "flatgeobuf", "topojson": "topojson",
 }
 
 
@@ -55,7 +56,7 @@ def read_file(
     else:
         df = {
             "feather": read_feather, "geojson": read_geojson, "geojsonseq": read_geojsonseq, "csv": read_csv, "wkt": read_wkt,
-            "kml": read_kml, "gpx": read_gpx, "shapefile": read_shapefile, "geopackage": read_geopackage, "osm": read_osm_pbf,
+            "kml": read_kml, "gpx": read_gpx, "shapefile": read_shapefile, "geopackage": read_geopackage, "osm": read_osm_pbf, "topojson": read_topojson,
         }[kind](spark, path, **options)
     if bbox is not None:
         df = df.where(G.intersects("geometry", literal_box(*bbox)))

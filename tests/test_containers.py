@@ -250,3 +250,41 @@ def test_native_encodings(spark, tmp_path, encoding):
     other = spark.range(1).select(G.from_wkt(F.lit("GEOMETRYCOLLECTION EMPTY")).alias("geometry"))
     with pytest.raises(Exception, match=f"no {encoding}"):
         vector.to_arrow(other, geometry_encoding=encoding)
+
+
+TOPOLOGY = {
+    "type": "Topology", "transform": {"scale": [0.5, 0.25], "translate": [10, 20]},
+    "arcs": [[[0, 0], [0, 4]], [[0, 4], [-4, 0], [0, -4], [4, 0]], [[0, 0], [4, 0], [0, 4], [-4, 0]], [[1, 1], [1, 0], [0, 1], [-1, -1]]],
+    "objects": {
+        "halves": {"type": "GeometryCollection", "geometries": [
+            {"type": "Polygon", "id": "west", "properties": {"name": "w", "n": 3}, "arcs": [[0, 1]]},
+            {"type": "Polygon", "id": "east", "arcs": [[2, -1], [3]]},
+            {"type": "MultiPolygon", "id": "both", "arcs": [[[0, 1]], [[2, -1]]]},
+            {"type": None, "id": "none"},
+        ]},
+        "border": {"type": "LineString", "arcs": [-1]}, "lines": {"type": "MultiLineString", "arcs": [[0], [1, 2]]},
+        "place": {"type": "Point", "coordinates": [2, 4], "properties": {"name": "p"}}, "places": {"type": "MultiPoint", "coordinates": [[0, 0], [1, 1]]},
+    },
+}
+
+
+def test_topojson(spark, tmp_path):
+    """Shared and reversed arcs, a hole, quantised and plain coordinates."""
+    (tmp_path / "a.topojson").write_text(json.dumps(TOPOLOGY))
+    plain = json.loads(json.dumps(TOPOLOGY))
+    del plain["transform"]
+    for i, arc in enumerate(plain["arcs"]):
+        at, out = [0, 0], []
+        for step in arc:
+            at = [at[0] + step[0], at[1] + step[1]]
+            out.append([10 + at[0] * 0.5, 20 + at[1] * 0.25])
+        plain["arcs"][i] = out
+    plain["objects"]["place"]["coordinates"], plain["objects"]["places"]["coordinates"] = [11, 21], [[10, 20], [10.5, 20.25]]
+    (tmp_path / "b.topojson").write_text(json.dumps(plain))
+    for name in ("a", "b"):
+        rows = vector.read_file(spark, str(tmp_path / f"{name}.topojson")).withColumn("wkt", G.to_wkt("geometry")).withColumn("area", G.area("geometry")).collect()
+        got = {r.id or r.layer: r for r in rows}
+        assert len(rows) == 8 and got["west"].area == got["west"].area == 2.0 and got["both"].area == 4.0 and got["none"].wkt is None
+        assert got["west"].properties == {"name": "w", "n": "3"} and got["east"].area == pytest.approx(2.0 - 0.0625)
+        assert got["border"].wkt == "LINESTRING (10 21, 10 20)" and got["place"].wkt == "POINT (11 21)" and got["places"].wkt == "MULTIPOINT ((10 20), (10.5 20.25))"
+        assert got["lines"].wkt.startswith("MULTILINESTRING ((10 20, 10 21), (10 21")
