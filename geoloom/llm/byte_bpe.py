@@ -10,7 +10,7 @@ A token is bytes, so a sequence of ids that is cut anywhere can begin or end ins
 sequence together before they are read as text, so characters split over them come out whole.
 
 Null text: no ids, decodes to the empty text. Empty text: the same. Null ids: no bytes. Long texts are encoded
-whole; only single rows, never a column, are held as Python lists. Rows that tie or repeat are coded each.
+whole; only single rows, never a column, are held as Python lists. Rows that tie or repeat are coded each. An empty table gives an empty result.
 Columns named as the results are replaced, others are kept.
 """
 

@@ -20,7 +20,7 @@ outside the article, articles within the article (comments). No names of classes
 
 A token that the template does not have weighs what it holds on its own page. Null html: empty text. Null url, or one
 without a host: the page is read alone, with no template. Repeated rows: each counts and is
-given back. Long pages are read whole. Columns named ``text`` are replaced.
+given back. Long pages are read whole. An empty table gives an empty result. Columns named ``text`` are replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ The rules are a small table that Spark may broadcast by its own size check; othe
 on tokens is shuffled and adaptive execution splits frequent tokens. URLs are judged once each
 and joined back, so many rows with one URL cost one judgement.
 
-Null URL, or one without ``://``: empty host and path, no site rule. Repeated rows are kept.
+Null URL, or one without ``://``: empty host and path, no site rule. Repeated rows are kept. Very long URLs are judged whole; an
+empty table gives an empty result. Of equally long site rules that fit, the last by name wins.
 """
 
 from __future__ import annotations
