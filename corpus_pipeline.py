@@ -17,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null and empty texts too), or without a language that ``MIN_SHARE`` of their words have, go.
 
     The model learns from rows with text and language whose id is not in the held-out quarter; without
-    such rows, all go. Each row is judged by itself, whole, whatever its id, repeats and other columns.
+    such rows, all go; of an empty table nothing is left. Each row is judged by itself, whole, whatever its id, repeats and other columns.
     """
     model = crf_language.fit(docs.where(crc_mod("doc_id", 4) != 2))
     found = crf_language.predict(docs, model, label_col="__label", score_col="__share")
@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest id.
 
     Null and empty texts are in no group. Rows without an id stay; of rows that share one, one stays.
-    Whole texts are compared; all columns are kept.
+    Whole texts are compared; all columns are kept. An empty table stays empty.
     """
     return lsh_forest.deduplicated(docs)
 
@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold a benchmark item go, and so do rows that share an id with one.
 
     Null and empty texts and items hold nothing; an empty benchmark removes nothing. Whole texts
-    are searched; all columns are kept.
+    are searched; all columns are kept. An empty table stays empty.
     """
     return edit_match.clean(docs, table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_tokens, whole): token ids of each whole text, and whether they give it back.
 
-    A null or empty text has no ids and is whole. Each row is coded by itself; other columns than these are left.
+    A null or empty text has no ids and is whole. Each row is coded by itself; other columns than these are left. An empty table gives an empty result.
     """
     ranks, pattern = _tokenizer()
     coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern), ranks)
