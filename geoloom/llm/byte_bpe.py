@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 _STATE: dict = {}
 
 
