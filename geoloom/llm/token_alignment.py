@@ -39,7 +39,7 @@ from .byte_bpe import byte_table
 #: Bytes of text in a chunk, and those aligned at once.
 CHUNK, AT_ONCE = 4 << 20, 1 << 20
 #: Tokens of documents that are counted at once (one document at least).
-TOKENS_AT_ONCE = 150_000
+TOKENS_AT_ONCE = 100_000
 SALTS = 16
 CACHE_WORDS = 200_000
 _STATE: dict = {}
@@ -107,9 +107,9 @@ class Coders:
 
     def __init__(self, settings: tuple[str, str, str]) -> None:
         self.sides = (ByteLevelCoder(*settings[:2]), SentencePieceCoder(settings[2]))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.fits = array("b")
         self.ids, self.sizes = (array("i"), array("i")), (array("i"), array("i"))
@@ -136,7 +136,7 @@ class Coders:
         wanted = set().union(*rows)
         new = [w for w in wanted if w not in self.index]
         if len(self.index) + len(new) > CACHE_WORDS:
-            self._forget()
+            self.forget()
             new = list(wanted)
         for start in range(0, len(new), 4096):
             self._learn(new[start : start + 4096])
@@ -253,6 +253,7 @@ def _coded(batches: Iterator[pa.RecordBatch], settings: tuple[str, str, str]) ->
                 number, size, pairs = number + 1, 0, []
     if pairs:
         yield chunk_row()
+    coders.forget()  # a worker that goes on to count has no use for words
 
 
 def _written_groups(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[str]:
@@ -312,6 +313,7 @@ def _counted(docs: pa.Table, totals: pa.Table, a_lengths: np.ndarray, b_lengths:
         stats = [a_sizes, b_sizes, _per_document(None, a_doc[ends], n), _per_document(None, doc, n), _per_document(best[at], doc, n), _per_document(total[at], doc, n)]
         arrays = [key, *(pa.array(s, pa.int64()) for s in stats), pa.array(groups, pa.string())]
         out.append(pa.RecordBatch.from_arrays(arrays, names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]))
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_batches(out)
 
 
