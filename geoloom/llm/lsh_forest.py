@@ -4,23 +4,23 @@ A document's set is that of its distinct word shingles. Documents with equal set
 The forest has ``TREES`` orders of the signature's values. In each, the nodes are sorted by their
 values in that order (a range sort over all partitions), and neighbours with the longest common
 prefixes are candidates. Nodes that share ``LEVELS[0]`` values are a region, and the depth adapts to it:
-a region of ``SMALL`` nodes or fewer takes all its pairs; a larger one, and each region of longer prefixes
-in it, links its nodes to its hub. The hub is the node that most
+in a region of ``SMALL`` nodes or fewer neighbours in order are linked first; in a larger one, and each region of longer
+prefixes in it, each node is linked to the hub. The hub is the node that most
 others share deep prefixes with: in a group of copies of one text that is the text itself, which
 its copies resemble more than they do each other. Ranges end anywhere, so that no region is one
 task's; pieces of a region share its hub.
 
-When these links are confirmed and their components found, the nodes of large regions outside the
-region's largest component are *open*. They and their region's other nodes are sorted again, in three times as many
-orders, and cut at ``OPEN_LEVELS`` until a region has ``OPEN_SMALL`` nodes or fewer; candidates are an open
-node and a node of another component in it (in one that is still large, the ``NEAR`` next in order) whose signatures agree as below. All this grows with the number of nodes; no
-large region has all its pairs made.
+When these links are confirmed and their components found, only pairs of different components can still change
+anything. Of small regions these are all other pairs. Large regions have no pairs made: their nodes outside the region's
+largest component are *open*, and these are joined with all nodes of large regions exactly (``exact_candidates``): sets of similarity
+t share one of the first n - ceil(t * n) + 1 of their hashes in any common order, here the rarest first by a sketch of counts, and their places in
+it bound what they can have in common. So no linked pair of a large region is left out, whatever the region's size, and
+rows are made for rare hashes only.
 
-Candidates whose signatures agree in less than ``ESTIMATE`` (over six standard deviations below
-the threshold of 0.8) or whose set sizes rule the threshold out are left; all others are confirmed on
-the full sets of 64-bit shingle hashes. A pair of similarity s in a small region is found with
-probability 1 - (1 - s**3)**16, 0.99998 at 0.8. In a region of n nodes that resemble each other
-without being linked, the depth d at which it is small grows with log n, and 1 - (1 - s**d)**48 holds.
+Candidates of small regions whose signatures agree in less than ``ESTIMATE`` (over six standard deviations below
+the threshold of 0.8) are left, and all whose set sizes rule the threshold out; all others are confirmed on
+the full sets of 64-bit shingle hashes. A pair of similarity s in small regions only is found with
+probability 1 - (1 - s**3)**16, 0.99998 at 0.8.
 
 Null or empty text: the empty set, linked with nothing. Fewer words than a shingle: the whole
 sequence is the one shingle. Long texts: whole sets. Repeated rows: each gets the group's result. Rows that share
@@ -30,8 +30,8 @@ component, linked with nothing. Other columns are not looked at; names of theirs
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,10 +46,9 @@ from .components import components
 
 TREES = 16
 VALUES = 6 * TREES
-LEVELS, OPEN_LEVELS = (3, 6, 9, 12, 16), (6, 8, 10, 12, 14, 16, 20, 24, 32)
-STRIDES = (1, 5, 7)  # of the open nodes' orders
-SMALL, OPEN_SMALL = 48, 128
-NEAR = 8
+LEVELS = (3, 6, 9, 12, 16)
+SMALL = 48
+COUNTERS = 1 << 18
 RANGE_BYTES = 32 << 20
 ESTIMATE = 0.55
 _ODD = (mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1))[None, :]
@@ -99,9 +98,9 @@ def _signed(size: int):
     return run
 
 
-def _orders(strides: tuple[int, ...], length: int) -> np.ndarray:
-    """Places in the signature by which each tree sorts; strides share no factor with ``VALUES``."""
-    return np.array([[(6 * t + i * stride) % VALUES for i in range(length)] for stride in strides for t in range(TREES)])
+def _orders(length: int) -> np.ndarray:
+    """Places in the signature by which each tree sorts."""
+    return np.array([[(6 * t + i) % VALUES for i in range(length)] for t in range(TREES)])
 
 
 def _keyed(orders: np.ndarray, kind: str):
@@ -172,7 +171,7 @@ FOUND = "a bigint, b bigint, region bigint, level int, n bigint"
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of small regions, and nodes (a) of larger ones with the region, its depth and size."""
+    """Pairs (a, b) of small regions with their distance in order (n), and nodes (a) of larger ones with the region, its depth and size."""
     rows = Sorted(batches, ">u2", SMALL)
     node, state, done = rows.column(2), rows.tree.astype(np.uint64), 0
     for depth in LEVELS:
@@ -185,8 +184,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             within[large] = True  # in a large region, or one that may be
             for x, y in _chunks(*rows.pairs(small, SMALL - 1)):
                 a, b = node[x], node[y]
-                none = [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=["a", "b", "region", "level", "n"])
+                rest = [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array((y - x).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *rest], names=["a", "b", "region", "level", "n"])
         else:
             large = np.flatnonzero(within & (rows.size > 1))
         yield pa.RecordBatch.from_arrays(
@@ -200,52 +199,55 @@ def _chunks(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
         yield x[at : at + (1 << 14)], y[at : at + (1 << 14)]
 
 
-def _depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, tree, depth) at which a node's region is small and whole."""
-    rows = Sorted(batches, "u1", OPEN_SMALL)
-    node = rows.column(2)
-    for depth in OPEN_LEVELS:
-        small, large = rows.level(depth)
-        at = np.setdiff1d(small, large, assume_unique=True)
-        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(rows.tree[at].astype(np.int32)), pa.array(np.full(len(at), depth, np.int32))], names=["node", "tree", "depth"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, n): how many hashes fall on each counter, for sets (node, hashes)."""
+    own = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for hashes in batch.column(1).to_pylist():
+            np.add.at(own, _counter(np.frombuffer(hashes, np.uint64)), 1)
+    at = own.nonzero()[0]
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], names=["at", "n"])
+
+
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
+
 
+def _least_common(n: int, percent: int) -> int:
+    """How many hashes of a set of ``n`` another one must have to be linked with it."""
+    return -(-percent * n // 100)
 
-def _open_forest(orders: np.ndarray):
-    """Pairs (a, b) of an open node and a neighbour of another component with a like signature, in the first tree that
-    they meet in; columns are those of ``_keyed`` (whole signatures) with the node's component, whether it is open, and
-    the depth of its small region in each tree (0 for none)."""
-    heads, back = orders[:, : OPEN_LEVELS[-1]], np.argsort(orders, axis=1)
 
-    def met_before(tree: np.ndarray, agree: np.ndarray, depths: np.ndarray) -> np.ndarray:
-        """Whether two rows, by the values in which they agree, are in one small region of a tree before theirs."""
-        plain, out = np.take_along_axis(agree, back[tree], axis=1), np.zeros(len(tree), bool)
-        for t, head in enumerate(heads):
-            shared = np.logical_and.accumulate(plain[:, head], axis=1).sum(axis=1)
-            out |= (t < tree) & (depths[:, t] > 0) & (shared >= depths[:, t])
-        return out
+def _prefixes(counts, percent: int):
+    """(node, n, prefix): the size of a set, and the first of its hashes by count, of which a linked set has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Sorted(batches, "u1", OPEN_SMALL)
-        node, component, is_open = rows.column(2), rows.column(3), rows.column(4).astype(bool)
-        depths = np.concatenate([np.zeros((0, len(orders)), "u1"), *(np.frombuffer(b"".join(b.column(5).to_pylist()), "u1").reshape(-1, len(orders)) for b in rows.rows)])
-        for depth in OPEN_LEVELS:
-            small, large = rows.level(depth)
-            found = [rows.pairs(small, OPEN_SMALL - 1)]
-            if depth == OPEN_LEVELS[-1]:
-                found.append(rows.pairs(large, NEAR))
-            for x, y in itertools.chain.from_iterable(_chunks(*pairs) for pairs in found):
-                use = (is_open[x] | is_open[y]) & (component[x] != component[y])
-                x, y = x[use], y[use]
-                agree = rows.key[x] == rows.key[y]
-                use = agree.mean(axis=1) >= ESTIMATE
-                x, y, agree = x[use], y[use], agree[use]
-                use = ~met_before(rows.tree[x].astype(np.int64), agree, depths[x])
-                a, b = node[x[use]], node[y[use]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for batch in batches:
+            n, prefix = [], []
+            for hashes in batch.column(1).to_pylist():
+                own = np.frombuffer(hashes, np.uint64)
+                first = np.lexsort((own, counts.value[_counter(own)]))[: len(own) - _least_common(len(own), percent) + 1]
+                n.append(len(own))
+                prefix.append(own[first].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prefix, pa.binary())], names=["node", "n", "prefix"])
 
     return run
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of a prefix, with its place; columns are those of ``_prefixes`` and the node's component and whether it is open."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            hashes = [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
+            at = np.concatenate([np.arange(len(h)) for h in hashes])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(hashes)), pa.array(at.astype(np.int64)), *(batch.column(i).take(rows) for i in (0, 1, 3, 4))],
+                names=["hash", "at", "node", "n", "component", "is_open"],
+            )
+
+
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x == y).mean(axis=-1) >= ESTIMATE
 
@@ -283,7 +285,7 @@ class Forest:
         self.rows = materialize(self.docs.mapInArrow(_signed(size), "doc_id bigint, n bigint, key binary, sig binary"), "signatures")
         keyed = self.rows.where("key is not null and doc_id is not null").groupBy("key")
         self.nodes = materialize(keyed.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-        found = self.sorted(self.nodes.select("node", "sig"), _orders((1,), LEVELS[-1]), ">u2").mapInArrow(_forest, FOUND)
+        found = self.sorted(self.nodes.select("node", "sig"), _orders(LEVELS[-1]), ">u2").mapInArrow(_forest, FOUND)
         self.found = materialize(found, "forest")
 
     def sorted(self, nodes: DataFrame, orders: np.ndarray, kind: str) -> DataFrame:
@@ -295,36 +297,49 @@ class Forest:
         return rows.repartitionByRange(ranges, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
 
     def candidates(self) -> DataFrame:
-        """(a, b): the pairs of small regions, and each node of a larger one with its hub."""
+        """(a, b): the neighbours in small regions, and each node of a larger one with its hub."""
         large = self.found.where("b is null").select(F.col("a").alias("node"), "region", "n")
         score = large.groupBy("node").agg(F.sum("n").alias("score"))
         hubs = large.join(score, "node").groupBy("region").agg(F.max(F.struct(F.col("score"), (-F.col("node")).alias("id"))).alias("hub"))
         stars = large.select("node", "region").join(hubs.select("region", (-F.col("hub")["id"]).alias("hub")), "region").where("node <> hub")
         stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        return self.found.where("b is not null").select("a", "b").unionAll(stars).distinct()
-
-    def open_candidates(self, found: DataFrame) -> DataFrame:
-        """(a, b) of different components and like signatures, one of them outside the largest component of a large
-        region; ``found`` is (node, component)."""
+        return self.found.where("b is not null and n = 1").select("a", "b").unionAll(stars).distinct()
+
+    def other_candidates(self, found: DataFrame) -> DataFrame:
+        """(a, b): the pairs of small regions that are of different components; ``found`` is (node, component)."""
+        pairs = self.found.where("b is not null and n > 1").select("a", "b").distinct()
+        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias("of_" + c))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+    def exact_candidates(self, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(a, b) of different components, one of them outside the largest component of a large region: all that can be linked, by the rarest
+        hashes of their sets; and those sets. ``found`` is (node, component). None if there is no such node."""
         large = self.found.where(f"b is null and level = {LEVELS[0]}").select(F.col("a").alias("node"), "region").join(found, "node", "left")
         large = large.select("region", "node", F.coalesce("component", "node").alias("component"))
         parts = large.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
         most = parts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_all"))
         most = most.where(F.col("most")["n"] < F.col("n_all")).select("region", F.col("most")["component"].alias("largest"))
         rows = large.join(most, "region").groupBy("node").agg(F.max("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("is_open"))
-        nodes = self.nodes.select("node", "sig").join(rows, "node")
-        nodes = materialize(nodes.select("node", "sig", "component", "is_open"), "open-nodes")
-        if nodes.isEmpty():
-            return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        orders = _orders(STRIDES, VALUES)
-        # a pair meets in several trees; what its nodes' regions are tells the first of them
-        depths = self.sorted(nodes.select("node", "sig"), orders, "u1").mapInArrow(_depths, "node bigint, tree int, depth int")
-        depths = depths.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "depth"))).alias("at"))
-        per_tree = F.transform(F.sequence(F.lit(0), F.lit(len(orders) - 1)), lambda t: F.lpad(F.hex(F.coalesce(F.element_at("at", t), F.lit(0))), 2, "0"))
-        depths = materialize(depths.select("node", F.unhex(F.array_join(per_tree, "")).alias("depths")), "open-depths")
-        none = F.unhex(F.lit("00" * len(orders)))
-        nodes = nodes.join(depths, "node", "left").select("node", "sig", "component", "is_open", F.coalesce("depths", none).alias("depths"))
-        return self.sorted(nodes, orders, "u1").mapInArrow(_open_forest(orders), "a bigint, b bigint").distinct()
+        rows = materialize(rows, "open-nodes")
+        if rows.isEmpty():
+            return None
+        sets = self.sets(rows.select("node"))
+        told = sets.mapInArrow(_counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(COUNTERS, np.int64)
+        counts[told["at"].to_numpy()] = told["n"].to_numpy()
+        shared = rows.sparkSession.sparkContext.broadcast(counts)
+        prefixes = sets.mapInArrow(_prefixes(shared, self.percent), "node bigint, n bigint, prefix binary").join(rows, "node")
+        listed = prefixes.select("node", "n", "prefix", "component", "is_open").mapInArrow(_listed, "hash bigint, at bigint, node bigint, n bigint, component bigint, is_open boolean")
+        listed = materialize(listed, "prefixes")
+        x, y = (listed.select("hash", *(F.col(c).alias(p + c) for c in ("at", "node", "n", "component", "is_open"))) for p in ("x_", "y_"))
+        # two open nodes meet once; at the first hash that two sets share, no more than what follows in both can be common
+        once = (F.col("x_component") != F.col("y_component")) & (~F.col("y_is_open") | (F.col("x_node") < F.col("y_node")))
+        common = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+        enough = common * (100 + self.percent) >= (F.col("x_n") + F.col("y_n")) * self.percent
+        sizes = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * self.percent
+        met = x.where("x_is_open").join(y, "hash").where(once & sizes & enough)
+        return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), sets
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those whose sizes and signatures allow the threshold."""
@@ -351,9 +366,9 @@ class Forest:
 
         return materialize(self.docs.mapInArrow(run, "node bigint, hashes binary"), "sets")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def confirmed(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of (a, b), those that the full sets confirm."""
-        sets = self.sets(pairs.select("a").unionAll(pairs.select("b")).distinct())
+        sets = sets or self.sets(pairs.select("a").unionAll(pairs.select("b")).distinct())
         a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
         return pairs.join(a, "a").join(b, "b").where(_confirmer(self.percent)("set_a", "set_b")).select("a", "b")
@@ -363,13 +378,17 @@ class Forest:
         tried = materialize(self.likely(self.candidates()), "candidates")
         links = materialize(self.confirmed(tried), "links")
         found = components(links)
-        if self.found.where("b is null").isEmpty():
-            return found
-        tried = materialize(self.open_candidates(found), "open-candidates")
-        if tried.isEmpty():
-            return found
-        more = materialize(self.confirmed(tried), "open-links")
-        return found if more.isEmpty() else components(links.unionAll(more))
+        # only pairs of different components are left to be tried
+        more = []
+        tried = materialize(self.likely(self.other_candidates(found)), "other-candidates")
+        if not tried.isEmpty():
+            more.append(materialize(self.confirmed(tried), "other-links"))
+        exact = None if self.found.where("b is null").isEmpty() else self.exact_candidates(found)
+        if exact is not None:
+            tried = materialize(exact[0], "exact-candidates")
+            more.append(materialize(self.confirmed(tried, exact[1]), "exact-links"))
+        more = [m for m in more if not m.isEmpty()]
+        return components(reduce(DataFrame.unionAll, [links, *more])) if more else found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
