@@ -388,6 +388,30 @@ def pairs(
     return found.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), *more, *carried)
 
 
+def places(side: Side, n: str) -> Side:
+    """A side's different boxes, each once: its ids are structs of the box, and ``n`` names the number of rows that have it; written, as joins measure it first."""
+    rows = side.slim("s_").groupBy(*(F.col("s_" + c).alias(c) for c in _BOX)).agg(F.count(F.lit(1)).alias(n))
+    return Side(written(rows.withColumn("place", F.struct(*_BOX))), "place", Box(*map(F.col, _BOX)), carry=(n,), points=side.points)
+
+
+def place_pairs(left: Side, right: Side, predicate: str = "intersects", distance: float | None = None) -> DataFrame:
+    """(left_place, right_place[, distance], left_n, right_n): the pairs of different boxes in a relation, with the number of rows that have each.
+
+    For sides without geometries whose pairs are only summed up: rows that share a box meet as one, so pairs do not
+    grow with the square of how often boxes repeat. ``at_places`` gives the sums back to rows.
+    """
+    if left.geometry or right.geometry:
+        raise ValueError("boxes decide for places: sides must have no geometries")
+    found = pairs(places(left, "left_n"), places(right, "right_n"), predicate, distance)
+    return found.withColumnsRenamed({"left_id": "left_place", "right_id": "right_place"})
+
+
+def at_places(side: Side, summed: DataFrame, place: str) -> DataFrame:
+    """The rows of a side with the columns of ``summed``, which has one row for each box (``place``); rows whose box is not there are left out."""
+    box = F.struct(*(c.alias(n) for n, c in zip(_BOX, (side.box.xmin, side.box.ymin, side.box.xmax, side.box.ymax))))
+    return side.df.withColumn("__place", box).join(summed, F.col("__place") == F.col(place)).drop("__place", place)
+
+
 def numbered(side: Side) -> Side:
     """A side whose ids are the places of its rows, so that rows that share an id are told apart; written, as the numbers must not change."""
     rows = written(side.df.withColumn("__row", F.monotonically_increasing_id()))
