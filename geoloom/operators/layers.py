@@ -82,7 +82,8 @@ def coverage_union_by(df: DataFrame, keys: list[str], geometry: str = "geometry"
     """(keys, geometry): the union of each group's polygons, which share whole edges and do not overlap.
 
     Polygons become directed edges with the inside on their left. An edge that two neighbours share comes once in each direction, and
-    one shuffle by edge cancels such pairs; only what is left, the union's own boundary, is gathered and linked into rings.
+    one shuffle by edge cancels such pairs; of what is left, the union's own boundary, the edges of a straight side are made one, and
+    these sides are gathered and linked into rings.
     Edges that come twice in one direction, and a boundary whose area is not that of the polygons, are no coverage's: an error.
     """
     rows = df.where(F.col(geometry).isNotNull()).select(*keys, F.col(geometry).alias("__g"))
@@ -96,8 +97,10 @@ def coverage_union_by(df: DataFrame, keys: list[str], geometry: str = "geometry"
     refused = F.raise_error(F.lit("the geometries are no coverage: an edge comes twice in one direction"))
     once = F.when((F.col("__up") > 1) | (F.col("__down") > 1), refused.cast("boolean")).otherwise(F.col("__up") != F.col("__down"))
     first, last = F.when(F.col("__up") > 0, F.col("__low")).otherwise(F.col("__high")), F.when(F.col("__up") > 0, F.col("__high")).otherwise(F.col("__low"))
-    left = counted.where(once).select(*keys, F.array(first["x"], first["y"], last["x"], last["y"]).alias("__edge"))
-    boundary = left.groupBy(*keys).agg(F.flatten(F.collect_list("__edge")).alias("__edges"))
+    left = written(counted.where(once).select(*keys, first.alias("__a"), last.alias("__b")))
+    joined = _joined_edges(left, keys)
+    ends = lambda e: F.filter(e, lambda _, i: i % 6 < 4)
+    boundary = joined.select(*keys, ends("__edges").alias("__edges"))
     areas = rows.groupBy(*keys).agg(F.sum(G.area("__g")).alias("__area"))
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
     boundary = boundary.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__edges")
@@ -105,6 +108,35 @@ def coverage_union_by(df: DataFrame, keys: list[str], geometry: str = "geometry"
     return areas.join(boundary, same, "left").select(*keys, call("Linked", F.coalesce("__edges", none), F.col("__area")).alias(geometry))
 
 
+def _joined_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __edges): each group's directed edges (``__a`` to ``__b``), as ``Joined`` has them, those of a straight side as one.
+
+    A place where one edge ends and one begins, and the way is straight, is no corner of a ring. Edges are joined there in cells
+    of about ``CHUNK``, then in ever wider cells, so what a group gathers at last are its sides.
+    """
+    halves = F.explode(F.array(*(F.struct(F.col(at).alias("at"), F.col(other).alias("other"), F.lit(end).alias("end")) for at, other, end in (("__a", "__b", 0), ("__b", "__a", 1)))))
+    met = edges.select(*keys, halves.alias("__h")).groupBy(*keys, F.col("__h.at").alias("__at")).agg(
+        F.collect_list(F.struct("__h.other", "__h.end")).alias("__e"), F.max(F.when(F.col("__h.end") == 1, F.col("__h.other"))).alias("__from"), F.max(F.when(F.col("__h.end") == 0, F.col("__h.other"))).alias("__to")
+    )
+    straight = (F.size("__e") == 2) & call("Straight", *(F.col(f"{p}.{c}") for p in ("__from", "__at", "__to") for c in ("x", "y")))
+    half = met.select(*keys, "__at", straight.cast("double").alias("__p"), F.explode("__e").alias("__o"))
+    ahead, zero = F.col("__o.end") == 0, F.lit(0.0)
+    start, end = F.when(ahead, F.col("__at")).otherwise(F.col("__o.other")), F.when(ahead, F.col("__o.other")).otherwise(F.col("__at"))
+    half = half.select(*keys, start.alias("__a"), end.alias("__b"), F.when(ahead, F.col("__p")).otherwise(zero).alias("__pa"), F.when(ahead, zero).otherwise(F.col("__p")).alias("__pb"))
+    n, minx, miny, maxx, maxy = edges.agg(F.count(F.lit(1)), F.min("__a.x"), F.min("__a.y"), F.max("__a.x"), F.max("__a.y")).first()
+    level = 0
+    while n > CHUNK * 4**level:
+        level += 1
+    place = lambda c, low, high: F.least(F.floor(((F.col(f"__a.{c}") + F.col(f"__b.{c}")) / 2 - low) / ((high - low) or 1.0) * 2**level), F.lit(2**level - 1))
+    rows = half.select(*keys, F.array("__a.x", "__a.y", "__b.x", "__b.y", "__pa", "__pb").alias("__edges"), *((place("x", minx, maxx).alias("__cx"), place("y", miny, maxy).alias("__cy")) if level else ()))
+    joined = lambda rows, *by: rows.groupBy(*keys, *by).agg(F.flatten(F.collect_list("__edges")).alias("__edges")).withColumn("__edges", G.settled(call("Joined", F.col("__edges"))))
+    while level:
+        rows, step = joined(rows, "__cx", "__cy"), min(2, level)
+        rows = rows.withColumns({c: F.shiftright(c, step) for c in ("__cx", "__cy")})
+        level -= step
+    return joined(rows)
+
+
 def box_union_by(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
     """(keys, geometry): the union of each group's geometries, which is the box around them where they are boxes that fill it.
 
