@@ -418,6 +418,18 @@ def numbered(side: Side) -> Side:
     return replace(side, df=rows, id="__row")
 
 
+def _likeness(side: Side) -> Column:
+    """What rows of ``slim("s_")`` share that are alike: the geometry's digest, without one the box."""
+    return F.md5("s_geom") if side.geometry else F.struct(*(F.col("s_" + c).alias(c) for c in _BOX))
+
+
+def alike(side: Side) -> Side:
+    """A side whose rows with the same geometry (without one, the same box) and keys are one, with that as their id; written, as joins measure it first."""
+    by = {"__alike": _likeness(side)} | {k: F.col("s_" + k) for k in side.keys}
+    rows = side.slim("s_").groupBy(*(c.alias(n) for n, c in by.items())).agg(F.count(F.lit(1)).alias("__n"), *(F.first("s_" + c).alias(c) for c in _BOX + ("geom",) * bool(side.geometry)))
+    return Side(written(rows), "__alike", Box(*map(F.col, _BOX)), "geom" if side.geometry else None, side.keys, (), side.points)
+
+
 def sjoin(
     left: Side,
     right: Side,
@@ -438,10 +450,8 @@ def sjoin(
     return _attributes(pairs(left, right, predicate, distance).select("left_id", "right_id"), left, right, how, lsuffix, rsuffix)
 
 
-def _attributes(found: DataFrame, left: Side, right: Side, how: str, lsuffix: str, rsuffix: str) -> DataFrame:
-    """Both frames' columns beside pairs (left_id, right_id, ...), with the rows of a side that are in none if ``how`` says so."""
-    more = [c for c in found.columns if c not in ("left_id", "right_id")]
-    found = found.select(F.col("left_id").alias("__l"), F.col("right_id").alias("__r"), *(F.col(c).alias("m." + c) for c in more))
+def _names(left: Side, right: Side, how: str, lsuffix: str, rsuffix: str) -> tuple[dict[str, str], dict[str, str]]:
+    """The names that both frames' columns have in a join."""
     hidden = ("__box", "__row")
     l_names, r_names = ([c for c in s.df.columns if c not in hidden] for s in (left, right))
     geometry = {left.geometry, right.geometry} - {None}
@@ -449,6 +459,14 @@ def _attributes(found: DataFrame, left: Side, right: Side, how: str, lsuffix: st
     both = (set(l_names) - drop_left) & (set(r_names) - drop_right)
     l_out = {c: f"{c}_{lsuffix}" if c in both else c for c in l_names if c not in drop_left}
     r_out = {c: f"{c}_{rsuffix}" if c in both else c for c in r_names if c not in drop_right}
+    return l_out, r_out
+
+
+def _attributes(found: DataFrame, left: Side, right: Side, how: str, lsuffix: str, rsuffix: str) -> DataFrame:
+    """Both frames' columns beside pairs (left_id, right_id, ...), with the rows of a side that are in none if ``how`` says so."""
+    more = [c for c in found.columns if c not in ("left_id", "right_id")]
+    found = found.select(F.col("left_id").alias("__l"), F.col("right_id").alias("__r"), *(F.col(c).alias("m." + c) for c in more))
+    l_out, r_out = _names(left, right, how, lsuffix, rsuffix)
     l_rows = left.df.select(F.col(left.id).alias("__lid"), *(F.col(c).alias("l." + c) for c in l_out))
     r_rows = right.df.select(F.col(right.id).alias("__rid"), *(F.col(c).alias("r." + c) for c in r_out))
     kind = {"inner": ("inner", "inner"), "left": ("right", "left"), "right": ("inner", "right"), "outer": ("right", "full")}[how]
@@ -463,14 +481,14 @@ def _attributes(found: DataFrame, left: Side, right: Side, how: str, lsuffix: st
 def left_semi(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
     """Left rows with a match."""
     left = numbered(left)
-    ids = pairs(left, right, predicate, distance).select(F.col("left_id").alias("__id")).distinct()
+    ids = pairs(left, alike(right), predicate, distance).select(F.col("left_id").alias("__id")).distinct()
     return left.df.drop("__box").join(ids, F.col("__row") == F.col("__id"), "left_semi").drop("__row")
 
 
 def left_anti(left: Side, right: Side, predicate: str = "intersects", distance: float | str | None = None) -> DataFrame:
     """Left rows without a match; null and empty geometries have none."""
     left = numbered(left)
-    ids = pairs(left, right, predicate, distance).select(F.col("left_id").alias("__id")).distinct()
+    ids = pairs(left, alike(right), predicate, distance).select(F.col("left_id").alias("__id")).distinct()
     return left.df.drop("__box").join(ids, F.col("__row") == F.col("__id"), "left_anti").drop("__row")
 
 
@@ -640,12 +658,40 @@ def nearest(
     Counts come first. The right side's different boxes are counted by cell, and the counts of a cell and the eight around it bound how
     far the wanted ones can be from any point of the cell; the boxes within that bound are the cell's candidates. Each left
     row meets those of the one cell that it is in, so no left row is dealt twice, and ranks them in place. Where
-    density differs much, wider cells serve the rows that narrower ones do not. Points are done with that; of other rows the
+    density differs much, wider cells serve the rows that narrower ones do not. Without ``k`` rows of either side that share their geometry are
+    one place, and pairs of places are given back to the rows at the end. Points are done with that; of other rows the
     candidates give a reach of their own, within which exact distances are taken. Rows with too few boxes near them get
     a reach from the counts of ``GRID`` squared cells. A side of ``FEW`` boxes at most is every row's list of candidates.
     """
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
+    if k is None:
+        return _near_rows(left, right, max_distance, exclusive, "inner", [F.col(left.id).alias("left_id")], [F.col(right.id).alias("right_id")])
+    return _nearest(left, right, k, max_distance, exclusive)
+
+
+def _near_rows(left: Side, right: Side, max_distance: float | None, exclusive: bool, how: str, l_columns: list[Column], r_columns: list[Column]) -> DataFrame:
+    """Columns of both sides' rows and ``distance``: each left row with all that tie for the least distance; ``how`` left or right keeps a side's rows without a partner.
+
+    Pairs of places are found first. Rows take their columns along as they meet them, so no join sorts the pairs, which are many where places repeat.
+    """
+    l_alike, r_alike = alike(left), alike(right)
+    near = written(_nearest(l_alike, r_alike, None, max_distance, exclusive).withColumnsRenamed({"left_id": "__l", "right_id": "__r"}))
+    number = lambda side, at: side.df.select(F.col("__alike").alias(at), F.col("__n").alias("__n" + at))
+    total = near.join(number(l_alike, "__l"), "__l").join(number(r_alike, "__r"), "__r").agg(F.sum(F.col("__n__l") * F.col("__n__r"))).first()[0] or 0
+    parts = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 20)
+
+    def rows(side: Side, at: str, columns: list[Column]) -> DataFrame:
+        box = F.struct(*(c.alias(n) for n, c in zip(_BOX, (side.box.xmin, side.box.ymin, side.box.xmax, side.box.ymax))))
+        return side.df.select((F.md5(side.geometry) if side.geometry else box).alias(at), *columns)
+
+    l_rows, r_rows = rows(left, "__l", l_columns), rows(right, "__r", r_columns)
+    first, second, at, other = (r_rows, l_rows, "__r", "__l") if how == "right" else (l_rows, r_rows, "__l", "__r")
+    kind = "inner" if how == "inner" else "left"
+    return first.join(near, at, kind).repartition(parts).join(second, other, kind).drop("__l", "__r")
+
+
+def _nearest(left: Side, right: Side, k: int | None, max_distance: float | None, exclusive: bool) -> DataFrame:
     direct = left.points and not left.geometry and not right.geometry
     places = written(_places(right, k if direct else None))
     extent = measure(Side(places, "id", Box(*map(F.col, _BOX))))[0]
@@ -740,11 +786,12 @@ def sjoin_nearest(
     if how not in ("inner", "left", "right"):
         raise ValueError(f"no such how: {how}")
     if attributes:
-        left, right = numbered(left), numbered(right)
+        l_out, r_out = _names(left, right, how, lsuffix, rsuffix)
+        columns = ([F.col(c).alias(p + c) for c in out] for p, out in (("l.", l_out), ("r.", r_out)))
+        rows, quoted = _near_rows(left, right, max_distance, exclusive, how, *columns), lambda name: F.col(f"`{name}`")
+        named = [*(quoted("l." + c).alias(n) for c, n in l_out.items()), *(quoted("r." + c).alias(n) for c, n in r_out.items())]
+        return rows.select(*named, *([F.col("distance").alias(distance_col)] if distance_col else []))
     found = nearest(left, right, None, max_distance, exclusive)
-    if attributes:
-        found = found.withColumnRenamed("distance", distance_col) if distance_col else found.drop("distance")
-        return _attributes(found, left, right, how, lsuffix, rsuffix)
     if how == "left":
         found = left.df.select(F.col(left.id).alias("left_id")).join(found, "left_id", "left")
     elif how == "right":
