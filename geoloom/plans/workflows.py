@@ -130,7 +130,8 @@ def accessible_occupied(
     """Buildings near a station on developable parcels that a station serves, pair by pair."""
     buildings, parcels = (written(_polygons(L.clip(x, admin))) for x in (buildings, parcels))
     centres = J.geometry_side(buildings.select(id, G.centroid("geometry").alias("geometry")), id)
-    nearest = J.sjoin_nearest(centres, J.geometry_side(transit, station_id), max_distance=reach)
+    # stations at one place are one, as only the buildings are asked for
+    nearest = J.sjoin_nearest(centres, J.alike(J.geometry_side(transit, station_id)), max_distance=reach)
     near = written(buildings.join(nearest.select(F.col("left_id").alias("__near")), F.col(id) == F.col("__near"), "left_semi"))
     developable = written(L.overlay(parcels, exclusions, "difference", parcel_id, exclusion_id))
     served = written(_semi(developable, parcel_id, _grown(transit, radius, shape), station_id))
