@@ -45,6 +45,8 @@ GRID = 32
 SAMPLE, CROWD = 8192, 64
 #: A side of so few boxes goes to every task as it is.
 FEW = 2048
+#: Sides of so many rows are not broadcast: Spark judges them by their files, which are compressed and have no cells yet.
+MANY = 1 << 18
 #: Joins of so many rows have cells by place.
 ADAPTIVE = 1 << 20
 #: Predicates whose operands change places.
@@ -312,7 +314,10 @@ def candidates(
     on = reduce(and_, (F.col("l." + c) == F.col("r." + c) for c in ["leaf"] * bool(leaves) + ["level", "up", "cx", "cy"]))
     for k in left.keys:
         on = on & (F.col("l.l_" + k) == F.col("r.r_" + k))
-    pairs = l_dealt.alias("l").join(r_dealt.drop("width").alias("r"), on)
+    met = r_dealt.drop("width").alias("r")
+    if min(l_extent.count, r_extent.count) >= MANY:
+        met = met.hint("merge")
+    pairs = l_dealt.alias("l").join(met, on)
     # once: in the cell, and the leaf, of the common part's corner
     cell = F.col("l.width")
     corner = (F.floor(F.greatest("l_x0", "r_x0") / cell) == F.col("l.cx")) & (F.floor(F.greatest("l_y0", "r_y0") / cell) == F.col("l.cy"))
