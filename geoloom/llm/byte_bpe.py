@@ -1,9 +1,8 @@
-"""Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
+"""Byte-level BPE encoding and decoding over Arrow batches.
 
-A rank file gives the vocabulary. Every match of the pattern is encoded separately; the
-distinct matches of a batch go to the library together and their ids are kept in a bounded
-cache, because natural text repeats its words. Bytes are mapped to printable characters for
-the library and back for decoding.
+A rank file gives the vocabulary. Every match of the pattern is encoded separately: its bytes are merged
+by rank, by the tiktoken library's function for one piece. The ids of distinct matches are kept in a bounded
+cache, because natural text repeats its words. Decoding joins the tokens' bytes.
 
 A token is bytes, so a sequence of ids that is cut anywhere can begin or end inside a character:
 ``decode`` gives bytes, and text in which such a rest is a replacement character; ``joined`` puts pieces of a
@@ -17,6 +16,7 @@ Columns named as the results are replaced, others are kept.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,55 +42,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _parts(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The two tokens whose merge made ``token``: merge by rank until two are left."""
-    parts = [token[i : i + 1] for i in range(len(token))]
-    while len(parts) > 2:
-        pairs = [ranks.get(a + b, len(ranks) + 256) for a, b in zip(parts, parts[1:])]
-        at = pairs.index(min(pairs))
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
-
-
-def tokenizer_json(ranks: dict[bytes, int]) -> str:
-    """The library's description of a byte-level BPE that has these ranks."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    table = byte_table()
-    name = {token: "".join(table[b] for b in token) for token in ranks}
-    ordered = sorted((t for t in ranks if len(t) > 1), key=ranks.__getitem__)
-    merges = [tuple("".join(table[b] for b in part) for part in _parts(t, ranks)) for t in ordered]
-    bpe = models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
-    made = Tokenizer(bpe)
-    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return made.to_str()
-
-
 class PieceEncoder:
     """Encodes texts piece by piece; keeps the ids of at most ``CACHE_PIECES`` pieces."""
 
-    def __init__(self, description: str, pattern: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        self.tokenizer = Tokenizer.from_str(description)
+        self.merge = Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.split = regex.compile(pattern).findall
         self.ids: dict[str, list[int]] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not known, all in one call."""
-        new = list(pieces.difference(self.ids))
+        """Encode the pieces that are not known."""
+        new = pieces.difference(self.ids)
         if len(self.ids) + len(new) > CACHE_PIECES:
-            self.ids, new = {}, list(pieces)
-        if new:
-            coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            rows: list[list[int]] = [[] for _ in new]
-            for piece, token in zip(coded.word_ids, coded.ids):
-                rows[piece].append(token)
-            self.ids.update(zip(new, rows))
+            self.ids, new = {}, pieces
+        merge = self.merge
+        self.ids.update((piece, merge(piece.encode())) for piece in new)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.split(t) if t else [] for t in texts]
@@ -120,10 +89,10 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
-def _encoder(description: str, pattern: str) -> PieceEncoder:
-    key = (hash(description), pattern)
-    if _STATE.get("encoder_key") != key:
-        _STATE.update(encoder_key=key, encoder=PieceEncoder(description, pattern))
+def _encoder(ranks: dict[bytes, int], key: int, pattern: str) -> PieceEncoder:
+    """The worker's encoder; ``key`` stands for the ranks."""
+    if _STATE.get("encoder_key") != (key, pattern):
+        _STATE.update(encoder_key=(key, pattern), encoder=PieceEncoder(ranks, pattern))
     return _STATE["encoder"]
 
 
@@ -143,15 +112,17 @@ def encode(
     lengths = [0] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
-    shared = df.sparkSession.sparkContext.broadcast((tokenizer_json(ranks), lengths))
+    with open(ranks_path, "rb") as file:
+        key = zlib.crc32(file.read())
+    shared = df.sparkSession.sparkContext.broadcast((ranks, lengths))
     names = [ids_col] + ["starts", "ends"] * with_offsets
     kept = df.drop(*names)
     schema = StructType(kept.schema.fields + [StructField(n, ArrayType(IntegerType(), False), False) for n in names])
     arrow, at = to_arrow_schema(schema), kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        description, length_of = shared.value
-        coder = _encoder(description, pattern)
+        ranks, length_of = shared.value
+        coder = _encoder(ranks, key, pattern)
         for whole in batches:
             for batch in slices(whole, at, 1 << 20):
                 texts = batch.column(at).to_pylist()
@@ -168,17 +139,16 @@ def encode(
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", text_col: str | None = None) -> DataFrame:
     """``df`` with ``bytes_col``: the bytes that the ids stand for (null ids: none), and with ``text_col`` if named.
 
-    The vocabulary's names of the tokens are joined and the byte table is reversed. The text has a
-    replacement character for each part of a character that the ids begin or end with.
+    The text has a replacement character for each part of a character that the ids begin or end with.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-    ranks, table = read_ranks(ranks_path), byte_table()
-    names = [""] * (max(ranks.values()) + 1)
+    ranks = read_ranks(ranks_path)
+    tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        names[rank] = "".join(map(table.__getitem__, token))
-    shared = df.sparkSession.sparkContext.broadcast(names)
+        tokens[rank] = token
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
     kept = df.drop(bytes_col, *([text_col] if text_col else []))
     made_fields = [StructField(bytes_col, BinaryType(), False)] + ([StructField(text_col, StringType(), False)] if text_col else [])
     schema = StructType(kept.schema.fields + made_fields)
@@ -186,13 +156,11 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.__getitem__
-        byte_of = {ord(ch): byte for byte, ch in byte_table().items()}
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 rows = (batch.column(at)[i].values for i in range(batch.num_rows))
-                # a character of the table becomes that of its byte, which Latin-1 writes as that byte
-                found = ["".join(map(get, ids.to_numpy().tolist())).translate(byte_of).encode("latin-1") if ids is not None else b"" for ids in rows]
+                found = [b"".join(map(get, ids.to_numpy().tolist())) if ids is not None else b"" for ids in rows]
                 made = [pa.array(found, pa.binary())] + ([pa.array([b.decode("utf-8", "replace") for b in found], pa.string())] if text_col else [])
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*batch.columns, *made], arrow.types)], schema=arrow)
 
