@@ -51,6 +51,9 @@ class PieceEncoder:
 
         self.merge = Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.split = regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
         self.ids: dict[str, list[int]] = {}
 
     def learn(self, pieces: set[str]) -> None:
@@ -132,6 +135,7 @@ def encode(
                     columns += [[np.array(s, np.int32) for s, _ in spans], [np.array(e, np.int32) for _, e in spans]]
                 made = [_lists(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*batch.columns, *made], arrow.types)], schema=arrow)
+        coder.forget()  # a worker that goes on to other steps has no use for pieces
 
     return kept.mapInArrow(run, schema)
 

@@ -2,7 +2,9 @@
 
 import time
 
+import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 
 from geoloom.llm import byte_bpe, queries
 
@@ -29,3 +31,21 @@ def test_runs_that_the_whole_text_coder_cannot_take():
     ids = byte_bpe.PieceEncoder(ranks, public.PATTERN).encode([text])[0].tolist()
     token = {rank: token for token, rank in ranks.items()}
     assert b"".join(token[i] for i in ids) == text.encode()
+
+
+def test_a_worker_keeps_no_pieces_after_its_task(spark):
+    """Workers are used again: what one has learnt would add to the memory of the next steps."""
+    import public_tokenizers as public
+
+    rows = spark.range(1).select(F.lit("many words of one text").alias("text")).coalesce(1)
+    byte_bpe.encode(rows, public.path(queries.RANKS), public.PATTERN).collect()
+
+    def held(batches):
+        list(batches)
+        from geoloom.llm import byte_bpe
+
+        coder = byte_bpe._STATE.get("encoder")
+        yield pa.RecordBatch.from_arrays([pa.array([len(coder.ids) if coder else 0])], names=["n"])
+
+    found = spark.range(0, 64, 1, 8).mapInArrow(held, "n long").agg(F.max("n")).first()[0]
+    assert found == 0
